@@ -1,0 +1,170 @@
+"""Filter jobs over many series: series x configuration x replicate rows are spread over the cluster, each row holding
+at most ``chunk`` ticks.
+
+Series longer than one chunk run in rounds: round c takes every series' c-th chunk together with the packed state
+that round c-1 wrote to the shared folder. A task therefore never holds more than one chunk per row, and a lost
+executor repeats only its part of a round.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import replace
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from voltide.functions.config import FilterConfig
+from voltide.plans import stepper
+from voltide.plans.noise import Noise
+from voltide.session import group_bound, scratch_table
+
+CHUNK = 1024
+PAIR_CELLS = 1 << 17  # rows x particles^2 held at once by a task
+THETA = ["rho", "sigma_z", "mu", "gamma", "nu"]
+KEYS = ["series_id", "config_id", "replicate"]
+
+
+def run_rows(cfg: FilterConfig, theta: dict[str, np.ndarray], keys: np.ndarray, ys: list[np.ndarray], t0: int,
+             blobs: list[bytes] | None, noise: str, dtype) -> tuple[list[dict[str, np.ndarray]], dict[str, np.ndarray], list]:
+    """Run rows of one configuration that start at the same tick. Rows must be sorted by length, longest first.
+    Returns per-tick outputs (for the still running prefix of rows) and the final states."""
+    p = stepper.params(**theta)
+    rng = Noise(keys, cfg.n_particles, noise)
+    st = stepper.start(cfg, p, rng) if blobs is None else stepper.unpack(cfg, blobs)
+    lengths = np.array([len(y) for y in ys])
+    step, outs = stepper.STEPS[cfg.model], []
+    for k in range(int(lengths.max(initial=0))):
+        n = int((lengths > k).sum())
+        rows = slice(0, n)
+        y = np.array([ys[j][k] for j in range(n)])
+        outs.append(step(stepper.rows_of(st, rows), y, t0 + k, cfg, stepper.rows_of(p, rows), rng, rows, dtype))
+    return outs, st, lengths
+
+
+def _runner(configs: dict[str, FilterConfig], noise: str, dtype, emit_particles: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf.assign(_len=pdf["ys"].map(len))
+            for cid, g in pdf.groupby("config_id"):
+                cfg = configs[cid]
+                g = g.sort_values("_len", ascending=False, kind="stable")
+                size = max(1, PAIR_CELLS // cfg.n_particles**2)
+                for a in range(0, len(g), size):
+                    yield _run_part(cfg, g.iloc[a : a + size], noise, dtype, emit_particles)
+
+    return run
+
+
+def _run_part(cfg: FilterConfig, g: pd.DataFrame, noise: str, dtype, emit_particles: bool) -> pd.DataFrame:
+    ts = [np.asarray(v) for v in g["ts"]]
+    blobs = None if g["state"].isna().all() else list(g["state"])
+    theta = {k: g[k].to_numpy(float) for k in THETA}
+    outs, st, lengths = run_rows(cfg, theta, g["noise_key"].to_numpy(), [np.asarray(v, float) for v in g["ys"]], int(ts[0][0]),
+                                 blobs, noise, dtype)
+    row = np.concatenate([np.arange(len(next(iter(o.values())))) for o in outs])
+    tick = np.concatenate([np.full(len(next(iter(o.values()))), k) for k, o in enumerate(outs)])
+    cols = {k: g[k].to_numpy()[row] for k in KEYS}
+    cols["t"] = np.array([ts[r][k] for r, k in zip(row, tick)])
+    for name in stepper.OUT:
+        parts = [o[name][:, 0] if name in o else np.full(len(next(iter(o.values()))), np.nan) for o in outs]
+        cols[name] = np.concatenate(parts)
+    last = tick == lengths[row] - 1
+    cols["state"] = [stepper.pack(st, r) if e else None for r, e in zip(row, last)]
+    name = "f" if cfg.model == "two_factor" else "h"
+    cols["particles"] = [st[name][r].tolist() if e and emit_particles else None for r, e in zip(row, last)]
+    return pd.DataFrame(cols)
+
+
+def filter_series(obs: DataFrame, configs: list[FilterConfig], seed: int = 42, replicates: int = 1, theta: DataFrame | None = None,
+                  noise: str = "hash", precision: str = "double", emit_particles: bool = False, bound: int | None = None,
+                  chunk: int = CHUNK, group: list[str] | None = None) -> DataFrame:
+    """Per-tick estimates of every series under every configuration and replicate.
+
+    ``obs`` has (series_id, t, y) with dense t. ``theta`` optionally replaces model parameters by its columns among
+    rho, sigma_z, mu, gamma, nu, matched on series_id and (if present) config_id. The draws depend on
+    (series_id, replicate, seed), not on the configuration.
+    """
+    spark = obs.sparkSession
+    bound = group_bound(obs, ["series_id"]) if bound is None else bound
+    by_id = {c.config_id: c for c in configs}
+    if len(by_id) != len(configs):
+        raise ValueError("config_id must be unique")
+    rows = obs.select("series_id", F.floor(F.col("t") / chunk).cast("long").alias("_c"), F.struct("t", "y").alias("_x"))
+    rows = rows.groupBy("series_id", "_c").agg(F.sort_array(F.collect_list("_x")).alias("_x"))
+    rows = rows.select("series_id", "_c", F.col("_x.t").alias("ts"), F.col("_x.y").alias("ys"))
+    cfg_rows = F.array(*[F.struct(F.lit(c.config_id).alias("config_id"), *[F.lit(float(getattr(c, k))).alias(k) for k in THETA])
+                         for c in configs])
+    jobs = rows.select("*", F.inline(cfg_rows))
+    if theta is not None:
+        given = [c for c in THETA if c in theta.columns]
+        on = [c for c in ("series_id", "config_id") if c in theta.columns]
+        th = theta.select(*on, *[F.col(c).alias(f"_{c}") for c in given])
+        jobs = jobs.join(th, on, "left")
+        for c in given:
+            jobs = jobs.withColumn(c, F.coalesce(F.col(f"_{c}"), F.col(c))).drop(f"_{c}")
+    jobs = jobs.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    jobs = jobs.withColumn("noise_key", F.xxhash64(F.lit(seed), F.col("series_id"), F.col("replicate")))
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism)
+    run = _runner(by_id, noise, np.float32 if precision == "single" else float, emit_particles)
+    key_type = obs.schema["series_id"].dataType.simpleString()
+    schema = (f"series_id {key_type}, config_id string, replicate int, t bigint, " + ", ".join(f"{c} double" for c in stepper.OUT)
+              + ", state binary, particles array<double>")
+
+    def one_round(part: DataFrame) -> DataFrame:
+        # an explicit partition count: the rows are few bytes but much work, so they must not be coalesced
+        return part.repartition(n_parts, *KEYS).mapInPandas(run, schema)
+
+    last = -(-bound // chunk) - 1
+    if last <= 0:
+        est = one_round(jobs.withColumn("state", F.lit(None).cast("binary")))
+    else:
+        path = scratch_table(spark, "rounds")
+        for c in range(last + 1):
+            part = jobs.filter(F.col("_c") == c)
+            if c == 0:
+                part = part.withColumn("state", F.lit(None).cast("binary"))
+            else:
+                prev = spark.read.parquet(f"{path}/round={c - 1}").filter("state is not null").select(*KEYS, "state")
+                part = part.join(prev, KEYS)
+            one_round(part).write.parquet(f"{path}/round={c}")
+        est = spark.read.schema(schema).parquet(*[f"{path}/round={c}" for c in range(last + 1)])
+    drop = ["state"] if emit_particles else ["state", "particles"]
+    nan_null = [F.when(~F.isnan(c), F.col(c)).alias(c) for c in stepper.OUT]
+    keep = ["series_id", "config_id", "replicate", "t"]
+    return est.select(*keep, *nan_null, *[c for c in ("particles",) if c not in drop]).withColumn(
+        "stein_steps", F.col("stein_steps").cast("int"))
+
+
+def predictive_nll(obs: DataFrame, configs: list[FilterConfig], batch: int, burn_in: int, seed: int = 42,
+                   bound: int | None = None) -> DataFrame:
+    """Mean negative predictive log-likelihood over independent time chunks with a burn-in each.
+
+    Chunks are their own rows, so one long series runs on many tasks. Chunks shorter than burn_in + 10 are left out.
+    """
+    seg = F.floor(F.col("t") / batch).cast("long")
+    d = obs.select(F.struct(F.col("series_id").alias("id"), seg.alias("seg")).alias("series_id"), (F.col("t") % batch).alias("t"), "y")
+    sizes = d.groupBy("series_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= burn_in + 10).select("series_id")
+    d = d.join(sizes, "series_id", "left_semi").withColumn("series_id", F.concat_ws("#", "series_id.id", "series_id.seg"))
+    anti = [replace(c, antithetic=True) for c in configs]
+    est = filter_series(d, anti, seed, noise="antithetic", bound=batch).filter(F.col("t") >= burn_in)
+    est = est.withColumn("series_id", F.substring_index("series_id", "#", 1))
+    return est.groupBy("series_id", "config_id").agg((-F.avg("loglik_predictive")).alias("nll"), F.count(F.lit(1)).alias("n"))
+
+
+def time_parallel(obs: DataFrame, configs: list[FilterConfig], batch: int, burn_in: int, seed: int = 42) -> DataFrame:
+    """Approximate mode for very long series: every chunk starts cold ``burn_in`` ticks early and drops them, so all
+    chunks run at once. ``filter_series`` is the exact mode."""
+    seg = F.floor(F.col("t") / batch).cast("long")
+    early = F.when((F.col("t") % batch) >= batch - burn_in, F.array(seg, seg + 1)).otherwise(F.array(seg))
+    d = obs.select("series_id", F.col("t").alias("_t"), "y", F.explode(early).alias("seg"))
+    first = F.greatest(F.col("seg") * batch - burn_in, F.lit(0))
+    d = d.withColumn("t", F.col("_t") - first)
+    d = d.withColumn("series_id", F.concat_ws("#", "series_id", "seg"))
+    est = filter_series(d.select("series_id", "t", "y"), configs, seed, bound=batch + burn_in)
+    seg_of = F.substring_index("series_id", "#", -1).cast("long")
+    est = est.withColumn("_seg", seg_of).withColumn("t", F.col("t") + F.greatest(F.col("_seg") * batch - burn_in, F.lit(0)))
+    return (est.filter(F.col("t") >= F.col("_seg") * batch).drop("_seg")
+            .withColumn("series_id", F.substring_index("series_id", "#", 1)))

@@ -1,0 +1,55 @@
+"""Counter-based draws inside tasks: a value depends only on (key, tick, stage, iteration, role, particle), never on
+the partitioning, the retry or the number of earlier draws. The key leaves the configuration out, so every
+configuration of a series sees the same draws."""
+
+from __future__ import annotations
+
+import numpy as np
+
+_G1, _G2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
+_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+# role numbers
+INIT, STATE, JUMP, LANGEVIN, REJ_U, REJ_Z, SLOW, P_MU, P_RHO, P_SIGMA, CHI = range(11)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _M1
+    x = (x ^ (x >> np.uint64(27))) * _M2
+    return x ^ (x >> np.uint64(31))
+
+
+class Noise:
+    """Draws for a batch of rows. ``mode``: 'hash', 'zero' (normals 0, uniforms 1/2) or 'antithetic' pairs."""
+
+    def __init__(self, keys: np.ndarray, n: int, mode: str = "hash"):
+        self.keys, self.n, self.mode = keys.astype(np.int64).view(np.uint64), n, mode
+        self._i = np.arange(n, dtype=np.uint64) * _G2
+
+    def uniform(self, rows, t: int, role: int, stage: int = 0, it: int = 0, sub: int = 0) -> np.ndarray:
+        k = self.keys[rows]
+        if self.mode == "zero":
+            return np.full((len(k), self.n), 0.5)
+        ctr = np.uint64(((((t * 64 + stage) * 64 + it) * 16 + role) * 64 + sub) & 0xFFFFFFFFFFFFFFFF)
+        with np.errstate(over="ignore"):
+            base = _mix(k[:, None] + _mix(np.array([ctr]) * _G1 + _G1))
+            x = _mix(base ^ self._i)
+        return ((x >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
+
+    def normal(self, rows, t: int, role: int, stage: int = 0, it: int = 0, sub: int = 0) -> np.ndarray:
+        if self.mode == "zero":
+            return np.zeros((len(self.keys[rows]), self.n))
+        u, v = (self.uniform(rows, t, role, stage, it, 2 * sub + j) for j in (0, 1))
+        z = np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * v)
+        if self.mode == "antithetic" and role == STATE:
+            half = self.n // 2
+            z = np.concatenate([z[:, :half], -z[:, : self.n - half]], 1)
+        return z
+
+    def student(self, rows, t: int, nu: float) -> np.ndarray:
+        z = self.normal(rows, t, STATE)
+        if nu > 30 or self.mode == "zero":
+            return z
+        k = max(int(nu + 0.5), 3)
+        chi = sum(self.normal(rows, t, CHI, sub=j) ** 2 for j in range(k))
+        return z * np.sqrt(k / (chi + 1e-8))

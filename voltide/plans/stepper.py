@@ -1,0 +1,500 @@
+"""One tick of the three filters, on a batch of rows at once: arrays have shape (rows, particles).
+
+This is the small sequential core that runs inside tasks; Spark partitions series x configuration x replicate and
+time chunks around it (``filter``), and the same code serves the streaming operator. The per-particle formulas are
+those of ``operators.particles``; the tests compare the two tick by tick.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+from voltide.functions.config import H_MAX, H_MIN, OBS_VAR, FilterConfig, implied_offset, log_norm
+from voltide.plans import noise as nz
+from voltide.plans.noise import Noise
+
+OUT = ["loglik_predictive", "loglik_filtered", "vol", "vol_std", "h_mean", "h_smoothed", "bandwidth", "ksd", "stein_steps",
+       "mu_state", "guide_mean", "guide_var", "ess", "nu_grad", "z_sq", "sigma_grad", "eps_sq_norm", "fast_mean", "slow_mean",
+       "mu_mean", "rho_mean", "sigma_mean", "mu_std", "rho_std", "sigma_std", "std_rho_tilde", "std_sigma_tilde"]
+RING = 8
+SHAPES = {  # per-particle arrays and scalars carried between ticks
+    "one_factor": (["h", "h_prev", "v"], ["h_bar", "g_mean", "g_var", "g_on", "ema", "bw_sq", "vol_prev", "ksd_prev", "mu", "mu_var", "y_prev"]),
+    "two_factor": (["f", "s", "vf", "vs"], ["f_bar", "s_bar", "g_f", "g_s", "p_f", "p_s", "g_on", "y_prev"]),
+    "joint": (["h", "h_prev", "mu_t", "rho_t", "sigma_t"], ["y_prev"]),
+}
+
+
+def clip_h(x):
+    return np.clip(x, H_MIN, H_MAX)
+
+
+def digamma(x):
+    x = np.array(x, float)
+    out = np.zeros_like(x)
+    for _ in range(6):
+        low = x < 6
+        out -= np.where(low, 1 / x, 0)
+        x = x + low
+    i2 = 1 / (x * x)
+    return out + np.log(x) - 0.5 / x - i2 / 12 + i2 * i2 / 120
+
+
+def params(rho, sigma_z, mu, gamma, nu) -> dict[str, np.ndarray]:
+    """Per-row parameters as column vectors, with the constants that depend on nu."""
+    p = {k: np.asarray(v, float)[:, None] for k, v in dict(rho=rho, sigma=sigma_z, mu=mu, gamma=gamma, nu=nu).items()}
+    nus = p["nu"][:, 0]
+    p["norm"] = np.array([log_norm(x) for x in nus])[:, None]
+    p["offset"] = np.array([implied_offset(x) for x in nus])[:, None]
+    return p
+
+
+def rows_of(d: dict[str, np.ndarray], r) -> dict[str, np.ndarray]:
+    return {k: v[r] for k, v in d.items()}
+
+
+# --- state ---------------------------------------------------------------------------------------------------------
+
+def start(cfg: FilterConfig, p: dict, rng: Noise) -> dict[str, np.ndarray]:
+    rows = slice(None)
+    n_rows, n = len(p["rho"]), cfg.n_particles
+    arrays, scalars = SHAPES[cfg.model]
+    st = {k: np.zeros((n_rows, n)) for k in arrays} | {k: np.zeros((n_rows, 1)) for k in scalars}
+    z = rng.normal(rows, -1 & 0xFFFF, nz.INIT)
+    if cfg.model == "one_factor":
+        var = p["sigma"] ** 2 / (1 - p["rho"] ** 2 + 1e-6)
+        if cfg.t_state:
+            nu = max(cfg.nu_state, 2.5)
+            var = nu / (nu - 2) * var
+        st["h"] = clip_h(p["mu"] + np.sqrt(var) * z)
+        st["h_prev"] = st["h"].copy()
+        st["h_bar"] = st["h"].mean(1, keepdims=True)
+        st["vol_prev"] += 0.05
+        st["ksd_prev"] += 1e10
+        st["mu"] += p["mu"]
+        st["mu_var"] += 1.0
+        st["ring_h"], st["ring_v"] = np.zeros((n_rows, RING)), np.ones((n_rows, RING))
+    elif cfg.model == "two_factor":
+        z2 = rng.normal(rows, -1 & 0xFFFF, nz.SLOW)
+        st["f"] = clip_h(cfg.sigma_fast / np.sqrt(1 - cfg.rho_fast**2 + 1e-8) * z)
+        st["s"] = clip_h(cfg.sigma_slow / np.sqrt(1 - cfg.rho_slow**2 + 1e-8) * z2)
+        st["f_bar"], st["s_bar"] = st["f"].mean(1, keepdims=True), st["s"].mean(1, keepdims=True)
+    else:
+        draw = lambda role: rng.normal(rows, -1 & 0xFFFF, role)
+        st["h"] = cfg.mu_prior_mean + 0.5 * z
+        st["h_prev"] = st["h"].copy()
+        for name, mean, role in (("mu_t", cfg.mu_prior_mean, nz.P_MU), ("rho_t", cfg.rho_prior_mean, nz.P_RHO),
+                                 ("sigma_t", cfg.sigma_prior_mean, nz.P_SIGMA)):
+            st[name] = mean + 0.2 * draw(role)
+    return st
+
+
+def pack(st: dict[str, np.ndarray], row: int) -> bytes:
+    return b"".join(np.ascontiguousarray(st[k][row], dtype="<f8").tobytes() for k in sorted(st))
+
+
+def unpack(cfg: FilterConfig, blobs: list[bytes]) -> dict[str, np.ndarray]:
+    arrays, scalars = SHAPES[cfg.model]
+    width = {k: cfg.n_particles for k in arrays} | {k: 1 for k in scalars}
+    if cfg.model == "one_factor":
+        width |= {"ring_h": RING, "ring_v": RING}
+    table = np.stack([np.frombuffer(b, "<f8") for b in blobs])
+    st, at = {}, 0
+    for k in sorted(width):
+        st[k] = table[:, at : at + width[k]].copy()
+        at += width[k]
+    return st
+
+
+# --- pair sums -----------------------------------------------------------------------------------------------------
+
+def mixture_score(h, m, sigma, cfg: FilterConfig, dtype):
+    """Score and curvature of the mixture over all prior means."""
+    c = m.mean(1, keepdims=True)
+    hc, mc, s2 = (h - c).astype(dtype), (m - c).astype(dtype), (sigma**2).astype(dtype)
+    d = hc[:, :, None] - mc[:, None, :]
+    if not cfg.t_state:
+        e = d * d
+        e *= (-0.5 / s2)[:, :, None]
+        e -= e.max(2, keepdims=True)
+        np.exp(e, out=e)
+        w = e.sum(2)
+        return -(hc * w - (e @ mc[:, :, None])[:, :, 0]) / s2 / (w + 1e-8), -1 / s2 + 0 * hc
+    nu = cfg.nu_state
+    ns, q = (nu * s2)[:, :, None], d * d
+    e = -0.5 * (nu + 1) * np.log1p(q / ns)
+    e -= e.max(2, keepdims=True)
+    np.exp(e, out=e)
+    w, den = e.sum(2) + 1e-8, ns + q
+    return -(nu + 1) * (e * d / den).sum(2) / w, -(nu + 1) * (e * (ns - q) / den**2).sum(2) / w
+
+
+def stein(h, g, curv, bw, cfg: FilterConfig, dtype, newton: bool, full: bool, want_ksd: bool, raw=None):
+    """Transport direction and, if asked, the kernel Stein discrepancy."""
+    n = h.shape[1]
+    hc = (h - h.mean(1, keepdims=True)).astype(dtype)
+    g, ib = g.astype(dtype), (1 / bw**2).astype(dtype)
+    d = hc[:, :, None] - hc[:, None, :]
+    q = d * d
+    q *= ib[:, :, None]
+    k = 1 / (1 + q)
+    k2 = k * k
+    sign = 1.0 if cfg.paper_sign or cfg.fan else -1.0
+    dot = lambda a, x: (a @ x[:, :, None])[:, :, 0]
+    k2s = k2.sum(2)
+    if newton and not full:
+        inv = (1 / curv).astype(dtype)
+        phi = (dot(k, 0.7 * g * inv) + sign * 2 * ib * (hc * dot(k2, inv) - dot(k2, hc * inv))) / n
+    else:
+        phi = (dot(k, g) + sign * 2 * ib * (hc * k2s - dot(k2, hc))) / n
+    if full:
+        np.abs(3 * q - 1, out=q)
+        q *= k2
+        hess = np.clip((dot(k, curv.astype(dtype)) + 2 * ib * q.sum(2)) / np.maximum(k.sum(2), 1e-6), 0.1, 100)
+        phi = phi / hess * 0.7
+    if not want_ksd:
+        return phi, None
+    s = g if raw is None else raw.astype(dtype)
+    base = s * dot(k, s) + 2 * ib * (s * (hc * k2s - dot(k2, hc)) - (hc * dot(k2, s) - dot(k2, hc * s)))
+    cross = 2 * ib * (4 * np.einsum("rij,rij->ri", k2, k) - 3 * k2s)
+    u = base + (-cross if cfg.ksd_compat else cross)
+    return phi, np.sqrt(np.maximum(u.sum(1, keepdims=True) / n**2, 0))
+
+
+# --- shared pieces ---------------------------------------------------------------------------------------------------
+
+def log_mean_exp(lw):
+    top = lw.max(1, keepdims=True)
+    return top + np.log(np.maximum(np.exp(lw - top).mean(1, keepdims=True), 1e-10))
+
+
+def weights(lw):
+    w = np.exp(lw - lw.max(1, keepdims=True))
+    s = w.sum(1, keepdims=True)
+    return w, s, s * s / ((w * w).sum(1, keepdims=True) + 1e-10)
+
+
+def student_lw(y, h, p):
+    a = y * y / (np.exp(np.minimum(h, 20)) + 1e-8) / p["nu"]
+    return a, p["norm"] - 0.5 * h - (p["nu"] + 1) * 0.5 * np.log1p(np.maximum(a, -0.999))
+
+
+def severity(z, threshold):
+    return np.where(z > threshold, np.minimum((z - threshold) / 3, 1.0), 0.0)
+
+
+def rms_move(h, v, phi, step, cfg: FilterConfig, z):
+    """In place on ``v``: scaled drift plus Langevin noise."""
+    v *= cfg.rmsprop_rho
+    v += (1 - cfg.rmsprop_rho) * phi * phi
+    temp = cfg.temperature if cfg.svld else 0.0
+    out = h + step * phi / np.sqrt(v + cfg.rmsprop_eps)
+    return clip_h(out + np.sqrt(2 * step * temp) * z) if temp > 1e-6 else clip_h(out)
+
+
+def nu_score(y, h, w, sw, p):
+    nu = p["nu"]
+    z2 = (y / (np.exp(h / 2) + 1e-8)) ** 2
+    a = 1 + z2 / nu
+    g = 0.5 * (digamma((nu + 1) / 2) - digamma(nu / 2) - 1 / nu - np.log(a) + (nu + 1) * z2 / (nu * nu * a))
+    return (w * g).sum(1, keepdims=True) / (sw + 1e-8), (w * z2).sum(1, keepdims=True) / (sw + 1e-8)
+
+
+# --- one factor ------------------------------------------------------------------------------------------------------
+
+def step_one_factor(st, y, t: int, cfg: FilterConfig, p, rng: Noise, rows, dtype=float) -> dict[str, np.ndarray]:
+    y = y[:, None]
+    y_prev = st["y_prev"]
+    mu = st["mu"] if cfg.adaptive_mu else p["mu"]
+    rz = np.abs(y) / np.maximum(st["vol_prev"], 1e-4)
+    sigma = p["sigma"]
+    if cfg.adaptive_sigma and t > 0:
+        sigma = sigma * (1 + (cfg.sigma_boost_max - 1) * severity(rz, cfg.sigma_threshold))
+
+    # predict
+    h0, before = st["h"], st["h_prev"]
+    z = rng.student(rows, t, cfg.nu_state) if cfg.t_state else rng.normal(rows, t, nz.STATE)
+    lev = p["gamma"] * y_prev / (np.exp(np.minimum(h0 / 2, 20)) + 1e-8)
+    if cfg.guided or cfg.mim:
+        dev = h0 - st["h_bar"]
+        up, down = (cfg.rho_up, cfg.rho_down) if cfg.asymmetric_rho else (p["rho"], p["rho"])
+        d_rho, d_sig = (cfg.delta_rho, cfg.delta_sigma) if cfg.local_params else (0.0, 0.0)
+        rho = np.clip(np.where(h0 > before, up, down) + d_rho * np.tanh(dev), 0, 0.999)
+        jump = np.where(rng.uniform(rows, t, nz.JUMP) < cfg.jump_prob, cfg.jump_scale, 1.0)
+        mean, move = mu + rho * (h0 - mu) + lev, sigma * (1 + d_sig * np.abs(dev)) * jump * z
+        if cfg.guided:
+            implied = np.maximum(np.log(y * y + 1e-10) + p["offset"], -5.0)
+            zs = (implied - mean) / 2.5
+            alpha = cfg.guided_base + (cfg.guided_shock - cfg.guided_base) * np.where(
+                zs > cfg.guided_threshold, np.tanh(zs - cfg.guided_threshold), 0.0)
+            mean = (1 - alpha) * mean + alpha * implied
+        h = clip_h(mean + move)
+    else:
+        h = clip_h(mu + p["rho"] * (h0 - mu) + lev + sigma * z)
+    h_pred, h_prev = h, h0
+    loglik_pred = log_mean_exp(student_lw(y, h_pred, p)[1])
+
+    # guide
+    if cfg.guide:
+        fresh = st["g_on"] == 0
+        gm = np.where(fresh, mu, st["g_mean"])
+        gp = np.where(fresh, p["sigma"] ** 2 / (1 - p["rho"] ** 2), st["g_var"])
+        mp, pp = mu + p["rho"] * (gm - mu), p["rho"] ** 2 * gp + p["sigma"] ** 2
+        gain = pp / (pp + OBS_VAR + 1e-8)
+        gm = mp + gain * (np.log(y * y + 1e-8) + p["offset"] - mp)
+        st["g_mean"][:], st["g_var"][:], st["g_on"][:] = gm, (1 - gain) * pp, 1
+        s = cfg.guide_strength
+        if cfg.adaptive_guide and t > 0:
+            vol = np.maximum(st["vol_prev"], 1e-4)
+            rise = np.log(y * y + 1e-8) + p["offset"] - np.log(vol * vol + 1e-8) > 0
+            s = s + (cfg.guide_strength_max - s) * np.where(rise, severity(rz, cfg.guide_threshold), 0.0)
+        h = clip_h((1 - s) * st["h_bar"] + s * gm + h - st["h_bar"]) if cfg.guide_preserving else clip_h(h + s * (gm - h))
+
+    # bandwidth
+    n = cfg.n_particles
+    raw = np.maximum(2 * h.var(1, keepdims=True) / np.log(n + 1.0), 1e-6)
+    bw_sq = np.where(st["bw_sq"] > 0, 0.3 * raw + 0.7 * st["bw_sq"], raw)
+    ay = np.abs(y)
+    ema = np.where(st["ema"] > 0, 0.05 * ay + 0.95 * st["ema"], ay)
+    big = np.maximum(ay / np.maximum(ema, 1e-8), np.minimum(0.5 * np.ptp(h, axis=1)[:, None], 2.0))
+    bw_sq = bw_sq * np.clip(1 - 0.25 * np.minimum(big - 1, 2.0), 0.5, 1.0)
+    bw = np.clip(np.sqrt(bw_sq), 0.01, 2.0)
+    st["bw_sq"][:], st["ema"][:] = bw_sq, ema
+
+    # annealed Stein moves
+    kp = st["ksd_prev"]
+    if t < 10:
+        budget = np.full(len(y), cfg.max_steps)
+    else:
+        budget = cfg.min_steps + (np.clip((kp[:, 0] - 0.05) / 0.45, 0, 1) * (cfg.max_steps - cfg.min_steps)).astype(int)
+    m = mu + p["rho"] * (h_prev - mu) + p["gamma"] * y_prev / (np.exp(h_prev / 2) + 1e-8)
+    stages = cfg.n_anneal if cfg.annealing else 1
+    base = cfg.step_size * (0.5 if cfg.guide else 1.0)
+    lw, ksd, v = np.zeros_like(h), np.zeros_like(bw), st["v"]
+    ids = np.arange(len(y))[rows] if not isinstance(rows, slice) else np.arange(rows.start or 0, (rows.start or 0) + len(y))
+    ramp = np.where(kp > 0.5, 0.3, np.where(kp < 0.05, 0.8, 0.3 + (0.5 - kp) / 0.45 * 0.5))
+
+    def score(hr, r, beta):
+        """Combined score, log-weights and curvature at hr for the rows r."""
+        pr = rows_of(p, r)
+        gp_, hp_ = mixture_score(hr, m[r], np.broadcast_to(sigma, bw.shape)[r], cfg, dtype)
+        a, logw = student_lw(y[r], hr, pr)
+        if cfg.exact_gradient:
+            gl = -0.5 + 0.5 * (pr["nu"] + 1) * a / (1 + a) - cfg.lik_offset
+        else:
+            gl = (np.log(y[r] ** 2 + 1e-10) - hr + cfg.lik_offset) / 1.4
+        g = np.clip(gp_ + (1.0 if cfg.fan else beta) * gl, -10, 10)
+        curv = np.clip(-(-0.5 * (pr["nu"] + 1) * a / (1 + a) ** 2 + hp_), 0.1, 100) if cfg.newton else None
+        return g, (np.zeros_like(logw) if cfg.fan else logw), curv
+
+    for stage in range(stages):
+        last = stage == stages - 1
+        if not cfg.annealing or (cfg.adaptive_beta and last):
+            beta = np.ones_like(kp)
+        elif cfg.adaptive_beta:
+            beta = np.clip(ramp * (0.5 + 0.5 * (stage + 1) / stages), 0.1, 1.0)
+        else:
+            beta = np.full_like(kp, (0.3, 0.65, 1.0)[stage % 3])
+        per = budget // stages
+        todo = budget - per * (stages - 1) if last else per
+        for it in range(int(todo.max(initial=0))):
+            r = np.flatnonzero(todo > it)
+            want = last and bool((todo[r] == it + 1).any())
+            hr, vr, step = h[r], v[r], base * np.sqrt(beta[r])
+            zr = rng.normal(ids[r], t, nz.LANGEVIN, stage, it) if cfg.svld else 0.0
+            g, lw[r], curv = score(hr, r, beta[r])
+            full, plain_newton = cfg.newton and cfg.full_newton, cfg.newton and not cfg.heun
+            if cfg.heun:
+                phi1, _ = stein(hr, g, curv, bw[r], cfg, dtype, False, full, False)
+                mid = clip_h(hr + step * phi1 / np.sqrt(vr + cfg.rmsprop_eps))
+                g, lw[r], curv = score(mid, r, beta[r])
+                phi2, _ = stein(mid, g, curv, bw[r], cfg, dtype, False, full, False)
+                k_now = stein(hr, g, curv, bw[r], cfg, dtype, False, False, True)[1] if want else None
+                phi = 0.5 * (phi1 + phi2)
+            else:
+                phi, k_now = stein(hr, g, curv, bw[r], cfg, dtype, plain_newton, full, want)
+            h[r] = rms_move(hr, vr, phi, step, cfg, zr)
+            v[r] = vr
+            if want:
+                done = todo[r] == it + 1
+                ksd[r[done]] = k_now[done]
+
+    # rejuvenation uses the previous discrepancy
+    if cfg.rejuvenation and cfg.guide and t > 10:
+        hit = (rng.uniform(rows, t, nz.REJ_U) < cfg.rejuv_prob) & (kp > cfg.rejuv_ksd)
+        target = st["g_mean"] + np.sqrt(np.maximum(st["g_var"], 1e-6)) * rng.normal(rows, t, nz.REJ_Z)
+        h = np.where(hit, clip_h((1 - cfg.rejuv_blend) * h + cfg.rejuv_blend * target), h)
+
+    # outputs
+    w, sw, ess = weights(lw)
+    vols = np.exp(h / 2)
+    vol, h_mean = vols.mean(1, keepdims=True), h.mean(1, keepdims=True)
+    ng, z_sq = nu_score(y, h, w, sw, p)
+    eps = (h_pred - (p["mu"] + p["rho"] * (h_prev - p["mu"]))) ** 2 / p["sigma"] ** 2
+    out = dict(loglik_predictive=loglik_pred, loglik_filtered=log_mean_exp(lw), vol=vol, vol_std=vols.std(1, keepdims=True), h_mean=h_mean,
+               bandwidth=bw, ksd=ksd, stein_steps=budget[:, None].astype(float), guide_mean=st["g_mean"], guide_var=st["g_var"], ess=ess,
+               nu_grad=ng, z_sq=z_sq, sigma_grad=(w * (eps - 1) / p["sigma"]).sum(1, keepdims=True) / (sw + 1e-8),
+               eps_sq_norm=(w * eps).sum(1, keepdims=True) / (sw + 1e-8))
+    out["h_smoothed"] = smooth(st, h_mean, bw * bw, t, cfg, p, mu) if cfg.smoothing else h_mean
+    st["h"][:], st["h_prev"][:], st["v"][:], st["h_bar"][:] = h, h_prev, v, h_mean
+    st["vol_prev"][:], st["ksd_prev"][:], st["y_prev"][:] = vol, ksd, y
+    if cfg.adaptive_mu and t > 10:
+        pp = st["mu_var"] + cfg.mu_process_var
+        gain = pp / (pp + cfg.mu_obs_scale * bw * bw + 1e-8)
+        st["mu"][:] = np.clip(st["mu"] + gain * (h_mean - st["mu"]), cfg.mu_min, cfg.mu_max)
+        st["mu_var"][:] = (1 - gain) * pp
+    out["mu_state"] = st["mu"].copy() if cfg.adaptive_mu else p["mu"]
+    return out
+
+
+def smooth(st, h_mean, var, t, cfg: FilterConfig, p, mu):
+    """Fixed-lag correction; ring column 0 is the newest entry."""
+    k = max(1, min(cfg.smooth_lag, RING))
+    for name, new in (("ring_h", h_mean), ("ring_v", var)):
+        st[name][:] = np.concatenate([new, st[name][:, :-1]], 1)
+    if t < k:
+        return h_mean
+    rh, rv, rho = st["ring_h"], st["ring_v"], p["rho"][:, 0]
+    mu, s2 = np.broadcast_to(mu, h_mean.shape)[:, 0], p["sigma"][:, 0] ** 2
+    for j in range(1, k):
+        gain = rho * rv[:, j] / (rho**2 * rv[:, j] + s2 + 1e-8)
+        rh[:, j] += gain * (rh[:, j - 1] - (mu + rho * (rh[:, j] - mu)))
+        rv[:, j] *= 1 - gain * rho
+    lag = min(cfg.smooth_output_lag, k - 1)
+    return rh[:, lag : lag + 1].copy() if lag > 0 else h_mean
+
+
+# --- two factors -------------------------------------------------------------------------------------------------------
+
+def step_two_factor(st, y, t: int, cfg: FilterConfig, p, rng: Noise, rows, dtype=float) -> dict[str, np.ndarray]:
+    y, mu = y[:, None], p["mu"]
+    f0, s0 = st["f"].copy(), st["s"].copy()
+    zf = rng.normal(rows, t, nz.STATE)
+    if cfg.mim:
+        zf = zf * np.where(rng.uniform(rows, t, nz.JUMP) < cfg.jump_prob, cfg.jump_scale, 1.0)
+    f, s = cfg.rho_fast * f0 + cfg.sigma_fast * zf, cfg.rho_slow * s0 + cfg.sigma_slow * rng.normal(rows, t, nz.SLOW)
+    if cfg.two_factor_guided:
+        implied = np.log(y * y + 1e-8) + p["offset"]
+        miss, thr = np.abs(implied - (mu + f0 + s0)), cfg.guided_threshold
+        alpha = np.where(miss > thr, np.minimum(cfg.guided_base + cfg.guided_shock * (miss - thr) / thr, 0.8), cfg.guided_base)
+        f = (1 - alpha) * f + alpha * (implied - mu - s)
+    f, s = clip_h(f), clip_h(s)
+
+    def log_w(f, s):
+        hh = mu + f + s
+        ratio = y * y / (p["nu"] * np.exp(hh) + 1e-8)
+        return hh, ratio, p["norm"] - 0.5 * hh - 0.5 * (p["nu"] + 1) * np.log(1 + ratio)
+
+    loglik_pred = log_mean_exp(log_w(f, s)[2])
+    if cfg.guide:
+        fresh = st["g_on"] == 0
+        pf = np.where(fresh, cfg.sigma_fast**2 / (1 - cfg.rho_fast**2), st["p_f"])
+        ps = np.where(fresh, cfg.sigma_slow**2 / (1 - cfg.rho_slow**2), st["p_s"])
+        mf, ms = cfg.rho_fast * st["g_f"], cfg.rho_slow * st["g_s"]
+        pf, ps = cfg.rho_fast**2 * pf + cfg.sigma_fast**2, cfg.rho_slow**2 * ps + cfg.sigma_slow**2
+        tot = pf + ps + OBS_VAR + 1e-8
+        innov = np.log(y * y + 1e-8) + p["offset"] - (mu + mf + ms)
+        st["g_f"][:], st["g_s"][:] = mf + pf / tot * innov, ms + ps / tot * innov
+        st["p_f"][:], st["p_s"][:] = np.maximum((1 - pf / tot) * pf, 1e-6), np.maximum((1 - ps / tot) * ps, 1e-6)
+        st["g_on"][:] = 1
+        gs = cfg.guide_strength
+        if cfg.guide_preserving:
+            f, s = clip_h((1 - gs) * st["f_bar"] + gs * st["g_f"] + f - st["f_bar"]), clip_h((1 - gs) * st["s_bar"] + gs * st["g_s"] + s - st["s_bar"])
+        else:
+            f, s = clip_h((1 - gs) * f + gs * st["g_f"]), clip_h((1 - gs) * s + gs * st["g_s"])
+    n = cfg.n_particles
+    silver = lambda x, lo: np.maximum(1.06 * np.sqrt(np.maximum(x.var(1, keepdims=True), 1e-8)) * n**-0.2, lo)
+    bf, bs = silver(f, cfg.bw_floor_fast), silver(s, cfg.bw_floor_slow)
+    vf2, vs2 = cfg.sigma_fast**2 + 1e-8, cfg.sigma_slow**2 + 1e-8
+    wf = vf2 / (vf2 + vs2)
+    stages = cfg.n_anneal if cfg.annealing else 1
+    for stage in range(stages):
+        beta = (stage + 1) / stages
+        step = 0.5 / cfg.n_stein_steps * beta
+        for it in range(cfg.n_stein_steps):
+            hh, ratio, lw = log_w(f, s)
+            if cfg.exact_gradient:
+                gl = -0.5 + 0.5 * (p["nu"] + 1) * ratio / (1 + ratio + 1e-8)
+            else:
+                gl = 0.5 * (np.log(y * y + 1e-8) - hh)
+            gf = -(f - cfg.rho_fast * f0) / vf2 + beta * wf * gl
+            gs_ = -(s - cfg.rho_slow * s0) / vs2 + beta * (1 - wf) * gl
+            for x, g, v, b, role in ((f, gf, "vf", bf, nz.LANGEVIN), (s, gs_, "vs", bs, nz.REJ_Z)):
+                phi, _ = stein(x, g, None, b, cfg, dtype, False, False, False)
+                z = rng.normal(rows, t, role, stage, it) if cfg.svld else 0.0
+                x[:] = rms_move(x, st[v], phi, step, cfg, z)
+    w, sw, ess = weights(lw)
+    h = mu + f + s
+    vols = np.exp(h / 2)
+    st["f"][:], st["s"][:] = f, s
+    st["f_bar"][:], st["s_bar"][:], st["y_prev"][:] = f.mean(1, keepdims=True), s.mean(1, keepdims=True), y
+    ng, z_sq = nu_score(y, h, w, sw, p)
+    hm = h.mean(1, keepdims=True)
+    return dict(loglik_predictive=loglik_pred, loglik_filtered=log_mean_exp(lw), vol=vols.mean(1, keepdims=True), vol_std=vols.std(1, keepdims=True),
+                h_mean=hm, h_smoothed=hm, bandwidth=bf, stein_steps=np.full_like(hm, stages * cfg.n_stein_steps), mu_state=mu, ess=ess,
+                guide_mean=mu + st["g_f"] + st["g_s"], nu_grad=ng, z_sq=z_sq, fast_mean=st["f_bar"].copy(), slow_mean=st["s_bar"].copy())
+
+
+# --- joint state and parameters ------------------------------------------------------------------------------------------
+
+def sigmoid(x):
+    return 1 / (1 + np.exp(-x))
+
+
+def step_joint(st, y, t: int, cfg: FilterConfig, p, rng: Noise, rows, dtype=float) -> dict[str, np.ndarray]:
+    y = y[:, None]
+    n, hp = cfg.n_particles, st["h"].copy()
+    limits = {"h": (H_MIN, H_MAX), "mu_t": (-10, 5), "rho_t": (-5, 5), "sigma_t": (-5, 2)}
+    x = {}
+    for k, d, role in (("mu_t", cfg.diffusion_mu, nz.P_MU), ("rho_t", cfg.diffusion_rho, nz.P_RHO), ("sigma_t", cfg.diffusion_sigma, nz.P_SIGMA)):
+        x[k] = np.clip(st[k] + d * rng.normal(rows, t, role), *limits[k])
+    natural = lambda: (sigmoid(x["rho_t"]), np.maximum(np.exp(np.clip(x["sigma_t"], -20, 20)), 0.01))
+    rho, sig = natural()
+    x["h"] = clip_h(x["mu_t"] + rho * (hp - x["mu_t"]) + sig * rng.normal(rows, t, nz.STATE))
+    loglik_pred = log_mean_exp(student_lw(y, x["h"], p)[1])
+    names = ("h", "mu_t", "rho_t", "sigma_t")
+    ib = {k: 1 / (np.clip(np.sqrt(np.maximum(2 * x[k].var(1, keepdims=True) / np.log(n + 1.0), 1e-6)), 0.01, 2.0) ** 2 + 1e-8) for k in names}
+    z2 = y * y / (np.exp(np.clip(hp, -20, 20)) + 1e-8)
+    panic = z2 > 9
+    boost = {"h": np.where(panic, 5.0, 1.0), "mu_t": np.where(panic, 2.0, 1.0), "rho_t": 1.0, "sigma_t": np.where(panic, 4.0, 1.0)}
+    size = {"h": cfg.step_h, "mu_t": cfg.step_mu, "rho_t": cfg.step_rho, "sigma_t": cfg.step_sigma}
+    wt = np.where(panic, 0.3, 1.0)
+    force = np.where(panic, np.minimum((z2 - 9) * 0.5, 5.0), np.where(z2 < 1.5, -(1.5 - z2), 0.0))
+    pull = lambda v, m, s2: -cfg.prior_weight * (v - m) / s2
+    for _ in range(cfg.n_stein_steps):
+        h, mu = x["h"], x["mu_t"]
+        rho, sig = natural()
+        lw = student_lw(y, h, p)[1]
+        mv = np.maximum(sig * sig * (1 + 0.3 * np.minimum(np.maximum(z2 - 4, 0), 20)), 0.0009)
+        mv = np.where(panic, np.maximum(mv, 1.0), mv)
+        diff = h - (mu + rho * (hp - mu))
+        push = wt * diff / mv
+        g = {
+            "h": np.clip((np.log(y * y + 1e-10) - h + cfg.lik_offset) / 1.4 - push, -10, 10),
+            "mu_t": np.clip(push * (1 - rho) + pull(mu, cfg.mu_prior_mean, cfg.mu_prior_var), -5, 5),
+            "rho_t": np.clip(push * (hp - mu) * rho * (1 - rho) + pull(x["rho_t"], cfg.rho_prior_mean, cfg.rho_prior_var), -5, 5),
+            "sigma_t": np.maximum(-5.0, np.minimum(np.where(panic, 10.0, 5.0), diff**2 / sig**2 - 1 + force - 0.2 * (x["sigma_t"] - cfg.sigma_prior_mean)
+                                                   + pull(x["sigma_t"], cfg.sigma_prior_mean, cfg.sigma_prior_var))),
+        }
+        c = {k: (x[k] - x[k].mean(1, keepdims=True)).astype(dtype) for k in names}
+        q = sum((c[k][:, None, :] - c[k][:, :, None]) ** 2 * ib[k].astype(dtype)[:, :, None] for k in names)
+        k1 = 1 / (1 + q)
+        k2, norm = k1 * k1, np.clip(k1.sum(2), 32.0, max(n, 32.0))
+        k2s = k2.sum(2)
+        for k in names:
+            phi = ((k1 @ g[k].astype(dtype)[:, :, None])[:, :, 0] - 2 * ib[k] * ((k2 @ c[k][:, :, None])[:, :, 0] - c[k] * k2s)) / norm
+            x[k] = np.clip(x[k] + size[k] * boost[k] * phi, *limits[k])
+    w, sw, ess = weights(lw)
+    rho, sig = sigmoid(x["rho_t"]), np.exp(x["sigma_t"])
+    for k in names:
+        st[k][:] = x[k]
+    st["h_prev"][:], st["y_prev"][:] = hp, y
+    mean, sd = (lambda v: v.mean(1, keepdims=True)), (lambda v: v.std(1, keepdims=True))
+    hm = mean(x["h"])
+    ng, z_sq = nu_score(y, x["h"], w, sw, p)
+    return dict(loglik_predictive=loglik_pred, loglik_filtered=lw.max(1, keepdims=True) + np.log(mean(w)), vol=np.exp(hm / 2), vol_std=sd(np.exp(x["h"] / 2)),
+                h_mean=hm, h_smoothed=hm, bandwidth=1 / np.sqrt(ib["h"]), stein_steps=np.full_like(hm, cfg.n_stein_steps), mu_state=mean(x["mu_t"]), ess=ess,
+                nu_grad=ng, z_sq=z_sq, mu_mean=mean(x["mu_t"]), rho_mean=mean(rho), sigma_mean=mean(sig), mu_std=sd(x["mu_t"]), rho_std=sd(rho),
+                sigma_std=sd(sig), std_rho_tilde=sd(x["rho_t"]), std_sigma_tilde=sd(x["sigma_t"]))
+
+
+STEPS = {"one_factor": step_one_factor, "two_factor": step_two_factor, "joint": step_joint}
