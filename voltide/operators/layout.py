@@ -29,7 +29,7 @@ def rank_rows(
     """Dense 0-based position of each row in its key group by ``order`` (must be unique per key).
 
     Large groups: range partitioning by (key, order) splits them over tasks, the position inside a partition is a
-    bounded window, and the per-partition counts give the offsets. The partition id is frozen by a checkpoint.
+    bounded window, and the per-partition counts give the offsets. The partition id is frozen by writing the rows out.
     """
     bound = group_bound(df, keys) if bound is None else bound
     if bound <= limit:

@@ -153,12 +153,12 @@ def _median_rule(d: Column, n: Column) -> Column:
     return lim(lim(d) / F.log(n + 1.0))
 
 
-def bandwidth_median(p: DataFrame, keys: list[str], h: str = "h", q: float = 0.75, rounds: int = 64,
+def bandwidth_median(p: DataFrame, keys: list[str], h: str = "h", q: float = 0.75, rounds: int = 11,
                      bound: int | None = None, block: int = tiles.BLOCK) -> DataFrame:
     """Distance at sorted position int(q n^2) of all ordered pairs (self-pairs included), then the ln(n+1) rule.
 
-    A set that fits one block sorts its distances in its task. Larger sets bisect on the distance: every round counts
-    pairs within a cut by block pairs, so no pair is ever stored.
+    A set that fits one block sorts its distances in its task. Larger sets narrow the distance down: every round counts
+    the pairs within 31 cuts by block pairs and keeps the 32nd part that holds the position, so no pair is ever stored.
     """
     bound = group_bound(p, keys) if bound is None else bound
     n = F.count(F.lit(1)).cast("double")
@@ -179,18 +179,18 @@ def bandwidth_median(p: DataFrame, keys: list[str], h: str = "h", q: float = 0.7
         return d.groupBy(*keys).agg(_median_rule(F.max("dist"), n).alias("bandwidth"))
     from voltide.session import cut_lineage
 
-    state = p.groupBy(*keys).agg((F.max(h) - F.min(h)).alias("_hi"), n.alias("_n"), F.lit(0.0).alias("_lo"))
+    state = p.groupBy(*keys).agg(F.lit(0.0).alias("lo"), (F.max(h) - F.min(h)).alias("hi"), n.alias("_n"))
+    p = p.select(*keys, "i", F.col(h).alias("h"))
     for _ in range(rounds):
-        cuts = state.withColumn("cut", (F.col("_lo") + F.col("_hi")) / 2)
-        counts = tiles.pairwise(p.withColumn("h", F.col(h)).join(cuts, keys), keys, ["h"], ["h"], ["cut"],
-                                tiles.within_counts, ["pairs"], bound=bound, block=block)
-        total = counts.groupBy(*keys).agg(F.sum("pairs").alias("_pairs"))
+        counts = tiles.pairwise(p.join(state, keys), keys, ["h"], ["h"], ["lo", "hi"], tiles.within_counts, tiles.CUT_FIELDS,
+                                bound=bound, block=block)
+        total = counts.groupBy(*keys).agg(*[F.sum(f).alias(f) for f in tiles.CUT_FIELDS])
         need = F.floor(F.lit(q) * F.col("_n") * F.col("_n")) + 1
-        enough = F.col("_pairs") >= need
-        state = cut_lineage(cuts.join(total, keys).select(
-            *keys, "_n", F.when(enough, F.col("_lo")).otherwise(F.col("cut")).alias("_lo"),
-            F.when(enough, F.col("cut")).otherwise(F.col("_hi")).alias("_hi")))
-    return state.select(*keys, _median_rule(F.col("_hi"), F.col("_n")).alias("bandwidth"))
+        below = sum((F.when(F.col(f) < need, 1).otherwise(0) for f in tiles.CUT_FIELDS), F.lit(0))
+        width = (F.col("hi") - F.col("lo")) / tiles.CUTS
+        state = cut_lineage(state.join(total, keys).withColumn("_j", below).select(
+            *keys, (F.col("lo") + width * F.col("_j")).alias("lo"), (F.col("lo") + width * (F.col("_j") + 1)).alias("hi"), "_n"))
+    return state.select(*keys, _median_rule(F.col("hi"), F.col("_n")).alias("bandwidth"))
 
 
 # --- scores --------------------------------------------------------------------------------------------------------

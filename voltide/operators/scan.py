@@ -101,17 +101,17 @@ def prefix_maps(
     payload = [c for c in df.columns if c not in keys]
     arrays = (
         df.select(*keys, F.floor(F.col(t) / piece).cast("long").alias("_p"),
-                  F.struct(F.col(t).alias("_t"), family.pack(maps).alias("_f"), *payload).alias("_x"))
+                  F.struct(F.col(t).alias("_tick"), family.pack(maps).alias("_map"), *payload).alias("_x"))
         .groupBy(*keys, "_p").agg(F.sort_array(F.collect_list("_x")).alias("_xs"))
     )
 
     def push(acc: Column, x: Column) -> Column:
-        return F.array_append(acc, family.pack(family.then(F.element_at(acc, -1), x["_f"])))
+        return F.array_append(acc, family.pack(family.then(F.element_at(acc, -1), x["_map"])))
 
     arrays = arrays.withColumn("_fs", F.aggregate("_xs", F.array(family.unit()), push))
     if bound > piece:
-        totals = arrays.select(*keys, "_p", F.element_at("_fs", -1).alias("_f"))
-        carried = prefix_maps(totals, keys, family, [F.col(f"_f.{n}") for n in family.fields], "_p", "_c",
+        totals = arrays.select(*keys, "_p", F.element_at("_fs", -1).alias("_total"))
+        carried = prefix_maps(totals, keys, family, [F.col(f"_total.{n}") for n in family.fields], "_p", "_c",
                               -(-bound // piece), piece)
         carried = carried.select(*keys, (F.col("_p") + 1).alias("_p"), "_c")
         arrays = arrays.join(carried, [*keys, "_p"], "left")
@@ -146,7 +146,7 @@ def state_scan(
     payload = [c for c in df.columns if c not in keys]
     arrays = (
         df.select(*keys, F.floor(F.col(t) / piece).cast("long").alias("_p"),
-                  F.struct(F.col(t).alias("_t"), *payload).alias("_x"))
+                  F.struct(F.col(t).alias("_tick"), *payload).alias("_x"))
         .groupBy(*keys, "_p").agg(F.sort_array(F.collect_list("_x")).alias("_xs"))
     )
     begin: Column = F.lit(start)

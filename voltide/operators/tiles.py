@@ -136,12 +136,18 @@ def near_counts(a, b, p, same):
     return {"near": (d < p["bw"]).sum(1).astype(float) - (float(0 < p["bw"]) if same else 0.0)}
 
 
+CUTS = 32
+CUT_FIELDS = [f"n{j}" for j in range(1, CUTS)]
+
+
 def within_counts(a, b, p, same):
-    """Pairs at distance at most ``cut``, by binary search in the sorted block."""
+    """Pairs within each of the CUTS-1 inner cuts of [lo, hi], by binary search in the sorted block."""
     x = np.sort(b["h"])
-    lo = np.searchsorted(x, a["h"] - p["cut"], "left")
-    hi = np.searchsorted(x, a["h"] + p["cut"], "right")
-    return {"pairs": (hi - lo).astype(float)}
+    out = {}
+    for j, f in enumerate(CUT_FIELDS, 1):
+        cut = p["lo"] + (p["hi"] - p["lo"]) * j / CUTS
+        out[f] = (np.searchsorted(x, a["h"] + cut, "right") - np.searchsorted(x, a["h"] - cut, "left")).astype(float)
+    return out
 
 
 def joint_sums(a, b, p, same):

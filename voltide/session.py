@@ -41,9 +41,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives executor loss and freezes partition ids."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write the rows to a table of the shared folder and go on from there. Each row is computed once, later steps
+    read only the columns they need, and a lost executor costs nothing that was written."""
+    spark = df.sparkSession
+    path = scratch_table(spark, "step")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def scratch_table(spark: SparkSession, label: str) -> str:
