@@ -211,7 +211,7 @@ def step_one_factor(st, y, t: int, cfg: FilterConfig, p, rng: Noise, rows, dtype
         sigma = sigma * (1 + (cfg.sigma_boost_max - 1) * severity(rz, cfg.sigma_threshold))
 
     # predict
-    h0, before = st["h"], st["h_prev"]
+    h0, before = st["h"].copy(), st["h_prev"]
     z = rng.student(rows, t, cfg.nu_state) if cfg.t_state else rng.normal(rows, t, nz.STATE)
     lev = p["gamma"] * y_prev / (np.exp(np.minimum(h0 / 2, 20)) + 1e-8)
     if cfg.guided or cfg.mim:
