@@ -10,6 +10,7 @@ from voltide.catalog.returns import OFF5, _r
 from voltide.functions import columns as fn
 from voltide.functions.config import FilterConfig, implied_offset
 from voltide.operators import folds, prep
+from voltide.operators.layout import join_back
 
 # Kalman guide with every series' own level as mu
 EKF_SQL = f"""
@@ -30,7 +31,7 @@ rec AS (
 def guided(spark, sf):
     o, bound = obs(spark, sf)
     level = o.groupBy("series_id").agg((2 * F.log(F.stddev_pop("y") + 1e-8)).alias("mu"))
-    d = o.select("series_id", "t", "y").join(level, "series_id")
+    d = join_back(o.select("series_id", "t", "y"), level, ["series_id"], "t")
     d = d.withColumn("rho", F.lit(0.95)).withColumn("sigma_z", F.lit(0.3)).withColumn("offset", F.lit(implied_offset(5.0)))
     return folds.ekf_logvol(d, bound=bound), bound
 
@@ -146,7 +147,7 @@ SELECT series_id, t, {_r('s', 'surprise_ema')}, {_r('z', 'z_sq_ema')}, {_r('rv',
 def ema_given_seed(spark, sf):
     o, bound = obs(spark, sf)
     first = o.groupBy("series_id").agg(F.abs(F.min_by("y", "t")).alias("y0"))
-    d = o.select("series_id", "t", "y").join(first, "series_id")
+    d = join_back(o.select("series_id", "t", "y"), first, ["series_id"], "t")
     for value, alpha, out, seed in ((F.abs("y"), 0.3, "surprise_ema", 0.0), (F.col("y") * F.col("y"), 0.1, "z_sq_ema", 1.0),
                                     (F.abs("y"), 0.1, "realised_vol", "y0")):
         d = folds.ema(d, value, alpha, out, seed, bound=bound)

@@ -124,6 +124,20 @@ def running_min(df: DataFrame, keys: list[str], col: str, out: str, t: str, stri
     return d.join(carry, [*keys, "_p"]).withColumn(out, F.least(F.min(col).over(w), F.col("_m"))).drop("_p", "_m")
 
 
+SALT = 32
+
+
+def join_back(df: DataFrame, per_key: DataFrame, keys: list[str], by: str, salt: int = SALT) -> DataFrame:
+    """Inner join of a per-key table (one row per key) to its rows, with a hot key spread over ``salt`` tasks.
+
+    The few per-key rows are repeated once per salt value and the large side picks a salt from column ``by``. At run
+    time Spark may still turn this into a broadcast, by the measured size of the per-key side.
+    """
+    big = df.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salt)).cast("int"))
+    few = per_key.select("*", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_salt"))
+    return big.join(few, [*keys, "_salt"]).drop("_salt")
+
+
 def order_stats(
     df: DataFrame,
     keys: list[str],
@@ -141,7 +155,7 @@ def order_stats(
     sizes = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
     n = F.col("_size")
     aggs = [F.max(F.when(F.col("_rank") == idx(n), F.col(value))).alias(name) for name, idx in picks.items()]
-    return ranked.join(sizes, keys).groupBy(*keys).agg(*aggs)
+    return join_back(ranked, sizes, keys, "_rank").groupBy(*keys).agg(*aggs)
 
 
 def index_at(q: float) -> Callable[[Column], Column]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltide.functions import columns as fn
@@ -27,22 +27,56 @@ def particle_outputs(p: DataFrame, keys: list[str], h: str = "h") -> DataFrame:
     return p.groupBy(*keys).agg(F.avg(v).alias("vol"), F.stddev_pop(v).alias("vol_std"), F.avg(h).alias("h_mean"))
 
 
-def _shifted(p: DataFrame, keys: list[str], lw: str) -> DataFrame:
-    """exp(log_w - max log_w) per set; the maxima are a partial aggregate joined back on the set key."""
-    ok = F.col(lw).isNotNull() & ~F.isnan(lw) & (F.abs(F.col(lw)) < float("inf"))
-    top = p.groupBy(*keys).agg(F.max(F.when(ok, F.col(lw))).alias("_top"))
-    return p.join(top, keys).withColumn("_w", F.exp(F.col(lw) - F.col("_top")))
+WEIGHT_BAND = 64.0
+
+
+def weighted(p: DataFrame, keys: list[str], lw: str, sums: dict[str, tuple[Column, int]], plain: dict[str, Column] | None = None) -> DataFrame:
+    """Per set: ``top`` = max log-weight, ``n`` rows, sums of x * exp(power * (log_w - top)) for every (x, power) in
+    ``sums``, and the aggregates in ``plain`` (name -> expression combined by sum, or min/max by name suffix).
+
+    Rows are first summed per band of 64 log units, relative to the band's own base. That needs no joined maximum, so
+    the work is one partial aggregate before the shuffle whatever the size of a set; the few bands are then rescaled.
+    Rows with a non-finite log-weight carry no weight but count in ``n`` and in ``plain``.
+    """
+    plain = plain or {}
+    x = F.col(lw)
+    ok = x.isNotNull() & ~F.isnan(lw) & (F.abs(x) < float("inf"))
+    d = p.withColumn("_b", F.when(ok, F.floor(x / WEIGHT_BAND).cast("double")))
+    base = F.when(ok, x - WEIGHT_BAND * F.col("_b"))
+    bands = d.groupBy(*keys, "_b").agg(
+        F.max(F.when(ok, x)).alias("_t"), F.count(F.lit(1)).alias("_n"),
+        *[F.sum(v * F.exp(power * base)).alias(f"_s_{k}") for k, (v, power) in sums.items()],
+        *[_fold(k)(v).alias(f"_p_{k}") for k, v in plain.items()])
+    top_band = F.max("_b").over(Window.partitionBy(*keys))
+    bands = bands.withColumn("_d", WEIGHT_BAND * (F.col("_b") - top_band)).withColumn("_B", top_band)
+    g = bands.groupBy(*keys).agg(
+        F.max("_t").alias("top"), F.sum("_n").alias("n"), F.max("_B").alias("_B"),
+        *[F.sum(F.col(f"_s_{k}") * F.exp(power * F.col("_d"))).alias(f"_s_{k}") for k, (_, power) in sums.items()],
+        *[_fold(k)(F.col(f"_p_{k}")).alias(k) for k in plain])
+    back = WEIGHT_BAND * F.col("_B") - F.col("top")
+    return g.select(*keys, "top", "n", *plain, *[(F.col(f"_s_{k}") * F.exp(power * back)).alias(k) for k, (_, power) in sums.items()])
+
+
+def _fold(name: str):
+    return F.min if name.endswith("_min") else F.max if name.endswith("_max") else F.sum
+
+
+def _w(power: int = 1) -> tuple[Column, int]:
+    return F.lit(1.0), power
 
 
 def log_mean_exp(p: DataFrame, keys: list[str], lw: str = "log_w") -> DataFrame:
-    return _shifted(p, keys, lw).groupBy(*keys).agg(
-        (F.first("_top") + F.log(F.greatest(F.avg("_w"), F.lit(1e-10)))).alias("loglik"))
+    g = weighted(p, keys, lw, {"w": _w()})
+    return g.select(*keys, (F.col("top") + F.log(F.greatest(F.col("w") / F.col("n"), F.lit(1e-10)))).alias("loglik"))
+
+
+def _ess() -> Column:
+    return F.col("w") * F.col("w") / (F.col("w2") + 1e-10)
 
 
 def ess(p: DataFrame, keys: list[str], lw: str = "log_w") -> DataFrame:
-    s, s2 = F.sum("_w"), F.sum(F.col("_w") * F.col("_w"))
-    e = s * s / (s2 + 1e-10)
-    return _shifted(p, keys, lw).groupBy(*keys).agg(e.alias("ess"), (e / F.count(F.lit(1))).alias("ess_ratio"))
+    g = weighted(p, keys, lw, {"w": _w(), "w2": _w(2)})
+    return g.select(*keys, _ess().alias("ess"), (_ess() / F.col("n")).alias("ess_ratio"))
 
 
 def particle_health(p: DataFrame, keys: list[str], h: str = "h", lw: str = "log_w") -> DataFrame:
@@ -51,12 +85,10 @@ def particle_health(p: DataFrame, keys: list[str], h: str = "h", lw: str = "log_
     nan = F.isnan(hc) | F.isnan(wc)
     inf = ~nan & ((F.abs(hc) == float("inf")) | (F.abs(wc) == float("inf")))
     good = ~nan & ~inf
-    w = F.col("_w")
-    return _shifted(p, keys, lw).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(nan).alias("n_nan"), F.count_if(inf).alias("n_inf"),
-        F.min(F.when(good, hc)).alias("h_min"), F.max(F.when(good, hc)).alias("h_max"), F.avg(F.when(good, hc)).alias("h_mean"),
-        F.sum(F.when(good, w)).alias("sum_w"), F.sum(F.when(good, w * w)).alias("sum_w2"),
-    )
+    g = weighted(p, keys, lw, {"sum_w": (F.when(good, 1.0), 1), "sum_w2": (F.when(good, 1.0), 2)}, {
+        "n_nan": F.when(nan, 1).otherwise(0).cast("long"), "n_inf": F.when(inf, 1).otherwise(0).cast("long"),
+        "n_good": F.when(good, 1).otherwise(0).cast("long"), "h_min": F.when(good, hc), "h_max": F.when(good, hc), "h_sum": F.when(good, hc)})
+    return g.select(*keys, "n", "n_nan", "n_inf", "h_min", "h_max", F.try_divide("h_sum", "n_good").alias("h_mean"), "sum_w", "sum_w2")
 
 
 def health_status(health: DataFrame, ess_min: float = 0.3, vol_max: float = 10.0, vol_min: float = 1e-4) -> DataFrame:
@@ -252,31 +284,29 @@ def stein_phi(p: DataFrame, keys: list[str], mode: str = "plain", kernel: str =
               bound: int | None = None, block: int = tiles.BLOCK) -> DataFrame:
     """Transport direction ``phi`` of every particle; with the IMQ kernel also its share ``ksd_part`` of the
     discrepancy. ``compat`` flips the sign of the mixed kernel derivative (see README)."""
-    size = p.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("_n"))
     d = p.withColumn("bw", F.col(bw)).withColumn("s", F.col(grad))
     if kernel != "imq":
         fnc = {"rbf": tiles.rbf_sums, "imq_half": tiles.imq_half_sums}[kernel]
-        sums = tiles.pairwise(d, keys, ["h"], ["h", "s"], ["bw"], fnc, ["k_s", "g_sum"], bound=bound, block=block)
-        return (p.join(sums, [*keys, "i"]).join(size, keys)
-                .withColumn("phi", (F.col("k_s") + F.col("g_sum")) / F.col("_n")).drop("k_s", "g_sum", "_n"))
+        sums = tiles.pairwise(d, keys, ["h"], ["h", "s"], ["bw"], fnc, ["k_s", "g_sum", "n"], bound=bound, block=block)
+        return (p.join(sums, [*keys, "i"])
+                .withColumn("phi", (F.col("k_s") + F.col("g_sum")) / F.col("n")).drop("k_s", "g_sum", "n"))
     c = F.col(curv) if curv in p.columns else F.lit(1.0)
     d = d.withColumn("c", c).withColumn("ps", 0.7 * F.col("s") / F.col("c"))
     sums = tiles.pairwise(d, keys, ["h", "s"], ["h", "s", "c", "ps"], ["bw"], tiles.imq_sums, tiles.IMQ_FIELDS, bound=bound,
                           block=block)
     sign = 1.0 if paper_sign else -1.0
-    plain = (F.col("k_s") + sign * F.col("g_sum")) / F.col("_n")
+    plain = (F.col("k_s") + sign * F.col("g_sum")) / F.col("n")
     if mode == "plain":
         phi = plain
     elif mode == "newton":
-        phi = (F.col("k_ps") + sign * F.col("g_inv")) / F.col("_n")
+        phi = (F.col("k_ps") + sign * F.col("g_inv")) / F.col("n")
     elif mode == "full_newton":
         hess = fn.clamp(F.col("h_sum") / F.greatest(F.col("k_sum"), F.lit(1e-6)), 0.1, 100)
         phi = plain / hess * 0.7
     else:
         raise ValueError(f"unknown mode {mode!r}")
     part = F.col("u_base") + (-1.0 if compat else 1.0) * F.col("u_cross")
-    return (p.join(sums, [*keys, "i"]).join(size, keys).withColumn("phi", phi).withColumn("ksd_part", part)
-            .drop(*tiles.IMQ_FIELDS, "_n"))
+    return p.join(sums, [*keys, "i"]).withColumn("phi", phi).withColumn("ksd_part", part).drop(*tiles.IMQ_FIELDS)
 
 
 def ksd(p: DataFrame, keys: list[str], part: str = "ksd_part") -> DataFrame:
@@ -312,10 +342,9 @@ def rejuvenate(h, u, z, guide_mean, guide_var, prob=0.3, blend=0.3, gate: Column
 
 def local_density(p: DataFrame, keys: list[str], bw: str = "bandwidth", bound: int | None = None,
                   block: int = tiles.BLOCK) -> DataFrame:
-    size = p.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    s = tiles.pairwise(p.withColumn("bw", F.col(bw)), keys, ["h"], ["h"], ["bw"], tiles.near_counts, ["near"], bound=bound,
+    s = tiles.pairwise(p.withColumn("bw", F.col(bw)), keys, ["h"], ["h"], ["bw"], tiles.near_counts, ["near", "n"], bound=bound,
                        block=block)
-    return p.join(s, [*keys, "i"]).join(size, keys).withColumn("density", F.try_divide("near", F.col("_n") - 1)).drop("near", "_n")
+    return p.join(s, [*keys, "i"]).withColumn("density", F.try_divide("near", F.col("n") - 1)).drop("near", "n")
 
 
 def knn_distance(p: DataFrame, keys: list[str], k: int, bound: int | None = None) -> DataFrame:
@@ -344,25 +373,24 @@ def knn_distance(p: DataFrame, keys: list[str], k: int, bound: int | None = None
 
 def nu_gradient(p: DataFrame, keys: list[str], y: str = "y", nu: str = "nu", lw: str = "log_w") -> DataFrame:
     """Weighted mean score in nu and weighted mean squared residual."""
-    d = _shifted(p, keys, lw)
     z = F.col(y) / (F.exp(F.col("h") / 2) + 1e-8)
     z2, n = z * z, F.col(nu)
     a = 1 + z2 / n
     g = 0.5 * (fn.digamma((n + 1) * 0.5) - fn.digamma(n * 0.5) - 1 / n - F.log(a) + (n + 1) * z2 / (n * n * a))
-    inv = 1 / (F.sum("_w") + 1e-8)
-    return d.groupBy(*keys).agg((F.sum(F.col("_w") * g) * inv).alias("nu_grad"), (F.sum(F.col("_w") * z2) * inv).alias("z_sq"))
+    s = weighted(p, keys, lw, {"w": _w(), "wg": (g, 1), "wz": (z2, 1)})
+    inv = 1 / (F.col("w") + 1e-8)
+    return s.select(*keys, (F.col("wg") * inv).alias("nu_grad"), (F.col("wz") * inv).alias("z_sq"))
 
 
 def sigma_gradient(p: DataFrame, keys: list[str], rho: str = "rho", sigma: str = "sigma", mu: str = "mu", pred: str = "h_pred",
                    lw: str = "log_w") -> DataFrame:
     """Weighted mean score in sigma on predicted particles and the mean of eps^2/sigma^2."""
-    d = _shifted(p, keys, lw)
     s2 = F.col(sigma) * F.col(sigma)
     e = F.col(pred) - (F.col(mu) + F.col(rho) * (F.col("h_prev") - F.col(mu)))
     r = e * e / s2
-    inv = 1 / (F.sum("_w") + 1e-8)
-    return d.groupBy(*keys).agg((F.sum(F.col("_w") * (r - 1) / F.col(sigma)) * inv).alias("sigma_grad"),
-                                (F.sum(F.col("_w") * r) * inv).alias("eps_sq_norm"))
+    s = weighted(p, keys, lw, {"w": _w(), "wg": ((r - 1) / F.col(sigma), 1), "wr": (r, 1)})
+    inv = 1 / (F.col("w") + 1e-8)
+    return s.select(*keys, (F.col("wg") * inv).alias("sigma_grad"), (F.col("wr") * inv).alias("eps_sq_norm"))
 
 
 # --- two factors ---------------------------------------------------------------------------------------------------
@@ -411,10 +439,9 @@ def guide_two_factor(h, mean, guide, s, preserving: bool = True) -> Column:
 
 def two_factor_outputs(p: DataFrame, keys: list[str], mu: str = "mu") -> DataFrame:
     h = F.col(mu) + F.col("h_fast") + F.col("h_slow")
-    return _shifted(p, keys, "log_w").groupBy(*keys).agg(
-        F.avg("h_fast").alias("fast_mean"), F.avg("h_slow").alias("slow_mean"), F.avg(h).alias("h_mean"),
-        F.avg(F.exp(0.5 * h)).alias("vol"),
-        (F.first("_top") + F.log(F.greatest(F.avg("_w"), F.lit(1e-10)))).alias("loglik"))
+    s = weighted(p, keys, "log_w", {"w": _w()}, {"_f": F.col("h_fast"), "_sl": F.col("h_slow"), "_h": h, "_v": F.exp(0.5 * h)})
+    return s.select(*keys, *[(F.col(a) / F.col("n")).alias(b) for a, b in (("_f", "fast_mean"), ("_sl", "slow_mean"), ("_h", "h_mean"), ("_v", "vol"))],
+                    (F.col("top") + F.log(F.greatest(F.col("w") / F.col("n"), F.lit(1e-10)))).alias("loglik"))
 
 
 # --- joint state and parameters --------------------------------------------------------------------------------------
@@ -473,11 +500,10 @@ def joint_gradient(y, cfg, norm) -> dict[str, Column]:
 def joint_stein(p: DataFrame, keys: list[str], y: str, cfg, bound: int | None = None, block: int = tiles.BLOCK) -> DataFrame:
     """One transport step in four dimensions; bandwidths are columns bw_<dim>."""
     sums = tiles.pairwise(p, keys, list(JOINT), [*JOINT, *[f"g_{n}" for n in JOINT]], [f"bw_{n}" for n in JOINT],
-                          tiles.joint_sums, [*[f"phi_{n}" for n in JOINT], "k_sum"], bound=bound, block=block)
-    size = p.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("_n"))
-    d = p.join(sums, [*keys, "i"]).join(size, keys)
+                          tiles.joint_sums, [*[f"phi_{n}" for n in JOINT], "k_sum", "n"], bound=bound, block=block)
+    d = p.join(sums, [*keys, "i"])
     hot = F.col(y) * F.col(y) / (F.exp("h_prev") + 1e-8) > 9
-    norm = F.greatest(F.least(F.col("k_sum"), F.col("_n")), F.lit(32.0))
+    norm = F.greatest(F.least(F.col("k_sum"), F.col("n")), F.lit(32.0))
     steps = {"h": (cfg.step_h, 5.0), "mu_t": (cfg.step_mu, 2.0), "rho_t": (cfg.step_rho, 1.0), "sigma_t": (cfg.step_sigma, 4.0)}
     lims = {"h": (-15, 5), "mu_t": (-10, 5), "rho_t": (-5, 5), "sigma_t": (-5, 2)}
     new = [fn.clamp(F.col(n) + steps[n][0] * F.when(hot, steps[n][1]).otherwise(1.0) * F.col(f"phi_{n}") / norm, *lims[n]).alias(n)
@@ -488,14 +514,15 @@ def joint_stein(p: DataFrame, keys: list[str], y: str, cfg, bound: int | None =
 
 def joint_diagnostics(p: DataFrame, keys: list[str], cfg) -> DataFrame:
     """Means and spreads of state and parameters, collapse flags, effective sample size and evidence."""
-    d = _shifted(p, keys, "log_w").withColumn("_rho", fn.sigmoid("rho_t")).withColumn("_sigma", F.exp("sigma_t"))
-    s, s2 = F.sum("_w"), F.sum(F.col("_w") * F.col("_w"))
+    d = p.withColumn("_rho", fn.sigmoid("rho_t")).withColumn("_sigma", F.exp("sigma_t"))
     sd = F.stddev_pop
-    return d.groupBy(*keys).agg(
+    moments = d.groupBy(*keys).agg(
         F.avg("h").alias("h_mean"), F.exp(F.avg("h") / 2).alias("vol_mean"), F.avg("mu_t").alias("mu_mean"),
         F.avg("_rho").alias("rho_mean"), F.avg("_sigma").alias("sigma_mean"), sd("mu_t").alias("mu_std"),
         sd("_rho").alias("rho_std"), sd("_sigma").alias("sigma_std"), sd("mu_t").alias("std_mu_tilde"),
         sd("rho_t").alias("std_rho_tilde"), sd("sigma_t").alias("std_sigma_tilde"),
         (sd("mu_t") < cfg.collapse_mu).alias("mu_collapsed"), (sd("rho_t") < cfg.collapse_rho).alias("rho_collapsed"),
-        (sd("sigma_t") < cfg.collapse_sigma).alias("sigma_collapsed"), (s * s / (s2 + 1e-10)).alias("ess"),
-        (F.first("_top") + F.log(F.avg("_w"))).alias("loglik"))
+        (sd("sigma_t") < cfg.collapse_sigma).alias("sigma_collapsed"))
+    s = weighted(p, keys, "log_w", {"w": _w(), "w2": _w(2)})
+    s = s.select(*keys, _ess().alias("ess"), (F.col("top") + F.log(F.col("w") / F.col("n"))).alias("loglik"))
+    return moments.join(s, keys)

@@ -1,8 +1,10 @@
 """Sums over all pairs of a particle set without producing pair rows.
 
-A set is cut into blocks of at most ``BLOCK`` particles held as arrays. Block pairs meet in an equi-join on the set
-key, each pair of blocks is reduced inside its task to one partial sum per particle, and partial sums are merged by a
-group-by. A set that fits one block needs no join. Memory per task is one block pair for any set size.
+A set is cut into blocks of at most ``BLOCK`` particles held as arrays. Block pairs meet in an equi-join on (set key,
+salt): the left blocks of a large set are spread over the salts and its right blocks go to every salt, so one huge set
+uses many tasks. Each pair is reduced inside its task to one partial sum per particle, partial sums of the same left
+block are added up within a batch, and a group-by merges the rest. A set that fits one block needs no join. Memory per
+task is a batch of block pairs for any set size.
 """
 
 from __future__ import annotations
@@ -41,8 +43,10 @@ def pairwise(df: DataFrame, keys: list[str], left: list[str], right: list[str],
     )
     a = blocks.select(*keys, *params, "_b", F.col("_r._i").alias("_i"), *[F.col(f"_r.{c}").alias(f"a_{c}") for c in left])
     if bound > block:
-        b = blocks.select(*keys, F.col("_b").alias("_b2"), *[F.col(f"_r.{c}").alias(f"b_{c}") for c in right])
-        tiles = a.join(b, keys)
+        salts = min(-(-bound // block), 4 * n)
+        b = blocks.select(*keys, F.col("_b").alias("_b2"), *[F.col(f"_r.{c}").alias(f"b_{c}") for c in right],
+                          F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_s"))
+        tiles = a.withColumn("_s", F.pmod(F.col("_b"), F.lit(salts)).cast("int")).join(b, [*keys, "_s"])
     else:
         tiles = blocks.select(*keys, *params, "_b", F.col("_b").alias("_b2"), F.col("_r._i").alias("_i"),
                               *[F.col(f"_r.{c}").alias(f"a_{c}") for c in left],
@@ -50,14 +54,20 @@ def pairwise(df: DataFrame, keys: list[str], left: list[str], right: list[str],
 
     def reduce_tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            outs: dict[str, list[np.ndarray]] = {f: [] for f in fields}
-            for rec in pdf.to_dict("records"):
+            first: dict[tuple, int] = {}
+            sums: list[dict[str, np.ndarray]] = []
+            rows: list[int] = []
+            for at, rec in enumerate(pdf.to_dict("records")):
                 res = kernel({c: np.asarray(rec[f"a_{c}"], float) for c in left},
                              {c: np.asarray(rec[f"b_{c}"], float) for c in right},
                              {p: rec[p] for p in params}, rec["_b"] == rec["_b2"])
-                for f in fields:
-                    outs[f].append(res[f])
-            yield pdf[[*keys, "_i"]].assign(**outs)
+                slot = first.setdefault((*[rec[k] for k in keys], rec["_b"]), len(sums))
+                if slot == len(sums):
+                    sums.append(res)
+                    rows.append(at)
+                else:
+                    sums[slot] = _merge(sums[slot], res, fields, merge)
+            yield pdf.iloc[rows][[*keys, "_i"]].assign(**{f: [r[f] for r in sums] for f in fields})
 
     schema = T.StructType([tiles.schema[k] for k in keys] + [T.StructField("_i", T.ArrayType(T.LongType()))]
                           + [T.StructField(f, T.ArrayType(T.DoubleType())) for f in fields])
@@ -74,6 +84,19 @@ def pairwise(df: DataFrame, keys: list[str], left: list[str], right: list[str],
         F.max("_m").alias(fields[0]), *[F.sum(F.col(f) * w).alias(f) for f in fields[1:]])
 
 
+def _merge(x, y, fields, merge):
+    if merge == "sum":
+        return {f: x[f] + y[f] for f in fields}
+    top = np.maximum(x[fields[0]], y[fields[0]])
+    wx, wy = np.exp(x[fields[0]] - top), np.exp(y[fields[0]] - top)
+    return {fields[0]: top} | {f: x[f] * wx + y[f] * wy for f in fields[1:]}
+
+
+def _size(a, b):
+    """Particles of the right block, so that the sum over blocks is the set size."""
+    return np.full(len(a["h"]), float(len(b["h"])))
+
+
 def prior_gauss(a, b, p, same):
     """Responsibilities of all prior means for each particle: log-maximum, weight sum, weighted score."""
     d = a["h"][:, None] - b["m"][None, :]
@@ -110,30 +133,30 @@ def imq_sums(a, b, p, same):
     return {
         "k_s": ks, "g_sum": gk.sum(1), "g_inv": gk @ (1.0 / b["c"]), "k_ps": k @ b["ps"], "k_sum": k.sum(1),
         "h_sum": k @ b["c"] + (2 * ib * k2 * np.abs(3 * q - 1)).sum(1),
-        "u_base": si * ks + si * gk.sum(1) - gk @ s, "u_cross": (2 * ib * k2 * (1 - 4 * q * k)).sum(1),
+        "u_base": si * ks + si * gk.sum(1) - gk @ s, "u_cross": (2 * ib * k2 * (1 - 4 * q * k)).sum(1), "n": _size(a, b),
     }
 
 
-IMQ_FIELDS = ["k_s", "g_sum", "g_inv", "k_ps", "k_sum", "h_sum", "u_base", "u_cross"]
+IMQ_FIELDS = ["k_s", "g_sum", "g_inv", "k_ps", "k_sum", "h_sum", "u_base", "u_cross", "n"]
 
 
 def rbf_sums(a, b, p, same):
     d = a["h"][:, None] - b["h"][None, :]
     k = np.exp(-d * d / (2 * p["bw"] ** 2))
-    return {"k_s": k @ b["s"], "g_sum": (k * d).sum(1) / p["bw"] ** 2}
+    return {"k_s": k @ b["s"], "g_sum": (k * d).sum(1) / p["bw"] ** 2, "n": _size(a, b)}
 
 
 def imq_half_sums(a, b, p, same):
     d = a["h"][:, None] - b["h"][None, :]
     bs = p["bw"] ** 2 + 1e-8
     base = 1.0 + d * d / bs
-    return {"k_s": (1 / np.sqrt(base)) @ b["s"], "g_sum": -(d / (bs * base * np.sqrt(base))).sum(1)}
+    return {"k_s": (1 / np.sqrt(base)) @ b["s"], "g_sum": -(d / (bs * base * np.sqrt(base))).sum(1), "n": _size(a, b)}
 
 
 def near_counts(a, b, p, same):
     """Other particles strictly within the bandwidth."""
     d = np.abs(a["h"][:, None] - b["h"][None, :])
-    return {"near": (d < p["bw"]).sum(1).astype(float) - (float(0 < p["bw"]) if same else 0.0)}
+    return {"near": (d < p["bw"]).sum(1).astype(float) - (float(0 < p["bw"]) if same else 0.0), "n": _size(a, b)}
 
 
 CUTS = 32
@@ -158,4 +181,4 @@ def joint_sums(a, b, p, same):
     k = 1.0 / (1.0 + sum(d[n] ** 2 * ib[n] for n in names))
     k2 = k * k
     out = {f"phi_{n}": k @ b[f"g_{n}"] - 2 * ib[n] * (d[n] * k2).sum(1) for n in names}
-    return out | {"k_sum": k.sum(1)}
+    return out | {"k_sum": k.sum(1), "n": _size(a, b)}

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltide.functions import columns as fn
-from voltide.operators.layout import last_known, over_time, rank_rows
+from voltide.operators.layout import join_back, last_known, over_time, rank_rows, running_min
 
 KEY = ["series_id"]
 
@@ -58,7 +58,7 @@ def cross_correlation(df: DataFrame, a: str, b: str, max_lag: int, bound: int |
     shifted = over_time(df, KEY, {f"_s{k + max_lag}": (lambda w, k=k: F.lead(b, k).over(w) if k >= 0 else F.lag(b, -k).over(w))
                                   for k in lags}, back=max_lag, ahead=max_lag, bound=bound)
     da = F.col(a) - F.col("_ma")
-    sums = shifted.join(m, KEY).groupBy(*KEY).agg(
+    sums = join_back(shifted, m, KEY, "t").groupBy(*KEY).agg(
         F.greatest(F.sqrt(F.first("_va") * F.first("_vb")), F.lit(1e-10)).alias("_norm"),
         *[F.coalesce(F.sum(da * (F.col(f"_s{k + max_lag}") - F.col("_mb"))), F.lit(0.0)).alias(f"_x{k + max_lag}") for k in lags])
     rows = F.array(*[F.struct(F.lit(k).alias("lag"), (F.col(f"_x{k + max_lag}") / F.col("_norm")).alias("xcorr")) for k in lags])
@@ -141,8 +141,6 @@ def pareto(df: DataFrame, a: str, b: str, tie: list[str], keys: list[str] | None
     In order of (a, b), a row survives when b is below every b of a strictly smaller a and minimal within its a.
     Best b per distinct a comes from a partial aggregate; the rest is a running minimum over distinct a.
     """
-    from voltide.operators.layout import running_min
-
     group = keys or ["_g"]
     d = df if keys else df.withColumn("_g", F.lit(0))
     best = d.groupBy(*group, a).agg(F.min(b).alias("_best"))

@@ -22,7 +22,7 @@ from voltide.plans.noise import Noise
 from voltide.session import group_bound, scratch_table
 
 CHUNK = 1024
-PAIR_CELLS = 1 << 17  # rows x particles^2 held at once by a task
+PAIR_CELLS = 1 << 19  # rows x particles^2 advanced together by a task (their pairs are cut smaller inside)
 THETA = ["rho", "sigma_z", "mu", "gamma", "nu"]
 KEYS = ["series_id", "config_id", "replicate"]
 

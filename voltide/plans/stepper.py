@@ -107,57 +107,100 @@ def unpack(cfg: FilterConfig, blobs: list[bytes]) -> dict[str, np.ndarray]:
 
 # --- pair sums -----------------------------------------------------------------------------------------------------
 
+CELLS = 1 << 15  # pairs held at once: the scratch arrays stay in the processor cache
+_scratch: dict = {}
+
+
+def _pairs(shape: tuple[int, int], dtype, count: int):
+    """Cut (rows, n, n) pairs into pieces: (row slice, particle slice, scratch arrays of that piece)."""
+    rows, n = shape
+    dr, di = (max(1, CELLS // (n * n)), n) if n * n <= CELLS else (1, max(1, CELLS // n))
+    size = dr * di * n
+    for r in range(0, rows, dr):
+        for i in range(0, n, di):
+            sr, si = slice(r, min(r + dr, rows)), slice(i, min(i + di, n))
+            dims = (sr.stop - sr.start, si.stop - si.start, n)
+            bufs = []
+            for j in range(count):
+                key = (np.dtype(dtype), j)
+                if key not in _scratch or _scratch[key].size < size:
+                    _scratch[key] = np.empty(size, dtype)
+                bufs.append(_scratch[key][: dims[0] * dims[1] * dims[2]].reshape(dims))
+            yield sr, si, bufs
+
+
+def _columns(*xs):
+    return np.stack(xs, 2)
+
+
 def mixture_score(h, m, sigma, cfg: FilterConfig, dtype):
     """Score and curvature of the mixture over all prior means."""
     c = m.mean(1, keepdims=True)
     hc, mc, s2 = (h - c).astype(dtype), (m - c).astype(dtype), (sigma**2).astype(dtype)
-    d = hc[:, :, None] - mc[:, None, :]
-    if not cfg.t_state:
-        e = d * d
-        e *= (-0.5 / s2)[:, :, None]
-        e -= e.max(2, keepdims=True)
-        np.exp(e, out=e)
-        w = e.sum(2)
-        return -(hc * w - (e @ mc[:, :, None])[:, :, 0]) / s2 / (w + 1e-8), -1 / s2 + 0 * hc
-    nu = cfg.nu_state
-    ns, q = (nu * s2)[:, :, None], d * d
-    e = -0.5 * (nu + 1) * np.log1p(q / ns)
-    e -= e.max(2, keepdims=True)
-    np.exp(e, out=e)
-    w, den = e.sum(2) + 1e-8, ns + q
-    return -(nu + 1) * (e * d / den).sum(2) / w, -(nu + 1) * (e * (ns - q) / den**2).sum(2) / w
-
-
-def stein(h, g, curv, bw, cfg: FilterConfig, dtype, newton: bool, full: bool, want_ksd: bool, raw=None):
-    """Transport direction and, if asked, the kernel Stein discrepancy."""
+    score, curv = np.empty_like(hc), np.empty_like(hc)
+    right = _columns(np.ones_like(mc), mc)
+    for sr, si, (d, e) in _pairs(h.shape, dtype, 2):
+        x, v = hc[sr, si], s2[sr]
+        np.subtract(x[:, :, None], mc[sr][:, None, :], out=d)
+        np.multiply(d, d, out=e)
+        if not cfg.t_state:
+            e *= (-0.5 / v)[:, :, None]
+            e -= e.max(2, keepdims=True)
+            np.exp(e, out=e)
+            sums = e @ right[sr]
+            score[sr, si] = -(x * sums[:, :, 0] - sums[:, :, 1]) / v / (sums[:, :, 0] + 1e-8)
+            curv[sr, si] = -1 / v
+        else:
+            nu = cfg.nu_state
+            ns, q = (nu * v)[:, :, None], e
+            lr = -0.5 * (nu + 1) * np.log1p(q / ns)
+            lr -= lr.max(2, keepdims=True)
+            np.exp(lr, out=lr)
+            w, den = lr.sum(2) + 1e-8, ns + q
+            score[sr, si] = -(nu + 1) * (lr * d / den).sum(2) / w
+            curv[sr, si] = -(nu + 1) * (lr * (ns - q) / den**2).sum(2) / w
+    return score, curv
+
+
+def stein(h, g, curv, bw, cfg: FilterConfig, dtype, newton: bool, full: bool, want_ksd: bool):
+    """Transport direction and, if asked, the kernel Stein discrepancy of the raw scores."""
     n = h.shape[1]
     hc = (h - h.mean(1, keepdims=True)).astype(dtype)
-    g, ib = g.astype(dtype), (1 / bw**2).astype(dtype)
-    d = hc[:, :, None] - hc[:, None, :]
-    q = d * d
-    q *= ib[:, :, None]
-    k = 1 / (1 + q)
-    k2 = k * k
+    g, ib, one = g.astype(dtype), (1 / bw**2).astype(dtype), np.ones_like(hc)
+    cv = one if curv is None else curv.astype(dtype)
+    inv = 1 / cv
+    left = _columns(g, one, cv, 0.7 * g * inv)
+    right = _columns(one, hc, inv, hc * inv, g, hc * g)
+    phi, u = np.empty_like(hc), np.zeros_like(hc)
     sign = 1.0 if cfg.paper_sign or cfg.fan else -1.0
-    dot = lambda a, x: (a @ x[:, :, None])[:, :, 0]
-    k2s = k2.sum(2)
-    if newton and not full:
-        inv = (1 / curv).astype(dtype)
-        phi = (dot(k, 0.7 * g * inv) + sign * 2 * ib * (hc * dot(k2, inv) - dot(k2, hc * inv))) / n
-    else:
-        phi = (dot(k, g) + sign * 2 * ib * (hc * k2s - dot(k2, hc))) / n
-    if full:
-        np.abs(3 * q - 1, out=q)
-        q *= k2
-        hess = np.clip((dot(k, curv.astype(dtype)) + 2 * ib * q.sum(2)) / np.maximum(k.sum(2), 1e-6), 0.1, 100)
-        phi = phi / hess * 0.7
-    if not want_ksd:
-        return phi, None
-    s = g if raw is None else raw.astype(dtype)
-    base = s * dot(k, s) + 2 * ib * (s * (hc * k2s - dot(k2, hc)) - (hc * dot(k2, s) - dot(k2, hc * s)))
-    cross = 2 * ib * (4 * np.einsum("rij,rij->ri", k2, k) - 3 * k2s)
-    u = base + (-cross if cfg.ksd_compat else cross)
-    return phi, np.sqrt(np.maximum(u.sum(1, keepdims=True) / n**2, 0))
+    n_left, n_right = (4 if newton and not full else 3 if full else 1), (6 if want_ksd else 4 if newton and not full else 2)
+    for sr, si, (q, k, k2) in _pairs(h.shape, dtype, 3):
+        x, b = hc[sr, si], ib[sr]
+        np.subtract(x[:, :, None], hc[sr][:, None, :], out=q)
+        np.multiply(q, q, out=q)
+        q *= b[:, :, None]
+        np.add(q, 1, out=k)
+        np.divide(1, k, out=k)
+        np.multiply(k, k, out=k2)
+        a, c = k @ left[sr][:, :, :n_left], k2 @ right[sr][:, :, :n_right]
+        gk = 2 * b * (x * c[:, :, 0] - c[:, :, 1])
+        if newton and not full:
+            phi[sr, si] = (a[:, :, 3] + sign * 2 * b * (x * c[:, :, 2] - c[:, :, 3])) / n
+        else:
+            phi[sr, si] = (a[:, :, 0] + sign * gk) / n
+        if full:
+            q *= 3
+            q -= 1
+            np.abs(q, out=q)
+            q *= k2
+            hess = np.clip((a[:, :, 2] + 2 * b * q.sum(2)) / np.maximum(a[:, :, 1], 1e-6), 0.1, 100)
+            phi[sr, si] *= 0.7 / hess
+        if want_ksd:
+            s = g[sr, si]
+            k2 *= k
+            cross = 2 * b * (4 * k2.sum(2) - 3 * c[:, :, 0])
+            u[sr, si] = s * a[:, :, 0] + s * gk - 2 * b * (x * c[:, :, 4] - c[:, :, 5]) + (-cross if cfg.ksd_compat else cross)
+    return phi, np.sqrt(np.maximum(u.sum(1, keepdims=True) / n**2, 0)) if want_ksd else None
 
 
 # --- shared pieces ---------------------------------------------------------------------------------------------------
@@ -476,13 +519,24 @@ def step_joint(st, y, t: int, cfg: FilterConfig, p, rng: Noise, rows, dtype=floa
                                                    + pull(x["sigma_t"], cfg.sigma_prior_mean, cfg.sigma_prior_var))),
         }
         c = {k: (x[k] - x[k].mean(1, keepdims=True)).astype(dtype) for k in names}
-        q = sum((c[k][:, None, :] - c[k][:, :, None]) ** 2 * ib[k].astype(dtype)[:, :, None] for k in names)
-        k1 = 1 / (1 + q)
-        k2, norm = k1 * k1, np.clip(k1.sum(2), 32.0, max(n, 32.0))
-        k2s = k2.sum(2)
+        one = np.ones_like(c["h"])
+        left, right = _columns(one, *[g[k].astype(dtype) for k in names]), _columns(one, *[c[k] for k in names])
+        phi = {k: np.empty_like(c[k]) for k in names}
+        for sr, si, (d, q, k2) in _pairs(h.shape, dtype, 3):
+            q[:] = 1
+            for k in names:
+                np.subtract(c[k][sr][:, None, :], c[k][sr, si][:, :, None], out=d)
+                d *= d
+                d *= ib[k][sr].astype(dtype)[:, :, None]
+                q += d
+            np.divide(1, q, out=q)
+            np.multiply(q, q, out=k2)
+            a, b = q @ left[sr], k2 @ right[sr]
+            norm = np.clip(a[:, :, 0], 32.0, max(n, 32.0))
+            for j, k in enumerate(names, 1):
+                phi[k][sr, si] = (a[:, :, j] - 2 * ib[k][sr] * (b[:, :, j] - c[k][sr, si] * b[:, :, 0])) / norm
         for k in names:
-            phi = ((k1 @ g[k].astype(dtype)[:, :, None])[:, :, 0] - 2 * ib[k] * ((k2 @ c[k][:, :, None])[:, :, 0] - c[k] * k2s)) / norm
-            x[k] = np.clip(x[k] + size[k] * boost[k] * phi, *limits[k])
+            x[k] = np.clip(x[k] + size[k] * boost[k] * phi[k], *limits[k])
     w, sw, ess = weights(lw)
     rho, sig = sigmoid(x["rho_t"]), np.exp(x["sigma_t"])
     for k in names:
