@@ -22,7 +22,7 @@ def _cl(x: str, lo: float = -15.0, hi: float = 5.0) -> str:
 
 # base sets: parents (h_prev), prior means (m), predicted particles (h), draws (z, z2, u), one observation per set
 SETS = f"""
-b0 AS (SELECT v.vec_id AS set_id, v.label, v.embedding, CAST(-3.5 + 0.1 * v.label AS DOUBLE) AS mu, 0.05 * ln(e.value) AS y, 0.05 * ln(f.value) AS y_prev
+b0 AS (SELECT v.vec_id AS set_id, v.label, v.embedding, CAST(-3.5 + 0.1 * v.label AS DOUBLE) AS mu, 0.05 * ln(greatest(e.value, 0.01)) AS y, 0.05 * ln(greatest(f.value, 0.01)) AS y_prev
   FROM embeddings v JOIN events e ON e.event_id = v.vec_id JOIN events f ON f.event_id = v.vec_id + 1),
 b1 AS (SELECT set_id, label, mu, y, y_prev, CAST(range AS INT) AS i, 8 * CAST(embedding[range + 1] AS DOUBLE) AS z,
   8 * CAST(embedding[64 - range] AS DOUBLE) AS z2 FROM b0, range(64)),
@@ -38,8 +38,8 @@ ps AS (SELECT *, {NORM5} - 0.5 * h - 3 * ln(1 + a) AS log_w,
 
 def base(spark, sf):
     v, e = table(spark, sf, "embeddings"), table(spark, sf, "events")
-    now = e.select(F.col("event_id").alias("vec_id"), (0.05 * F.log("value")).alias("y"))
-    prev = e.select((F.col("event_id") - 1).alias("vec_id"), (0.05 * F.log("value")).alias("y_prev"))
+    now = e.select(F.col("event_id").alias("vec_id"), (0.05 * F.log(F.greatest(F.col("value"), F.lit(0.01)))).alias("y"))
+    prev = e.select((F.col("event_id") - 1).alias("vec_id"), (0.05 * F.log(F.greatest(F.col("value"), F.lit(0.01)))).alias("y_prev"))
     b = v.join(now, "vec_id").join(prev, "vec_id").select(
         F.col("vec_id").alias("set_id"), "label", (F.lit(-3.5) + 0.1 * F.col("label")).alias("mu"), "y", "y_prev",
         F.explode(F.arrays_zip(F.sequence(F.lit(0), F.size("embedding") - 1).alias("i"), F.col("embedding").alias("a"),
@@ -346,6 +346,47 @@ def sigma_gradient(spark, sf):
     return rounded(pt.sigma_gradient(p, K))
 
 
+GV = 0.0225 / (1 - 0.98**2)
+PP = 0.98**2 * GV + 0.0225
+GAIN = PP / (PP + 6.93 + 1e-8)
+
+
+@query("filter_tick_sets", f"""
+WITH {SETS},
+k0 AS (SELECT set_id, i, y, z, z2, h_prev, -3.5 + 0.98 * (h_prev + 3.5) + 0.01 * y_prev / (exp(h_prev / 2) + 1e-8) AS mm FROM ps),
+k1 AS (SELECT *, {_cl('mm + 0.15 * z2')} AS hq, -3.5 + {GAIN!r} * (ln(y * y + 1e-8) + {OFF5} + 3.5) AS gm, avg(h_prev) OVER (PARTITION BY set_id) AS hb FROM k0),
+k2 AS (SELECT *, {_cl('0.95 * hb + 0.05 * gm + hq - hb')} AS hg FROM k1),
+kb AS (SELECT set_id, greatest(2 * var_pop(hg) / ln(65), 1e-6) AS raw, greatest(1.0, least((max(hg) - min(hg)) * 0.5, 2.0)) AS big FROM k2 GROUP BY 1),
+kw AS (SELECT set_id, {_cl('sqrt(raw * greatest(0.5, least(1.0, 1 - 0.25 * least(big - 1, 2.0))))', 0.01, 2.0)} AS bw FROM kb),
+kt AS (SELECT a.set_id, a.i, max(-(a.hg - b.mm) * (a.hg - b.mm) / 0.045) AS top FROM k2 a JOIN k2 b ON a.set_id = b.set_id GROUP BY 1, 2),
+kg AS (SELECT a.set_id, a.i, -sum(exp(-(a.hg - b.mm) * (a.hg - b.mm) / 0.045 - top) * (a.hg - b.mm)) / 0.0225 / (sum(exp(-(a.hg - b.mm) * (a.hg - b.mm) / 0.045 - top)) + 1e-8) AS gp
+  FROM k2 a JOIN k2 b ON a.set_id = b.set_id JOIN kt ON kt.set_id = a.set_id AND kt.i = a.i GROUP BY 1, 2),
+k3 AS (SELECT k2.*, bw, gp, y * y / (exp(hg) + 1e-8) / 5 AS aa, y * y / (exp(hq) + 1e-8) / 5 AS aq FROM k2 JOIN kg USING (set_id, i) JOIN kw USING (set_id)),
+k4 AS (SELECT *, {_cl('gp + (-0.5 + 3 * aa / (1 + aa) - 0.3)', -10.0, 10.0)} AS sc, {NORM5} - 0.5 * hg - 3 * ln(1 + aa) AS lf, {NORM5} - 0.5 * hq - 3 * ln(1 + aq) AS lp FROM k3),
+k5 AS (SELECT a.set_id, a.i, a.sc AS si, b.sc AS sj, a.hg - b.hg AS d, 1 / (a.bw * a.bw) AS ib, 1 / (1 + (a.hg - b.hg) * (a.hg - b.hg) / (a.bw * a.bw)) AS k FROM k4 a JOIN k4 b ON a.set_id = b.set_id),
+k6 AS (SELECT set_id, i, sum(k * sj - 2 * d * ib * k * k) / 64 AS phi, sum(k * si * sj + (si - sj) * 2 * d * ib * k * k + 2 * ib * k * k * (1 - 4 * d * d * ib * k)) AS u FROM k5 GROUP BY 1, 2),
+k7 AS (SELECT k4.*, u, {_cl('hg + 0.05 * phi / sqrt(0.1 * phi * phi + 1e-6) + sqrt(2 * 0.05 * 0.45) * z')} AS hn, max(lf) OVER w AS tf, max(lp) OVER w AS tp
+  FROM k4 JOIN k6 USING (set_id, i) WINDOW w AS (PARTITION BY set_id))
+SELECT set_id AS series_id, {_r('avg(exp(hn / 2))', 'vol')}, {_r('stddev_pop(exp(hn / 2))', 'vol_std')}, {_r('avg(hn)', 'h_mean')}, {_r('max(bw)', 'bandwidth')},
+  {_r('sqrt(greatest(sum(u) / 4096, 0))', 'ksd')}, {_r('max(tf) + ln(avg(exp(lf - tf)))', 'loglik_filtered')}, {_r('max(tp) + ln(avg(exp(lp - tp)))', 'loglik_predictive')},
+  {_r('pow(sum(exp(lf - tf)), 2) / (sum(exp(2 * (lf - tf))) + 1e-10)', 'ess')}, {_r('max(gm)', 'guide_mean')} FROM k7 GROUP BY 1""")
+def filter_tick_sets(spark, sf):
+    """A whole filter tick (predict, guide, bandwidth, scores, Stein move, outputs) of every set."""
+    from voltide.plans import cross_section
+
+    cfg = FilterConfig("tick", mu=-3.5, rho=0.98, sigma_z=0.15, gamma=0.01, n_particles=64, mim=False, annealing=False, min_steps=1, max_steps=1,
+                       exact_gradient=True, lik_offset=0.3, temperature=0.45)
+    b = base(spark, sf).withColumnRenamed("set_id", "series_id")
+    p = b.select("series_id", "i", F.col("h_prev").alias("h"), F.col("h_prev2").alias("h_prev"), F.lit(0.0).alias("v"), "z", "z2")
+    s = b.groupBy("series_id").agg(
+        F.lit(0).cast("long").alias("t"), F.avg("h_prev").alias("h_bar"), F.lit(-3.5).alias("g_mean"), F.lit(GV).alias("g_var"), F.lit(0.0).alias("ema"),
+        F.lit(0.0).alias("bw_sq"), F.lit(0.05).alias("vol_prev"), F.lit(1e10).alias("ksd_prev"), F.max("y_prev").alias("y_prev"))
+    y = b.groupBy("series_id").agg(F.max("y").alias("y"))
+    draw = lambda role, stage=0, it=0, uniform=False: F.lit(0.5) if uniform else F.col("z2" if role == "state" else "z")
+    est = cross_section.filter_tick(p, s, y, cfg, draw)[2]
+    return rounded(est.select("series_id", "vol", "vol_std", "h_mean", "bandwidth", "ksd", "loglik_filtered", "loglik_predictive", "ess", "guide_mean"))
+
+
 TWO = SETS + f""",
 t0 AS (SELECT *, {_cl('0.15 / sqrt(1 - 0.81 + 1e-8) * z')} AS fp, {_cl('0.05 / sqrt(1 - 0.9801 + 1e-8) * z2')} AS sp FROM ps),
 t1 AS (SELECT *, 0.9 * fp + 0.15 * z2 * (CASE WHEN u < 0.05 THEN 5 ELSE 1 END) AS f0, 0.99 * sp + 0.05 * z AS s0, ln(y * y + 1e-8) + {OFF5} AS im FROM t0),

@@ -39,7 +39,7 @@ def rounded(df: DataFrame) -> DataFrame:
 OBS = """
 p0 AS (SELECT user_id AS series_id, ts, event_id AS tie, event_type, value AS price,
               lag(value) OVER w AS pp, row_number() OVER w - 2 AS t
-       FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+       FROM events WHERE value > 0 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 obs AS (SELECT series_id, t, ts, tie, event_type, price, price / pp - 1 AS ret, ln(price / pp) AS y FROM p0 WHERE t >= 0)
 """
 
@@ -55,7 +55,7 @@ DAILY = """
 d0 AS (SELECT o_orderpriority AS series_id, CAST(o_orderdate AS DATE) AS day, avg(o_totalprice) AS price
        FROM orders GROUP BY 1, 2),
 d1 AS (SELECT series_id, day, price, lag(price) OVER w AS pp, row_number() OVER w - 2 AS t
-       FROM d0 WINDOW w AS (PARTITION BY series_id ORDER BY day)),
+       FROM d0 WHERE price > 0 WINDOW w AS (PARTITION BY series_id ORDER BY day)),
 daily AS (SELECT series_id, t, day, price, ln(price / pp) AS y FROM d1 WHERE t >= 0)
 """
 

@@ -346,7 +346,7 @@ def slice_periods(spark, sf):
 @query("concat_periods", f"""
 WITH {PERIODS_SQL}, s AS (SELECT e.user_id || ':' || p.period_id AS series_id, e.ts, e.event_id, e.value AS v
 FROM events e JOIN periods p ON e.user_id = p.ticker AND e.ts >= p.start AND e.ts < p."end"),
-y AS (SELECT series_id, ln(v / lag(v) OVER (PARTITION BY series_id ORDER BY ts, event_id)) AS y FROM s)
+y AS (SELECT series_id, ln(v / lag(v) OVER (PARTITION BY series_id ORDER BY ts, event_id)) AS y FROM s WHERE v > 0)
 SELECT series_id, count(y) AS n, {_r('sum(y)', 'sum_y')} FROM y GROUP BY 1""")
 def concat_periods(spark, sf):
     e = table(spark, sf, "events").select(F.col("user_id").alias("series_id"), "ts", "event_id", F.col("value").alias("price"))
@@ -362,6 +362,11 @@ def drop_warmup(spark, sf):
     return rounded(prep.drop_warmup(obs(spark, sf)[0], 10).groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("sum_y")))
 
 
+@query("bad_prices", "SELECT user_id, count(*) FILTER (value IS NULL OR isnan(value) OR value <= 0) AS bad_prices FROM events GROUP BY 1")
+def bad_prices(spark, sf):
+    return prep.bad_prices(table(spark, sf, "events"), "user_id", "value")
+
+
 @query("status_names", """
 SELECT code, n FROM (VALUES ('OK', 0), ('INPUT_EXTREME_VALUE', 0)) v(code, n) WHERE false
 UNION ALL SELECT CASE WHEN abs(value) > 50 THEN 'VOL_EXTREME' WHEN value < 1 THEN 'ESS_LOW' ELSE 'OK' END, count(*) FROM events GROUP BY 1""")
@@ -371,7 +376,7 @@ def status_names(spark, sf):
 
 
 @query("relative_spread", f"""
-SELECT event_id, {_r('(ask - bid) / ((ask + bid) / 2)', 'spread')}
+SELECT event_id, {_r('(ask - bid) / nullif((ask + bid) / 2, 0)', 'spread')}
 FROM (SELECT event_id, value * 0.99 AS bid, value * (1 + event_id % 7 * 0.01) AS ask FROM events)""")
 def relative_spread(spark, sf):
     e = table(spark, sf, "events").select("event_id", (F.col("value") * 0.99).alias("bid"),

@@ -230,19 +230,17 @@ def bandwidth_median(p: DataFrame, keys: list[str], h: str = "h", q: float = 0.7
 def grad_prior_gauss(p: DataFrame, keys: list[str], sigma: str = "sigma", bound: int | None = None,
                      block: int = tiles.BLOCK) -> DataFrame:
     """Score and curvature of the Gaussian mixture over all prior means ``m`` at each ``h``."""
-    d = p.withColumn("sigma", F.col(sigma))
-    s = tiles.pairwise(d, keys, ["h"], ["m"], ["sigma"], tiles.prior_gauss, ["top", "w", "wg"], "logsum", bound=bound, block=block)
-    return (d.join(s, [*keys, "i"]).withColumn("g_prior", F.col("wg") / (F.col("w") + 1e-8))
-            .withColumn("hess_prior", -1 / (F.col("sigma") * F.col("sigma"))).drop("top", "w", "wg"))
+    d = tiles.attach(p, keys, ["h"], ["m"], {"sigma": F.col(sigma)}, tiles.prior_gauss, ["top", "w", "wg"], "logsum", bound=bound, block=block)
+    return (d.withColumn("g_prior", F.col("wg") / (F.col("w") + 1e-8))
+            .withColumn("hess_prior", -1 / (F.col(sigma) * F.col(sigma))).drop("top", "w", "wg"))
 
 
 def grad_prior_t(p: DataFrame, keys: list[str], sigma: str = "sigma", nu_state: float = 5.0, bound: int | None = None,
                  block: int = tiles.BLOCK) -> DataFrame:
-    d = p.withColumn("sigma", F.col(sigma)).withColumn("nu_state", F.lit(float(nu_state)))
-    s = tiles.pairwise(d, keys, ["h"], ["m"], ["sigma", "nu_state"], tiles.prior_t, ["top", "w", "wg", "wh"], "logsum",
-                       bound=bound, block=block)
-    return (d.join(s, [*keys, "i"]).withColumn("g_prior", F.col("wg") / (F.col("w") + 1e-8))
-            .withColumn("hess_prior", F.col("wh") / (F.col("w") + 1e-8)).drop("top", "w", "wg", "wh", "nu_state"))
+    d = tiles.attach(p, keys, ["h"], ["m"], {"sigma": F.col(sigma), "nu_state": F.lit(float(nu_state))}, tiles.prior_t,
+                     ["top", "w", "wg", "wh"], "logsum", bound=bound, block=block)
+    return (d.withColumn("g_prior", F.col("wg") / (F.col("w") + 1e-8))
+            .withColumn("hess_prior", F.col("wh") / (F.col("w") + 1e-8)).drop("top", "w", "wg", "wh"))
 
 
 def _ratio(y, h, nu) -> Column:
@@ -284,16 +282,15 @@ def stein_phi(p: DataFrame, keys: list[str], mode: str = "plain", kernel: str =
               bound: int | None = None, block: int = tiles.BLOCK) -> DataFrame:
     """Transport direction ``phi`` of every particle; with the IMQ kernel also its share ``ksd_part`` of the
     discrepancy. ``compat`` flips the sign of the mixed kernel derivative (see README)."""
-    d = p.withColumn("bw", F.col(bw)).withColumn("s", F.col(grad))
+    d = p.withColumn("s", F.col(grad))
+    width = {"bw": F.col(bw)}
     if kernel != "imq":
         fnc = {"rbf": tiles.rbf_sums, "imq_half": tiles.imq_half_sums}[kernel]
-        sums = tiles.pairwise(d, keys, ["h"], ["h", "s"], ["bw"], fnc, ["k_s", "g_sum", "n"], bound=bound, block=block)
-        return (p.join(sums, [*keys, "i"])
-                .withColumn("phi", (F.col("k_s") + F.col("g_sum")) / F.col("n")).drop("k_s", "g_sum", "n"))
+        d = tiles.attach(d, keys, ["h"], ["h", "s"], width, fnc, ["k_s", "g_sum", "n"], bound=bound, block=block)
+        return d.withColumn("phi", (F.col("k_s") + F.col("g_sum")) / F.col("n")).drop("k_s", "g_sum", "n", "s")
     c = F.col(curv) if curv in p.columns else F.lit(1.0)
     d = d.withColumn("c", c).withColumn("ps", 0.7 * F.col("s") / F.col("c"))
-    sums = tiles.pairwise(d, keys, ["h", "s"], ["h", "s", "c", "ps"], ["bw"], tiles.imq_sums, tiles.IMQ_FIELDS, bound=bound,
-                          block=block)
+    d = tiles.attach(d, keys, ["h", "s"], ["h", "s", "c", "ps"], width, tiles.imq_sums, tiles.IMQ_FIELDS, bound=bound, block=block)
     sign = 1.0 if paper_sign else -1.0
     plain = (F.col("k_s") + sign * F.col("g_sum")) / F.col("n")
     if mode == "plain":
@@ -306,7 +303,7 @@ def stein_phi(p: DataFrame, keys: list[str], mode: str = "plain", kernel: str =
     else:
         raise ValueError(f"unknown mode {mode!r}")
     part = F.col("u_base") + (-1.0 if compat else 1.0) * F.col("u_cross")
-    return p.join(sums, [*keys, "i"]).withColumn("phi", phi).withColumn("ksd_part", part).drop(*tiles.IMQ_FIELDS)
+    return d.select(*p.columns, phi.alias("phi"), part.alias("ksd_part"))
 
 
 def ksd(p: DataFrame, keys: list[str], part: str = "ksd_part") -> DataFrame:
@@ -342,9 +339,8 @@ def rejuvenate(h, u, z, guide_mean, guide_var, prob=0.3, blend=0.3, gate: Column
 
 def local_density(p: DataFrame, keys: list[str], bw: str = "bandwidth", bound: int | None = None,
                   block: int = tiles.BLOCK) -> DataFrame:
-    s = tiles.pairwise(p.withColumn("bw", F.col(bw)), keys, ["h"], ["h"], ["bw"], tiles.near_counts, ["near", "n"], bound=bound,
-                       block=block)
-    return p.join(s, [*keys, "i"]).withColumn("density", F.try_divide("near", F.col("n") - 1)).drop("near", "n")
+    d = tiles.attach(p, keys, ["h"], ["h"], {"bw": F.col(bw)}, tiles.near_counts, ["near", "n"], bound=bound, block=block)
+    return d.withColumn("density", F.try_divide("near", F.col("n") - 1)).drop("near", "n")
 
 
 def knn_distance(p: DataFrame, keys: list[str], k: int, bound: int | None = None) -> DataFrame:
@@ -499,9 +495,8 @@ def joint_gradient(y, cfg, norm) -> dict[str, Column]:
 
 def joint_stein(p: DataFrame, keys: list[str], y: str, cfg, bound: int | None = None, block: int = tiles.BLOCK) -> DataFrame:
     """One transport step in four dimensions; bandwidths are columns bw_<dim>."""
-    sums = tiles.pairwise(p, keys, list(JOINT), [*JOINT, *[f"g_{n}" for n in JOINT]], [f"bw_{n}" for n in JOINT],
-                          tiles.joint_sums, [*[f"phi_{n}" for n in JOINT], "k_sum", "n"], bound=bound, block=block)
-    d = p.join(sums, [*keys, "i"])
+    d = tiles.attach(p, keys, list(JOINT), [*JOINT, *[f"g_{n}" for n in JOINT]], {f"bw_{n}": F.col(f"bw_{n}") for n in JOINT},
+                     tiles.joint_sums, [*[f"phi_{n}" for n in JOINT], "k_sum", "n"], bound=bound, block=block)
     hot = F.col(y) * F.col(y) / (F.exp("h_prev") + 1e-8) > 9
     norm = F.greatest(F.least(F.col("k_sum"), F.col("n")), F.lit(32.0))
     steps = {"h": (cfg.step_h, 5.0), "mu_t": (cfg.step_mu, 2.0), "rho_t": (cfg.step_rho, 1.0), "sigma_t": (cfg.step_sigma, 4.0)}

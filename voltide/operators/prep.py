@@ -12,12 +12,19 @@ from voltide.session import MAX_BROADCAST_ROWS, fits_broadcast, group_bound
 
 def index_prices(df: DataFrame, key: str, order: list[str], price: str, bound: int | None = None,
                  extra: tuple[str, ...] = ()) -> DataFrame:
-    """Canonical (series_id, k, ts, tie, price) with dense k by (ts, tie)."""
-    base = df.select(F.col(key).alias("series_id"), F.col(order[0]).alias("ts"),
+    """Canonical (series_id, k, ts, tie, price) with dense k by (ts, tie). A row without a positive price is no
+    observation and is left out; ``bad_prices`` counts those rows."""
+    base = df.filter(F.col(price) > 0).select(F.col(key).alias("series_id"), F.col(order[0]).alias("ts"),
                      F.col(order[1] if len(order) > 1 else order[0]).alias("tie"), F.col(price).alias("price"), *extra)
     return rank_rows(base, ["series_id"], ["ts", "tie"], "k", bound)
 
 
+def bad_prices(df: DataFrame, key: str, price: str) -> DataFrame:
+    """Rows per series whose price is missing, not a number or not positive."""
+    p = F.col(price)
+    return df.groupBy(key).agg(F.count_if(p.isNull() | F.isnan(p) | (p <= 0)).alias("bad_prices"))
+
+
 def price_returns(df: DataFrame, bound: int | None = None, first: bool = True) -> DataFrame:
     """Simple and log returns per series; the first row has none. ``first=False`` drops it and re-indexes."""
     prev = over_time(df, ["series_id"], {"p_prev": lambda w: F.lag("price").over(w)}, "k", 1, 0, bound)
@@ -103,4 +110,4 @@ def drop_warmup(df: DataFrame, w: int) -> DataFrame:
 
 def relative_spread(bid: str = "bid", ask: str = "ask") -> Column:
     b, a = F.col(bid), F.col(ask)
-    return (a - b) / ((a + b) / 2)
+    return F.try_divide(a - b, (a + b) / 2)

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,6 +84,44 @@ def pairwise(df: DataFrame, keys: list[str], left: list[str], right: list[str],
         F.max("_m").alias(fields[0]), *[F.sum(F.col(f) * w).alias(f) for f in fields[1:]])
 
 
+def attach(df: DataFrame, keys: list[str], left: list[str], right: list[str], params: dict[str, Column], kernel: Kernel,
+           fields: list[str], merge: str = "sum", index: str = "i", block: int = BLOCK, bound: int | None = None) -> DataFrame:
+    """The rows of ``df`` with the kernel sums added as columns. ``params`` are per-set expressions.
+
+    Sets of one block travel once, whole rows in one array per set; only the arrays the kernel reads go to Python.
+    Larger sets take the block-pair plan and join the sums back on (set key, index).
+    """
+    bound = group_bound(df, keys) if bound is None else bound
+    names = list(params)
+    if bound > block:
+        used = sorted(set(left) | set(right))
+        sums = pairwise(df.select(*keys, index, *used, *[c.alias(p) for p, c in params.items()]), keys, left, right, names, kernel, fields, merge, index,
+                        block, bound)
+        return df.join(sums, [*keys, index])
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    payload = [c for c in df.columns if c not in keys and c != index]
+    rows = df.select(*keys, F.struct(index, *payload).alias("_r"), *[c.cast("double").alias(f"_p_{p}") for p, c in params.items()])
+    sets = rows.repartition(n, *keys).groupBy(*keys).agg(F.sort_array(F.collect_list("_r")).alias("_r"),
+                                                         *[F.first(f"_p_{p}").alias(f"_p_{p}") for p in names])
+    cols = sorted(set(left) | set(right))
+    schema = T.StructType([T.StructField(f, T.ArrayType(T.DoubleType())) for f in fields])
+
+    def run(*series: pd.Series) -> pd.DataFrame:
+        arrays, values = series[: len(cols)], series[len(cols):]
+        outs = []
+        for at in range(len(series[0])):
+            x = {c: np.asarray(a.iat[at], float) for c, a in zip(cols, arrays)}
+            outs.append(kernel(x, x, {p: v.iat[at] for p, v in zip(names, values)}, True))
+        return pd.DataFrame({f: [o[f] for o in outs] for f in fields})
+
+    udf = F.pandas_udf(run, schema)
+    given = [F.col(f"_r.{c}").cast("array<double>") for c in cols] + [F.col(f"_p_{p}") for p in names]
+    done = sets.select(*keys, "_r", udf(*given).alias("_o"))
+    pairs = F.arrays_zip(F.col("_r").alias("_x"), *[F.col(f"_o.{f}").alias(f) for f in fields])
+    flat = done.select(*keys, F.explode(pairs).alias("_z"))
+    return flat.select(*keys, *[F.col(f"_z._x.{c}").alias(c) for c in [index, *payload]], *[F.col(f"_z.{f}").alias(f) for f in fields])
+
+
 def _merge(x, y, fields, merge):
     if merge == "sum":
         return {f: x[f] + y[f] for f in fields}

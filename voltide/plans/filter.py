@@ -107,7 +107,8 @@ def filter_series(obs: DataFrame, configs: list[FilterConfig], seed: int = 42, r
             jobs = jobs.withColumn(c, F.coalesce(F.col(f"_{c}"), F.col(c))).drop(f"_{c}")
     jobs = jobs.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     jobs = jobs.withColumn("noise_key", F.xxhash64(F.lit(seed), F.col("series_id"), F.col("replicate")))
-    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism)
+    # more partitions than cores: rows differ in length, and the scheduler evens them out
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 4 * spark.sparkContext.defaultParallelism)
     run = _runner(by_id, noise, np.float32 if precision == "single" else float, emit_particles)
     key_type = obs.schema["series_id"].dataType.simpleString()
     schema = (f"series_id {key_type}, config_id string, replicate int, t bigint, " + ", ".join(f"{c} double" for c in stepper.OUT)
