@@ -113,9 +113,33 @@ SELECT set_id, {_r('avg(h)', 'h_mean')}, {_r('stddev_pop(h)', 'h_std')}, {_r('av
   {_r('max(top) + ln(greatest(avg(w), 1e-10))', 'loglik')}, {_r('sum(w) * sum(w) / (sum(w * w) + 1e-10)', 'ess')},
   {_r('sum(w) * sum(w) / (sum(w * w) + 1e-10) / count(*)', 'ess_ratio')} FROM w GROUP BY 1""")
 def particle_summary(spark, sf):
-    p = sets(spark, sf)
-    out = pt.particle_stats(p, K).join(pt.particle_outputs(p, K).drop("h_mean"), K).join(pt.log_mean_exp(p, K), K).join(pt.ess(p, K), K)
-    return rounded(out)
+    return rounded(pt.posterior_summary(sets(spark, sf), K).drop("n"))
+
+
+@query("particle_moments", f"""
+WITH {SETS} SELECT set_id, {_r('avg(h)', 'h_mean')}, {_r('stddev_pop(h)', 'h_std')} FROM ps GROUP BY 1""")
+def particle_moments(spark, sf):
+    return rounded(pt.particle_stats(sets(spark, sf), K))
+
+
+@query("particle_outputs", f"""
+WITH {SETS} SELECT set_id, {_r('avg(exp(h / 2))', 'vol')}, {_r('stddev_pop(exp(h / 2))', 'vol_std')}, {_r('avg(h)', 'h_mean')} FROM ps GROUP BY 1""")
+def particle_outputs(spark, sf):
+    return rounded(pt.particle_outputs(sets(spark, sf), K))
+
+
+@query("log_evidence", f"""
+WITH {SETS}, t AS (SELECT set_id, max(log_w) AS top FROM ps GROUP BY 1)
+SELECT set_id, {_r('max(top) + ln(greatest(avg(exp(log_w - top)), 1e-10))', 'loglik')} FROM ps JOIN t USING (set_id) GROUP BY 1""")
+def log_evidence(spark, sf):
+    return rounded(pt.log_mean_exp(sets(spark, sf), K))
+
+
+@query("effective_sample_size", f"""
+WITH {SETS}, t AS (SELECT set_id, max(log_w) AS top FROM ps GROUP BY 1), w AS (SELECT set_id, exp(log_w - top) AS w FROM ps JOIN t USING (set_id))
+SELECT set_id, {_r('sum(w) * sum(w) / (sum(w * w) + 1e-10)', 'ess')}, {_r('sum(w) * sum(w) / (sum(w * w) + 1e-10) / count(*)', 'ess_ratio')} FROM w GROUP BY 1""")
+def effective_sample_size(spark, sf):
+    return rounded(pt.ess(sets(spark, sf), K))
 
 
 @query("interval_coverage", f"""

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from voltide.catalog.metrics import DIAG, diag
 from voltide.catalog.registry import EV, OBS, estimates, obs, query, rounded
 from voltide.catalog.returns import OFF5, _r
-from voltide.functions import columns as fn
 from voltide.functions.config import FilterConfig, implied_offset
 from voltide.operators import folds, prep
 from voltide.operators.layout import join_back

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from voltide.catalog.registry import DAILY, EV, OBS, daily_prices, estimates, obs, query, rounded, table
 from voltide.functions import columns as fn
-from voltide.functions.config import FilterConfig, configs_frame, presets, with_configs
+from voltide.functions.config import FilterConfig, presets, with_configs
 from voltide.operators import prep, windows
 from voltide.session import group_bound, scratch_table
 from voltide.sources import files

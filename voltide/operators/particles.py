@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,6 +78,19 @@ def ess(p: DataFrame, keys: list[str], lw: str = "log_w") -> DataFrame:
     return g.select(*keys, _ess().alias("ess"), (_ess() / F.col("n")).alias("ess_ratio"))
 
 
+def posterior_summary(p: DataFrame, keys: list[str], h: str = "h", lw: str = "log_w", extra: dict[str, Column] | None = None) -> DataFrame:
+    """Mean and spread of h and of exp(h/2), evidence and ESS of every set in one pass over the particles.
+    ``extra`` adds plain sums."""
+    x, v = F.col(h), fn.safe_exp(F.col(h) / 2)
+    extra = extra or {}
+    g = weighted(p, keys, lw, {"w": _w(), "w2": _w(2)}, {"_h": x, "_hh": x * x, "_v": v, "_vv": v * v} | extra)
+    n = F.col("n")
+    sd = lambda a, b: F.sqrt(F.greatest(F.col(b) / n - (F.col(a) / n) * (F.col(a) / n), F.lit(0.0)))
+    return g.select(*keys, (F.col("_h") / n).alias("h_mean"), sd("_h", "_hh").alias("h_std"), (F.col("_v") / n).alias("vol"),
+                    sd("_v", "_vv").alias("vol_std"), (F.col("top") + F.log(F.greatest(F.col("w") / n, F.lit(1e-10)))).alias("loglik"),
+                    _ess().alias("ess"), (_ess() / n).alias("ess_ratio"), "n", *extra)
+
+
 def particle_health(p: DataFrame, keys: list[str], h: str = "h", lw: str = "log_w") -> DataFrame:
     """NaN / infinity counts, extremes and weight sums of each set."""
     hc, wc = F.col(h), F.col(lw)

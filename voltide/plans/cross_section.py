@@ -147,9 +147,9 @@ def filter_tick(p: DataFrame, s: DataFrame, obs_t: DataFrame, cfg: FilterConfig,
         gate = (F.col("t") > 10) & (F.col("ksd_prev") > cfg.rejuv_ksd)
         d = d.withColumn("h", pt.rejuvenate("h", draw("rej_u", 0, 0, True), draw("rej_z", 0, 0, False), "g_mean", "g_var", cfg.rejuv_prob, cfg.rejuv_blend, gate))
     pred = d.select("series_id", "i", fn.t_logpdf("y", "h_pred", cfg.nu, log_norm(cfg.nu)).alias("log_w"))
-    est = (pt.particle_outputs(d, KEY).join(pt.log_mean_exp(d, KEY).withColumnRenamed("loglik", "loglik_filtered"), KEY)
-           .join(pt.log_mean_exp(pred, KEY).withColumnRenamed("loglik", "loglik_predictive"), KEY)
-           .join(pt.ess(d, KEY).select("series_id", "ess"), KEY).join(pt.ksd(d, KEY, "_kp"), KEY).join(b, KEY)
+    post = pt.posterior_summary(d, KEY, extra={"_u": F.col("_kp")}).withColumnRenamed("loglik", "loglik_filtered")
+    post = post.withColumn("ksd", F.sqrt(F.greatest(F.col("_u") / (F.col("n") * F.col("n")), F.lit(0.0))))
+    est = (post.join(pt.log_mean_exp(pred, KEY).withColumnRenamed("loglik", "loglik_predictive"), KEY).join(b, KEY)
            .join(s.select("series_id", "t", "y", "g_mean", "g_var", "budget"), KEY))
     est = cut_lineage(est)
     new_s = est.select("series_id", (F.col("t") + 1).alias("t"), F.col("h_mean").alias("h_bar"), "g_mean", "g_var", F.col("ema_new").alias("ema"),

@@ -63,7 +63,3 @@ def fits_broadcast(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> bool:
     """True when the table has at most ``limit`` rows; reads no more than limit+1 of them."""
     return df.limit(limit + 1).count() <= limit
 
-
-def small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint behind a size check; the plain table (shuffle join) beyond it."""
-    return F.broadcast(df) if fits_broadcast(df, limit) else df
