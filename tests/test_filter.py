@@ -132,6 +132,15 @@ def test_time_chunks(spark):
     assert nll["0"] == 48 and nll["1"] == 12
 
 
+def test_series_that_start_late(spark):
+    """Rows keep their own first tick, and no chunk is lost."""
+    d = skewed(spark, 80).filter("t >= 5 or series_id % 2 = 0")
+    a, b = collect(filter_series(d, [BASE])), collect(filter_series(d, [BASE], chunk=1024))
+    assert len(a) == d.count() and a.keys() == b.keys()
+    alone = collect(filter_series(d.filter("series_id = 1"), [BASE]))
+    assert all(a[k] == pytest.approx(v, rel=1e-9) for k, v in alone.items())
+
+
 def test_empty_chunk_state_roundtrip():
     cfg = replace(BASE, smoothing=True)
     theta = {k: np.array([getattr(cfg, k)] * 2) for k in ("rho", "sigma_z", "mu", "gamma", "nu")}

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from voltide.functions.config import FilterConfig
 from voltide.plans import stepper
 from voltide.plans.noise import Noise
-from voltide.session import group_bound, scratch_table
+from voltide.session import scratch_table
 
 CHUNK = 1024
 PAIR_CELLS = 1 << 19  # rows x particles^2 advanced together by a task (their pairs are cut smaller inside)
@@ -47,8 +47,8 @@ def run_rows(cfg: FilterConfig, theta: dict[str, np.ndarray], keys: np.ndarray,
 def _runner(configs: dict[str, FilterConfig], noise: str, dtype, emit_particles: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf = pdf.assign(_len=pdf["ys"].map(len))
-            for cid, g in pdf.groupby("config_id"):
+            pdf = pdf.assign(_len=pdf["ys"].map(len), _t0=pdf["ts"].map(lambda v: v[0]))
+            for (cid, _), g in pdf.groupby(["config_id", "_t0"]):
                 cfg = configs[cid]
                 g = g.sort_values("_len", ascending=False, kind="stable")
                 size = max(1, PAIR_CELLS // cfg.n_particles**2)
@@ -83,12 +83,12 @@ def filter_series(obs: DataFrame, configs: list[FilterConfig], seed: int = 42, r
                   chunk: int = CHUNK, group: list[str] | None = None) -> DataFrame:
     """Per-tick estimates of every series under every configuration and replicate.
 
-    ``obs`` has (series_id, t, y) with dense t. ``theta`` optionally replaces model parameters by its columns among
+    ``obs`` has (series_id, t, y) with dense t; ``bound`` is above every t (counted if not given). ``theta`` optionally replaces model parameters by its columns among
     rho, sigma_z, mu, gamma, nu, matched on series_id and (if present) config_id. The draws depend on
     (series_id, replicate, seed), not on the configuration.
     """
     spark = obs.sparkSession
-    bound = group_bound(obs, ["series_id"]) if bound is None else bound
+    bound = int(obs.agg(F.max("t")).first()[0] or 0) + 1 if bound is None else bound
     by_id = {c.config_id: c for c in configs}
     if len(by_id) != len(configs):
         raise ValueError("config_id must be unique")
