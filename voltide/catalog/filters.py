@@ -207,10 +207,19 @@ def grid_report(spark, sf):
 
 # --- streams: the observations as a file stream; a control row far ahead moves the watermark past the last tick ----------
 
+def utc_instant(c):
+    """The instant whose UTC reading is the zone-free time in column ``c``, in any session zone."""
+    return F.from_utc_timestamp(F.col(c).cast("timestamp"), F.current_timezone())
+
+
+def utc_reading(c):
+    return F.to_utc_timestamp(F.col(c), F.current_timezone()).cast("timestamp_ntz")
+
+
 def stream_of(spark, sf):
     o, _ = obs(spark, sf)
     path = scratch_table(spark, "stream")
-    src = o.select("series_id", F.col("ts").cast("timestamp").alias("ts"), "tie", "y", F.lit("obs").alias("kind"))
+    src = o.select("series_id", utc_instant("ts").alias("ts"), "tie", "y", F.lit("obs").alias("kind"))
     src.write.parquet(path)
     end = spark.range(1).select(F.lit(-1).cast("long").alias("series_id"), F.lit("2100-01-01").cast("timestamp").alias("ts"), F.lit(0).cast("long").alias("tie"),
                                 F.lit(None).cast("double").alias("y"), F.lit("params").alias("kind"))
@@ -237,7 +246,7 @@ def stream_windowed_vol(spark, sf):
     from voltide.streaming.processor import windowed_vol
 
     return rounded(drain(windowed_vol(stream_of(spark, sf).filter("kind = 'obs' or series_id = -1"), "40 days", "1 day"), "winvol").filter("series_id >= 0")
-                   .select("series_id", F.col("start").cast("timestamp_ntz").alias("start"), "realised_vol", "mu_level", "n"))
+                   .select("series_id", utc_reading("start").alias("start"), "realised_vol", "mu_level", "n"))
 
 
 @query("stream_checked", f"WITH {OBS} SELECT CAST(CASE WHEN abs(y) > 0.5 THEN 302 ELSE 0 END AS INT) AS status, count(*) AS n FROM obs GROUP BY 1")

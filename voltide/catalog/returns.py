@@ -438,7 +438,11 @@ def pareto_frontier(spark, sf):
     return rounded(windows.pareto(m, "cost", "err", ["user_id"]))
 
 
-@query("preset_table")
+@query("preset_table", f"""
+WITH {OBS}, l AS (SELECT series_id, 2 * ln(stddev_pop(y) + 1e-8) AS level FROM obs GROUP BY 1),
+c AS (SELECT config_id, CAST(rho AS DOUBLE) AS rho, CAST(sg AS DOUBLE) AS sg FROM (VALUES ('default', 0.98, 0.10), ('wrapper', 0.98, 0.10), ('reactive', 0.92, 0.18),
+  ('inertial', 0.98, 0.10), ('two_factor', 0.98, 0.10), ('joint', 0.98, 0.10), ('best', 0.98, 0.10)) v(config_id, rho, sg))
+SELECT series_id, config_id, {_r('level - 2 * sqrt(sg * sg / (1 - rho * rho + 1e-6))', 'low')}, {_r('level + 2 * sqrt(sg * sg / (1 - rho * rho + 1e-6))', 'high')} FROM l, c""")
 def preset_table(spark, sf):
     """Presets applied to the data: stationary spread of each preset around every series' own level."""
     mu = obs(spark, sf)[0].groupBy("series_id").agg((2 * F.log(F.stddev_pop("y") + 1e-8)).alias("level"))

@@ -78,7 +78,10 @@ def realised_vol_ratio(df: DataFrame, short_h: int = 24, long_h: int = 168, thre
 
     Rows are first summed per (series, hour), so the range window runs over at most one row per hour.
     """
-    hour = (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3_600_000_000)).cast("long")
+    instant = F.col("ts").cast("timestamp")
+    if df.schema["ts"].dataType.simpleString() == "timestamp_ntz":
+        instant = F.from_utc_timestamp(instant, F.current_timezone())  # hours of the wall clock in any session zone
+    hour = F.floor(F.unix_micros(instant) / F.lit(3_600_000_000)).cast("long")
     h = df.groupBy("series_id", hour.alias("hour")).agg(F.sum(F.col("y") * F.col("y")).alias("_q"), F.count("y").alias("_n"))
     w = Window.partitionBy("series_id").orderBy("hour")
 

@@ -68,9 +68,8 @@ class OrderedProcessor(StatefulProcessor):
             for rec in pdf.to_dict("records"):
                 rec["ms"] = int(pd.Timestamp(rec["ts"]).value // 1_000_000)
                 (late if 0 < now and rec["ms"] <= now else wait).append(rec)
-        for rec in wait:
-            self.buffer.appendValue((pickle.dumps(rec),))
         if wait:
+            self.buffer.appendList([(pickle.dumps(rec),) for rec in wait])
             self.handle.registerTimer(min(r["ms"] for r in wait) + 1)
         if late:
             yield self._frame(key, [[r["ts"], r["tie"], -1, r["y"], LATE_INPUT, None, *[None] * len(self.columns)] for r in late])
