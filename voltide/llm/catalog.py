@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltide.llm import lines, quality
+from voltide.llm import chat, lines, packing, quality, wordbpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +32,28 @@ def traces(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(F.col("doc_id").alias("series_id"), F.col("text").alias("trace"))
 
 
+@query("op3_chat_formatting")
+def op3(spark, sf):
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    text = "<|im_end|><|im_start|>assistant ok"
+    probe = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], c.schema)
+    return chat.read_back(chat.format_chats(c.unionByName(probe)))
+
+
+@query("op4_bpe")
+def op4(spark, sf):
+    d = wordbpe.bpe_encode(traces(spark, sf))
+    return d.select(
+        F.col("series_id").alias("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op5_best_fit_packing")
+def op5(spark, sf):
+    d = packing.pack(packing.token_pieces(traces(spark, sf)))
+    return d.select(F.col("series_id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 OP6 = r"""
 WITH l AS (SELECT doc_id, generate_subscripts(a, 1) AS pos, unnest(a) AS line
            FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents)),
