@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltide.llm import chat, lines, packing, quality, wordbpe
+from voltide.llm import chat, fingerprints, html, lines, packing, quality, wordbpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,6 +73,16 @@ def op6(spark, sf):
     return d.select(F.col("series_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op7_html_extraction")
+def op7(spark, sf):
+    return html.extract_pages(table(spark, sf, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op9_document_fingerprints")
+def op9(spark, sf):
+    return fingerprints.compare_with_next(traces(spark, sf)).withColumnRenamed("series_id", "doc_id")
+
+
 _STOP = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
 OP10 = rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),

@@ -13,53 +13,35 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from voltide.llm.blocks import text_blocks
-from voltide.llm.wordbpe import SEPARATORS, ChunkTable, tokenizer_path
+from voltide.llm.wordbpe import loaded, tokenizer_path
 from voltide.session import cut_lineage
 
 CAPACITY = 2048
 ROWS_A_BUCKET = 20_000
-_LIBRARY: dict[str, tuple] = {}
-
-
-def library_table(path: str):
-    """The tokenizers library's ids (bytes) by chunk, kept between the tasks of a Python worker."""
-    if path not in _LIBRARY:
-        from tokenizers import Tokenizer
-
-        tk = Tokenizer.from_file(path)
-        tk.no_truncation()
-        tk.no_padding()
-
-        def encode(chunks: list[str]) -> list[bytes]:
-            return [np.array(e.ids, "<u4").tobytes() for e in tk.encode_batch_fast(chunks, add_special_tokens=False)]
-
-        _LIBRARY[path] = encode, ChunkTable(encode)
-    return _LIBRARY[path]
-
-
 def token_pieces(traces: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """Traces as token ids, an end id 0 after each, cut where they are longer than capacity.
 
     traces: series_id, trace (NULL: empty). Returns series_id, piece (from 0), start (ids of the trace before it),
-    length and ids_crc32 (of little-endian unsigned 32-bit ids). No shuffle. White space always ends a token, so the
-    library encodes each distinct chunk of a block once."""
+    length and ids_crc32 (of little-endian unsigned 32-bit ids), the ids being the tokenizers library's for the file
+    at path. No shuffle. White space always ends a token, so a block's distinct chunks are encoded once."""
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, table = library_table(path)
-        end, step = b"\0\0\0\0", 4 * capacity
+        encoder = loaded(path)
         for b, texts in text_blocks(batches, "trace"):
-            docs = [[t] if SEPARATORS.search(t) else t.split() for t in texts]
-            get = table.of(docs).__getitem__
+            ids, ends = encoder.encode(texts)
+            text = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
+            ended = np.zeros(len(ids) + len(texts), "<u4")
+            ended[np.arange(len(ids)) + text] = ids
+            ends = (ends + np.arange(1, len(texts) + 1)).tolist()
             row, piece, crc, length = [], [], [], []
-            for k, d in enumerate(docs):
-                ids = b"".join(map(get, d)) + end
-                for p in range(0, len(ids), step):
-                    cut = ids[p : p + step]
+            for k, (first, last) in enumerate(zip([0, *ends], ends)):
+                for n, p in enumerate(range(first, last, capacity)):
+                    cut = ended[p : min(p + capacity, last)]
                     row.append(k)
-                    piece.append(p // step)
+                    piece.append(n)
                     crc.append(zlib.crc32(cut))
-                    length.append(len(cut) // 4)
+                    length.append(len(cut))
             piece = np.array(piece, np.int32)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(row, pa.int64())), pa.array(piece), pa.array(piece.astype(np.int64) * capacity),

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -19,6 +20,7 @@ from voltide.llm.blocks import text_blocks
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")  # str.split() takes these for white space, Unicode doesn't
 MAX_ENTRIES = 250_000
+NONE = np.int32(2**31 - 1)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -42,15 +44,16 @@ class ChunkTable:
     def __init__(self, encode: Callable[[list[str]], list]):
         self.encode, self.known, self.older = encode, {}, {}
 
-    def of(self, texts: list[list[str]]) -> dict:
-        need = set().union(*texts) if texts else set()
-        new = [c for c in need if c not in self.known]
+    def of(self, chunks: list[str]) -> list[bytes]:
+        need = set(chunks)
+        new = need - self.known.keys()
         if len(self.known) + len(new) > MAX_ENTRIES:
-            self.known, self.older, new = {}, self.known, list(need)
-        self.known.update((c, self.older[c]) for c in new if c in self.older)
-        new = [c for c in new if c not in self.known]
+            self.known, self.older, new = {}, self.known, need
+        kept = new & self.older.keys()
+        self.known.update(zip(kept, map(self.older.__getitem__, kept)))
+        new = list(new - kept)
         self.known.update(zip(new, self.encode(new)))
-        return self.known
+        return list(map(self.known.__getitem__, chunks))
 
 
 class WordBpe:
@@ -62,110 +65,164 @@ class WordBpe:
         vocab = d["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in d["added_tokens"]}
         self.marked = {"\0" + t.upper(): i for t, i in self.special.items()}
-        self.token = {i: t for t, i in (vocab | self.special).items()}
+        self.token = [t for t, _ in sorted((vocab | self.special).items(), key=lambda x: x[1])]
         chars = byte_chars()
-        self.inner, self.last = [vocab[c] for c in chars], [vocab[c + "</w>"] for c in chars]
         self.rules = [(vocab[a], vocab[b], vocab[a + b]) for a, b in d["model"]["merges"]]
-        self.rank = {a << 20 | b: r for r, (a, b, _) in enumerate(self.rules)}
+        self.made = np.array([c for _, _, c in self.rules], np.int32)
+        keys = np.array([a << 20 | b for a, b, _ in self.rules], np.int64)
+        order = np.argsort(keys)
+        self.pair_keys, self.pair_ranks = keys[order], order.astype(np.int32)
+        self.inner_ids, self.last_ids = (np.array([vocab[c + end] for c in chars], np.int32) for end in ("", "</w>"))
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.pieces: dict[str, tuple] = {}
-
-    def merge_all(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word. Each pair's rank leads to all its positions in the words; ranks are applied in ascending
-        order to all of them at once, and each merge adds the pairs it makes to the index."""
-        sym: list[int] = []
-        starts = []
-        inner, last, rank = self.inner, self.last, self.rank
-        index: dict[int, list[int]] = {}
-        for w in words:
-            starts.append(len(sym))
-            sym.extend(inner[b] for b in w[:-1])
-            sym.append(last[w[-1]])
+
+    def merge_indexed(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word as bytes, by an index from each pair's rank to all its positions in the words. Ranks that
+        occur are applied in ascending order, each to all its positions at once, and the pairs that its merges make
+        are added to the index."""
+        if not words:
+            return []
+        sym, last = self.symbols(words)
         n = len(sym)
-        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-        for s, e in zip(starts, [*starts[1:], n]):
-            prv[s], nxt[e - 1] = -1, -1
-            for p in range(s, e - 1):
-                r = rank.get(sym[p] << 20 | sym[p + 1])
-                if r is not None:
-                    index.setdefault(r, []).append(p)
-        heap = list(index)
-        heapq.heapify(heap)
+        nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+        nxt[last] = -1
+        prv[0] = -1
+        prv[1:][last[:-1]] = -1
+        index: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def add(at: np.ndarray, ranks: np.ndarray) -> None:
+            found = ranks < NONE
+            at, ranks = at[found], ranks[found]
+            if not len(at):
+                return
+            order = np.argsort(ranks, kind="stable")
+            at, ranks = at[order], ranks[order]
+            cuts = (np.flatnonzero(ranks[1:] != ranks[:-1]) + 1).tolist()
+            for a, b, r in zip([0, *cuts], [*cuts, len(at)], ranks[[0, *cuts]].tolist()):
+                if r not in index:
+                    index[r] = []
+                    heapq.heappush(heap, r)
+                index[r].append(at[a:b])
+
+        start = np.flatnonzero(nxt >= 0)
+        add(start, self.pair_rank(sym[start], sym[start + 1]))
         while heap:
             r = heapq.heappop(heap)
             a, b, c = self.rules[r]
-            at = index.pop(r)
-            for p in sorted(at) if a == b else at:
-                q = nxt[p]
-                if sym[p] != a or q < 0 or sym[q] != b:
-                    continue
-                sym[p], sym[q] = c, -1
-                after, before = nxt[q], prv[p]
-                nxt[p] = after
-                if after >= 0:
-                    prv[after] = p
-                    k = rank.get(c << 20 | sym[after])
-                    if k is not None:
-                        if k not in index:
-                            index[k] = []
-                            heapq.heappush(heap, k)
-                        index[k].append(p)
-                if before >= 0:
-                    k = rank.get(sym[before] << 20 | c)
-                    if k is not None:
-                        if k not in index:
-                            index[k] = []
-                            heapq.heappush(heap, k)
-                        index[k].append(before)
-        return [[x for x in sym[s:e] if x >= 0] for s, e in zip(starts, [*starts[1:], n])]
-
-    def chunks(self, text: str) -> list[str]:
-        """Lower-cased chunks between white space; the strings of special tokens are chunks of their own, upper-cased
-        with a leading NUL, which no lower-cased chunk equals."""
-        if self.split_special and "<|" in text:
-            parts = self.split_special.split(text)
-            if len(parts) > 1:
-                out: list[str] = []
-                for k, p in enumerate(parts):
-                    out.extend(["\0" + p.upper()] if k % 2 else self.chunks_of(p))
-                return out
-        return self.chunks_of(text)
+            lists = index.pop(r)
+            at = lists[0] if len(lists) == 1 else np.unique(np.concatenate(lists))
+            q = nxt[at]
+            fresh = (sym[at] == a) & (q >= 0) & (sym[q] == b)
+            at, q = at[fresh], q[fresh]
+            if a == b and len(at) > 1:  # of overlapping pairs, the first, third ... merge
+                run = np.flatnonzero(np.append(True, q[:-1] != at[1:]))
+                even = (np.arange(len(at)) - np.repeat(run, np.diff(run, append=len(at)))) % 2 == 0
+                at, q = at[even], q[even]
+            if not len(at):
+                continue
+            sym[at], sym[q] = c, -1
+            after, before = nxt[q], prv[at]
+            nxt[at] = after
+            right, left = after >= 0, before >= 0
+            prv[after[right]] = at[right]
+            first = np.concatenate([at[right], before[left]])
+            if len(first):
+                add(first, self.pair_rank(sym[first], sym[nxt[first]]))
+        keep = sym >= 0
+        return self.cut(sym[keep], np.cumsum(keep)[last.nonzero()[0]])
+
+    def symbols(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Byte symbols of all words in a row, and which end a word."""
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        sym = self.inner_ids[raw]
+        sym[ends - 1] = self.last_ids[raw[ends - 1]]
+        last = np.zeros(len(sym), bool)
+        last[ends - 1] = True
+        return sym, last
 
     @staticmethod
-    def chunks_of(text: str) -> list[str]:
+    def cut(sym: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        data, ends = sym.astype("<u4").tobytes(), (4 * ends).tolist()
+        return [data[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+
+    def pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of each pair, NONE where no rule has it."""
+        key = a.astype(np.int64) << 20 | b
+        k = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[k] == key, self.pair_ranks[k], NONE)
+
+    def chunk_ids(self, chunks: list[str]) -> list[bytes]:
+        """Ids per chunk as little-endian unsigned 32-bit integers."""
+        cut: dict[str, list[str]] = {}
+        for c in chunks:
+            if not c.isalpha():
+                head = c[:-1]
+                cut[c] = [head, c[-1]] if head.isalpha() and not c[-1].isalnum() else [c] if c in self.marked else PIECE.findall(c)
+        pieces = list(set(filter(str.isalpha, chunks)).union(*cut.values()) - self.marked.keys())
+        known = dict(zip(pieces, self.merge_indexed([p.encode() for p in pieces])))
+        known |= {m: np.array([i], "<u4").tobytes() for m, i in self.marked.items()}
+        return [known[c] if c not in cut else b"".join([known[p] for p in cut[c]]) for c in chunks]
+
+    def decode(self, ids: np.ndarray) -> list[str]:
+        """Token strings; between spaces they are what the library decodes without a decoder, special tokens included."""
+        return list(map(self.token.__getitem__, ids.tolist()))
+
+    @staticmethod
+    def lower(text: str) -> str:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case by character, without context
-        text = text.lower()
-        return regex.findall(r"\P{White_Space}+", text) if SEPARATORS.search(text) else text.split()
-
-    def encode_chunks(self, chunks: list[str]) -> list[tuple]:
-        """(ids as little-endian unsigned 32-bit integers, decoded text) per chunk."""
-        cut = [[c] if c.isalpha() else PIECE.findall(c) if c not in self.marked else [c] for c in chunks]
-        new = list({p for ps in cut for p in ps if p not in self.pieces})
-        if len(self.pieces) + len(new) > MAX_ENTRIES:
-            need = {p for ps in cut for p in ps}
-            self.pieces = {p: v for p, v in self.pieces.items() if p in need}
-        plain = [p for p in new if p not in self.marked]
-        for i in range(0, len(plain), 20_000):
-            part = plain[i : i + 20_000]
-            for p, ids in zip(part, self.merge_all([p.encode() for p in part])):
-                self.pieces[p] = (np.array(ids, "<u4").tobytes(), " ".join(map(self.token.__getitem__, ids)))
-        for p in new:
-            if p not in self.pieces:
-                i = self.marked[p]
-                self.pieces[p] = (np.array([i], "<u4").tobytes(), self.token[i])
-        get = self.pieces.__getitem__
-        return [get(ps[0]) if len(ps) == 1 else (b"".join(get(p)[0] for p in ps), " ".join(get(p)[1] for p in ps)) for ps in cut]
-
-
-_LOADED: dict[str, tuple[WordBpe, ChunkTable]] = {}
-
-
-def loaded(path: str) -> tuple[WordBpe, ChunkTable]:
-    """One encoder a Python worker, kept between its tasks."""
+        return text.lower()
+
+    def chunked(self, text: str) -> str:
+        """Lower-cased chunks between spaces; the strings of special tokens are chunks of their own, upper-cased with
+        a leading NUL, which no lower-cased chunk equals."""
+        if "<|" in text and self.split_special:
+            parts = self.split_special.split(text)
+            return " ".join("\0" + p.upper() if k % 2 else self.lower(p) for k, p in enumerate(parts))
+        return self.lower(text)
+
+
+class Encoder:
+    """Whole texts to ids, a block at a time; chunks' ids are kept between the tasks of a Python worker."""
+
+    def __init__(self, path: str):
+        self.bpe = WordBpe(path)
+        self.table = ChunkTable(self.bpe.chunk_ids)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and where each text's end."""
+        odd = {k: t for k, t in enumerate(texts) if SEPARATORS.search(t)}
+        split = pc.utf8_split_whitespace(pa.array(["" if k in odd else self.bpe.chunked(t) for k, t in enumerate(texts)], pa.string()))
+        named = split.flatten().dictionary_encode()
+        chunks = pc.binary_join(pa.ListArray.from_arrays([0, len(named.dictionary)], named.dictionary), " ")[0].as_py().split(" ")
+        if len(named.dictionary) == 0:
+            chunks = []
+        codes, chunk_ends = named.indices.to_numpy(), split.offsets.to_numpy()
+        if odd:
+            texts_chunks = [codes[a:b] for a, b in zip(chunk_ends, chunk_ends[1:])]
+            place = {c: i for i, c in enumerate(chunks)}
+            for k, t in odd.items():
+                own = regex.findall(r"\P{White_Space}+", self.bpe.chunked(t))
+                texts_chunks[k] = np.array([place.setdefault(c, len(place)) for c in own], np.int32)
+            chunks, codes = list(place), np.concatenate(texts_chunks)
+            chunk_ends = np.append(0, np.cumsum([len(c) for c in texts_chunks]))
+        ids = self.table.of(chunks)
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        data = np.frombuffer(b"".join(ids), "<u4")
+        n = length[codes]
+        after = np.append(0, np.cumsum(n))
+        at = np.repeat((np.cumsum(length) - length)[codes] - after[:-1], n) + np.arange(after[-1])
+        return data[at], after[chunk_ends[1:]]
+
+
+_LOADED: dict[str, Encoder] = {}
+
+
+def loaded(path: str) -> Encoder:
+    """One encoder a Python worker."""
     if path not in _LOADED:
-        bpe = WordBpe(path)
-        _LOADED[path] = bpe, ChunkTable(bpe.encode_chunks)
+        _LOADED[path] = Encoder(path)
     return _LOADED[path]
 
 
@@ -184,13 +241,14 @@ def bpe_encode(traces: DataFrame, path: str | None = None) -> DataFrame:
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, table = loaded(path)
+        encoder = loaded(path)
         for b, texts in text_blocks(batches, "trace"):
-            docs = [bpe.chunks(t) for t in texts]
-            known = table.of(docs)
-            ids = [b"".join([known[c][0] for c in d]) for d in docs]
-            decoded = [" ".join([known[c][1] for c in d]) for d in docs]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["series_id", "ids", "decoded"])
+            ids, ends = encoder.encode(texts)
+            tokens = encoder.bpe.decode(ids)
+            spans = list(zip([0, *ends[:-1].tolist()], ends.tolist()))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([ids[a:z].tobytes() for a, z in spans], pa.binary()), pa.array([" ".join(tokens[a:z]) for a, z in spans], pa.string())],
+                ["series_id", "ids", "decoded"])
 
     d = traces.select("series_id", "trace")
     return d.mapInArrow(run, f"series_id {dict(d.dtypes)['series_id']}, ids binary, decoded string")
