@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltide.llm import chat, fingerprints, html, lines, packing, quality, wordbpe
+from voltide.llm import chat, fingerprints, html, langid, lines, neardup, packing, quality, wordbpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +32,11 @@ def traces(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(F.col("doc_id").alias("series_id"), F.col("text").alias("trace"))
 
 
+@query("op2_minhash_near_dedup")
+def op2(spark, sf):
+    return neardup.near_classes(traces(spark, sf)).withColumnRenamed("series_id", "doc_id")
+
+
 @query("op3_chat_formatting")
 def op3(spark, sf):
     c = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
@@ -78,6 +83,15 @@ def op7(spark, sf):
     return html.extract_pages(table(spark, sf, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+@query("op8_language_id")
+def op8(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 3
+    out = langid.identify_languages(d.withColumnRenamed("doc_id", "text_id"), d.where(fold != 1))
+    out = out.withColumnRenamed("text_id", "doc_id")
+    return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out"), "lang_pred", "score")
+
+
 @query("op9_document_fingerprints")
 def op9(spark, sf):
     return fingerprints.compare_with_next(traces(spark, sf)).withColumnRenamed("series_id", "doc_id")
