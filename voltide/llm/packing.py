@@ -28,11 +28,9 @@ def token_pieces(traces: DataFrame, capacity: int = CAPACITY, path: str | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = loaded(path)
-        for b, texts in text_blocks(batches, "trace"):
+        for b, texts in text_blocks(batches, "trace", 10_000_000):
             ids, ends = encoder.encode(texts)
-            text = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
-            ended = np.zeros(len(ids) + len(texts), "<u4")
-            ended[np.arange(len(ids)) + text] = ids
+            ended = np.insert(ids, ends, 0).astype("<u4", copy=False)
             ends = (ends + np.arange(1, len(texts) + 1)).tolist()
             row, piece, crc, length = [], [], [], []
             for k, (first, last) in enumerate(zip([0, *ends], ends)):

@@ -19,7 +19,7 @@ from voltide.llm.blocks import text_blocks
 # The pieces that the tokenizer file's own pattern finds, with white space as Unicode has it.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")  # str.split() takes these for white space, Unicode doesn't
-MAX_ENTRIES = 250_000
+MAX_ENTRIES = 300_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -41,19 +41,27 @@ class ChunkTable:
     """What white-space separated chunks become. Two generations are kept, so that frequent chunks stay and memory has
     a bound whatever the texts hold."""
 
-    def __init__(self, encode: Callable[[list[str]], list]):
+    def __init__(self, encode: Callable[[list[str], dict], list]):
         self.encode, self.known, self.older = encode, {}, {}
 
     def of(self, chunks: list[str]) -> list[bytes]:
-        need = set(chunks)
-        new = need - self.known.keys()
-        if len(self.known) + len(new) > MAX_ENTRIES:
-            self.known, self.older, new = {}, self.known, need
-        kept = new & self.older.keys()
-        self.known.update(zip(kept, map(self.older.__getitem__, kept)))
-        new = list(new - kept)
-        self.known.update(zip(new, self.encode(new)))
-        return list(map(self.known.__getitem__, chunks))
+        """What distinct chunks become."""
+        if len(self.known) > MAX_ENTRIES:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        out = list(map(known.get, chunks))
+        new = []
+        for k in [k for k, v in enumerate(out) if v is None]:
+            c = chunks[k]
+            v = older.get(c)
+            if v is None:
+                new.append(k)
+            else:
+                known[c] = out[k] = v
+        names = [chunks[k] for k in new]
+        for k, c, v in zip(new, names, self.encode(names, known)):
+            known[c] = out[k] = v
+        return out
 
 
 class WordBpe:
@@ -152,17 +160,23 @@ class WordBpe:
         k = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[k] == key, self.pair_ranks[k], NONE)
 
-    def chunk_ids(self, chunks: list[str]) -> list[bytes]:
-        """Ids per chunk as little-endian unsigned 32-bit integers."""
+    def chunk_ids(self, chunks: list[str], known: dict[str, bytes]) -> list[bytes]:
+        """Ids per chunk as little-endian unsigned 32-bit integers. known: chunks, and so pieces, of which they are known."""
         cut: dict[str, list[str]] = {}
+        pieces = set()
         for c in chunks:
-            if not c.isalpha():
+            if c.isalpha():
+                pieces.add(c)
+            else:
                 head = c[:-1]
-                cut[c] = [head, c[-1]] if head.isalpha() and not c[-1].isalnum() else [c] if c in self.marked else PIECE.findall(c)
-        pieces = list(set(filter(str.isalpha, chunks)).union(*cut.values()) - self.marked.keys())
-        known = dict(zip(pieces, self.merge_indexed([p.encode() for p in pieces])))
-        known |= {m: np.array([i], "<u4").tobytes() for m, i in self.marked.items()}
-        return [known[c] if c not in cut else b"".join([known[p] for p in cut[c]]) for c in chunks]
+                cut[c] = parts = [head, c[-1]] if head.isalpha() and not c[-1].isalnum() else [c] if c in self.marked else PIECE.findall(c)
+                pieces.update(parts)
+        pieces -= self.marked.keys()
+        ids = {p: known[p] for p in pieces & known.keys()}
+        new = list(pieces - ids.keys())
+        ids.update(zip(new, self.merge_indexed([p.encode() for p in new])))
+        ids.update((m, np.array([i], "<u4").tobytes()) for m, i in self.marked.items())
+        return [b"".join([ids[p] for p in cut[c]]) if c in cut else ids[c] for c in chunks]
 
     def decode(self, ids: np.ndarray) -> list[str]:
         """Token strings; between spaces they are what the library decodes without a decoder, special tokens included."""
@@ -208,11 +222,12 @@ class Encoder:
             chunks, codes = list(place), np.concatenate(texts_chunks)
             chunk_ends = np.append(0, np.cumsum([len(c) for c in texts_chunks]))
         ids = self.table.of(chunks)
-        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        length = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
         data = np.frombuffer(b"".join(ids), "<u4")
         n = length[codes]
         after = np.append(0, np.cumsum(n))
-        at = np.repeat((np.cumsum(length) - length)[codes] - after[:-1], n) + np.arange(after[-1])
+        at = np.repeat(((np.cumsum(length) - length)[codes] - after[:-1]).astype(np.int32), n)
+        at += np.arange(len(at), dtype=np.int32)
         return data[at], after[chunk_ends[1:]]
 
 
