@@ -22,3 +22,13 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int =
             j = max(i + 1, int(np.searchsorted(ends, base + max_bytes, side="right")))
             yield b.slice(i, j - i), col.slice(i, j - i).to_pylist()
             i = j
+
+
+def named_chunks(texts: pa.Array, ascii_only: bool = False) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Chunks between white space (of ASCII or of Unicode): the distinct ones, each place's number among them, and where
+    each text's places end. There may be an empty chunk at a text's ends."""
+    split = (pc.ascii_split_whitespace if ascii_only else pc.utf8_split_whitespace)(texts)
+    named = split.flatten().dictionary_encode()
+    n = len(named.dictionary)
+    joined = pc.binary_join(pa.ListArray.from_arrays([0, n], named.dictionary), " ")[0].as_py()
+    return joined.split(" ") if n else [], named.indices.to_numpy(), split.offsets.to_numpy()[1:]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltide.llm import chat, fingerprints, html, langid, lines, neardup, packing, quality, wordbpe
+from voltide.llm import chat, fingerprints, hmm, html, langid, lines, neardup, packing, quality, wordbpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +32,14 @@ def traces(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(F.col("doc_id").alias("series_id"), F.col("text").alias("trace"))
 
 
+@query("op1_lm_scoring")
+def op1(spark, sf):
+    held = F.crc32(F.col("series_id").cast("string")) % 10 == 0
+    d = hmm.score_traces(traces(spark, sf).withColumn("learn", ~held))
+    return d.select(
+        F.col("series_id").alias("doc_id"), held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op2_minhash_near_dedup")
 def op2(spark, sf):
     return neardup.near_classes(traces(spark, sf)).withColumnRenamed("series_id", "doc_id")

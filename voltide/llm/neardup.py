@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltide.llm.blocks import text_blocks
+from voltide.llm.blocks import named_chunks, text_blocks
 from voltide.llm.components import components
 from voltide.session import cut_lineage
 
@@ -36,14 +36,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def word_names(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit names of all words (lower case, without punctuation at the ends) and where each text's words end."""
-    split = pc.utf8_split_whitespace(pa.array([t.lower() for t in texts], pa.string()))
-    named = split.flatten().dictionary_encode()
-    words = pc.binary_join(pa.ListArray.from_arrays([0, len(named.dictionary)], named.dictionary), " ")[0].as_py().split(" ")
-    bare = [w.strip(EDGES) for w in words] if len(named.dictionary) else []
-    names = np.fromiter((xxhash.xxh3_64_intdigest(w) | 1 if w else 0 for w in bare), np.uint64, len(bare))
-    w = names[named.indices.to_numpy()] if len(bare) else np.zeros(0, np.uint64)
+    words, codes, text_ends = named_chunks(pa.array([t.lower() for t in texts], pa.string()))
+    names = np.fromiter((xxhash.xxh3_64_intdigest(w) | 1 if w else 0 for w in (w.strip(EDGES) for w in words)), np.uint64, len(words))
+    w = names[codes]
     real = w > 0
-    return w[real], np.append(0, np.cumsum(real))[split.offsets.to_numpy()[1:]]
+    return w[real], np.append(0, np.cumsum(real))[text_ends]
 
 
 def shingles(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -10,11 +10,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from voltide.llm.blocks import text_blocks
+from voltide.llm.blocks import named_chunks, text_blocks
 
 # The pieces that the tokenizer file's own pattern finds, with white space as Unicode has it.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
@@ -207,12 +206,8 @@ class Encoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's end."""
         odd = {k: t for k, t in enumerate(texts) if SEPARATORS.search(t)}
-        split = pc.utf8_split_whitespace(pa.array(["" if k in odd else self.bpe.chunked(t) for k, t in enumerate(texts)], pa.string()))
-        named = split.flatten().dictionary_encode()
-        chunks = pc.binary_join(pa.ListArray.from_arrays([0, len(named.dictionary)], named.dictionary), " ")[0].as_py().split(" ")
-        if len(named.dictionary) == 0:
-            chunks = []
-        codes, chunk_ends = named.indices.to_numpy(), split.offsets.to_numpy()
+        chunks, codes, ends = named_chunks(pa.array(["" if k in odd else self.bpe.chunked(t) for k, t in enumerate(texts)], pa.string()))
+        chunk_ends = np.append(0, ends)
         if odd:
             texts_chunks = [codes[a:b] for a, b in zip(chunk_ends, chunk_ends[1:])]
             place = {c: i for i, c in enumerate(chunks)}
