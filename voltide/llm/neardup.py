@@ -101,7 +101,7 @@ def sketches(traces: DataFrame) -> DataFrame:
     """series_id, name (128 bits of the words), keys (order MinHash tuples, empty without words), words (32-bit names)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, texts in text_blocks(batches, "trace", 3_000_000):
+        for b, texts in text_blocks(batches, "trace", 1_500_000):
             words, ends = word_names(texts)
             found, found_ends = shingles(words, ends)
             keys = order_sketches(found, found_ends)
@@ -176,19 +176,29 @@ def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _bucket_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """members: key, name, and more. Pairs to verify, and the members of large buckets.
+def _all_pairs(members: DataFrame) -> DataFrame:
+    """members: key, name, of buckets of at most SMALL."""
+    each = members.join(members.withColumnRenamed("name", "other"), "key").where(F.col("name") < F.col("other"))
+    return each.select(*_ordered("name", "other"))
 
-    Texts of a bucket of up to SMALL are paired with each other, those of a larger one with a text that a hash picks;
-    the large bucket's members come back to be dealt anew by more of their sketch."""
-    order = F.struct(F.xxhash64("key", "name").alias("h"), F.col("name").alias("name"))
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("centre")).where(F.col("n") > 1)
-    d = cut_lineage(members.join(sizes, "key").withColumn("centre", F.col("centre.name")))
-    small = d.where(F.col("n") <= SMALL).select("key", "name")
-    each = small.join(small.withColumnRenamed("name", "other"), "key").where(F.col("name") < F.col("other"))
-    star = d.where((F.col("n") > SMALL) & (F.col("name") != F.col("centre")))
-    pairs = each.select(*_ordered("name", "other")).union(star.select(*_ordered("name", "centre")))
-    return pairs, d.where(F.col("n") > SMALL).drop("n", "centre")
+
+def _buckets(members: DataFrame) -> DataFrame:
+    """key, name, n for buckets of more than one text."""
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    return cut_lineage(members.join(sizes, "key"))
+
+
+def _picked(seed: int):
+    return F.min(F.struct(F.xxhash64("key", "name", F.lit(seed)).alias("h"), F.col("name").alias("name")))["name"]
+
+
+def _stars(large: DataFrame) -> DataFrame:
+    """key, name, centre, p1 .. p3: a large bucket's centre is the text that shares most with others in large buckets,
+    as the origin of a group of edited copies does; further texts are picked by hashes."""
+    met = large.groupBy("name").agg(F.sum("n").alias("met"))
+    centres = large.join(met, "name").groupBy("key").agg(
+        F.max(F.struct("met", "name"))["name"].alias("centre"), *[_picked(s).alias(f"p{s}") for s in (1, 2, 3)])
+    return cut_lineage(large.select("key", "name").join(centres, "key"))
 
 
 def near_classes(traces: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -200,23 +210,35 @@ def near_classes(traces: DataFrame, least: float = SIMILARITY) -> DataFrame:
     more, and classes are the connected components.
 
     Copies are folded into one text before anything else, so that a group of copies costs one row. Order MinHash tuples
-    deal texts into buckets. Small buckets are compared pair by pair. A larger bucket's texts are compared with one of
-    them, a different one in each bucket, and are dealt anew by two tuples at a time, for neighbours that are not like
-    that one; no text is dropped and no pair is repeated. Classes never reach the driver.
+    deal texts into buckets. Small buckets are compared pair by pair; a larger bucket's texts with the one that shares
+    most with others. Those that are not like it are compared with three more and, dealt anew by two tuples at a time,
+    with each other. No text is dropped, no pair is verified twice, and classes never reach the driver.
 
     A NULL or empty trace has no words; all such are copies of each other. Rows with NULL ids get their class like
     others; its class_id is NULL only if no row of the class has an id. Repeated rows are copies. Empty in, empty out."""
     sk = cut_lineage(sketches(traces))
-    nodes = sk.groupBy("name").agg(F.min("series_id").alias("least"), F.first("keys").alias("keys"))
-    members = nodes.select("name", "keys", F.posexplode("keys").alias("j", "key"))
-    pairs, large = _bucket_pairs(members)
-    again = large.select("name", F.explode(F.array(*[
-        F.xxhash64("key", F.get("keys", (F.col("j") + d) % SKETCHES)) for d in (1, 2, 3)])).alias("key"))
-    more, _ = _bucket_pairs(again)
-    pairs = cut_lineage(pairs.union(more).distinct())
-    used = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-    texts = sk.select("name", "words").join(used, "name", "left_semi").groupBy("name").agg(F.first("words").alias("words"))
-    links = cut_lineage(_verified(pairs, cut_lineage(texts), least))
+    nodes = cut_lineage(sk.groupBy("name").agg(F.min("series_id").alias("least"), F.first("keys").alias("keys")))
+    buckets = _buckets(nodes.select("name", F.explode("keys").alias("key")))
+    texts = sk.groupBy("name").agg(F.first("words").alias("words"))
+    texts = cut_lineage(texts.join(buckets.select("name").distinct().hint("merge"), "name", "left_semi"))
+
+    stars = _stars(buckets.where(F.col("n") > SMALL))
+    near = _all_pairs(buckets.where(F.col("n") <= SMALL).select("key", "name"))
+    pairs = cut_lineage(near.union(stars.where(F.col("name") != F.col("centre")).select(*_ordered("name", "centre"))).distinct())
+    links = cut_lineage(_verified(pairs, texts, least))
+
+    unlike = stars.where(F.col("name") != F.col("centre")).withColumns({"a": F.least("name", "centre"), "b": F.greatest("name", "centre")})
+    unlike = cut_lineage(unlike.join(links, ["a", "b"], "left_anti").select("key", "name", "p1", "p2", "p3"))
+    others = unlike.select("name", F.explode(F.array("p1", "p2", "p3")).alias("centre")).where(F.col("name") != F.col("centre"))
+    place = F.array_position("keys", F.col("key")).cast("int") - 1
+    again = unlike.select("key", "name").join(nodes.select("name", "keys"), "name").select("name", F.explode(F.array(*[
+        F.xxhash64("key", F.get("keys", (place + d) % SKETCHES)) for d in (1, 2, 3)])).alias("key"))
+    again = _buckets(again.distinct())
+    hubs = again.where(F.col("n") > SMALL).groupBy("key").agg(_picked(4).alias("centre"))
+    more = again.where(F.col("n") > SMALL).join(hubs, "key").where(F.col("name") != F.col("centre")).select("name", "centre").union(others)
+    more = more.select(*_ordered("name", "centre")).union(_all_pairs(again.where(F.col("n") <= SMALL).select("key", "name"))).distinct()
+    more = cut_lineage(more.join(pairs, ["a", "b"], "left_anti"))
+    links = links.union(cut_lineage(_verified(more, texts, least)))
 
     found = components(links)
     ids = nodes.select("name", "least").join(found, F.col("name") == F.col("node"), "left")
