@@ -39,18 +39,24 @@ def _runs(dropped: Column) -> Column:
     starts = F.filter(dropped, lambda p, k: (k == 0) | (F.get(dropped, k - 1) != p - 1))
     ends = F.filter(dropped, lambda p, k: (k == F.size(dropped) - 1) | (F.get(dropped, k + 1) != p + 1))
     edges = F.flatten(F.zip_with(starts, ends, lambda a, b: F.array(a, b + 1)))
-    return F.transform(edges, lambda e, k: e - F.coalesce(F.get(edges, k - 1), F.lit(0)))
+    return _let(edges, lambda e: F.transform(e, lambda x, k: x - F.coalesce(F.get(e, k - 1), F.lit(0))))
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def apply_runs(lines: Column, runs: Column) -> Column:
     """The kept lines joined by newlines."""
     none = F.array().cast("array<int>")
     edges = F.aggregate(runs, none, lambda acc, r: F.concat(acc, F.array(r + F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)))))
-    edges = F.concat(edges, F.array(F.size(lines)))
-    # edge k ends run k; runs 0, 2, 4 ... and what follows the last run are kept
-    pieces = F.transform(edges, lambda e, k: F.when(k % 2 == 0, F.slice(
-        lines, F.coalesce(F.get(edges, k - 1), F.lit(0)) + 1, e - F.coalesce(F.get(edges, k - 1), F.lit(0)))))
-    return F.array_join(F.flatten(F.filter(pieces, lambda x: x.isNotNull())), "\n")
+
+    def kept(e: Column) -> Column:  # edge k ends run k; runs 0, 2, 4 ... and what follows the last run are kept
+        pieces = F.transform(e, lambda x, k: F.when(k % 2 == 0, F.slice(lines, F.coalesce(F.get(e, k - 1), F.lit(0)) + 1, x - F.coalesce(F.get(e, k - 1), F.lit(0)))))
+        return F.array_join(F.flatten(F.filter(pieces, lambda x: x.isNotNull())), "\n")
+
+    return _let(F.concat(edges, F.array(F.size(lines))), kept)
 
 
 def keep_bitmaps(traces: DataFrame, min_chars: int = 20, min_series: int = 3) -> DataFrame:
@@ -69,13 +75,15 @@ def keep_bitmaps(traces: DataFrame, min_chars: int = 20, min_series: int = 3) ->
     """
     d = traces.select("series_id", "trace").where(F.col("series_id").isNotNull())
     occ = cut_lineage(_occurrences(d, min_chars))
-    banded = occ.select("name", F.pmod(F.xxhash64("series_id"), F.lit(BANDS)).cast("int").alias("band"), "series_id", "pos")
-    ranged = banded.repartitionByRange("name", "band").sortWithinPartitions("name", "band", F.desc("series_id"), "pos")
+    occ = occ.withColumn("band", F.pmod(F.xxhash64("series_id"), F.lit(BANDS)).cast("int"))
+    ranged = occ.select("name", "band", "series_id", "pos").repartitionByRange("name", "band")
+    ranged = ranged.sortWithinPartitions("name", "band", F.desc("series_id"), "pos")
     w = Window.partitionBy("name", "band").orderBy(F.desc("series_id"), "pos")
     first = ranged.withColumn("first", F.coalesce(F.lag("series_id").over(w) != F.col("series_id"), F.lit(True)))
-    heads = first.where("first").groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.max("series_id").alias("keeper"))
-    heads = heads.where(F.col("n") >= min_series).select("name", "keeper")
-    gone = occ.join(heads, "name").where(F.col("series_id") != F.col("keeper"))
+    bands = first.where("first").groupBy("name", "band").agg(F.count(F.lit(1)).alias("n"), F.max("series_id").alias("keeper"))
+    heads = bands.groupBy("name").agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper"), F.collect_list("band").alias("bands"))
+    heads = heads.where(F.col("n") >= min_series).select("name", "keeper", F.explode("bands").alias("band"))
+    gone = occ.join(heads, ["name", "band"]).where(F.col("series_id") != F.col("keeper"))
     gone = gone.groupBy("series_id", "row").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
     return gone.select("series_id", "row", F.size("dropped").alias("n_dropped"), _runs(F.col("dropped")).alias("keep_runs"))
 
