@@ -106,4 +106,6 @@ def quality_rules(traces: DataFrame, base: tuple[Rule, ...] = BASE_RULES, rules:
     """
     m = _measures(traces.select("series_id", "trace"))
     failed = ~compile_rules(base)
-    return m.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
+    d = m.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
+    # counted as they pass; a filter on the verdict stays above this, and the measures are computed once
+    return d.observe("quality_rules", F.count(F.lit(1)).alias("rows"), F.count_if("kept").alias("kept"))
