@@ -91,3 +91,48 @@ def test_window_needs_no_second_shuffle(spark):
     plan = layout.over_time(r, ["series_id"], {"p": lambda w: F.lag("y").over(w)}, bound=10)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert Window is not None
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(monkeypatch):
+    from voltide import session
+
+    class Fake:
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+            class _jsc:
+                @staticmethod
+                def sc():
+                    class S:
+                        def getCheckpointDir(self):
+                            class D:
+                                def isDefined(self):
+                                    return False
+                            return D()
+                    return S()
+
+        class conf:
+            @staticmethod
+            def get(name, default=None):
+                return default
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Fake)
+
+
+def test_segments_by_series(spark):
+    from voltide.operators.windows import segment_of
+
+    d = spark.createDataFrame([(s, t) for s in (1, 2) for t in range(6)], "series_id long, t long")
+    starts = spark.createDataFrame([(1, 2, 7, "a"), (1, 4, 8, "b"), (2, 0, 9, "c")], "series_id long, start long, segment_id int, segment_name string")
+    got = {(r.series_id, r.t): r.segment_id for r in segment_of(d, starts).collect()}
+    assert [got[1, t] for t in range(6)] == [None, None, 7, 7, 8, 8] and {got[2, t] for t in range(6)} == {9}
+
+
+def test_periods_that_end_before_they_start(spark):
+    from voltide.operators.prep import slice_periods
+
+    d = spark.sql("select 'A' series_id, date'2020-01-01' + cast(id as int) ts from range(60)")
+    p = spark.sql("select * from values ('x','A',date'2020-02-10',date'2020-01-10'),('y','A',date'2020-01-20',date'2020-02-10') p(period_id,ticker,start,end)")
+    a, b = slice_periods(d, p), slice_periods(d, p, limit=0)
+    assert a.count() == b.count() == 21 and {r.period_id for r in b.collect()} == {"y"}

@@ -41,8 +41,8 @@ def test_ekf(data, piece, monkeypatch):
 
 def patch(monkeypatch, piece):
     real, real_s = scan.prefix_maps, scan.state_scan
-    monkeypatch.setattr(folds, "prefix_maps", lambda *a, **k: real(*a, **{**k, "piece": piece}))
-    monkeypatch.setattr(folds, "state_scan", lambda *a, **k: real_s(*a, **{**k, "piece": piece}))
+    monkeypatch.setattr(folds, "prefix_maps", lambda *a, **k: real(*a[:7], **{**k, "piece": piece}))
+    monkeypatch.setattr(folds, "state_scan", lambda *a, **k: real_s(*a[:9], **{**k, "piece": piece}))
 
 
 @pytest.mark.parametrize("piece", [512, 4])
@@ -138,3 +138,25 @@ def test_smoother_replays_ring_buffer(data, lag, out):
                     v[c] *= 1 - g * 0.95
                 want = h[t - min(out, lag - 1)]
             assert got[s][t][0] == pytest.approx(want, rel=1e-9, abs=1e-11)
+
+
+@pytest.mark.parametrize("piece", [512, 7, 3])
+def test_series_that_start_late_and_have_gaps(spark, piece):
+    """t from 10 on, with holes longer than a piece: the carry comes from the piece that exists before."""
+    ts = [10, 11, 12, 19, 40, 41, 300, 301, 1000]
+    d = spark.createDataFrame([(s, t, 0.1 * (s + 1) * (i + 1)) for s in (0, 1) for i, t in enumerate(ts)], "series_id long, t long, y double")
+    got = by_series(folds.ema(d, F.col("y"), 0.2, "e", 1.0, piece=piece), "e")
+    states = by_series(folds.shock_state(d.withColumn("z_sq", F.col("y") * 20), shock_ticks=2, recovery_ticks=3, piece=piece), "shock_state")
+    plain = by_series(folds.shock_state(d.withColumn("z_sq", F.col("y") * 20), shock_ticks=2, recovery_ticks=3, piece=10_000), "shock_state")
+    for s in (0, 1):
+        x = 1.0
+        for i in range(len(ts)):
+            x = 0.8 * x + 0.2 * 0.1 * (s + 1) * (i + 1)
+            assert got[s][i][0] == pytest.approx(x, rel=1e-12)
+    assert states == plain
+
+
+def test_smoothing_lag_has_no_limit(spark):
+    d = spark.createDataFrame([(0, t, float(t % 5), 0.1) for t in range(40)], "series_id long, t long, h_mean double, h_var double")
+    a = by_series(folds.smooth_fixed_lag(d, 0.9, 0.3, 0.0, 12, 10), "h_smoothed")[0]
+    assert [x[0] for x in a[:12]] == [float(t % 5) for t in range(12)] and a[20] != a[19]

@@ -13,7 +13,6 @@ from voltide.catalog.returns import _r, nu_score, nu_score_sql
 from voltide.functions.config import FilterConfig, presets
 from voltide.operators import stats
 from voltide.plans import calibrate, cross_section, evaluate, multiscale
-from voltide.plans.filter import filter_series, predictive_nll, time_parallel
 from voltide.session import scratch_table
 
 SMALL = FilterConfig("one", mu=-0.5, sigma_z=0.3, rho=0.95, n_particles=64, newton=True, full_newton=True, exact_gradient=True,
@@ -31,71 +30,15 @@ def levels(o):
     return stats.estimate_mu(o, ["series_id"])
 
 
-@query("filter_one_factor")
-def filter_one_factor(spark, sf):
-    o, bound = series(spark, sf)
-    est = filter_series(o, [SMALL], theta=levels(o), bound=bound)
-    return rounded(est.select("series_id", "config_id", "replicate", "t", "loglik_predictive", "loglik_filtered", "vol", "h_mean", "bandwidth", "ksd",
-                              "stein_steps", "guide_mean", "ess"))
-
-
-@query("filter_two_factor")
-def filter_two_factor(spark, sf):
-    o, bound = series(spark, sf)
-    est = filter_series(o, [replace(PRESET["two_factor"], n_particles=64, mu=-0.5)], theta=levels(o), bound=bound)
-    return rounded(est.select("series_id", "t", "loglik_filtered", "vol", "h_mean", "fast_mean", "slow_mean", "ess"))
-
-
-@query("filter_joint")
-def filter_joint(spark, sf):
-    o, bound = series(spark, sf)
-    est = filter_series(o, [replace(PRESET["joint"], n_particles=64)], bound=bound)
-    return rounded(est.select("series_id", "t", "loglik_filtered", "vol", "h_mean", "mu_mean", "rho_mean", "sigma_mean", "ess"))
-
-
-@query("filter_replicates")
-def filter_replicates(spark, sf):
-    """Two configurations and two replicates of every series, evaluated per run."""
-    o, bound = series(spark, sf)
-    arms = [replace(SMALL, config_id="plain", newton=False, full_newton=False, n_particles=32), replace(SMALL, config_id="newton", n_particles=32)]
-    est = filter_series(o, arms, replicates=2, theta=levels(o), bound=bound)
-    e, _ = estimates(spark, sf)
-    m = evaluate.run_metrics(est.withColumn("loglik", F.col("loglik_predictive")).withColumn("ess_ratio", F.col("ess") / 32),
-                             e.select("series_id", "t", "h_true", "vol_true"), ["series_id", "config_id", "replicate"], warmup=5, bound=bound)
-    return rounded(m)
-
-
-@query("filter_coverage")
-def filter_coverage(spark, sf):
-    """Final particle sets of every series as a table: interval coverage of the five-tick level, per event type of the last tick."""
-    o, bound = series(spark, sf)
-    est = filter_series(o, [replace(SMALL, n_particles=32)], theta=levels(o), emit_particles=True, bound=bound).filter("particles is not null")
-    p = est.select("series_id", "t", F.posexplode("particles").alias("i", "h"))
-    truth = estimates(spark, sf)[0].select("series_id", "t", "h_true", "event_type")
-    return rounded(stats.coverage(p, truth, ["series_id", "t"], ["event_type"]))
-
-
 @query("filter_tick")
 def filter_tick(spark, sf):
-    """The first tick of all series as one plan over particle tables."""
-    o, _ = series(spark, sf)
-    cfg = replace(SMALL, n_particles=32, min_steps=2, max_steps=2, annealing=False)
+    """One tick of the filter for every observation, each from the stationary level, as one plan over particle tables."""
+    o, _ = obs(spark, sf)
+    o = o.select(F.col("tie").alias("series_id"), "y")
+    cfg = replace(SMALL, n_particles=16, min_steps=2, max_steps=2)
     draw = cross_section.hash_draws(42)
-    p, s = cross_section.start_state(o.select("series_id").distinct(), cfg, draw)
-    return rounded(cross_section.filter_tick(p, s, o.filter("t = 0").select("series_id", "y"), cfg, draw)[2])
-
-
-@query("predictive_nll")
-def predictive_nll_query(spark, sf):
-    o, bound = series(spark, sf)
-    return rounded(predictive_nll(o, [replace(SMALL, n_particles=32, mim=False, guide=False, annealing=False, min_steps=5, max_steps=5)], 40, 10, bound=bound))
-
-
-@query("time_parallel")
-def time_parallel_query(spark, sf):
-    o, _ = series(spark, sf)
-    est = time_parallel(o, [replace(SMALL, n_particles=32)], 32, 8)
-    return rounded(est.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.avg("vol").alias("vol"), F.sum("loglik_predictive").alias("loglik")))
+    p, s = cross_section.start_state(o.select("series_id"), cfg, draw)
+    return rounded(cross_section.filter_tick(p, s, o, cfg, draw)[2])
 
 
 SCALES = EV + f""",
@@ -124,14 +67,6 @@ def vol_for_purpose(spark, sf):
     return rounded(scales(spark, sf).select("series_id", "t", *[multiscale.vol_for(x).alias(x) for x in ("execution", "position", "conservative")]))
 
 
-@query("filter_multiscale")
-def filter_multiscale(spark, sf):
-    o, bound = series(spark, sf)
-    both = filter_series(o, [replace(PRESET["reactive"], n_particles=32), replace(PRESET["inertial"], n_particles=32)], theta=levels(o), bound=bound)
-    m = multiscale.multiscale(both.filter("config_id = 'reactive'"), both.filter("config_id = 'inertial'"), o, bound=bound)
-    return rounded(m.select("series_id", "t", "vol_fast", "vol_slow", "vol_combined", "transient_ratio", "surprise", "is_transient", "is_regime_shift", "is_calm"))
-
-
 GRID = (3.0, 5.0, 10.0, 30.0)
 
 
@@ -148,34 +83,10 @@ def score_sweep(spark, sf):
     return rounded(calibrate.sweep_table(s, ["series_id"], 0.001).select("series_id", "value", "mean_grad", "direction", "equilibrium"))
 
 
-@query("filter_sweep_nu")
-def filter_sweep_nu(spark, sf):
-    o, bound = series(spark, sf)
-    return rounded(calibrate.sweep(o, replace(SMALL, n_particles=16, max_steps=4), "nu", (3.0, 8.0, 30.0), theta=levels(o), bound=bound))
-
-
-@query("filter_sweep_sigma")
-def filter_sweep_sigma(spark, sf):
-    o, bound = series(spark, sf)
-    return rounded(calibrate.sweep(o, replace(SMALL, n_particles=16, max_steps=4), "sigma_z", (0.1, 0.3, 0.9), theta=levels(o), bound=bound))
-
-
 def start_theta(o):
     return levels(o).select("series_id", F.lit(3.0).alias("rho_u"), F.lit(-1.2).alias("sigma_u"), "mu")
 
 
-@query("fd_gradient")
-def fd_gradient(spark, sf):
-    o, bound = series(spark, sf)
-    return rounded(calibrate.fd_gradient(o, start_theta(o), 0.05, replace(SMALL, n_particles=16, max_steps=4), 42, bound))
-
-
-@query("calibrate")
-def calibrate_query(spark, sf):
-    o, bound = series(spark, sf)
-    return rounded(calibrate.calibrate(o, start_theta(o), replace(SMALL, n_particles=8, max_steps=2, min_steps=2), 2, 0.05, bound=bound))
-
-
 def _adam_sql() -> str:
     prev = "SELECT series_id, mu AS x, CAST(0 AS DOUBLE) AS m, CAST(0 AS DOUBLE) AS v, g FROM gr"
     for k in (1, 2, 3):
@@ -198,13 +109,6 @@ def adam_updates(spark, sf):
     return rounded(state.select("series_id", "mu", "m_mu", "v_mu"))
 
 
-@query("grid_report")
-def grid_report(spark, sf):
-    o, bound = series(spark, sf)
-    truth = estimates(spark, sf)[0].select("series_id", "t", "h_true")
-    return rounded(calibrate.grid_report(o, truth, replace(SMALL, n_particles=16), (8, 16), (2, 4), 5, bound=bound))
-
-
 # --- streams: the observations as a file stream; a control row far ahead moves the watermark past the last tick ----------
 
 def utc_instant(c):
@@ -216,6 +120,9 @@ def utc_reading(c):
     return F.to_utc_timestamp(F.col(c), F.current_timezone()).cast("timestamp_ntz")
 
 
+SIGNALS = FilterConfig("s", rho=0.95, sigma_z=0.3, mu=-0.5)
+
+
 def stream_of(spark, sf):
     o, _ = obs(spark, sf)
     path = scratch_table(spark, "stream")
@@ -229,12 +136,16 @@ def stream_of(spark, sf):
 
 def drain(df, label: str):
     """Run an append stream over everything available into a table of the shared folder and read it back."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark, name = df.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
     out = scratch_table(spark, label)
-    q = (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-log").outputMode("append")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    try:  # map state and timers need this provider
+        spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        q = (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-log").outputMode("append")
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        spark.conf.set(name, before)
     return spark.read.schema(df.schema).parquet(out)
 
 
@@ -260,25 +171,35 @@ def stream_checked(spark, sf):
 @query("stream_signals", f"""
 WITH RECURSIVE {OBS}, ob AS (SELECT series_id, t, y, ln(y * y + 1e-8) + {OFF5} AS z FROM obs),
 rec AS (
-  SELECT series_id, t, -0.5 + k * (z + 0.5) AS m, (1 - k) * pp AS p, abs(y) AS e FROM
-    (SELECT *, pp / (pp + 6.93 + 1e-8) AS k FROM (SELECT *, 0.95 * 0.95 * (0.09 / (1 - 0.95 * 0.95)) + 0.09 AS pp FROM ob WHERE t = 0))
+  SELECT series_id, t, y, m, p, e, 0.9 + 0.1 * q AS zq, CAST(1.0 AS DOUBLE) AS boost, CASE WHEN q > 9 THEN 1 ELSE 0 END AS s, CASE WHEN q > 9 THEN 0 ELSE 1 END AS n FROM
+   (SELECT *, pow(y / (exp(m / 2) + 1e-8), 2) AS q FROM
+    (SELECT series_id, t, y, -0.5 + k * (z + 0.5) AS m, (1 - k) * pp AS p, abs(y) AS e FROM
+     (SELECT *, pp / (pp + 6.93 + 1e-8) AS k FROM (SELECT *, 0.95 * 0.95 * (0.09 / (1 - 0.95 * 0.95)) + 0.09 AS pp FROM ob WHERE t = 0))))
   UNION ALL
-  SELECT series_id, t, mp + k * (z - mp), (1 - k) * pp, CASE WHEN e > 0 THEN 0.05 * ay + 0.95 * e ELSE ay END FROM
-    (SELECT *, pp / (pp + 6.93 + 1e-8) AS k FROM
-      (SELECT ob.series_id, ob.t, ob.z, abs(ob.y) AS ay, rec.e, -0.5 + 0.95 * (rec.m + 0.5) AS mp, 0.95 * 0.95 * rec.p + 0.09 AS pp
-       FROM rec JOIN ob ON ob.series_id = rec.series_id AND ob.t = rec.t + 1)))
-SELECT series_id, t, {_r('m', 'guide_mean')}, {_r('p', 'guide_var')}, {_r('e', 'ret_ema')} FROM rec""")
+  SELECT series_id, t, y, m, p, e, zq, boost, s2, CASE WHEN s2 <> s OR (s = 2 AND s2 = 1) THEN 0 ELSE n + 1 END FROM
+   (SELECT *, CASE s WHEN 0 THEN (CASE WHEN q > 9 THEN 1 ELSE 0 END) WHEN 1 THEN (CASE WHEN n + 1 >= 20 THEN 2 ELSE 1 END)
+      ELSE (CASE WHEN q > 9 THEN 1 WHEN n + 1 >= 50 AND q < 4 THEN 0 ELSE 2 END) END AS s2, 0.9 * pz + 0.1 * q AS zq FROM
+    (SELECT *, pow(y / (exp(m / 2) + 1e-8), 2) AS q, CASE WHEN rz > {SIGNALS.sigma_threshold} THEN 1 + {SIGNALS.sigma_boost_max - 1} * least((rz - {SIGNALS.sigma_threshold}) / 3, 1.0) ELSE 1.0 END AS boost FROM
+     (SELECT series_id, t, y, mp + k * (z - mp) AS m, (1 - k) * pp AS p, CASE WHEN e > 0 THEN 0.05 * ay + 0.95 * e ELSE ay END AS e, pz, s, n,
+             ay / greatest(exp(pm / 2), 1e-4) AS rz FROM
+      (SELECT *, pp / (pp + 6.93 + 1e-8) AS k FROM
+       (SELECT ob.series_id, ob.t, ob.y, ob.z, abs(ob.y) AS ay, rec.e, rec.m AS pm, rec.zq AS pz, rec.s, rec.n,
+               -0.5 + 0.95 * (rec.m + 0.5) AS mp, 0.95 * 0.95 * rec.p + 0.09 AS pp
+        FROM rec JOIN ob ON ob.series_id = rec.series_id AND ob.t = rec.t + 1))))))
+SELECT series_id, t, {_r('m', 'guide_mean')}, {_r('p', 'guide_var')}, {_r('e', 'ret_ema')}, {_r('zq', 'z_sq_ema')}, {_r('boost', 'sigma_boost')},
+  CAST(s AS INT) AS shock_state FROM rec""")
 def stream_signals(spark, sf):
     from voltide.streaming.processor import SignalProcessor, run_stream
 
-    cfg = FilterConfig("s", rho=0.95, sigma_z=0.3, mu=-0.5)
-    out = drain(run_stream(stream_of(spark, sf), SignalProcessor(cfg), "40 days"), "signals")
-    return rounded(out.select("series_id", "t", "guide_mean", "guide_var", "ret_ema"))
+    out = drain(run_stream(stream_of(spark, sf), SignalProcessor(SIGNALS), "40 days"), "signals")
+    return rounded(out.select("series_id", "t", "guide_mean", "guide_var", "ret_ema", "z_sq_ema", "sigma_boost", F.col("shock_state").cast("int").alias("shock_state")))
 
 
-@query("stream_filter")
-def stream_filter(spark, sf):
-    from voltide.streaming.processor import FilterProcessor, run_stream
+@query("stream_sliding_vol", f"""
+WITH {OBS}, w AS (SELECT series_id, y, time_bucket(INTERVAL 1 DAY, ts) - k * INTERVAL 1 DAY AS start FROM obs, range(7) r(k))
+SELECT series_id, start, {_r('sqrt(avg(y * y))', 'realised_vol')}, count(*) AS n FROM w GROUP BY 1, 2""")
+def stream_sliding_vol(spark, sf):
+    from voltide.streaming.processor import windowed_vol
 
-    out = drain(run_stream(stream_of(spark, sf), FilterProcessor(replace(SMALL, n_particles=16, min_steps=2, max_steps=2), health_every=5), "40 days"), "filter")
-    return rounded(out.select("series_id", "t", "status", "loglik_predictive", "vol", "h_mean", "ess", "health"))
+    return rounded(drain(windowed_vol(stream_of(spark, sf), "40 days", "7 days", "1 day"), "slidevol").filter("series_id >= 0")
+                   .select("series_id", utc_reading("start").alias("start"), "realised_vol", "n"))

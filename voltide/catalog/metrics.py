@@ -337,15 +337,15 @@ def realised_vol_ratio(spark, sf):
 
 
 @query("enhanced_breathing", f"""
-WITH {LAGV}, s AS (SELECT *, 0.001 + abs(y) / 100 AS sp, abs(y) / greatest(vp, 1e-4) AS rz FROM lv),
+WITH {LAGV}, s AS (SELECT *, 0.001 + abs(y) / 100 AS sp, CASE WHEN vp IS NULL THEN 0 ELSE abs(y) / greatest(vp, 1e-4) END AS rz FROM lv),
 w AS (SELECT *, avg(sp) OVER x AS m, stddev_pop(sp) OVER x AS sd FROM s WINDOW x AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)),
-z AS (SELECT *, coalesce(CASE WHEN sd > 1e-12 THEN (sp - m) / sd ELSE 0 END, 0) AS sz FROM w WHERE t >= 12)
+z AS (SELECT *, coalesce(CASE WHEN sd > 1e-12 THEN (sp - m) / sd ELSE 0 END, 0) AS sz FROM w)
 SELECT series_id, t, {_r('sz', 'spread_z')}, {_r('rz', 'return_z')},
-  {_r('CASE WHEN sz > 2 OR rz > 2 THEN 1 + greatest(sz, rz) / 3 * 2.0 ELSE 1.0 END', 'sigma_boost')} FROM z""")
+  {_r('CASE WHEN t > 0 AND (sz > 2 OR rz > 2) THEN 1 + greatest(sz, rz) / 3 * 2.0 ELSE 1.0 END', 'sigma_boost')} FROM z""")
 def enhanced_breathing(spark, sf):
     e, bound = estimates(spark, sf)
     e = windows._lag(e, "vol", "vol_prev", bound).withColumn("spread", 0.001 + F.abs("y") / 100)
-    d = windows.enhanced_breathing(e, 10, 2.0, 2.0, 3.0, bound=bound).filter("t >= 12")
+    d = windows.enhanced_breathing(e, 10, 2.0, 2.0, 3.0, bound=bound)
     return rounded(d.select("series_id", "t", "spread_z", "return_z", "sigma_boost"))
 
 

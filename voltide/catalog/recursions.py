@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voltide.catalog.metrics import DIAG, diag
-from voltide.catalog.registry import EV, OBS, estimates, obs, query, rounded
+from voltide.catalog.registry import DAILY, EV, OBS, daily, estimates, obs, query, rounded
 from voltide.catalog.returns import OFF5, _r
 from voltide.functions.config import FilterConfig, implied_offset
 from voltide.operators import folds, prep
@@ -30,7 +30,7 @@ rec AS (
 def guided(spark, sf):
     o, bound = obs(spark, sf)
     level = o.groupBy("series_id").agg((2 * F.log(F.stddev_pop("y") + 1e-8)).alias("mu"))
-    d = join_back(o.select("series_id", "t", "y"), level, ["series_id"], "t")
+    d = join_back(o.select("series_id", "t", "y"), level, ["series_id"])
     d = d.withColumn("rho", F.lit(0.95)).withColumn("sigma_z", F.lit(0.3)).withColumn("offset", F.lit(implied_offset(5.0)))
     return folds.ekf_logvol(d, bound=bound), bound
 
@@ -146,7 +146,7 @@ SELECT series_id, t, {_r('s', 'surprise_ema')}, {_r('z', 'z_sq_ema')}, {_r('rv',
 def ema_given_seed(spark, sf):
     o, bound = obs(spark, sf)
     first = o.groupBy("series_id").agg(F.abs(F.min_by("y", "t")).alias("y0"))
-    d = join_back(o.select("series_id", "t", "y"), first, ["series_id"], "t")
+    d = join_back(o.select("series_id", "t", "y"), first, ["series_id"])
     for value, alpha, out, seed in ((F.abs("y"), 0.3, "surprise_ema", 0.0), (F.col("y") * F.col("y"), 0.1, "z_sq_ema", 1.0),
                                     (F.abs("y"), 0.1, "realised_vol", "y0")):
         d = folds.ema(d, value, alpha, out, seed, bound=bound)
@@ -185,3 +185,61 @@ def bandwidth_fold(spark, sf):
     o, bound = obs(spark, sf)
     d = o.select("series_id", "t", "y", (0.02 + F.col("y") * F.col("y") / 50).alias("var"), (0.3 + F.abs("y")).alias("spread"))
     return rounded(folds.bandwidth_fold(d, 64, bound=bound).select("series_id", "t", "bandwidth_sq", "bandwidth"))
+
+
+# --- long series from t = 300 on, with every fifth tick missing, in pieces that are much shorter than the series ---------
+
+LATE = DAILY + """,
+late AS (SELECT series_id, t, y, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS k FROM daily WHERE t >= 300 AND t % 5 <> 0)
+"""
+
+
+def late(spark, sf):
+    d, bound = daily(spark, sf)
+    return prep.drop_warmup(d.select("series_id", "t", "y"), 300).filter("t % 5 <> 0"), bound
+
+
+@query("late_start_averages", f"""
+WITH RECURSIVE {LATE},
+rec AS (SELECT series_id, t, k, abs(y) AS e, 0.1 * abs(y) + 0.9 * 0.5 AS g FROM late WHERE k = 0 UNION ALL
+  SELECT l.series_id, l.t, l.k, CASE WHEN rec.e > 0 THEN 0.05 * abs(l.y) + 0.95 * rec.e ELSE abs(l.y) END, 0.1 * abs(l.y) + 0.9 * rec.g
+  FROM rec JOIN late l ON l.series_id = rec.series_id AND l.k = rec.k + 1)
+SELECT series_id, t, {_r('e', 'ret_ema')}, {_r('g', 'seeded')} FROM rec""")
+def late_start_averages(spark, sf):
+    d, bound = late(spark, sf)
+    d = folds.ema(d, F.abs("y"), 0.05, "ret_ema", bound=bound, piece=64)
+    return rounded(folds.ema(d, F.abs("y"), 0.1, "seeded", 0.5, bound=bound, piece=64).select("series_id", "t", "ret_ema", "seeded"))
+
+
+@query("late_start_level", f"""
+WITH RECURSIVE {LATE},
+o AS (SELECT series_id, t, k, ln(y * y + 1e-4) AS h, least(greatest(abs(y) / 4, 0.01), 2.0) AS bw FROM late),
+rec AS (
+  SELECT series_id, t, k, greatest(-6.0, least(-1.0, CAST(-3.0 AS DOUBLE) + (1.001 / (1.001 + 10 * bw * bw + 1e-8)) * (h + 3.0))) AS m,
+         (1 - 1.001 / (1.001 + 10 * bw * bw + 1e-8)) * 1.001 AS v FROM o WHERE k = 0
+  UNION ALL
+  SELECT series_id, t, k, least(greatest(m + g * (h - m), -6.0), -1.0), (1 - g) * pp FROM
+    (SELECT *, pp / (pp + 10 * bw * bw + 1e-8) AS g FROM
+      (SELECT o.series_id, o.t, o.k, o.h, o.bw, rec.m, rec.v + 0.001 AS pp FROM rec JOIN o ON o.series_id = rec.series_id AND o.k = rec.k + 1)))
+SELECT series_id, t, {_r('m', 'mu_state')}, {_r('v', 'mu_var')} FROM rec""")
+def late_start_level(spark, sf):
+    d, bound = late(spark, sf)
+    d = d.select("series_id", "t", F.log(F.col("y") * F.col("y") + 1e-4).alias("h_mean"), F.least(F.greatest(F.abs("y") / 4, F.lit(0.01)), F.lit(2.0)).alias("bandwidth"))
+    return rounded(folds.adaptive_mu(d, -3.0, 0.001, 10.0, -6.0, -1.0, bound=bound, piece=64).select("series_id", "t", "mu_state", "mu_var"))
+
+
+@query("late_start_shocks", f"""
+WITH RECURSIVE {LATE},
+o AS (SELECT series_id, t, k, y * y * 40 AS z FROM late),
+rec AS (SELECT series_id, t, k, CASE WHEN z > 9 THEN 1 ELSE 0 END AS s, CASE WHEN z > 9 THEN 0 ELSE 1 END AS n FROM o WHERE k = 0 UNION ALL
+  SELECT series_id, t, k, s2, CASE WHEN s2 <> s OR (s = 2 AND s2 = 1) THEN 0 ELSE n + 1 END FROM
+   (SELECT o.series_id, o.t, o.k, rec.s, rec.n, CASE rec.s WHEN 0 THEN (CASE WHEN o.z > 9 THEN 1 ELSE 0 END)
+       WHEN 1 THEN (CASE WHEN rec.n + 1 >= 5 THEN 2 ELSE 1 END)
+       ELSE (CASE WHEN o.z > 9 THEN 1 WHEN rec.n + 1 >= 8 AND o.z < 4 THEN 0 ELSE 2 END) END AS s2
+    FROM rec JOIN o ON o.series_id = rec.series_id AND o.k = rec.k + 1))
+SELECT series_id, t, CAST(s AS INT) AS shock_state FROM rec""")
+def late_start_shocks(spark, sf):
+    d, bound = late(spark, sf)
+    d = d.select("series_id", "t", (F.col("y") * F.col("y") * 40).alias("z_sq"))
+    d = folds.shock_state(d, shock_ticks=5, recovery_ticks=8, bound=bound, piece=64)
+    return d.select("series_id", "t", F.col("shock_state").cast("int").alias("shock_state"))

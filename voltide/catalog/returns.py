@@ -384,13 +384,81 @@ def relative_spread(spark, sf):
     return rounded(e.select("event_id", prep.relative_spread().alias("spread")))
 
 
-@query("noise_columns")
+def _u_sql(*parts: str) -> str:
+    text = "concat_ws('/', '7', " + ", ".join(parts) + ")"
+    return f"((('0x' || substr(md5({text}), 1, 13))::BIGINT + 0.5) / {float(1 << 52)!r})"
+
+
+def _z_sql(*parts: str) -> str:
+    return f"sqrt(-2 * ln({_u_sql(*parts, chr(39) + 'a' + chr(39))})) * cos(2 * pi() * {_u_sql(*parts, chr(39) + 'b' + chr(39))})"
+
+
+_ID = ("user_id", "event_id")
+
+
+@query("noise_columns", f"""
+SELECT event_id, {_r(_u_sql(*_ID, "'u'"), 'u')}, {_r(_z_sql(*_ID, "'z'"), 'z')},
+  {_r('(' + _z_sql(*_ID, "'z'") + ') * sqrt(5.0 / (' + ' + '.join('pow(' + _z_sql(*_ID, f"'c{j}'") + ', 2)' for j in range(5)) + ' + 1e-8))', 's')}
+FROM events""")
 def noise_columns(spark, sf):
-    e = table(spark, sf, "events")
     keys = (F.col("user_id"), F.col("event_id"))
-    d = e.select(fn.uniform_noise(7, *keys, F.lit("u")).alias("u"), fn.normal_noise(7, *keys, F.lit("z")).alias("z"),
-                 fn.student_noise(7, 5.0, *keys).alias("s"))
-    return d.agg(*[F.avg(c).alias(f"mean_{c}") for c in "uzs"], *[F.stddev(c).alias(f"sd_{c}") for c in "uzs"])
+    return rounded(table(spark, sf, "events").select(
+        "event_id", fn.uniform_noise(7, *keys, F.lit("u")).alias("u"), fn.normal_noise(7, *keys, F.lit("z")).alias("z"),
+        fn.student_noise(7, 5.0, *keys).alias("s")))
+
+
+# returns with every kind of bad input, by event
+BAD = OBS + """,
+bad AS (SELECT series_id, t, tie, CASE WHEN tie % 7 = 0 THEN NULL WHEN tie % 11 = 0 THEN CAST('nan' AS DOUBLE) WHEN tie % 13 = 0 THEN CAST('infinity' AS DOUBLE)
+               ELSE y END AS y, CASE WHEN tie % 17 = 0 THEN NULL WHEN tie % 19 = 0 THEN CAST('nan' AS DOUBLE) ELSE ln(y * y + 1e-8) END AS h FROM obs)
+"""
+
+
+def bad_inputs(spark, sf):
+    o, bound = obs(spark, sf)
+    tie = F.col("tie")
+    y = F.when(tie % 7 == 0, None).when(tie % 11 == 0, float("nan")).when(tie % 13 == 0, float("inf")).otherwise(F.col("y"))
+    h = F.when(tie % 17 == 0, None).when(tie % 19 == 0, float("nan")).otherwise(F.log(F.col("y") * F.col("y") + 1e-8))
+    return o.select("series_id", "t", "tie", y.alias("y"), h.alias("h")), bound
+
+
+def _nan_sql(expr: str, name: str) -> str:
+    return f"CASE WHEN {expr} IS NULL THEN 'null' WHEN isnan({expr}) THEN 'nan' WHEN isinf({expr}) THEN 'inf' ELSE 'number' END AS {name}"
+
+
+def _kind(c: str):
+    x = F.col(c)
+    return F.when(x.isNull(), "null").when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), "inf").otherwise("number").alias(f"{c}_kind")
+
+
+_LOGPDF = "lgamma(3) - lgamma(2.5) - 0.5 * ln(pi() * 5) - 0.5 * h - 3 * ln(1 + y * y / (eh + 1e-8) / 5)"
+
+
+@query("bad_input_density", f"""
+WITH {BAD}, e AS (SELECT *, CASE WHEN h IS NULL OR isnan(h) THEN h ELSE exp(least(h, 20)) END AS eh FROM bad),
+d AS (SELECT series_id, t, {_LOGPDF} AS lp, CASE WHEN y IS NULL OR isnan(y) THEN y ELSE greatest(ln(y * y + 1e-10) + 0.5, -5) END AS ih, eh FROM e)
+SELECT series_id, t, {_nan_sql('lp', 'lp_kind')}, {_nan_sql('ih', 'ih_kind')}, {_nan_sql('eh', 'eh_kind')},
+  {_r("CASE WHEN isnan(lp) OR isinf(lp) THEN NULL ELSE lp END", 'lp')}, {_r("CASE WHEN isnan(ih) OR isinf(ih) THEN NULL ELSE ih END", 'ih')},
+  {_r("CASE WHEN isnan(eh) THEN NULL ELSE eh END", 'eh')} FROM d""")
+def bad_input_density(spark, sf):
+    """NULL, NaN and infinite returns and levels through the density, the implied level and the exponential."""
+    d, _ = bad_inputs(spark, sf)
+    d = d.select("series_id", "t", fn.t_logpdf("y", "h", F.lit(5.0), fn.t_log_norm(F.lit(5.0))).alias("lp"),
+                 fn.implied_h("y", F.lit(0.5)).alias("ih"), fn.safe_exp("h").alias("eh"))
+    plain = [F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c)).alias(c) for c in ("lp", "ih", "eh")]
+    return rounded(d.select("series_id", "t", _kind("lp"), _kind("ih"), _kind("eh"), *plain))
+
+
+@query("bad_prices_left_out", f"""
+WITH b AS (SELECT user_id, ts, event_id, CASE WHEN event_id % 7 = 0 THEN CAST('nan' AS DOUBLE) WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 13 = 0 THEN -value ELSE value END AS price FROM events),
+o AS (SELECT user_id AS series_id, event_id, row_number() OVER w - 2 AS t, ln(price / lag(price) OVER w) AS y FROM b WHERE price > 0 AND NOT isnan(price) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT series_id, event_id, t, {_r('y')} FROM o WHERE t >= 0""")
+def bad_prices_left_out(spark, sf):
+    e = table(spark, sf, "events")
+    n = F.col("event_id")
+    price = F.when(n % 7 == 0, float("nan")).when(n % 11 == 0, None).when(n % 13 == 0, -F.col("value")).otherwise(F.col("value"))
+    o = prep.observations(e.withColumn("value", price), "user_id", ["ts", "event_id"], "value")
+    return rounded(o.select("series_id", F.col("tie").alias("event_id"), "t", "y"))
 
 
 CONFIG_SQL = "(VALUES ('a', 0.98, 0.15), ('b', 0.95, 0.30), ('c', 0.90, 0.60)) c(config_id, rho, sigma_z)"

@@ -24,8 +24,19 @@ def clamp_h(x) -> Column:
     return clamp(x, H_MIN, H_MAX)
 
 
+def at_most(x, hi: float) -> Column:
+    """The smaller of x and hi; NULL stays NULL and NaN stays NaN (Spark's least skips NULL and ranks NaN highest)."""
+    x = _c(x)
+    return F.when(x.isNull() | F.isnan(x), x).otherwise(F.least(x, F.lit(float(hi))))
+
+
+def at_least(x, lo: float) -> Column:
+    x = _c(x)
+    return F.when(x.isNull() | F.isnan(x), x).otherwise(F.greatest(x, F.lit(float(lo))))
+
+
 def safe_exp(x) -> Column:
-    return F.exp(F.least(_c(x), F.lit(20.0)))
+    return F.exp(at_most(x, 20.0))
 
 
 def log_y2(y, eps: float = 1e-8) -> Column:
@@ -34,7 +45,7 @@ def log_y2(y, eps: float = 1e-8) -> Column:
 
 
 def implied_h(y, offset, eps: float = 1e-10, floor: float = -5.0) -> Column:
-    return F.greatest(log_y2(y, eps) + _c(offset), F.lit(floor))
+    return at_least(log_y2(y, eps) + _c(offset), floor)
 
 
 def std_residual(y, h) -> Column:
@@ -79,7 +90,7 @@ def t_logpdf(y, h, nu, norm) -> Column:
     """Student-t log density of y with scale exp(h/2)."""
     y, h, nu = _c(y), _c(h), _c(nu)
     a = y * y / (safe_exp(h) + F.lit(1e-8)) / nu
-    return _c(norm) - 0.5 * h - (nu + 1) * 0.5 * F.log1p(F.greatest(a, F.lit(-0.999)))
+    return _c(norm) - 0.5 * h - (nu + 1) * 0.5 * F.log1p(at_least(a, -0.999))
 
 
 def sigmoid(x) -> Column:
@@ -205,9 +216,10 @@ def is_warning(code) -> Column:
 
 
 def uniform_noise(seed: int, *parts: Column) -> Column:
-    """Counter-based uniform in (0, 1): a hash of seed and position, the same on every retry and partitioning."""
-    bits = F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(1 << 52))
-    return (bits + 0.5) / F.lit(float(1 << 52))
+    """Counter-based uniform in (0, 1): the first 52 bits of the md5 of seed and position, the same on every retry and
+    partitioning, and in any SQL engine."""
+    bits = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(str(seed)), *[p.cast("string") for p in parts])), 1, 13), 16, 10)
+    return (bits.cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
 def normal_noise(seed: int, *parts: Column) -> Column:

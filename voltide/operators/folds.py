@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from voltide.functions import columns as fn
 from voltide.functions.config import OBS_VAR, FilterConfig, implied_offset
 from voltide.operators.layout import over_time
-from voltide.operators.scan import AFFINE, AFFINE2, CLAMPED, FAR, MOBIUS, SEEDED, prefix_maps, state_scan
-from voltide.session import MAX_BROADCAST_ROWS
+from voltide.operators.scan import AFFINE, AFFINE2, CLAMPED, FAR, MOBIUS, PIECE, SEEDED, prefix_maps, state_scan
 
 KEY = ["series_id"]
 
@@ -50,21 +49,22 @@ def ekf_logvol(df: DataFrame, keys: list[str] = KEY, rho="rho", sigma="sigma_z",
     return d.withColumn("guide_mean", _apply("_m", F.col(mu))).drop("_m")
 
 
-def two_factor_gains(cfg: FilterConfig) -> list[tuple[int, float, float, float, float]]:
-    """(t, gain_fast, gain_slow, var_fast, var_slow) until the variances stop moving; they do not depend on data."""
+def two_factor_gains(cfg: FilterConfig, tol: float = 1e-12) -> list[tuple[int, float, float, float, float]]:
+    """(t, gain_fast, gain_slow, var_fast, var_slow) until the variances move by less than tol of themselves; they do
+    not depend on data. The variances contract by a factor that the slower factor's rho bounds, so the list is as long
+    as ln(tol) / ln(rho^2) at most and a bit, and later ticks keep the last row."""
     qf, qs = cfg.sigma_fast**2, cfg.sigma_slow**2
     pf, ps = qf / (1 - cfg.rho_fast**2), qs / (1 - cfg.rho_slow**2)
-    out = []
-    for t in range(MAX_BROADCAST_ROWS):
+    out: list[tuple[int, float, float, float, float]] = []
+    while True:
         af, as_ = cfg.rho_fast**2 * pf + qf, cfg.rho_slow**2 * ps + qs
         s = af + as_ + OBS_VAR + 1e-8
         kf, ks = af / s, as_ / s
         nf, ns = max((1 - kf) * af, 1e-6), max((1 - ks) * as_, 1e-6)
-        out.append((t, kf, ks, nf, ns))
-        if abs(nf - pf) <= 1e-16 * nf and abs(ns - ps) <= 1e-16 * ns:
+        out.append((len(out), kf, ks, nf, ns))
+        if abs(nf - pf) <= tol * nf and abs(ns - ps) <= tol * ns:
             return out
         pf, ps = nf, ns
-    raise ValueError("two-factor gains did not settle; the factors are too close to a unit root")
 
 
 def ekf_two_factor(df: DataFrame, cfg: FilterConfig, bound: int | None = None) -> DataFrame:
@@ -80,19 +80,20 @@ def ekf_two_factor(df: DataFrame, cfg: FilterConfig, bound: int | None = None) -
 
 
 def adaptive_mu(est: DataFrame, mu0: float, process_var: float, obs_scale: float, lo: float, hi: float,
-                h: str = "h_mean", bw: str = "bandwidth", keys: list[str] = KEY, bound: int | None = None) -> DataFrame:
+                h: str = "h_mean", bw: str = "bandwidth", keys: list[str] = KEY, bound: int | None = None,
+                piece: int = PIECE) -> DataFrame:
     """Slow level tracked by a scalar Kalman filter with noise scale*bw^2, clamped, active after t = 10."""
     on = F.col("t") > 10
     r = obs_scale * F.col(bw) * F.col(bw) + 1e-8
     q = F.lit(process_var)
     maps = [F.when(on, r).otherwise(1.0), F.when(on, r * q).otherwise(0.0),
             F.when(on, 1.0).otherwise(0.0), F.when(on, q + r).otherwise(1.0)]
-    d = prefix_maps(est, keys, MOBIUS, maps, "t", "_v", bound)
+    d = prefix_maps(est, keys, MOBIUS, maps, "t", "_v", bound, piece)
     v = (F.col("_v.p") * 1.0 + F.col("_v.q")) / (F.col("_v.r") * 1.0 + F.col("_v.s"))
     d = d.withColumn("mu_var", v).drop("_v").withColumn("_k", F.when(on, F.col("mu_var") / r).otherwise(0.0))
     k = F.col("_k")
     maps = [1 - k, k * F.col(h), F.when(on, lo).otherwise(-FAR), F.when(on, hi).otherwise(FAR)]
-    d = prefix_maps(d, keys, CLAMPED, maps, "t", "_m", bound)
+    d = prefix_maps(d, keys, CLAMPED, maps, "t", "_m", bound, piece)
     x = F.least(F.col("_m.hi"), F.greatest(F.col("_m.lo"), _apply("_m", mu0)))
     return d.withColumn("mu_state", x).drop("_m", "_k")
 
@@ -104,7 +105,7 @@ def smooth_fixed_lag(est: DataFrame, rho: float, sigma: float, mu: float, lag: i
     A corrected entry depends on itself and later ones only, so the output at t needs a fixed number of rows behind t:
     a bounded window holds them and a small nested fold replays the corrections.
     """
-    k = max(1, min(lag, 8))
+    k = max(1, lag)
     depth = min(out_lag, k - 1)
     if depth <= 0:
         return est.withColumn("h_smoothed", F.col(h))
@@ -133,13 +134,13 @@ def smooth_fixed_lag(est: DataFrame, rho: float, sigma: float, mu: float, lag: i
 
 
 def ema(df: DataFrame, value: Column, alpha: float, out: str, seed: float | str = "first", keys: list[str] = KEY,
-        bound: int | None = None) -> DataFrame:
+        bound: int | None = None, piece: int = PIECE) -> DataFrame:
     """Exponential average. ``seed='first'`` starts from the first positive value; a number (or column name) is x_0-."""
     d = df.withColumn("_x", value)
     if seed == "first":
-        d = prefix_maps(d, keys, SEEDED, [F.col("_x"), F.lit(1 - alpha), alpha * F.col("_x")], "t", "_m", bound)
+        d = prefix_maps(d, keys, SEEDED, [F.col("_x"), F.lit(1 - alpha), alpha * F.col("_x")], "t", "_m", bound, piece)
         return d.withColumn(out, F.col("_m.z")).drop("_m", "_x")
-    d = prefix_maps(d, keys, AFFINE, [F.lit(1 - alpha), alpha * F.col("_x")], "t", "_m", bound)
+    d = prefix_maps(d, keys, AFFINE, [F.lit(1 - alpha), alpha * F.col("_x")], "t", "_m", bound, piece)
     return d.withColumn(out, _apply("_m", F.col(seed) if isinstance(seed, str) else seed)).drop("_m", "_x")
 
 
@@ -158,11 +159,11 @@ def shock_step(s: Column, z_sq: Column, shock: float = 9.0, calm: float = 4.0, s
 
 
 def shock_state(diag: DataFrame, z: str = "z_sq", shock: float = 9.0, calm: float = 4.0, shock_ticks: int = 20,
-                recovery_ticks: int = 50, keys: list[str] = KEY, bound: int | None = None) -> DataFrame:
+                recovery_ticks: int = 50, keys: list[str] = KEY, bound: int | None = None, piece: int = 4 * PIECE) -> DataFrame:
     """Calm / shock / recovery label per tick."""
     n = shock_ticks + recovery_ticks + 2
     d = state_scan(diag, keys, n, lambda s, x: shock_step(s, x[z], shock, calm, shock_ticks, recovery_ticks), 0, [z],
-                   "t", "_s", bound)
+                   "t", "_s", bound, piece)
     code = F.when(F.col("_s") == 0, CALM).when(F.col("_s") <= shock_ticks, SHOCK).otherwise(RECOVERY)
     return d.withColumn("shock_state", code).drop("_s")
 

@@ -28,14 +28,14 @@ def rank_rows(
 ) -> DataFrame:
     """Dense 0-based position of each row in its key group by ``order`` (must be unique per key).
 
-    Large groups: range partitioning by (key, order) splits them over tasks, the position inside a partition is a
-    bounded window, and the per-partition counts give the offsets. The partition id is frozen by writing the rows out.
+    Large groups: range partitioning by (key, order) into parts of half of ``limit`` rows splits them over tasks, the
+    position inside a partition is a bounded window, and the per-partition counts give the offsets. The partition id is frozen by writing the rows out.
     """
     bound = group_bound(df, keys) if bound is None else bound
     if bound <= limit:
         w = Window.partitionBy(*keys).orderBy(*_order(order))
         return df.withColumn(out, (F.row_number().over(w) - 1).cast("long"))
-    parts = max(2, -(-bound // max(limit // 2, 1))) * 2
+    parts = max(2, -(-df.count() // max(limit // 2, 1))) * 2
     n_conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     split = df.repartitionByRange(max(parts, n_conf), *keys, *order).withColumn("_part", F.spark_partition_id())
     split = cut_lineage(split)
@@ -127,13 +127,14 @@ def running_min(df: DataFrame, keys: list[str], col: str, out: str, t: str, stri
 SALT = 32
 
 
-def join_back(df: DataFrame, per_key: DataFrame, keys: list[str], by: str, salt: int = SALT) -> DataFrame:
+def join_back(df: DataFrame, per_key: DataFrame, keys: list[str], salt: int = SALT) -> DataFrame:
     """Inner join of a per-key table (one row per key) to its rows, with a hot key spread over ``salt`` tasks.
 
-    The few per-key rows are repeated once per salt value and the large side picks a salt from column ``by``. At run
-    time Spark may still turn this into a broadcast, by the measured size of the per-key side.
+    The few per-key rows are repeated once per salt value and the large side picks a salt from the whole row, so that
+    equal values don't meet in one task. At run time Spark may still turn this into a broadcast, by the measured size of
+    the per-key side.
     """
-    big = df.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salt)).cast("int"))
+    big = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salt)).cast("int"))
     few = per_key.select("*", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_salt"))
     return big.join(few, [*keys, "_salt"]).drop("_salt")
 
@@ -155,7 +156,7 @@ def order_stats(
     sizes = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
     n = F.col("_size")
     aggs = [F.max(F.when(F.col("_rank") == idx(n), F.col(value))).alias(name) for name, idx in picks.items()]
-    return join_back(ranked, sizes, keys, "_rank").groupBy(*keys).agg(*aggs)
+    return join_back(ranked, sizes, keys).groupBy(*keys).agg(*aggs)
 
 
 def index_at(q: float) -> Callable[[Column], Column]:

@@ -79,16 +79,15 @@ def ess(p: DataFrame, keys: list[str], lw: str = "log_w") -> DataFrame:
 
 
 def posterior_summary(p: DataFrame, keys: list[str], h: str = "h", lw: str = "log_w", extra: dict[str, Column] | None = None) -> DataFrame:
-    """Mean and spread of h and of exp(h/2), evidence and ESS of every set in one pass over the particles.
+    """Mean and spread of h and of exp(h/2) over the particles that have a value, evidence and ESS of every set.
     ``extra`` adds plain sums."""
-    x, v = F.col(h), fn.safe_exp(F.col(h) / 2)
+    v = fn.safe_exp(F.col(h) / 2)
     extra = extra or {}
-    g = weighted(p, keys, lw, {"w": _w(), "w2": _w(2)}, {"_h": x, "_hh": x * x, "_v": v, "_vv": v * v} | extra)
-    n = F.col("n")
-    sd = lambda a, b: F.sqrt(F.greatest(F.col(b) / n - (F.col(a) / n) * (F.col(a) / n), F.lit(0.0)))
-    return g.select(*keys, (F.col("_h") / n).alias("h_mean"), sd("_h", "_hh").alias("h_std"), (F.col("_v") / n).alias("vol"),
-                    sd("_v", "_vv").alias("vol_std"), (F.col("top") + F.log(F.greatest(F.col("w") / n, F.lit(1e-10)))).alias("loglik"),
-                    _ess().alias("ess"), (_ess() / n).alias("ess_ratio"), "n", *extra)
+    # var_pop merges centred second moments, which neither cancels nor depends on the partitioning's sums of squares
+    m = p.groupBy(*keys).agg(F.avg(h).alias("h_mean"), F.stddev_pop(h).alias("h_std"), F.avg(v).alias("vol"), F.stddev_pop(v).alias("vol_std"))
+    g = weighted(p, keys, lw, {"w": _w(), "w2": _w(2)}, extra).join(m, keys)
+    return g.select(*keys, "h_mean", "h_std", "vol", "vol_std", (F.col("top") + F.log(F.greatest(F.col("w") / F.col("n"), F.lit(1e-10)))).alias("loglik"),
+                    _ess().alias("ess"), (_ess() / F.col("n")).alias("ess_ratio"), "n", *extra)
 
 
 def particle_health(p: DataFrame, keys: list[str], h: str = "h", lw: str = "log_w") -> DataFrame:
@@ -234,7 +233,17 @@ def bandwidth_median(p: DataFrame, keys: list[str], h: str = "h", q: float = 0.7
         width = (F.col("hi") - F.col("lo")) / tiles.CUTS
         state = cut_lineage(state.join(total, keys).withColumn("_j", below).select(
             *keys, (F.col("lo") + width * F.col("_j")).alias("lo"), (F.col("lo") + width * (F.col("_j") + 1)).alias("hi"), "_n"))
-    return state.select(*keys, _median_rule(F.col("hi"), F.col("_n")).alias("bandwidth"))
+
+    def largest_within(a, b, prm, same):
+        """Per particle the largest distance that is not beyond the bracket: the wanted one, once nothing lies between."""
+        import numpy as np
+
+        x = np.abs(a["h"][:, None] - b["h"][None, :])
+        return {"dist": np.where(x <= prm["hi"] * (1 + 1e-12), x, -1.0).max(axis=1)}
+
+    last = tiles.pairwise(p.join(state, keys), keys, ["h"], ["h"], ["hi"], largest_within, ["dist"], "logsum", bound=bound, block=block)
+    exact = last.groupBy(*keys).agg(F.max("dist").alias("dist")).join(state, keys)
+    return exact.select(*keys, _median_rule(F.col("dist"), F.col("_n")).alias("bandwidth"))
 
 
 # --- scores --------------------------------------------------------------------------------------------------------
@@ -356,11 +365,10 @@ def local_density(p: DataFrame, keys: list[str], bw: str = "bandwidth", bound: i
 
 
 def knn_distance(p: DataFrame, keys: list[str], k: int, bound: int | None = None) -> DataFrame:
-    """Distance to the k-th nearest other particle, k limited to 64 and n-1.
+    """Distance to the k-th nearest other particle, k limited to n-1.
 
     In sorted order the k nearest are within k places on either side, so a bounded frame is enough.
     """
-    k = min(k, 64)
     bound = group_bound(p, keys) if bound is None else bound
     d = rank_rows(p, keys, ["h", "i"], "_k", bound)
     d = over_time(d, keys, {"_f": lambda w: F.collect_list("h").over(w.rowsBetween(-k, k))}, "_k", k, k, bound)

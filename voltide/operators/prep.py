@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltide.functions import columns as fn
 from voltide.operators.layout import last_known, over_time, rank_rows
-from voltide.session import MAX_BROADCAST_ROWS, fits_broadcast, group_bound
+from voltide.session import MAX_BROADCAST_ROWS, MAX_GROUP_ROWS, fits_broadcast, group_bound
 
 
 def index_prices(df: DataFrame, key: str, order: list[str], price: str, bound: int | None = None,
                  extra: tuple[str, ...] = ()) -> DataFrame:
     """Canonical (series_id, k, ts, tie, price) with dense k by (ts, tie). A row without a positive price is no
     observation and is left out; ``bad_prices`` counts those rows."""
-    base = df.filter(F.col(price) > 0).select(F.col(key).alias("series_id"), F.col(order[0]).alias("ts"),
+    base = df.filter((F.col(price) > 0) & ~F.isnan(price)).select(F.col(key).alias("series_id"), F.col(order[0]).alias("ts"),
                      F.col(order[1] if len(order) > 1 else order[0]).alias("tie"), F.col(price).alias("price"), *extra)
     return rank_rows(base, ["series_id"], ["ts", "tie"], "k", bound)
 
@@ -27,7 +27,11 @@ def bad_prices(df: DataFrame, key: str, price: str) -> DataFrame:
 
 def price_returns(df: DataFrame, bound: int | None = None, first: bool = True) -> DataFrame:
     """Simple and log returns per series; the first row has none. ``first=False`` drops it and re-indexes."""
-    prev = over_time(df, ["series_id"], {"p_prev": lambda w: F.lag("price").over(w)}, "k", 1, 0, bound)
+    bound = group_bound(df, ["series_id"]) if bound is None else bound
+    if bound <= MAX_GROUP_ROWS:  # the order of the positions, so that both windows share one sort
+        prev = df.withColumn("p_prev", F.lag("price").over(Window.partitionBy("series_id").orderBy("ts", "tie")))
+    else:
+        prev = over_time(df, ["series_id"], {"p_prev": lambda w: F.lag("price").over(w)}, "k", 1, 0, bound)
     out = prev.select(
         *df.columns,
         (F.col("price") / F.col("p_prev") - 1).alias("ret"), F.log(F.col("price") / F.col("p_prev")).alias("y"),
@@ -86,7 +90,7 @@ def slice_periods(df: DataFrame, periods: DataFrame, key: str = "series_id", ts:
     An equi-join on the ticker with a range condition. A small period table is broadcast; a large one is joined on
     (ticker, month) so that both sides stay partitioned and a hot ticker spreads over its months.
     """
-    p = periods.select("period_id", F.col("ticker").alias(key), "start", "end")
+    p = periods.select("period_id", F.col("ticker").alias(key), "start", "end").filter(F.col("start") < F.col("end"))
     inside = (F.col(ts) >= F.col("start")) & (F.col(ts) < F.col("end"))
     if fits_broadcast(p, limit):
         return df.join(F.broadcast(p), key).filter(inside).drop("start", "end")

@@ -86,6 +86,13 @@ def _affine2(f: Column, g: Column) -> list[Column]:
 AFFINE2 = Family(("a11", "a12", "a21", "a22", "b1", "b2"), (1.0, 0.0, 0.0, 1.0, 0.0, 0.0), _affine2)
 
 
+def _pieces(df: DataFrame, keys: list[str], t: str, piece: int | None, item: Column, extra: str = "_p") -> DataFrame:
+    """One sorted array per key, or per key and piece of ``t``."""
+    cut = [] if piece is None else [F.floor(F.col(t) / piece).cast("long").alias(extra)]
+    by = [*keys, *([] if piece is None else [extra])]
+    return df.select(*keys, *cut, item.alias("_x")).groupBy(*by).agg(F.sort_array(F.collect_list("_x")).alias("_xs"))
+
+
 def prefix_maps(
     df: DataFrame,
     keys: list[str],
@@ -95,34 +102,32 @@ def prefix_maps(
     out: str = "m",
     bound: int | None = None,
     piece: int = PIECE,
+    before: bool = False,
 ) -> DataFrame:
-    """Add struct column ``out`` = map_0 then ... then map_t for every row."""
+    """Add struct column ``out`` = map_0 then ... then map_t for every row, or with ``before`` of the rows before it.
+
+    ``bound`` is the most rows that a key has. Up to ``piece`` of them are one array, whatever their ``t``; otherwise
+    the rows are cut by ``t``, and each piece takes over from the one that exists before it, so that a series may start
+    at any ``t`` and have gaps.
+    """
+    if piece < 3:
+        raise ValueError("pieces need three rows at least, or their totals don't become fewer")
     bound = group_bound(df, keys) if bound is None else bound
     payload = [c for c in df.columns if c not in keys]
-    arrays = (
-        df.select(*keys, F.floor(F.col(t) / piece).cast("long").alias("_p"),
-                  F.struct(F.col(t).alias("_tick"), family.pack(maps).alias("_map"), *payload).alias("_x"))
-        .groupBy(*keys, "_p").agg(F.sort_array(F.collect_list("_x")).alias("_xs"))
-    )
+    item = F.struct(F.col(t).alias("_tick"), family.pack(maps).alias("_map"), *payload)
+    split = bound > piece
+    arrays = _pieces(df, keys, t, piece if split else None, item)
 
     def push(acc: Column, x: Column) -> Column:
         return F.array_append(acc, family.pack(family.then(F.element_at(acc, -1), x["_map"])))
 
     arrays = arrays.withColumn("_fs", F.aggregate("_xs", F.array(family.unit()), push))
-    if bound > piece:
+    if split:
         totals = arrays.select(*keys, "_p", F.element_at("_fs", -1).alias("_total"))
-        carried = prefix_maps(totals, keys, family, [F.col(f"_total.{n}") for n in family.fields], "_p", "_c",
-                              -(-bound // piece), piece)
-        carried = carried.select(*keys, (F.col("_p") + 1).alias("_p"), "_c")
-        arrays = arrays.join(carried, [*keys, "_p"], "left")
-        carry = F.coalesce(F.col("_c"), family.unit())
-    else:
-        carry = None
-    rows = _zip_rows(arrays, keys, "_xs", "_fs", ["_c"] if carry is not None else [])
-    full = F.col("_y")
-    if carry is not None:
-        rows = rows.withColumn("_k", carry)
-        full = family.pack(family.then(F.col("_k"), F.col("_y")))
+        carried = prefix_maps(totals, keys, family, [F.col(f"_total.{n}") for n in family.fields], "_p", "_c", bound // piece + 2, piece, True)
+        arrays = arrays.join(carried.select(*keys, "_p", "_c"), [*keys, "_p"])
+    rows = _zip_rows(arrays, keys, "_xs", "_fs", ["_c"] if split else [], 1 if before else 2)
+    full = family.pack(family.then(F.col("_c"), F.col("_y"))) if split else F.col("_y")
     return rows.select(*keys, *[F.col(f"_x.{c}").alias(c) for c in payload], full.alias(out))
 
 
@@ -138,25 +143,24 @@ def state_scan(
     bound: int | None = None,
     piece: int = 4 * PIECE,
 ) -> DataFrame:
-    """Finite-state recursion state_t = step(state_{t-1}, row_t) over a dense index.
+    """Finite-state recursion state_t = step(state_{t-1}, row_t) in the order of ``t``, which may have gaps.
 
     A piece is summarised by its end state for every start state; the summaries compose by lookup.
     """
+    if piece < 3:
+        raise ValueError("pieces need three rows at least, or their totals don't become fewer")
     bound = group_bound(df, keys) if bound is None else bound
     payload = [c for c in df.columns if c not in keys]
-    arrays = (
-        df.select(*keys, F.floor(F.col(t) / piece).cast("long").alias("_p"),
-                  F.struct(F.col(t).alias("_tick"), *payload).alias("_x"))
-        .groupBy(*keys, "_p").agg(F.sort_array(F.collect_list("_x")).alias("_xs"))
-    )
+    split = bound > piece
+    arrays = _pieces(df, keys, t, piece if split else None, F.struct(F.col(t).alias("_tick"), *payload))
     begin: Column = F.lit(start)
-    if bound > piece:
+    if split:
         ends = arrays.select(
             *keys, "_p",
             F.transform(F.sequence(F.lit(0), F.lit(n_states - 1)),
                         lambda s: F.aggregate("_xs", s, lambda a, x: step(a, x).cast("int"))).alias("_e"),
         )
-        starts = _entry_states(ends, keys, n_states, start, -(-bound // piece), piece)
+        starts = _entry_states(ends, keys, n_states, start, bound // piece + 2, piece)
         arrays = arrays.join(starts, [*keys, "_p"])
         begin = F.col("_s")
     states = F.aggregate("_xs", F.array(begin.cast("int")),
@@ -165,27 +169,26 @@ def state_scan(
     return rows.select(*keys, *[F.col(f"_x.{c}").alias(c) for c in payload], F.col("_y").alias(out))
 
 
-def _zip_rows(df: DataFrame, keys: list[str], xs: str, ys: str, extra: list[str]) -> DataFrame:
-    """Explode (row, prefix) pairs; ``ys`` has one leading start element. Zipping keeps the arrays out of the rows."""
-    tail = F.slice(F.col(ys), F.lit(2), F.size(xs))
+def _zip_rows(df: DataFrame, keys: list[str], xs: str, ys: str, extra: list[str], first: int = 2) -> DataFrame:
+    """Explode (row, prefix) pairs; ``ys`` has one leading start element, and ``first`` is the place of the first row's
+    prefix. Zipping keeps the arrays out of the rows."""
+    tail = F.slice(F.col(ys), F.lit(first), F.size(xs))
     pairs = F.arrays_zip(F.col(xs).alias("_x"), tail.alias("_y"))
     return df.select(*keys, *extra, F.explode(pairs).alias("_z")).select(*keys, *extra, "_z._x", "_z._y")
 
 
 def _entry_states(ends: DataFrame, keys: list[str], n_states: int, start: int, bound: int, piece: int) -> DataFrame:
     """State on entry of every piece, from the pieces' end-state tables."""
-    grouped = (
-        ends.select(*keys, F.floor(F.col("_p") / piece).cast("long").alias("_q"), F.struct("_p", "_e").alias("_x"))
-        .groupBy(*keys, "_q").agg(F.sort_array(F.collect_list("_x")).alias("_es"))
-    )
+    split = bound > piece
+    grouped = _pieces(ends, keys, "_p", piece if split else None, F.struct("_p", "_e"), "_q").withColumnRenamed("_xs", "_es")
     look = lambda s, x: F.element_at(x["_e"], (s + 1).cast("int")).cast("int")
     begin: Column = F.lit(start)
-    if bound > piece:
+    if split:
         upper = grouped.select(
             *keys, F.col("_q").alias("_p"),
             F.transform(F.sequence(F.lit(0), F.lit(n_states - 1)), lambda s: F.aggregate("_es", s, look)).alias("_e"),
         )
-        entry = _entry_states(upper, keys, n_states, start, -(-bound // piece), piece)
+        entry = _entry_states(upper, keys, n_states, start, bound // piece + 2, piece)
         grouped = grouped.join(entry.select(*keys, F.col("_p").alias("_q"), "_s"), [*keys, "_q"])
         begin = F.col("_s")
     walk = F.aggregate("_es", F.array(begin.cast("int")),

@@ -19,7 +19,7 @@ def tail_counts(df: DataFrame, keys: list[str], mode: str = "centred", y: str =
     moments = df.groupBy(*keys).agg((F.avg(y) if mode == "centred" else F.lit(0.0)).alias("_m"), sd.alias("_s"))
     dev = F.abs(F.col(y) - F.col("_m"))
     levels = (3, 4) if mode == "centred" else (3, 4, 5)
-    return join_back(df, moments, keys, y).groupBy(*keys).agg(
+    return join_back(df, moments, keys).groupBy(*keys).agg(
         *[F.count_if(dev > k * F.col("_s")).alias(f"n_{k}sigma") for k in levels])
 
 
@@ -220,7 +220,7 @@ def error_histogram(df: DataFrame, keys: list[str], err: str, bins: int) -> Data
     span = df.groupBy(*keys).agg(F.min(err).alias("_lo"), F.max(err).alias("_hi"), F.count(F.lit(1)).alias("_n"))
     width = (F.col("_hi") - F.col("_lo")) / bins
     b = F.least(F.floor((F.col(err) - F.col("_lo")) / width), F.lit(bins - 1)).cast("int")
-    return (join_back(df, span, keys, err).withColumn("bin", b).withColumn("_w", width)
+    return (join_back(df, span, keys).withColumn("bin", b).withColumn("_w", width)
             .groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) / F.max(F.col("_n") * F.col("_w"))).alias("density")))
 
 

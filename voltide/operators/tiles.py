@@ -42,11 +42,11 @@ def pairwise(df: DataFrame, keys: list[str], left: list[str], right: list[str],
                                   *[F.first(p).cast("double").alias(p) for p in params])
     )
     a = blocks.select(*keys, *params, "_b", F.col("_r._i").alias("_i"), *[F.col(f"_r.{c}").alias(f"a_{c}") for c in left])
-    if bound > block:
-        salts = min(-(-bound // block), 4 * n)
-        b = blocks.select(*keys, F.col("_b").alias("_b2"), *[F.col(f"_r.{c}").alias(f"b_{c}") for c in right],
-                          F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_s"))
-        tiles = a.withColumn("_s", F.pmod(F.col("_b"), F.lit(salts)).cast("int")).join(b, [*keys, "_s"])
+    if bound > block:  # a set's blocks are copied once for each of its own salts, however large other sets are
+        salts = blocks.groupBy(*keys).agg(F.least(F.count(F.lit(1)), F.lit(4 * n)).alias("_n"))
+        b = blocks.join(salts, keys).select(*keys, F.col("_b").alias("_b2"), *[F.col(f"_r.{c}").alias(f"b_{c}") for c in right],
+                                            F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_s"))
+        tiles = a.join(salts, keys).withColumn("_s", F.pmod("_b", "_n")).drop("_n").join(b, [*keys, "_s"])
     else:
         tiles = blocks.select(*keys, *params, "_b", F.col("_b").alias("_b2"), F.col("_r._i").alias("_i"),
                               *[F.col(f"_r.{c}").alias(f"a_{c}") for c in left],

@@ -58,7 +58,7 @@ def cross_correlation(df: DataFrame, a: str, b: str, max_lag: int, bound: int |
     shifted = over_time(df, KEY, {f"_s{k + max_lag}": (lambda w, k=k: F.lead(b, k).over(w) if k >= 0 else F.lag(b, -k).over(w))
                                   for k in lags}, back=max_lag, ahead=max_lag, bound=bound)
     da = F.col(a) - F.col("_ma")
-    sums = join_back(shifted, m, KEY, "t").groupBy(*KEY).agg(
+    sums = join_back(shifted, m, KEY).groupBy(*KEY).agg(
         F.greatest(F.sqrt(F.first("_va") * F.first("_vb")), F.lit(1e-10)).alias("_norm"),
         *[F.coalesce(F.sum(da * (F.col(f"_s{k + max_lag}") - F.col("_mb"))), F.lit(0.0)).alias(f"_x{k + max_lag}") for k in lags])
     rows = F.array(*[F.struct(F.lit(k).alias("lag"), (F.col(f"_x{k + max_lag}") / F.col("_norm")).alias("xcorr")) for k in lags])
@@ -96,12 +96,14 @@ def realised_vol_ratio(df: DataFrame, short_h: int = 24, long_h: int = 168, thre
 
 def enhanced_breathing(df: DataFrame, n: int, spread_thr: float, return_thr: float, boost_max: float,
                        spread: str = "spread", vol_prev: str = "vol_prev", bound: int | None = None) -> DataFrame:
-    """Boost when the spread is wide against its trailing n rows or the return is large."""
+    """Boost when the spread is wide against its trailing n rows or the return is large; not at t = 0, where nothing
+    lies before. A NULL previous vol (before the first) gives no return score. The boost has no upper limit."""
     d = over_time(df, KEY, {"_m": lambda w: F.avg(spread).over(w.rowsBetween(-n, -1)),
                             "_s": lambda w: F.stddev_pop(spread).over(w.rowsBetween(-n, -1))}, back=n, bound=bound)
     sz = F.when(F.col("_s") > 1e-12, (F.col(spread) - F.col("_m")) / F.col("_s")).otherwise(0.0)
-    d = d.withColumn("spread_z", F.coalesce(sz, F.lit(0.0))).withColumn("return_z", return_z(vol_prev))
-    hit = (F.col("spread_z") > spread_thr) | (F.col("return_z") > return_thr)
+    d = d.withColumn("spread_z", F.coalesce(sz, F.lit(0.0))).withColumn(
+        "return_z", F.when(F.col(vol_prev).isNull(), 0.0).otherwise(return_z(vol_prev)))
+    hit = (F.col("t") > 0) & ((F.col("spread_z") > spread_thr) | (F.col("return_z") > return_thr))
     boost = F.when(hit, 1 + F.greatest("spread_z", "return_z") / 3 * (boost_max - 1)).otherwise(1.0)
     return d.withColumn("sigma_boost", boost).drop("_m", "_s")
 
@@ -116,6 +118,15 @@ def label_regime(truth: DataFrame, mu: Column, h: str = "h_true", n: int = 10, b
     return d.withColumn("true_regime", F.coalesce((F.col("t") > n) & (F.col("_a") > mu + 1), F.lit(False))).drop("_a")
 
 
+def segment_of(df: DataFrame, starts: DataFrame, keys: list[str] = KEY, t: str = "t", bound: int | None = None) -> DataFrame:
+    """Segment by each series' own starts: (keys, start, segment_id, segment_name). Rows before the first have none.
+
+    Starts and rows are one sequence by tick, filled forward in bounded pieces."""
+    s = starts.select(*keys, F.col("start").cast("long").alias(t), "segment_id", "segment_name")
+    rows = df.drop("segment_id", "segment_name").withColumn("_n", F.lit(0))
+    return asof(rows, s.withColumn("_n", F.lit(0)), keys, t, "_n", ["segment_id", "segment_name"], bound).drop("_n")
+
+
 def segment_id(df: DataFrame, starts: list[tuple[int, int, str]], t: str = "t") -> DataFrame:
     """Segment by start tick. The start table is a short caller-given list, so it becomes a literal CASE."""
     out_id, out_name = F.lit(None).cast("int"), F.lit(None).cast("string")

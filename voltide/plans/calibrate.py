@@ -1,18 +1,12 @@
-"""Parameter studies: score sweeps, finite-difference gradients with common draws, Adam ascent, accuracy grids."""
+"""Parameter studies: score tables along a grid and Adam ascent steps."""
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voltide.functions import columns as fn
-from voltide.functions.config import FilterConfig
-from voltide.operators.windows import pareto
-from voltide.plans.filter import filter_series
-from voltide.session import cut_lineage
 
+# The grids of the score sweeps.
 NU_GRID = (3.0, 4.0, 5.0, 6.0, 8.0, 10.0, 15.0, 20.0, 30.0)
 SIGMA_GRID = (0.05, 0.08, 0.10, 0.12, 0.15, 0.18, 0.20, 0.25, 0.30, 0.40)
 
@@ -33,42 +27,6 @@ def sweep_table(scores: DataFrame, keys: list[str], threshold: float) -> DataFra
         Window.unboundedPreceding, Window.unboundedFollowing)))
 
 
-def sweep(obs: DataFrame, base: FilterConfig, param: str, grid: tuple[float, ...], seed: int = 42, theta: DataFrame | None = None,
-          keys: list[str] | None = None, bound: int | None = None) -> DataFrame:
-    """Mean score per grid value of nu or sigma_z and where it crosses zero, per series (or over ``keys``)."""
-    score, threshold = {"nu": ("nu_grad", 0.001), "sigma_z": ("sigma_grad", 0.01)}[param]
-    configs = [replace(base, config_id=f"{param}={v}", **{param: v}) for v in grid]
-    est = filter_series(obs, configs, seed, theta=theta, bound=bound)
-    value = F.split_part(F.col("config_id"), F.lit("="), F.lit(2)).cast("double")
-    keys = ["series_id"] if keys is None else keys
-    g = est.withColumn("value", value).groupBy(*keys, "value").agg(
-        F.avg(score).alias("mean_grad"), F.avg("z_sq").alias("mean_z_sq"), F.avg("eps_sq_norm").alias("mean_eps_sq"),
-        F.count_if(F.col(score) > 0).alias("n_pos"), F.count_if(F.col(score) <= 0).alias("n_neg"))
-    return sweep_table(g, keys, threshold)
-
-
-ARMS = [("rho_u", 1.0), ("rho_u", -1.0), ("sigma_u", 1.0), ("sigma_u", -1.0), ("mu", 1.0), ("mu", -1.0)]
-
-
-def fd_gradient(obs: DataFrame, theta: DataFrame, delta: float, cfg: FilterConfig, seed: int, bound: int | None = None) -> DataFrame:
-    """Central differences of the predictive log-likelihood in the unconstrained parameters (sigmoid family).
-
-    ``theta`` is (series_id, rho_u, sigma_u, mu). The six perturbed runs share all draws.
-    """
-    configs = [replace(cfg, config_id=f"{n}:{s:+.0f}", gamma=0.0) for n, s in ARMS]
-    rows = F.array(*[F.struct(F.lit(c.config_id).alias("config_id"), *[F.lit(s * delta if n == k else 0.0).alias(f"d_{k}")
-                                                                      for k in ("rho_u", "sigma_u", "mu")]) for c, (n, s) in zip(configs, ARMS)])
-    moved = theta.select("*", F.inline(rows))
-    nat = fn.constrain("sigmoid", F.col("rho_u") + F.col("d_rho_u"), F.col("sigma_u") + F.col("d_sigma_u"))
-    th = moved.select("series_id", "config_id", nat["rho"].alias("rho"), nat["sigma"].alias("sigma_z"), (F.col("mu") + F.col("d_mu")).alias("mu"))
-    est = filter_series(obs, configs, seed, theta=th, bound=bound)
-    ll = est.groupBy("series_id", "config_id").agg(F.sum("loglik_predictive").alias("ll"))
-    at = lambda n, s: F.max(F.when(F.col("config_id") == f"{n}:{s:+.0f}", F.col("ll")))
-    slope = lambda n: (at(n, 1.0) - at(n, -1.0)) / (2 * delta)
-    return ll.groupBy("series_id").agg(slope("rho_u").alias("g_rho_u"), slope("sigma_u").alias("g_sigma_u"), slope("mu").alias("g_mu"),
-                                       F.avg("ll").alias("mean_ll"))
-
-
 PARAMS = ("rho_u", "sigma_u", "mu")
 
 
@@ -86,30 +44,3 @@ def adam_step(state: DataFrame, grad: DataFrame, step: int, lr: float, b1: float
         move = lr * (m / (1 - b1**step)) / (F.sqrt(v / (1 - b2**step)) + eps)
         cols += [(F.col(p) + F.greatest(F.lit(-0.5), F.least(F.lit(0.5), move))).alias(p), m.alias(f"m_{p}"), v.alias(f"v_{p}")]
     return d.select("series_id", *cols)
-
-
-def calibrate(obs: DataFrame, theta: DataFrame, cfg: FilterConfig, epochs: int, lr: float, delta: float = 0.05,
-              bound: int | None = None) -> DataFrame:
-    """Adam ascent of every series' parameters at once; epoch e uses draws of seed 42 + e. One job and one reliable
-    checkpoint per epoch."""
-    obs = cut_lineage(obs.select("series_id", "t", "y"))
-    state = adam_start(theta)
-    for e in range(epochs):
-        grad = fd_gradient(obs, state.select("series_id", *PARAMS), delta, cfg, 42 + e, bound)
-        state = cut_lineage(adam_step(state, grad, e + 1, lr))
-    nat = fn.constrain("sigmoid", "rho_u", "sigma_u")
-    return state.select("series_id", *PARAMS, nat["rho"].alias("rho"), nat["sigma"].alias("sigma_z"))
-
-
-def grid_report(obs: DataFrame, truth: DataFrame, base: FilterConfig, particles: tuple[int, ...], steps: tuple[int, ...], warmup: int = 0,
-                seed: int = 42, bound: int | None = None) -> DataFrame:
-    """Accuracy against work for particle and step counts, with the Pareto frontier. Work = steps x particles^2 per
-    tick, the number of kernel evaluations."""
-    configs = [replace(base, config_id=f"{n}x{s}", n_particles=n, min_steps=s, max_steps=s, n_stein_steps=s) for n in particles for s in steps]
-    est = filter_series(obs, configs, seed, bound=bound).filter(F.col("t") >= warmup).join(truth, ["series_id", "t"])
-    n = F.split_part("config_id", F.lit("x"), F.lit(1)).cast("double")
-    e = F.col("h_mean") - F.col("h_true")
-    rep = est.groupBy("config_id").agg(F.avg(F.col("stein_steps") * n * n).alias("work"), F.sqrt(F.avg(e * e)).alias("rmse"))
-    rep = cut_lineage(rep)
-    front = pareto(rep, "work", "rmse", ["config_id"]).select("config_id", F.lit(True).alias("pareto"))
-    return rep.join(front, "config_id", "left").withColumn("pareto", F.coalesce("pareto", F.lit(False)))

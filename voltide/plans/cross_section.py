@@ -1,5 +1,4 @@
-"""One tick for all series at once, as a plan over particle tables (long form). Suited to wide, short cross-sections;
-``filter.filter_series`` gives the same numbers for long series."""
+"""One tick for all series at once, as a plan over particle tables (long form). Suited to wide, short cross-sections."""
 
 from __future__ import annotations
 

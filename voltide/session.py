@@ -30,12 +30,16 @@ def get_session(app: str = "voltide", master: str | None = None, shuffle_partiti
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a fresh local one only where none is configured (tests)."""
+    """The shared folder of the cluster. Where none is configured, a local session gets a fresh local folder; on a
+    cluster that is an error, since executors don't see each other's disks."""
     jsc = spark.sparkContext._jsc.sc()
     current = jsc.getCheckpointDir()
     if current.isDefined():
         return current.get()
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not configured and not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="voltide-"))
     return jsc.getCheckpointDir().get()
 

@@ -18,15 +18,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from voltide.functions.columns import LATE_INPUT
 from voltide.functions.config import FilterConfig
-from voltide.plans import stepper
-from voltide.plans.filter import THETA, run_rows
 
+THETA = ["rho", "sigma_z", "mu", "gamma", "nu"]
 INPUT = ["series_id", "ts", "tie", "kind", "y", "signal", *THETA]
-EST = ["loglik_predictive", "loglik_filtered", "vol", "h_mean", "bandwidth", "ksd", "stein_steps", "ess"]
+SLICE_MS = 60_000
 
 
 def input_code(y: float | None, max_return: float) -> int:
@@ -47,7 +46,8 @@ class OrderedProcessor(StatefulProcessor):
         self.handle = handle
         schema = StructType([StructField("blob", BinaryType())])
         self.state = handle.getValueState("series", schema)
-        self.buffer = handle.getListState("waiting", schema)
+        # waiting rows by slice of event time: a timer reads and removes the slices that are due, others stay untouched
+        self.buffer = handle.getMapState("waiting", StructType([StructField("slice", LongType())]), schema)
 
     # one tick: update ``st`` in place, return the output values
     def fresh(self, key) -> dict:
@@ -69,20 +69,32 @@ class OrderedProcessor(StatefulProcessor):
                 rec["ms"] = int(pd.Timestamp(rec["ts"]).value // 1_000_000)
                 (late if 0 < now and rec["ms"] <= now else wait).append(rec)
         if wait:
-            self.buffer.appendList([(pickle.dumps(rec),) for rec in wait])
-            self.handle.registerTimer(min(r["ms"] for r in wait) + 1)
+            self._put(wait)
         if late:
             yield self._frame(key, [[r["ts"], r["tie"], -1, r["y"], LATE_INPUT, None, *[None] * len(self.columns)] for r in late])
 
+    def _put(self, recs: list[dict]) -> None:
+        by: dict[int, list[dict]] = {}
+        for r in recs:
+            by.setdefault(r["ms"] // SLICE_MS, []).append(r)
+        for k, some in by.items():
+            if self.buffer.containsKey((k,)):
+                some = pickle.loads(self.buffer.getValue((k,))[0]) + some
+            self.buffer.updateValue((k,), (pickle.dumps(some),))
+            self.handle.registerTimer(min(r["ms"] for r in some) + 1)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        recs = [pickle.loads(v[0]) for v in self.buffer.get()] if self.buffer.exists() else []
-        due = sorted((r for r in recs if r["ms"] <= now), key=lambda r: (r["ts"], r["tie"]))
-        rest = [r for r in recs if r["ms"] > now]
-        self.buffer.clear()
+        due = []
+        for k in sorted(x[0] for x in self.buffer.keys()):
+            if k * SLICE_MS > now:
+                break
+            due += pickle.loads(self.buffer.getValue((k,))[0])
+            self.buffer.removeKey((k,))
+        rest = [r for r in due if r["ms"] > now]
+        due = sorted((r for r in due if r["ms"] <= now), key=lambda r: (r["ts"], r["tie"]))
         if rest:
-            self.buffer.put([(pickle.dumps(r),) for r in rest])
-            self.handle.registerTimer(min(r["ms"] for r in rest) + 1)
+            self._put(rest)
         if not due:
             return
         st, out = self._load(key), []
@@ -119,37 +131,6 @@ class OrderedProcessor(StatefulProcessor):
         pass
 
 
-class FilterProcessor(OrderedProcessor):
-    """Particle filter per series with a health code every ``health_every`` ticks; an error resets the series if asked."""
-
-    columns = [*EST, "health"]
-
-    def __init__(self, cfg: FilterConfig, seed: int = 42, health_every: int = 1, reset_on_error: bool = False, noise: str = "hash"):
-        self.cfg, self.seed, self.noise = cfg, seed, noise
-        self.health_every, self.reset_on_error = health_every, reset_on_error
-
-    def fresh(self, key) -> dict:
-        return {"blob": None}
-
-    def tick(self, st: dict, row: dict) -> list:
-        cfg = self.cfg
-        theta = {k: np.array([st["theta"].get(k, getattr(cfg, k))], float) for k in THETA}
-        inner = st["inner"]
-        blobs = None if inner["blob"] is None else [inner["blob"]]
-        outs, state, _ = run_rows(cfg, theta, np.array([row["noise_key"]]), [np.array([row["y"]])], st["t"], blobs, self.noise, float)
-        inner["blob"] = stepper.pack(state, 0)
-        o = outs[0]
-        vals = [float(o[k][0, 0]) if k in o else None for k in EST]
-        health = None
-        if st["t"] % self.health_every == 0:
-            h, ratio = vals[3], vals[7] / cfg.n_particles
-            vol = float(np.exp(h / 2))
-            health = 200 if np.isnan(h) else 203 if np.isinf(h) else 1001 if vol > 10 or vol < 1e-4 else 1000 if ratio < 0.3 else 0
-            if self.reset_on_error and 0 < health < 1000:
-                inner["blob"] = None
-        return [*vals, health]
-
-
 class SignalProcessor(OrderedProcessor):
     """Scalar recursions on a stream: Kalman guide, running averages, breathing factor and shock state."""
 
@@ -205,11 +186,11 @@ def with_control(df: DataFrame, kind: str | None = None) -> DataFrame:
     return out if kind is None else out.withColumn("kind", F.lit(kind))
 
 
-def run_stream(df: DataFrame, processor: OrderedProcessor, delay: str = "1 hour", seed: int = 42) -> DataFrame:
+def run_stream(df: DataFrame, processor: OrderedProcessor, delay: str = "1 hour") -> DataFrame:
     """Apply a processor to a streaming (series_id, ts, tie, y, ...) table."""
     key = df.schema["series_id"].dataType.simpleString()
     d = with_control(df).withWatermark("ts", delay).withColumn("ets", F.col("ts") + F.expr("interval 0 seconds")).drop("ts")
-    d = d.withColumnRenamed("ets", "ts").withColumn("noise_key", F.xxhash64(F.lit(seed), F.col("series_id"), F.lit(0)))
+    d = d.withColumnRenamed("ets", "ts")
     schema = (f"series_id {key}, ts timestamp, tie bigint, t bigint, y double, status int, signal double, "
               + ", ".join(f"{c} double" for c in processor.columns))
     return d.groupBy("series_id").transformWithStateInPandas(
