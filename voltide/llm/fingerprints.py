@@ -155,7 +155,7 @@ def _in_bands(traces: DataFrame, rows_a_band: int, most_bands: int) -> DataFrame
     return d.select(F.explode(places).alias("p"), "series_id", "trace").select("p.band", "p.after", "series_id", "trace")
 
 
-def compare_with_next(traces: DataFrame, rows_a_band: int = 1000, most_bands: int = 20_000) -> DataFrame:
+def compare_with_next(traces: DataFrame, rows_a_band: int = 200, most_bands: int = 20_000) -> DataFrame:
     """Fingerprints of each trace, of the next one and of the trace as edited with the next one's start.
 
     traces: series_id, trace (NULL: empty). Returns series_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,

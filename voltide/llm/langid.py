@@ -198,16 +198,23 @@ def position_labels(net: ByteGru, names: list[str], text: str) -> list[str]:
 
 
 def training_rows(texts: DataFrame, rows_a_language: int = 400, max_chars: int = 20_000) -> list[tuple[str, str]]:
-    """(text, lang) of at most rows_a_language rows of each language, those with the least hash of their text.
+    """(text, lang) of at most rows_a_language different texts of each language, those with the least hashes.
 
     The bound of the sample is rows_a_language times the languages; of a longer text, a window of max_chars code points
-    from a hashed place is learned from. Only text and lang are read, and each task keeps its least hashes before the
-    shuffle."""
+    from a hashed place is learned from. Only text and lang are read. The rows of each language are counted first, and
+    only texts with a hash among the first 3 rows_a_language of so many evenly spread ones leave their task; copies of
+    a text are folded before the shuffle."""
     d = texts.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("text", "lang")
+    counts = {r["lang"]: r["count"] for r in d.groupBy("lang").count().collect()}
+    if not counts:
+        return []
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 3 * rows_a_language / n))])
     d = d.withColumn("_h", F.xxhash64("text"))
+    d = d.where(F.col("_h") / 2.0**64 + 0.5 <= share[F.col("lang")])
     d = d.withColumn("_at", F.when(F.length("text") > max_chars, F.pmod(F.col("_h"), F.length("text") - max_chars)).otherwise(0).cast("int"))
     d = d.select("lang", "_h", F.substr("text", F.col("_at") + 1, F.lit(max_chars)).alias("text"))
-    w = Window.partitionBy("lang").orderBy("_h", "text")
+    d = d.groupBy("lang", "_h").agg(F.first("text").alias("text"))
+    w = Window.partitionBy("lang").orderBy("_h")
     d = d.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= rows_a_language)
     return sorted((r["text"], r["lang"]) for r in d.select("text", "lang").collect())
 
