@@ -187,16 +187,16 @@ def bandwidth_fold(spark, sf):
     return rounded(folds.bandwidth_fold(d, 64, bound=bound).select("series_id", "t", "bandwidth_sq", "bandwidth"))
 
 
-# --- long series from t = 300 on, with every fifth tick missing, in pieces that are much shorter than the series ---------
+# --- long series from t = 100 on, with every fifth tick missing, in pieces that are much shorter than the series ---------
 
 LATE = DAILY + """,
-late AS (SELECT series_id, t, y, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS k FROM daily WHERE t >= 300 AND t % 5 <> 0)
+late AS (SELECT series_id, t, y, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS k FROM daily WHERE t >= 100 AND t % 5 <> 0)
 """
 
 
 def late(spark, sf):
     d, bound = daily(spark, sf)
-    return prep.drop_warmup(d.select("series_id", "t", "y"), 300).filter("t % 5 <> 0"), bound
+    return prep.drop_warmup(d.select("series_id", "t", "y"), 100).filter("t % 5 <> 0"), bound
 
 
 @query("late_start_averages", f"""
@@ -207,8 +207,8 @@ rec AS (SELECT series_id, t, k, abs(y) AS e, 0.1 * abs(y) + 0.9 * 0.5 AS g FROM
 SELECT series_id, t, {_r('e', 'ret_ema')}, {_r('g', 'seeded')} FROM rec""")
 def late_start_averages(spark, sf):
     d, bound = late(spark, sf)
-    d = folds.ema(d, F.abs("y"), 0.05, "ret_ema", bound=bound, piece=64)
-    return rounded(folds.ema(d, F.abs("y"), 0.1, "seeded", 0.5, bound=bound, piece=64).select("series_id", "t", "ret_ema", "seeded"))
+    d = folds.ema(d, F.abs("y"), 0.05, "ret_ema", bound=bound, piece=16)
+    return rounded(folds.ema(d, F.abs("y"), 0.1, "seeded", 0.5, bound=bound, piece=16).select("series_id", "t", "ret_ema", "seeded"))
 
 
 @query("late_start_level", f"""
@@ -225,7 +225,7 @@ SELECT series_id, t, {_r('m', 'mu_state')}, {_r('v', 'mu_var')} FROM rec""")
 def late_start_level(spark, sf):
     d, bound = late(spark, sf)
     d = d.select("series_id", "t", F.log(F.col("y") * F.col("y") + 1e-4).alias("h_mean"), F.least(F.greatest(F.abs("y") / 4, F.lit(0.01)), F.lit(2.0)).alias("bandwidth"))
-    return rounded(folds.adaptive_mu(d, -3.0, 0.001, 10.0, -6.0, -1.0, bound=bound, piece=64).select("series_id", "t", "mu_state", "mu_var"))
+    return rounded(folds.adaptive_mu(d, -3.0, 0.001, 10.0, -6.0, -1.0, bound=bound, piece=16).select("series_id", "t", "mu_state", "mu_var"))
 
 
 @query("late_start_shocks", f"""
@@ -241,5 +241,5 @@ SELECT series_id, t, CAST(s AS INT) AS shock_state FROM rec""")
 def late_start_shocks(spark, sf):
     d, bound = late(spark, sf)
     d = d.select("series_id", "t", (F.col("y") * F.col("y") * 40).alias("z_sq"))
-    d = folds.shock_state(d, shock_ticks=5, recovery_ticks=8, bound=bound, piece=64)
+    d = folds.shock_state(d, shock_ticks=5, recovery_ticks=8, bound=bound, piece=16)
     return d.select("series_id", "t", F.col("shock_state").cast("int").alias("shock_state"))
