@@ -450,12 +450,14 @@ def two_factor_gradient(spark, sf):
 @query("two_factor_outputs", f"""
 WITH {TWO}, l AS (SELECT *, {NORM5} - 0.5 * ht - 3 * ln(1 + rt) AS lw FROM tr), t AS (SELECT set_id, max(lw) AS top FROM l GROUP BY 1)
 SELECT set_id, {_r('avg(hf)', 'fast_mean')}, {_r('avg(hs)', 'slow_mean')}, {_r('avg(ht)', 'h_mean')}, {_r('avg(exp(0.5 * ht))', 'vol')},
-  {_r('max(top) + ln(greatest(avg(exp(lw - top)), 1e-10))', 'loglik')}, {_r(_cl('0.95 * avg(hf) + 0.05 * 0.3 + 0.0'), 'guided_mean')} FROM l JOIN t USING (set_id) GROUP BY 1""")
+  {_r('max(top) + ln(greatest(avg(exp(lw - top)), 1e-10))', 'loglik')}, {_r(_cl('0.95 * avg(hf) + 0.05 * 0.3 + avg(hs) - avg(hf)'), 'guided_mean')},
+  {_r(_cl('0.95 * avg(hs) + 0.05 * 0.3'), 'contracted_mean')} FROM l JOIN t USING (set_id) GROUP BY 1""")
 def two_factor_outputs(spark, sf):
     d = two_factor(spark, sf)
     g = pt.two_factor_gradient("y", "mu", "h_fast", "h_slow", "fp", "sp", 0.9, 0.15, 0.99, 0.05, 0.5, 5.0, log_norm(5.0))
     out = pt.two_factor_outputs(d.drop("log_w").withColumn("log_w", g["log_w"]), K)
-    return rounded(out.withColumn("guided_mean", pt.guide_two_factor("fast_mean", "fast_mean", 0.3, 0.05)))
+    return rounded(out.withColumn("guided_mean", pt.guide_two_factor("slow_mean", "fast_mean", 0.3, 0.05)).withColumn(
+        "contracted_mean", pt.guide_two_factor("slow_mean", "fast_mean", 0.3, 0.05, preserving=False)))
 
 
 JC = FilterConfig("joint", model="joint", nu=30.0, lik_offset=0.10)

@@ -7,6 +7,7 @@ plain window; beyond ``limit`` rows the same result comes from bounded pieces pl
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,8 +26,10 @@ def rank_rows(
     out: str = "t",
     bound: int | None = None,
     limit: int = MAX_GROUP_ROWS,
+    size: str | None = None,
 ) -> DataFrame:
-    """Dense 0-based position of each row in its key group by ``order`` (must be unique per key).
+    """Dense 0-based position of each row in its key group by ``order`` (must be unique per key), and the group's
+    ``size`` if asked for.
 
     Large groups: range partitioning by (key, order) into parts of half of ``limit`` rows splits them over tasks, the
     position inside a partition is a bounded window, and the per-partition counts give the offsets. The partition id is frozen by writing the rows out.
@@ -34,15 +37,17 @@ def rank_rows(
     bound = group_bound(df, keys) if bound is None else bound
     if bound <= limit:
         w = Window.partitionBy(*keys).orderBy(*_order(order))
-        return df.withColumn(out, (F.row_number().over(w) - 1).cast("long"))
-    parts = max(2, -(-df.count() // max(limit // 2, 1))) * 2
+        d = df.withColumn(out, (F.row_number().over(w) - 1).cast("long"))
+        return d if size is None else d.withColumn(size, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    parts = max(2, -(-df.count() // max(limit // 2, 1)))
     n_conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     split = df.repartitionByRange(max(parts, n_conf), *keys, *order).withColumn("_part", F.spark_partition_id())
     split = cut_lineage(split)
     inner = Window.partitionBy(*keys, "_part").orderBy(*_order(order))
     counts = split.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    total = [] if size is None else [F.sum("_n").over(Window.partitionBy(*keys)).alias(size)]
+    offsets = counts.select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"), *total)
     return (
         split.withColumn("_rn", F.row_number().over(inner) - 1)
         .join(offsets, [*keys, "_part"])
@@ -150,13 +155,14 @@ def order_stats(
 ) -> DataFrame:
     """Exact index-based order statistics: ``picks`` maps a name to an index formula of the group size n.
 
-    The rows are ranked (large groups by range partitioning), never collected into an array.
+    The rows are ranked (large groups by range partitioning), never collected into an array; the sizes come with the
+    ranks, and only rows at a wanted position go on.
     """
-    ranked = rank_rows(df.filter(F.col(value).isNotNull()), keys, [value, *tie], "_rank", bound, limit)
-    sizes = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    n = F.col("_size")
-    aggs = [F.max(F.when(F.col("_rank") == idx(n), F.col(value))).alias(name) for name, idx in picks.items()]
-    return join_back(ranked, sizes, keys).groupBy(*keys).agg(*aggs)
+    d = df.select(*dict.fromkeys([*keys, value, *tie])).filter(F.col(value).isNotNull())
+    ranked = rank_rows(d, keys, [value, *tie], "_rank", bound, limit, "_size")
+    at = {name: F.col("_rank") == idx(F.col("_size")) for name, idx in picks.items()}
+    wanted = ranked.filter(reduce(lambda a, b: a | b, at.values()))
+    return wanted.groupBy(*keys).agg(*[F.max(F.when(hit, F.col(value))).alias(name) for name, hit in at.items()])
 
 
 def index_at(q: float) -> Callable[[Column], Column]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltide.operators.layout import index_at, join_back, order_stats
+from voltide.session import MAX_GROUP_ROWS
 
 
 def return_stats(df: DataFrame, keys: list[str], y: str = "y") -> DataFrame:
@@ -80,7 +81,7 @@ def metric_stats(df: DataFrame, keys: list[str], value: str, tie: list[str], bou
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, tie: list[str], bound: int | None = None,
-                approx: bool = False) -> DataFrame:
+                approx: bool = False, limit: int = MAX_GROUP_ROWS) -> DataFrame:
     """p50/p90/p99/p99.9 by index with mean and population std; ``approx`` uses the built-in quantile sketch."""
     moments = [F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"),
                F.max(value).alias("max")]
@@ -88,7 +89,7 @@ def percentiles(df: DataFrame, keys: list[str], value: str, tie: list[str], boun
     if approx:
         return df.groupBy(*keys).agg(*moments, *[F.percentile_approx(value, q, 10_000).alias(n) for n, q in qs.items()])
     picks = {n: index_at(q) for n, q in qs.items()}
-    return df.groupBy(*keys).agg(*moments).join(order_stats(df, keys, value, picks, tie, bound), keys)
+    return df.groupBy(*keys).agg(*moments).join(order_stats(df, keys, value, picks, tie, bound, limit), keys)
 
 
 def ksd_summary(df: DataFrame, keys: list[str], col: str, tie: list[str], bound: int | None = None) -> DataFrame:

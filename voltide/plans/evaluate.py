@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,31 +47,31 @@ def pair_runs(a: DataFrame, b: DataFrame, by: tuple[str, ...] = ("scenario", "se
     return pa.join(pb, list(by))
 
 
-def _diff_stats(paired: DataFrame, keys: list[str], metric: str) -> DataFrame:
-    d = F.col(f"{metric}_b") - F.col(f"{metric}_a")
-    g = paired.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(d).alias("_m"), F.stddev_samp(d).alias("_s"))
-    g = g.filter("n >= 2").withColumn("_se", F.col("_s") / F.sqrt(F.col("n").cast("double")))
-    g = g.withColumn("_t", F.when(F.col("_se") > 1e-10, F.try_divide("_m", "_se")).otherwise(0.0))
-    return g.withColumn("_p", 2 * (1 - fn.normal_cdf(F.abs("_t"))))
+def _diff_stats(paired: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+    """Per metric x the columns x_m (mean difference), x_s, x_se, x_t and x_p, from one aggregate over the runs."""
+    d = {x: F.col(f"{x}_b") - F.col(f"{x}_a") for x in metrics}
+    g = paired.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[f for x in metrics for f in (F.avg(d[x]).alias(f"{x}_m"), F.stddev_samp(d[x]).alias(f"{x}_s"))])
+    g = g.filter("n >= 2").withColumns({f"{x}_se": F.col(f"{x}_s") / F.sqrt(F.col("n").cast("double")) for x in metrics})
+    g = g.withColumns({f"{x}_t": F.when(F.col(f"{x}_se") > 1e-10, F.try_divide(f"{x}_m", f"{x}_se")).otherwise(0.0) for x in metrics})
+    return g.withColumns({f"{x}_p": 2 * (1 - fn.normal_cdf(F.abs(f"{x}_t"))) for x in metrics})
 
 
 def paired_ttest(paired: DataFrame, keys: list[str], metric: str) -> DataFrame:
     """Paired t statistic of B - A; the p-value uses the normal distribution for every sample size."""
-    return _diff_stats(paired, keys, metric).select(*keys, "n", F.col("_m").alias("mean_diff"), F.col("_t").alias("t_stat"),
-                                                    F.col("_p").alias("p_normal"))
+    g = _diff_stats(paired, keys, [metric])
+    return g.select(*keys, "n", F.col(f"{metric}_m").alias("mean_diff"), F.col(f"{metric}_t").alias("t_stat"), F.col(f"{metric}_p").alias("p_normal"))
 
 
 def compare(a: DataFrame, b: DataFrame, metrics: list[str], keys: tuple[str, ...] = ("scenario",), level: float = 0.05) -> DataFrame:
     """Differences B - A per scenario with standard error, t, p, effect size and flags, for every metric."""
-    paired = pair_runs(a, b)
-    parts = []
+    g = _diff_stats(pair_runs(a, b), list(keys), metrics)
+    cols = []
     for m in metrics:
-        s = _diff_stats(paired, list(keys), m)
-        effect = F.when(F.col("_s") > 1e-10, F.try_divide("_m", "_s")).otherwise(0.0)
-        parts.append(s.select(*keys, "n", F.col("_m").alias(f"{m}_diff"), F.col("_se").alias(f"{m}_se"), F.col("_t").alias(f"{m}_t"),
-                              F.col("_p").alias(f"{m}_p"), effect.alias(f"{m}_d"), (F.col("_p") < level).alias(f"{m}_significant"),
-                              (F.col("_m") < 0).alias(f"{m}_b_better")))
-    return reduce(lambda x, y: x.join(y, [*keys, "n"]), parts)
+        mean, sd, p = F.col(f"{m}_m"), F.col(f"{m}_s"), F.col(f"{m}_p")
+        effect = F.when(sd > 1e-10, F.try_divide(mean, sd)).otherwise(0.0)
+        cols += [mean.alias(f"{m}_diff"), F.col(f"{m}_se"), F.col(f"{m}_t"), p, effect.alias(f"{m}_d"), (p < level).alias(f"{m}_significant"),
+                 (mean < 0).alias(f"{m}_b_better")]
+    return g.select(*keys, "n", *cols)
 
 
 def winners(comp: DataFrame, metric: str = "rmse_h") -> DataFrame:

@@ -21,15 +21,17 @@ MARKET_SCHEMA = T.StructType([
 BLOCK_BYTES = 64 << 20
 
 
-def dataset_name() -> F.Column:
-    """File name without its extension."""
+def dataset_name(by: str = "file") -> F.Column:
+    """File name without its extension, or the name of the folder that holds a dataset's files."""
+    if by == "folder":
+        return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
     return F.regexp_replace(F.col("_metadata.file_name"), r"\.[A-Za-z0-9]+$", "")
 
 
-def read_market_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_market_csv(spark: SparkSession, paths: str | list[str], by: str = "file") -> DataFrame:
     """date, price, return, log_return files with one header line; unparsable cells become NULL."""
     raw = spark.read.schema(MARKET_SCHEMA).option("header", True).option("mode", "PERMISSIVE").csv(paths)
-    return raw.select(dataset_name().alias("dataset"), *MARKET_SCHEMA.names)
+    return raw.select(dataset_name(by).alias("dataset"), *MARKET_SCHEMA.names)
 
 
 def rejected_cells(df: DataFrame) -> DataFrame:
@@ -98,17 +100,21 @@ def write_returns_only(df: DataFrame, path: str, order: tuple[str, ...] = ("date
 
 
 def write_returns_f32(df: DataFrame, path: str, y: str = "y") -> int:
-    """Packed float32 files, one per task, streamed batch by batch. Returns the number of values written."""
+    """Packed float32 files, one per partition, streamed batch by batch. Returns the number of values written.
 
-    def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import uuid
+    A file is named after its partition, so that a retried task replaces what it wrote before. The path must name its
+    file system, which all executors have to reach."""
+    if ":" not in path:
+        raise ValueError("the path needs a scheme")
 
+    def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
+        from pyspark import TaskContext
 
-        system, root = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+        system, root = fs.FileSystem.from_uri(path)
         system.create_dir(root, recursive=True)
         n = 0
-        with system.open_output_stream(f"{root}/part-{uuid.uuid4().hex}.bin") as out:
+        with system.open_output_stream(f"{root}/part-{TaskContext.get().partitionId():06d}.bin") as out:
             for pdf in batches:
                 out.write(pdf[y].to_numpy("<f4").tobytes())
                 n += len(pdf)
