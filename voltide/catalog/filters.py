@@ -203,3 +203,80 @@ def stream_sliding_vol(spark, sf):
 
     return rounded(drain(windowed_vol(stream_of(spark, sf), "40 days", "7 days", "1 day"), "slidevol").filter("series_id >= 0")
                    .select("series_id", utc_reading("start").alias("start"), "realised_vol", "n"))
+
+
+# --- control rows and late rows: files that arrive one after another --------------------------------------------------------
+
+def arrivals(spark, parts):
+    """A stream of the given tables, one file and one trigger each, in order."""
+    path = scratch_table(spark, "arrivals")
+    for p in parts:
+        p.coalesce(1).write.mode("append").parquet(path)  # a file per table is the feature: it arrives as one batch
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+CONTROL = ["series_id", "ts", "tie", "y", "kind", "signal", "rho"]
+
+
+def _control(df, kind, at, signal=None, rho=None):
+    """Control rows one millisecond before the instant in column ``at``."""
+    null = F.lit(None).cast("double")
+    return df.select("series_id", (F.col(at) - F.expr("interval 1 millisecond")).alias("ts"), F.lit(0).cast("long").alias("tie"), null.alias("y"),
+                     F.lit(kind).alias("kind"), (null if signal is None else signal.cast("double")).alias("signal"), (null if rho is None else F.lit(rho)).alias("rho"))
+
+
+def _far(spark, day):
+    d = spark.range(1).select(F.lit(-1).cast("long").alias("series_id"), F.lit(day).cast("timestamp").alias("at"))
+    return _control(d, "params", "at")
+
+
+def controlled(spark, sf):
+    o, _ = obs(spark, sf)
+    d = o.select("series_id", utc_instant("ts").alias("ts"), "tie", "y", "t", F.lit("obs").alias("kind"), F.lit(None).cast("double").alias("signal"),
+                 F.lit(None).cast("double").alias("rho"))
+    at = d.groupBy("series_id").agg(*[F.max(F.when(F.col("t") == k, F.col("ts"))).alias(f"at{k}") for k in (3, 5, 10)])
+    return d, at
+
+
+@query("stream_controls", f"""
+WITH RECURSIVE {OBS}, a AS (SELECT series_id, max(ts) FILTER (t = 3) AS a3, max(ts) FILTER (t = 5) AS a5, max(ts) FILTER (t = 10) AS a10 FROM obs GROUP BY 1),
+ob AS (SELECT o.series_id, o.t, ln(o.y * o.y + 1e-8) + {OFF5} AS z, CASE WHEN o.ts >= a5 THEN 0.5 ELSE 0.95 END AS rho, o.ts >= a10 AS later, o.ts >= a3 AS told FROM obs o JOIN a USING (series_id)),
+rs AS (SELECT *, later AND NOT coalesce(lag(later) OVER (PARTITION BY series_id ORDER BY t), false) AS fresh, sum(CASE WHEN later THEN 0 ELSE 1 END) OVER (PARTITION BY series_id) AS n0 FROM ob),
+rec AS (
+  SELECT series_id, t, -0.5 + k * (z + 0.5) AS m, (1 - k) * pp AS p, later, told, n0 FROM
+    (SELECT *, pp / (pp + 6.93 + 1e-8) AS k FROM (SELECT *, rho * rho * (0.09 / (1 - rho * rho)) + 0.09 AS pp FROM rs WHERE t = 0))
+  UNION ALL
+  SELECT series_id, t, mp + k * (z - mp), (1 - k) * pp, later, told, n0 FROM
+    (SELECT *, pp / (pp + 6.93 + 1e-8) AS k FROM
+      (SELECT rs.series_id, rs.t, rs.z, rs.later, rs.told, rs.n0, CASE WHEN rs.fresh THEN -0.5 ELSE -0.5 + rs.rho * (rec.m + 0.5) END AS mp,
+              rs.rho * rs.rho * (CASE WHEN rs.fresh THEN 0.09 / (1 - rs.rho * rs.rho) ELSE rec.p END) + 0.09 AS pp
+       FROM rec JOIN rs ON rs.series_id = rec.series_id AND rs.t = rec.t + 1)))
+SELECT series_id, CASE WHEN later THEN t - CAST(n0 AS BIGINT) ELSE t END AS t, later, {_r('m', 'guide_mean')}, {_r('p', 'guide_var')},
+  CASE WHEN told AND NOT later THEN CAST(series_id AS DOUBLE) END AS signal FROM rec""")
+def stream_controls(spark, sf):
+    """A slow signal, a change of rho and a reset in the middle of every series; arrival in shuffled order."""
+    from voltide.streaming.processor import SignalProcessor, run_stream
+
+    d, at = controlled(spark, sf)
+    some = lambda k: at.filter(F.col(f"at{k}").isNotNull())
+    ctl = _control(some(3), "signal", "at3", signal=F.col("series_id")).union(_control(some(5), "params", "at5", rho=0.5)).union(_control(some(10), "reset", "at10"))
+    s = arrivals(spark, [d.filter("tie % 2 = 0").select(*CONTROL), ctl.select(*CONTROL), d.filter("tie % 2 = 1").select(*CONTROL), _far(spark, "2100-01-01"), _far(spark, "2100-01-02")])
+    out = drain(run_stream(s, SignalProcessor(SIGNALS), "4000 days"), "controls").filter("series_id >= 0")
+    out = out.join(at.select("series_id", "at10"), "series_id").withColumn("later", F.coalesce(F.col("ts") >= F.col("at10"), F.lit(False)))
+    return rounded(out.select("series_id", "t", "later", "guide_mean", "guide_var", "signal"))
+
+
+@query("stream_late_rows", f"""
+WITH {OBS}
+SELECT series_id, tie, CASE WHEN tie % 10 = 0 THEN 321 WHEN abs(y) > 0.5 THEN 302 ELSE 0 END AS status,
+  CASE WHEN tie % 10 = 0 THEN -1 ELSE row_number() OVER (PARTITION BY series_id, tie % 10 = 0 ORDER BY ts, tie) - 1 END AS t FROM obs""")
+def stream_late_rows(spark, sf):
+    """A tenth of the rows arrives when the watermark is past them: they come out marked late and move nothing."""
+    from voltide.streaming.processor import SignalProcessor, run_stream
+
+    d, _ = controlled(spark, sf)
+    d = d.select(*CONTROL, F.col("tie").alias("_tie"))
+    on_time, late = (d.filter(c).select(*CONTROL) for c in ("_tie % 10 <> 0", "_tie % 10 = 0"))
+    s = arrivals(spark, [on_time, _far(spark, "2100-01-01"), _far(spark, "2100-01-02"), late])
+    out = drain(run_stream(s, SignalProcessor(SIGNALS), "4000 days"), "late").filter("series_id >= 0")
+    return out.select("series_id", "tie", F.col("status").cast("int").alias("status"), "t")
