@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -108,4 +109,4 @@ def quality_rules(traces: DataFrame, base: tuple[Rule, ...] = BASE_RULES, rules:
     failed = ~compile_rules(base)
     d = m.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
     # counted as they pass; a filter on the verdict stays above this, and the measures are computed once
-    return d.observe("quality_rules", F.count(F.lit(1)).alias("rows"), F.count_if("kept").alias("kept"))
+    return d.observe(f"quality_rules_{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"), F.count_if("kept").alias("kept"))
