@@ -277,8 +277,7 @@ def stein_full_newton(spark, sf):
 WITH {STEIN} SELECT set_id, {_r('sqrt(greatest(sum(ub + uc) / 4096, 0))', 'ksd')}, {_r('sqrt(greatest(sum(ub - uc) / 4096, 0))', 'ksd_compat')} FROM sm GROUP BY 1""")
 def ksd(spark, sf):
     p = stein_sets(spark, sf)
-    a, b = pt.ksd(pt.stein_phi(p, K), K), pt.ksd(pt.stein_phi(p, K, compat=True), K).withColumnRenamed("ksd", "ksd_compat")
-    return rounded(a.join(b, K))
+    return rounded(pt.ksd(pt.stein_phi(p, K, both_signs=True), K, {"ksd": "ksd_part", "ksd_compat": "ksd_part_other"}))
 
 
 @query("stein_rbf", f"""

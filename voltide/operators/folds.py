@@ -71,7 +71,7 @@ def ekf_two_factor(df: DataFrame, cfg: FilterConfig, bound: int | None = None) -
     """Two-component Kalman guide with innovation split. The gain schedule is one short table per configuration."""
     sched = two_factor_gains(cfg)
     gains = df.sparkSession.createDataFrame(sched, "_g long, k_fast double, k_slow double, var_fast double, var_slow double")
-    d = df.withColumn("_g", F.least(F.col("t"), F.lit(len(sched) - 1))).join(F.broadcast(gains), "_g").drop("_g")
+    d = df.withColumn("_g", F.least(F.col("t"), F.lit(len(sched) - 1))).join(gains, "_g").drop("_g")
     rf, rs, kf, ks = F.lit(cfg.rho_fast), F.lit(cfg.rho_slow), F.col("k_fast"), F.col("k_slow")
     z = fn.log_y2("y") + implied_offset(cfg.nu) - cfg.mu
     maps = [rf * (1 - kf), -kf * rs, -ks * rf, rs * (1 - ks), kf * z, ks * z]

@@ -300,9 +300,10 @@ def precondition(grad, curv) -> Column:
 
 def stein_phi(p: DataFrame, keys: list[str], mode: str = "plain", kernel: str = "imq", paper_sign: bool = False,
               grad: str = "grad", curv: str = "curv", bw: str = "bandwidth", compat: bool = False,
-              bound: int | None = None, block: int = tiles.BLOCK) -> DataFrame:
+              bound: int | None = None, block: int = tiles.BLOCK, both_signs: bool = False) -> DataFrame:
     """Transport direction ``phi`` of every particle; with the IMQ kernel also its share ``ksd_part`` of the
-    discrepancy. ``compat`` flips the sign of the mixed kernel derivative (see README)."""
+    discrepancy. ``compat`` flips the sign of the mixed kernel derivative (see README); ``both_signs`` adds the share
+    with the other sign as ``ksd_part_other``, from the same pass."""
     d = p.withColumn("s", F.col(grad))
     width = {"bw": F.col(bw)}
     if kernel != "imq":
@@ -324,12 +325,15 @@ def stein_phi(p: DataFrame, keys: list[str], mode: str = "plain", kernel: str =
     else:
         raise ValueError(f"unknown mode {mode!r}")
     part = F.col("u_base") + (-1.0 if compat else 1.0) * F.col("u_cross")
-    return d.select(*p.columns, phi.alias("phi"), part.alias("ksd_part"))
+    other = [(F.col("u_base") - (-1.0 if compat else 1.0) * F.col("u_cross")).alias("ksd_part_other")] if both_signs else []
+    return d.select(*p.columns, phi.alias("phi"), part.alias("ksd_part"), *other)
 
 
-def ksd(p: DataFrame, keys: list[str], part: str = "ksd_part") -> DataFrame:
+def ksd(p: DataFrame, keys: list[str], parts: dict[str, str] | None = None) -> DataFrame:
+    """Discrepancy of each set; parts: result name -> column of the particles' shares."""
     n = F.count(F.lit(1)).cast("double")
-    return p.groupBy(*keys).agg(F.sqrt(F.greatest(F.sum(part) / (n * n), F.lit(0.0))).alias("ksd"))
+    parts = parts or {"ksd": "ksd_part"}
+    return p.groupBy(*keys).agg(*[F.sqrt(F.greatest(F.sum(c) / (n * n), F.lit(0.0))).alias(k) for k, c in parts.items()])
 
 
 def transport(h, v, phi, z, step, beta_root, temperature=1.0, rho=0.9, eps=1e-6) -> tuple[Column, Column]:
