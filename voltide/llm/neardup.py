@@ -6,6 +6,7 @@ import hashlib
 import string
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ SIMILARITY = 0.8
 SKETCHES = 14  # tuples of a sketch; at similarity 0.8 a pair shares one with probability 0.9999
 MINIMA = 3  # least shingles in a tuple, in text order
 SMALL = 16  # buckets of so many texts are compared pair by pair
+DEALT = ((1, 2, 3), (4, 5), (6,))  # which further tuples deal large buckets anew, level by level
 EDGES = string.punctuation + "«»„“”‚‘’…–—¿¡"
 
 
@@ -176,29 +178,34 @@ def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _all_pairs(members: DataFrame) -> DataFrame:
-    """members: key, name, of buckets of at most SMALL."""
-    each = members.join(members.withColumnRenamed("name", "other"), "key").where(F.col("name") < F.col("other"))
-    return each.select(*_ordered("name", "other"))
+def _buckets(members: DataFrame, keys: list[str]) -> DataFrame:
+    """Members (key, name, class, ...) of buckets that hold texts of more than one class, with the bucket's size."""
+    sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("_low"), F.max("class").alias("_high"))
+    return cut_lineage(members.join(sizes.where(F.col("_low") < F.col("_high")).drop("_low", "_high"), keys))
 
 
-def _buckets(members: DataFrame) -> DataFrame:
-    """key, name, n for buckets of more than one text."""
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    return cut_lineage(members.join(sizes, "key"))
-
-
-def _picked(seed: int):
-    return F.min(F.struct(F.xxhash64("key", "name", F.lit(seed)).alias("h"), F.col("name").alias("name")))["name"]
-
-
-def _stars(large: DataFrame) -> DataFrame:
-    """key, name, centre, p1 .. p3: a large bucket's centre is the text that shares most with others in large buckets,
-    as the origin of a group of edited copies does; further texts are picked by hashes."""
+def _pairs(buckets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts of different classes: all of a small bucket's, and in a larger one each text with the text
+    that shares most with others, as the origin of a group of edited copies does, and with one that a hash picks."""
+    each = buckets.where(F.col("n") <= SMALL).select("key", "name", "class")
+    other = each.select("key", F.col("name").alias("other"), F.col("class").alias("other_class"))
+    near = each.join(other, "key").where((F.col("name") < F.col("other")) & (F.col("class") != F.col("other_class")))
+    large = buckets.where(F.col("n") > SMALL).select("key", "name", "class", "n")
     met = large.groupBy("name").agg(F.sum("n").alias("met"))
+    text = F.struct("name", "class")
     centres = large.join(met, "name").groupBy("key").agg(
-        F.max(F.struct("met", "name"))["name"].alias("centre"), *[_picked(s).alias(f"p{s}") for s in (1, 2, 3)])
-    return cut_lineage(large.select("key", "name").join(centres, "key"))
+        F.array(F.max(F.struct("met", text.alias("text")))["text"], F.min(F.struct(F.xxhash64("key", "name").alias("h"), text.alias("text")))["text"]).alias("centres"))
+    stars = large.join(centres, "key").select("name", "class", F.explode(F.array_distinct("centres")).alias("centre"))
+    stars = stars.where(F.col("class") != F.col("centre.class")).select("name", F.col("centre.name").alias("other"))
+    return near.select(*_ordered("name", "other")).union(stars.select(*_ordered("name", "other"))).distinct()
+
+
+def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """classes (name, class) after joining the classes that links connect."""
+    of = lambda side: classes.select(F.col("name").alias(side), F.col("class").alias(f"class_{side}"))
+    joined = links.join(of("a"), "a").join(of("b"), "b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+    found = components(joined)
+    return cut_lineage(classes.join(found, F.col("class") == F.col("node"), "left").select("name", F.coalesce("component", "class").alias("class")))
 
 
 def near_classes(traces: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -210,41 +217,37 @@ def near_classes(traces: DataFrame, least: float = SIMILARITY) -> DataFrame:
     more, and classes are the connected components.
 
     Copies are folded into one text before anything else, so that a group of copies costs one row. Order MinHash tuples
-    deal texts into buckets. Small buckets are compared pair by pair; a larger bucket's texts with the one that shares
-    most with others. Those that are not like it are compared with three more and, dealt anew by two tuples at a time,
-    with each other. No text is dropped, no pair is verified twice, and classes never reach the driver.
+    deal texts into buckets. Small buckets are compared pair by pair, a larger bucket's texts with two of them, and what
+    is alike becomes one class. Large buckets that still hold several classes are dealt anew by one more tuple of the
+    sketch, three times over, and texts of different classes are compared in the same way: work goes on only where
+    classes meet. No text is dropped, no pair of one class is verified again, and classes never reach the driver.
 
     A NULL or empty trace has no words; all such are copies of each other. Rows with NULL ids get their class like
     others; its class_id is NULL only if no row of the class has an id. Repeated rows are copies. Empty in, empty out."""
     sk = cut_lineage(sketches(traces))
     nodes = cut_lineage(sk.groupBy("name").agg(F.min("series_id").alias("least"), F.first("keys").alias("keys")))
-    buckets = _buckets(nodes.select("name", F.explode("keys").alias("key")))
+    members = nodes.select("name", F.col("name").alias("class"), F.posexplode("keys").alias("j", "key"))
+    buckets = _buckets(members, ["key"])
     texts = sk.groupBy("name").agg(F.first("words").alias("words"))
     texts = cut_lineage(texts.join(buckets.select("name").distinct().hint("merge"), "name", "left_semi"))
-
-    stars = _stars(buckets.where(F.col("n") > SMALL))
-    near = _all_pairs(buckets.where(F.col("n") <= SMALL).select("key", "name"))
-    pairs = cut_lineage(near.union(stars.where(F.col("name") != F.col("centre")).select(*_ordered("name", "centre"))).distinct())
-    links = cut_lineage(_verified(pairs, texts, least))
-
-    unlike = stars.where(F.col("name") != F.col("centre")).withColumns({"a": F.least("name", "centre"), "b": F.greatest("name", "centre")})
-    unlike = cut_lineage(unlike.join(links, ["a", "b"], "left_anti").select("key", "name", "p1", "p2", "p3"))
-    others = unlike.select("name", F.explode(F.array("p1", "p2", "p3")).alias("centre")).where(F.col("name") != F.col("centre"))
-    place = F.array_position("keys", F.col("key")).cast("int") - 1
-    again = unlike.select("key", "name").join(nodes.select("name", "keys"), "name").select("name", F.explode(F.array(*[
-        F.xxhash64("key", F.get("keys", (place + d) % SKETCHES)) for d in (1, 2, 3)])).alias("key"))
-    again = _buckets(again.distinct())
-    hubs = again.where(F.col("n") > SMALL).groupBy("key").agg(_picked(4).alias("centre"))
-    more = again.where(F.col("n") > SMALL).join(hubs, "key").where(F.col("name") != F.col("centre")).select("name", "centre").union(others)
-    more = more.select(*_ordered("name", "centre")).union(_all_pairs(again.where(F.col("n") <= SMALL).select("key", "name"))).distinct()
-    more = cut_lineage(more.join(pairs, ["a", "b"], "left_anti"))
-    links = links.union(cut_lineage(_verified(more, texts, least)))
-
-    found = components(links)
-    ids = nodes.select("name", "least").join(found, F.col("name") == F.col("node"), "left")
-    ids = cut_lineage(ids.select("name", "least", F.coalesce("component", "name").alias("component")))
-    of_class = ids.join(found.select("component").distinct(), "component", "left_semi").groupBy("component").agg(F.min("least").alias("class_id"))
+    classes = cut_lineage(texts.select("name", F.col("name").alias("class")))
+    links = []
+    for level in range(len(DEALT) + 1):
+        if level:
+            large = buckets.where(F.col("n") > SMALL).select("key", "name", "j")
+            large = large.join(classes, "name").join(nodes.select("name", "keys"), "name")
+            more = F.array(*[F.xxhash64("key", F.get("keys", (F.col("j") + d) % SKETCHES)) for d in DEALT[level - 1]])
+            buckets = _buckets(large.select("name", "class", "j", F.explode(more).alias("key")), ["key"])
+        pairs = _pairs(buckets)
+        for known in links:
+            pairs = pairs.join(known, ["a", "b"], "left_anti")
+        links.append(cut_lineage(_verified(cut_lineage(pairs), texts, least)))
+        classes = _merged(classes, links[-1])
+
+    links = reduce(DataFrame.union, links)
     degree = links.select(F.explode(F.array("a", "b")).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n_links"))
-    ids = ids.join(of_class, "component", "left").join(degree, "name", "left").select(
+    ids = cut_lineage(nodes.select("name", "least").join(classes, "name", "left"))
+    of_class = ids.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("least").alias("class_id"))
+    ids = ids.join(of_class, "class", "left").join(degree, "name", "left").select(
         "name", F.coalesce("class_id", "least").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return sk.select("series_id", "name").join(ids, "name").select("series_id", "class_id", "n_links")
