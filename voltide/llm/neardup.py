@@ -24,7 +24,7 @@ SIMILARITY = 0.8
 SKETCHES = 14  # tuples of a sketch; at similarity 0.8 a pair shares one with probability 0.9999
 MINIMA = 3  # least shingles in a tuple, in text order
 SMALL = 16  # buckets of so many texts are compared pair by pair
-DEALT = ((1, 2, 3), (4, 5), (6,))  # which further tuples deal large buckets anew, level by level
+DEALT = ((1, 2, 3), (4, 5), (6, 7), (8,))  # which further tuples deal large buckets anew, level by level
 EDGES = string.punctuation + "«»„“”‚‘’…–—¿¡"
 
 
@@ -119,20 +119,23 @@ def sketches(traces: DataFrame) -> DataFrame:
     return d.mapInArrow(run, f"series_id {dict(d.dtypes)['series_id']}, name binary, keys array<long>, words array<int>")
 
 
+def _first_occurrences(names: np.ndarray) -> np.ndarray:
+    return names[np.sort(np.unique(names, return_index=True)[1])]
+
+
 def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     """Shared shingles of an alignment over all shingles of two word sequences (at least `least`, else 0).
 
-    The same occurrence of the same shingle may pair up, within the band that `least` leaves: a similarity s needs
-    n + m - 2 L <= (1 - s) / (1 + s) (n + m) insertions and deletions. L is the longest increasing chain of such pairs."""
-    sa, ea = shingles(a.astype(np.uint64), np.array([len(a)]))
-    sb, eb = shingles(b.astype(np.uint64), np.array([len(b)]))
-    n, m = len(sa), len(sb)
+    First occurrences of equal shingles may pair up, within the band that `least` leaves: a similarity s needs
+    n + m - 2 L <= (1 - s) / (1 + s) (n + m) insertions and deletions. L is the longest increasing chain of such pairs,
+    n and m count different shingles, so that it is their Jaccard similarity where both texts have them in one order."""
+    la, lb = (_first_occurrences(shingles(x.astype(np.uint64), np.array([len(x)]))[0]) for x in (a, b))
+    n, m = len(la), len(lb)
     if not n or not m:
         return float(n == m)
     band = int((1 - least) / (1 + least) * (n + m) + 1e-9)
     if abs(n - m) > band:
         return 0.0
-    la, lb = (labelled(s, np.zeros(len(s), np.int64)) for s in (sa, sb))
     order = np.argsort(lb)
     at = np.minimum(np.searchsorted(lb[order], la), m - 1)
     i = np.flatnonzero(lb[order][at] == la)
@@ -219,7 +222,7 @@ def near_classes(traces: DataFrame, least: float = SIMILARITY) -> DataFrame:
     Copies are folded into one text before anything else, so that a group of copies costs one row. Order MinHash tuples
     deal texts into buckets. Small buckets are compared pair by pair, a larger bucket's texts with two of them, and what
     is alike becomes one class. Large buckets that still hold several classes are dealt anew by one more tuple of the
-    sketch, three times over, and texts of different classes are compared in the same way: work goes on only where
+    sketch, level by level, and texts of different classes are compared in the same way: work goes on only where
     classes meet. No text is dropped, no pair of one class is verified again, and classes never reach the driver.
 
     A NULL or empty trace has no words; all such are copies of each other. Rows with NULL ids get their class like
