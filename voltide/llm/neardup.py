@@ -23,8 +23,8 @@ WORDS = 5  # words in a shingle
 SIMILARITY = 0.8
 SKETCHES = 14  # tuples of a sketch; at similarity 0.8 a pair shares one with probability 0.9999
 MINIMA = 3  # least shingles in a tuple, in text order
-SMALL = 16  # buckets of so many texts are compared pair by pair
-DEALT = ((1, 2, 3), (4, 5), (6, 7), (8,))  # which further tuples deal large buckets anew, level by level
+SMALL = 10  # buckets of so many texts are compared pair by pair
+DEALT = ((1, 2, 3), (4, 5), (6, 7))  # which further tuples deal large buckets anew, level by level
 EDGES = string.punctuation + "«»„“”‚‘’…–—¿¡"
 
 
