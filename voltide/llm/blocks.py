@@ -22,6 +22,8 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int =
             j = max(i + 1, int(np.searchsorted(ends, base + max_bytes, side="right")))
             yield b.slice(i, j - i), col.slice(i, j - i).to_pylist()
             i = j
+        del b, col
+        pa.default_memory_pool().release_unused()  # workers live on between tasks
 
 
 def named_chunks(texts: pa.Array, ascii_only: bool = False) -> tuple[list[str], np.ndarray, np.ndarray]:

@@ -219,11 +219,12 @@ def training_rows(texts: DataFrame, rows_a_language: int = 400, max_chars: int =
     return sorted((r["text"], r["lang"]) for r in d.select("text", "lang").collect())
 
 
-def identify_languages(texts: DataFrame, learn_from: DataFrame, rows_a_language: int = 400) -> DataFrame:
+def identify_languages(texts: DataFrame, learn_from: DataFrame, rows_a_language: int = 400, with_text: bool = False) -> DataFrame:
     """Predicted language of whole texts.
 
     General: the project has no records in languages. texts: text_id, text; learn_from: text, lang. Other columns are
-    not read, so that only the text decides. Returns text_id, lang_pred and score, the pooled probability (0 to 1).
+    not read, so that only the text decides. Returns text_id, lang_pred and score, the pooled probability (0 to 1), and the
+    text if asked for.
 
     The network learns on the driver from a bounded sample (training_rows); it labels each byte of each text in tasks,
     and the log probabilities of a text's bytes are pooled. A NULL text or one without letters is `und` with score 0,
@@ -240,7 +241,9 @@ def identify_languages(texts: DataFrame, learn_from: DataFrame, rows_a_language:
             if use:
                 p = pooled(net, [got[k] for k in use])
                 label[use], score[use] = np.array(names, object)[p.argmax(axis=1)], p.max(axis=1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(label.tolist(), pa.string()), pa.array(score)], ["text_id", "lang_pred", "score"])
+            own = [b.column(1)] if with_text else []
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(label.tolist(), pa.string()), pa.array(score), *own], ["text_id", "lang_pred", "score", *["text"] * with_text])
 
     d = texts.select("text_id", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
-    return d.mapInArrow(run, f"text_id {dict(d.dtypes)['text_id']}, lang_pred string, score double")
+    return d.mapInArrow(run, f"text_id {dict(d.dtypes)['text_id']}, lang_pred string, score double" + ", text string" * with_text)

@@ -18,7 +18,7 @@ from voltide.llm.blocks import named_chunks, text_blocks
 # The pieces that the tokenizer file's own pattern finds, with white space as Unicode has it.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")  # str.split() takes these for white space, Unicode doesn't
-MAX_ENTRIES = 300_000
+MAX_ENTRIES = 160_000
 NONE = np.int32(2**31 - 1)
 
 
