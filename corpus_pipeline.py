@@ -36,11 +36,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found with a score of at least LEAST_LANGUAGE_SCORE. Documents of two folds of three
     by id are learned from; where no document has a language, nothing can be found and all go."""
-    rows = docs.select(F.struct(*COLUMNS).alias("text_id"), "text")
+    others = [c for c in COLUMNS if c != "text"]
+    rows = docs.select(F.struct(*others).alias("text_id"), "text")
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3, F.lit(0))
-    found = langid.identify_languages(rows, docs.where(fold != 1))
+    found = langid.identify_languages(rows, docs.where(fold != 1), with_text=True)
     found = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
-    return found.select(*[F.col("text_id")[c].alias(c) for c in COLUMNS])
+    return found.select(*[F.col("text") if c == "text" else F.col("text_id")[c].alias(c) for c in COLUMNS])
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
