@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from voltide.catalog.returns import OFF5
 from voltide.catalog.registry import EV, OBS, estimates, obs, query, rounded
 from voltide.catalog.returns import _r, nu_score, nu_score_sql
-from voltide.functions.config import FilterConfig, presets
+from voltide.functions.config import FilterConfig, log_norm, presets, stationary_var
 from voltide.operators import stats
 from voltide.plans import calibrate, cross_section, evaluate, multiscale
 from voltide.session import scratch_table
@@ -41,6 +41,35 @@ def filter_tick(spark, sf):
     return rounded(cross_section.filter_tick(p, s, o, cfg, draw)[2])
 
 
+PLAIN = replace(SMALL, config_id="plain", n_particles=16, min_steps=1, max_steps=1, mim=False, guided=False, guide=False, annealing=False, svld=False,
+                adaptive_sigma=False, adaptive_guide=False)
+
+
+def _draw_sql(role: str, t: int) -> str:
+    u, v = (f"((('0x' || substr(md5(concat_ws('/', '42', series_id, '{t}', i, '{role}:0:0', '{x}')), 1, 13))::BIGINT + 0.5) / {float(1 << 52)!r})" for x in "ab")
+    return f"(sqrt(-2 * ln({u})) * cos(2 * pi() * {v}))"
+
+
+_H = "greatest(-15.0, least(5.0, {}))".format
+_START = _H(f"{PLAIN.mu} + {stationary_var(PLAIN) ** 0.5!r} * {_draw_sql('init', -1)}")
+_NEXT = _H(f"{PLAIN.mu} + {PLAIN.rho} * (h0 - ({PLAIN.mu})) + {PLAIN.sigma_z} * {_draw_sql('state', 0)}")
+
+
+@query("filter_prediction", f"""
+WITH {OBS}, s AS (SELECT tie AS series_id, y, CAST(range AS INT) AS i FROM obs, range({PLAIN.n_particles})),
+a AS (SELECT *, {_START} AS h0 FROM s), b AS (SELECT *, {_NEXT} AS h FROM a),
+l AS (SELECT series_id, {log_norm(PLAIN.nu)!r} - 0.5 * h - {(PLAIN.nu + 1) / 2} * ln(1 + y * y / (exp(h) + 1e-8) / {PLAIN.nu}) AS lw FROM b),
+m AS (SELECT series_id, max(lw) AS top FROM l GROUP BY 1)
+SELECT series_id, {_r('max(top) + ln(greatest(avg(exp(lw - top)), 1e-10))', 'loglik_predictive')}, 1 AS stein_steps FROM l JOIN m USING (series_id) GROUP BY 1""")
+def filter_prediction(spark, sf):
+    """Start sets, state draws and the prediction of one tick for every observation."""
+    o, _ = obs(spark, sf)
+    o = o.select(F.col("tie").alias("series_id"), "y")
+    draw = cross_section.hash_draws(42)
+    est = cross_section.filter_tick(*cross_section.start_state(o.select("series_id"), PLAIN, draw), o, PLAIN, draw)[2]
+    return rounded(est.select("series_id", "loglik_predictive", "stein_steps"))
+
+
 SCALES = EV + f""",
 ms AS (SELECT series_id, t, y, vol / 50 AS f, vol_true / 50 AS s, h_est AS hf, h_true AS hs, lag(vol_true / 50, 1, 0.01) OVER (PARTITION BY series_id ORDER BY t) AS vp FROM ev)"""
 
