@@ -110,6 +110,17 @@ def test_the_words_of_a_class_add_up(spark):
     assert (v.unseen > 0).all() and (v.unseen <= 1).all()
 
 
+def test_tokens_of_a_block():
+    import re
+
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("aB\x1c\x1f \t\n\x0b\x0c\r \x85é|") for _ in range(rng.randint(0, 12))) for _ in range(800)]
+    words, codes, ends = hmm.block_words(texts)
+    for t, a, z in zip(texts, [0, *ends[:-1]], ends):
+        lower = t.translate({i: i + 32 for i in range(65, 91)})
+        assert [words[k] for k in codes[a:z]] == [*re.findall(r"[^\x20\x09-\x0D]+", lower), hmm.END]
+
+
 def test_hmm_hard_rows(spark, hard):
     d = hard.withColumn("learn", F.when(F.col("series_id") % 2 == 0, True).when(F.col("series_id").isNull(), None).otherwise(False))
     got = hmm.score_traces(d, rounds=1).collect()
