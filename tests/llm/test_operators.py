@@ -176,6 +176,39 @@ def test_copies_of_one_origin_are_one_class_and_shared_passages_are_not(spark):
     assert len({r.class_id for r in got if r.series_id >= 2000}) == 100
 
 
+def test_pairs_far_from_the_centre_of_a_large_bucket(spark):
+    """Texts of one template (similarity 0.67) of which each has one partner at 0.802."""
+    word = lambda *at: "w" + "x".join(map(str, at))
+    rows = []
+    for i in range(150):
+        shared = [word(0, k) for k in range(84)] + [word(1, i, k) for k in range(9)]
+        rows += [(2 * i + e, " ".join(shared + [word(2, i, e, k) for k in range(11)])) for e in (0, 1)]
+    a, b = shingle_set(rows[0][1]), shingle_set(rows[1][1])
+    assert 0.8 <= len(a & b) / len(a | b) < 0.81
+    got = neardup.near_classes(spark.createDataFrame(rows, "series_id long, trace string")).collect()
+    assert [r.series_id for r in got if r.class_id != r.series_id // 2 * 2] == []
+
+
+def test_pairs_by_rare_shingles_are_all_pairs(spark):
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(60)]
+    texts = []
+    for i in range(80):
+        w = list(base)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randint(0, 3)] = [f"v{rng.randrange(40)}"]
+        texts.append(" ".join(w))
+    texts = sorted(set(texts)) + ["one two", "one two three four five six"]
+    sk = neardup.cut_lineage(neardup.sketches(spark.createDataFrame(list(enumerate(texts)), "series_id long, trace string")))
+    of = {bytes(r.name): r.series_id for r in sk.collect()}
+    classes = sk.select("name", F.when(F.col("series_id") < 20, F.lit(b"a")).otherwise(F.col("name")).alias("class"))
+    got = {tuple(sorted((of[bytes(r.a)], of[bytes(r.b)]))) for r in neardup._all_pairs(sk, classes, 0.8).collect()}
+    sets = [shingle_set(t) for t in texts]
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if j >= 20 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert want and want <= got and all(j >= 20 for _, j in got)
+
+
 def test_alignment_needs_order():
     a = np.arange(1, 401, dtype=np.uint32)
     assert neardup.aligned_similarity(a, a) == 1.0

@@ -23,8 +23,10 @@ WORDS = 5  # words in a shingle
 SIMILARITY = 0.8
 SKETCHES = 14  # tuples of a sketch; at similarity 0.8 a pair shares one with probability 0.9999
 MINIMA = 3  # least shingles in a tuple, in text order
-SMALL = 10  # buckets of so many texts are compared pair by pair
-DEALT = ((1, 2, 3), (4, 5), (6, 7))  # which further tuples deal large buckets anew, level by level
+SMALL = 16  # buckets of so many texts are compared pair by pair
+DEALT = ((1, 2, 3), (4, 5), (6, 7), (8,))  # which further tuples deal large buckets anew, level by level
+SLOTS = 1 << 20  # counts by which shingles are called rare; shared slots cost speed only
+SALTED = 256  # texts of a shingle that meet others in one task
 EDGES = string.punctuation + "«»„“”‚‘’…–—¿¡"
 
 
@@ -203,6 +205,69 @@ def _pairs(buckets: DataFrame) -> DataFrame:
     return near.select(*_ordered("name", "other")).union(stars.select(*_ordered("name", "other"))).distinct()
 
 
+def _sets(b: pa.RecordBatch, column: int) -> Iterator[np.ndarray]:
+    """Different shingles of each text, as the alignment names them."""
+    flat = b.column(column).flatten().to_numpy(zero_copy_only=False).view(np.uint32)
+    ends = np.append(0, np.cumsum(pc.list_value_length(b.column(column)).to_numpy(zero_copy_only=False)))
+    for k in range(b.num_rows):
+        x = flat[ends[k] : ends[k + 1]].astype(np.uint64)
+        yield np.unique(shingles(x, np.array([len(x)]))[0])
+
+
+def _shingle_counts(texts: DataFrame) -> np.ndarray:
+    """How many texts have a shingle of each slot: a table of fixed size, whatever the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            for x in _sets(b, 0):
+                np.add.at(total, x % np.uint64(SLOTS), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["slot", "n"])
+
+    rows = texts.select("words").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.uint32)
+    out[rows["slot"].to_numpy()] = np.minimum(rows["n"].to_numpy(), 2**32 - 1)
+    return out
+
+
+def _all_pairs(texts: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """Every pair (a, b) of texts of different classes whose sets of shingles can have similarity `least`, and few others.
+
+    Shingles stand in one order for all texts, rare ones first. Of n shingles a similar text shares ceil(least n) or
+    more, so that two similar texts share one of the n - ceil(least n) + 1 first of each. A pair whose first common
+    shingle stands at places i and j shares 1 + min(n - i - 1, m - j - 1) at most, and needs least / (1 + least) (n + m).
+    A shingle's texts meet in as many tasks as their number asks for."""
+    counts = _shingle_counts(texts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for start in range(0, big.num_rows, 500):
+                b = big.slice(start, 500)
+                first, sizes = [], []
+                for x in _sets(b, 1):
+                    n = len(x)
+                    first.append(x[np.lexsort((x, counts[x % np.uint64(SLOTS)]))[: n - int(np.ceil(least * n - 1e-9)) + 1]])
+                    sizes.append(n)
+                rows = np.array([len(x) for x in first])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), rows))), pa.array(np.concatenate(first).view(np.int64)),
+                     pa.array(np.concatenate([np.arange(k) for k in rows]).astype(np.int32)), pa.array(np.repeat(sizes, rows).astype(np.int32))],
+                    ["name", "key", "at", "size"])
+
+    rows = texts.select("name", "words").mapInArrow(run, "name binary, key long, at int, size int")
+    b = _buckets(cut_lineage(rows.join(classes, "name")), ["key"])
+    salts = F.ceil(F.col("n") / SALTED).cast("int")
+    x = b.withColumn("salt", F.pmod(F.hash("name"), salts))
+    y = b.select("key", F.col("name").alias("other"), F.col("class").alias("other_class"), F.col("at").alias("other_at"), F.col("size").alias("other_size"),
+                 F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    shared = F.least(F.col("size") - F.col("at"), F.col("other_size") - F.col("other_at"))
+    met = x.join(y, ["key", "salt"]).where(
+        (F.col("name") < F.col("other")) & (F.col("class") != F.col("other_class"))
+        & (shared >= least / (1 + least) * (F.col("size") + F.col("other_size")) - 1e-6))
+    return met.select(*_ordered("name", "other")).distinct()
+
+
 def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
     """classes (name, class) after joining the classes that links connect."""
     of = lambda side: classes.select(F.col("name").alias(side), F.col("class").alias(f"class_{side}"))
@@ -223,7 +288,9 @@ def near_classes(traces: DataFrame, least: float = SIMILARITY) -> DataFrame:
     deal texts into buckets. Small buckets are compared pair by pair, a larger bucket's texts with two of them, and what
     is alike becomes one class. Large buckets that still hold several classes are dealt anew by one more tuple of the
     sketch, level by level, and texts of different classes are compared in the same way: work goes on only where
-    classes meet. No text is dropped, no pair of one class is verified again, and classes never reach the driver.
+    classes meet. Where the texts of a large bucket are of several classes even then, all pairs of different classes
+    that can be similar are found by their rarest shingles and verified, so that no pair of a large bucket is left to
+    chance. No text is dropped, no pair of one class is verified again, and classes never reach the driver.
 
     A NULL or empty trace has no words; all such are copies of each other. Rows with NULL ids get their class like
     others; its class_id is NULL only if no row of the class has an id. Repeated rows are copies. Empty in, empty out."""
@@ -234,6 +301,7 @@ def near_classes(traces: DataFrame, least: float = SIMILARITY) -> DataFrame:
     texts = sk.groupBy("name").agg(F.first("words").alias("words"))
     texts = cut_lineage(texts.join(buckets.select("name").distinct().hint("merge"), "name", "left_semi"))
     classes = cut_lineage(texts.select("name", F.col("name").alias("class")))
+    first = buckets.where(F.col("n") > SMALL).select("key", "name")
     links = []
     for level in range(len(DEALT) + 1):
         if level:
@@ -246,6 +314,10 @@ def near_classes(traces: DataFrame, least: float = SIMILARITY) -> DataFrame:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
         links.append(cut_lineage(_verified(cut_lineage(pairs), texts, least)))
         classes = _merged(classes, links[-1])
+    left = _buckets(first.join(classes, "name"), ["key"]).select("name").distinct()
+    rest = cut_lineage(texts.join(left.hint("merge"), "name", "left_semi"))
+    links.append(cut_lineage(_verified(cut_lineage(_all_pairs(rest, classes, least)), rest, least)))
+    classes = _merged(classes, links[-1])
 
     links = reduce(DataFrame.union, links)
     degree = links.select(F.explode(F.array("a", "b")).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n_links"))
