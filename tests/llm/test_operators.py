@@ -419,6 +419,22 @@ def test_page_parts(page, want):
     assert html.main_text(page) == want
 
 
+@pytest.mark.parametrize("page, want", [
+    (f"<main class='site-main has-sidebar'><p>{ARTICLE}</p></main>", ARTICLE), (f"<div class='layout no-sidebar'><p>{ARTICLE}</p></div>", ARTICLE),
+    (f"<article class='post comments-open'><p>{ARTICLE}</p></article>", ARTICLE), (f"<form><div><p>{ARTICLE}</p><p>{ARTICLE}</p></div></form>", f"{ARTICLE}\n\n{ARTICLE}"),
+    (f"<form id=f><nav>a b</nav><article><h1>T</h1><p>{ARTICLE}</p></article></form>", f"T\n\n{ARTICLE}"),
+    (f"<div title='the hidden cost'><p>{ARTICLE}</p></div>", ARTICLE), (f"<div data-x='class=ad'><p>{ARTICLE}</p></div>", ARTICLE),
+    (f"<div class='left-sidebar'><article><p>{ARTICLE}</p></article></div>", ARTICLE), (f"<main id=content role=main class=widget><p>{ARTICLE}</p></main>", ARTICLE),
+    (f"<x-app class=widget><p>{ARTICLE}</p></x-app>", ARTICLE),
+    # still boilerplate
+    (f"<article><p>{ARTICLE}</p><div class=site-footer>{ARTICLE}</div><section id=comments><p>{ARTICLE}</p><p>{ARTICLE}</p></section></article>", ARTICLE),
+    (f"<p>{ARTICLE}</p><div hidden><p>{ARTICLE} {ARTICLE}</p></div><div style='display: none'><h1>T</h1></div><div class='ad-slot'>{ARTICLE}</div>", ARTICLE),
+    (f"<div class=post><p>{ARTICLE}</p></div><div id=comments><article class=comment><p>{ARTICLE}</p></article></div>", ARTICLE),
+])
+def test_wrappers_of_articles_stay(page, want):
+    assert html.main_text(page) == want
+
+
 def test_page_hard_rows(spark):
     s = "page_id long, url string, html string, text string"
     rows = [(1, None, None, "x"), (None, "u", "", "x"), (2, "u", f"<p>{ARTICLE}</p>" * 2000, "x"), (2, "u", f"<p>{ARTICLE}</p>" * 2000, "x"), (3, "u", "<" * 5000 + "a" * 5000, "x"),

@@ -18,7 +18,7 @@ BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 SKIPPED_TAGS = frozenset("script style noscript template iframe svg math object head title select button textarea canvas audio video".split())
-BOILER_TAGS = frozenset("nav aside footer form dialog menu".split())
+BOILER_TAGS = frozenset("nav aside footer dialog menu".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILER_WORDS = frozenset(
@@ -26,14 +26,21 @@ BOILER_WORDS = frozenset(
     "aside footer comment comments respond reply replies disqus cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe "
     "subscription share sharing social related recommended widget login signup search pagination pager toolbar contentinfo complementary dialog "
     "hidden".split())
+# Words that name a part's place or make beside a word of BOILER_WORDS, as in site-footer (but not has-sidebar).
+PLACE_WORDS = frozenset(
+    "site page main global top bottom left right primary secondary inner outer container wrapper wrap box block list item items area section region "
+    "column col content body bar slot unit link links button buttons form text title header heading post posts icon icons group inline".split())
 HEADER_WORDS = frozenset("header masthead topbar".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?|"[^"]*"|'[^']*'""")
+UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 RAW_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)|\Z", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe")}
 
 
+SOFT, HARD = 1, 2  # marks of elements
+
+
 @dataclass
 class Block:
     text: str
@@ -44,19 +51,66 @@ class Block:
     label: str = ""
 
 
-def _marked(attributes: str, in_article: bool) -> bool:
-    if not attributes:
-        return False
-    if HIDDEN.search(attributes):
-        return True
-    words = set(re.split(r"[^a-z]+", " ".join(x for m in MARKS.findall(attributes) for x in m).lower()))
-    return bool(words & BOILER_WORDS) or (not in_article and bool(words & HEADER_WORDS))
+def _names(token: str, words: frozenset[str]) -> bool:
+    """A whole class, id or role: one of the words, with nothing beside it but others and words of place."""
+    parts = {x for x in re.split(r"[^a-z]+", token) if x}
+    return bool(parts & words) and parts <= words | PLACE_WORDS
+
+
+def _marked(attributes: str, in_article: bool) -> int:
+    """HARD for what is hidden, SOFT for what a class, id or role names as no part of an article, else 0."""
+    soft = 0
+    words = BOILER_WORDS if in_article else BOILER_WORDS | HEADER_WORDS
+    for name, *values in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), "".join(values).lower()
+        if name == "hidden" or name == "aria-hidden" and value.strip() == "true" or name == "style" and UNSEEN.search(value):
+            return HARD
+        if name in ("class", "id", "role") and any(_names(x, words) for x in value.split()):
+            soft = SOFT
+    return soft
+
 
+def _is_dense(text: str, linked: int, stop_words: frozenset[str], dense: float = 0.2, short: int = 70, most_linked: float = 0.5) -> bool:
+    words = text.lower().split()
+    return len(text) >= short and linked <= most_linked * len(text) and sum(w.strip(".,;:!?\"'()") in stop_words for w in words) >= dense * len(words)
 
-def blocks_of(page: str) -> list[Block]:
+
+def _boiler(elements: list[tuple[str, int, int, bool]], found: list[tuple[Block, int]], stop_words: frozenset[str]) -> list[bool]:
+    """Which elements (tag, parent, mark, in an article) are boilerplate: hard ones, soft ones that are no wrapper of the
+    article, and all in them. A wrapper is or holds a main, holds an article or h1 that is not marked itself, or, where
+    no unmarked article has dense text, holds most of the page's dense text."""
+    hard, clear = [], []
+    for tag, parent, mark, _ in elements:
+        hard.append(mark == HARD or parent >= 0 and hard[parent])
+        clear.append(not mark and (parent < 0 or clear[parent]))
+    holds, mass = [False] * len(elements), [0] * len(elements)
+    total, elsewhere = 0, False
+    for b, k in found:
+        if (k < 0 or not hard[k]) and _is_dense(b.text, b.linked, stop_words):
+            total += len(b.text)
+            if k >= 0:
+                mass[k] += len(b.text)
+                elsewhere |= clear[k] and b.article
+    for k in range(len(elements) - 1, -1, -1):
+        tag, parent, mark, _ = elements[k]
+        if tag == "main" and not hard[k]:
+            holds[k] = True
+        if parent >= 0 and not hard[k]:
+            mass[parent] += mass[k]
+            holds[parent] |= holds[k] or tag in ("article", "h1") and not mark
+    out: list[bool] = []
+    for k, (tag, parent, mark, _) in enumerate(elements):
+        wraps = holds[k] or not elsewhere and 2 * mass[k] > total
+        out.append(parent >= 0 and out[parent] or mark == HARD or mark == SOFT and not wraps)
+    return out
+
+
+def blocks_of(page: str, stop_words: frozenset[str] = frozenset(STOP_WORDS)) -> list[Block]:
     """The page's text between block tags, in order. Unclosed tags end with the element around them."""
-    out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # open block elements: tag, boiler, article
+    out: list[tuple[Block, int]] = []  # with the element around the block, -1 for none
+    elements: list[tuple[str, int, int, bool]] = []  # tag, parent, mark, article
+    stack: list[int] = []  # open elements
+    wrappers: set[str] = set()  # other tags than block tags among them
     parts: list[str] = []
     linked, links, heading, breaks = 0, 0, False, 0
 
@@ -64,7 +118,7 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal linked, breaks
         text = " ".join(references.unescape("".join(parts)).split())
         if text:
-            out.append(Block(text, linked, heading, stack[-1][1] if stack else False, stack[-1][2] if stack else False))
+            out.append((Block(text, linked, heading, False, elements[stack[-1]][3] if stack else False), stack[-1] if stack else -1))
         parts.clear()
         linked = breaks = 0
 
@@ -102,29 +156,41 @@ def blocks_of(page: str) -> list[Block]:
                 parts.append(" ")
         elif tag == "a":
             links = 0 if closing else 1
-        elif tag in BLOCK_TAGS:
+        elif tag in BLOCK_TAGS or closing and tag in wrappers:
             close()
             heading = tag in HEADINGS and not closing
             if tag in VOID_TAGS:
                 continue
             if closing:
                 for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
+                    if elements[stack[k]][0] == tag:
                         del stack[k:]
                         links = 0
                         break
             else:
-                if tag == "p" and stack and stack[-1][0] == "p":
+                if tag == "p" and stack and elements[stack[-1]][0] == "p":
                     stack.pop()
-                _, boiler, article = stack[-1] if stack else ("", False, False)
-                own = tag in BOILER_TAGS or (tag == "header" and not article) or (tag not in ("html", "body") and _marked(m[3], article))
-                stack.append((tag, boiler or own, article or tag in ("article", "main")))
-        elif not closing and m[3] and _marked(m[3], True) and tag not in VOID_TAGS:
+                article = bool(stack) and elements[stack[-1]][3]
+                mark = HARD if tag in BOILER_TAGS or (tag == "header" and not article) else SOFT if tag == "form" else 0
+                if tag not in ("html", "body"):
+                    mark = max(mark, _marked(m[3], article))
+                elements.append((tag, stack[-1] if stack else -1, mark, article or tag in ("article", "main")))
+                stack.append(len(elements) - 1)
+        elif not closing and m[3] and tag not in VOID_TAGS and (mark := _marked(m[3], True)):
             e = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)  # an inline element that is hidden or an advert
             if e and not re.search(rf"<{re.escape(tag)}\b", page[at : e.start()], re.I):
-                at = e.end()
+                if mark == SOFT and any((t[2] or "").lower() in BLOCK_TAGS for t in TAG.finditer(page, at, e.start())):
+                    close()  # one around blocks is judged like a block
+                    elements.append((tag, stack[-1] if stack else -1, mark, bool(stack) and elements[stack[-1]][3]))
+                    stack.append(len(elements) - 1)
+                    wrappers.add(tag)
+                else:
+                    at = e.end()
     close()
-    return out
+    boiler = _boiler(elements, out, stop_words)
+    for b, k in out:
+        b.boiler = k >= 0 and boiler[k]
+    return [b for b, _ in out]
 
 
 def classify(blocks: list[Block], stop_words: frozenset[str], dense: float = 0.2, sparse: float = 0.1, short: int = 70, long: int = 200,
@@ -166,7 +232,7 @@ def classify(blocks: list[Block], stop_words: frozenset[str], dense: float = 0.2
 
 
 def main_text(page: str, stop_words: frozenset[str] = frozenset(STOP_WORDS)) -> str:
-    blocks = blocks_of(page)
+    blocks = blocks_of(page, stop_words)
     classify(blocks, stop_words)
     return "\n\n".join(b.text for b in blocks if b.label == "good")
 
