@@ -52,12 +52,15 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: the one with the least id."""
-    named = docs.where(F.col("doc_id").isNotNull())
-    classes = neardup.near_classes(_traces(named))
-    keep = classes.where(F.col("series_id") == F.col("class_id")).select(F.col("class_id").alias("doc_id")).distinct()
-    stay = named.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stay.unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"])).select(*COLUMNS)
+    """One document of each class of near duplicates: the one with the least id, and of several with that id the one
+    whose text has the least hash. Rows of one id with different texts are told apart by that hash; of rows equal in
+    both, one with the least other columns stays."""
+    named = docs.where(F.col("doc_id").isNotNull()).withColumn("_hash", F.coalesce(F.unhex(F.md5("text")), F.lit(b"")))
+    classes = neardup.near_classes(named.select(F.struct("doc_id", "_hash").alias("series_id"), F.col("text").alias("trace")))
+    keep = classes.where(F.col("series_id") == F.col("class_id")).select("class_id.doc_id", "class_id._hash").distinct()
+    stay = named.join(keep, ["doc_id", "_hash"], "left_semi")
+    stay = stay.groupBy("doc_id", "_hash").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return stay.unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]).select(*COLUMNS))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

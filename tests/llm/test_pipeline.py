@@ -61,3 +61,12 @@ def test_stages_on_hard_and_empty_rows(spark, sf):
         for _, stage in pipeline.STAGES:
             docs = pipeline.cut_lineage(stage(spark, docs, sf))
         docs.collect()
+
+
+def test_rows_of_one_id_and_different_classes_stay(spark):
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    rows = [(1, text(0), "en", "s", 1), (1, text(1), "en", "s", 1), (1, text(1), "en", "s", 1), (2, text(0), "en", "s", 1), (2, text(2), "en", "s", 1), (3, text(2), "en", "s", 1), (4, None, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    got = pipeline.near_stage(spark, docs, "")
+    assert got.columns == pipeline.COLUMNS
+    assert sorted((r.doc_id, r.text or "") for r in got.collect()) == [(1, text(0)), (1, text(1)), (2, text(2)), (4, "")]
