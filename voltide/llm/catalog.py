@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltide.llm import chat, fingerprints, hmm, html, langid, lines, neardup, packing, quality, wordbpe
+from voltide.llm import chat, divergence, exact, fingerprints, hmm, html, langid, lines, neardup, packing, periodic, quality, wordbpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -130,3 +130,66 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 def op10(spark, sf):
     return quality.quality_rules(traces(spark, sf)).select(
         F.col("series_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+OP11 = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+o AS (SELECT id, lang, source, translate(unnest(ws), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+v AS (SELECT lang, term, count(*) AS c FROM o GROUP BY 1, 2 HAVING count(DISTINCT id) >= 30),
+n AS (SELECT lang, count(*) AS v, sum(c) AS n FROM v GROUP BY 1),
+c AS (SELECT o.lang, o.source, o.term, count(*) AS c FROM o JOIN v ON v.lang = o.lang AND v.term = o.term GROUP BY 1, 2, 3),
+s AS (SELECT lang, source, sum(c) AS n FROM c GROUP BY 1, 2),
+p AS (SELECT g.lang, g.source, v.term, coalesce(c.c, 0) AS c,
+             1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.c, 0) + 5)) // CAST(coalesce(s.n, 0) + 5 * n.v AS HUGEINT) AS p,
+             1 + (CAST(1000000000 AS HUGEINT) * (v.c + 5)) // CAST(n.n + 5 * n.v AS HUGEINT) AS q
+      FROM g JOIN v ON v.lang = g.lang JOIN n ON n.lang = g.lang LEFT JOIN s ON s.lang = g.lang AND s.source = g.source
+      LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.f, 0) AS BIGINT) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN (SELECT x.lang, x.source AS a, y.source AS b, sum(abs(x.p - y.p)) AS f FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term GROUP BY 1, 2, 3) f
+        ON f.lang = a.lang AND f.a = a.source AND f.b = b.source
+      UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM r QUALIFY part = 'pair' OR rank <= 50
+"""
+
+
+@query("op11_source_divergence", OP11)
+def op11(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("lang").alias("scenario"), F.col("source").alias("arm"), F.col("text").alias("trace"))
+    return divergence.source_divergence(d).withColumnsRenamed({"scenario": "lang", "arm": "source"})
+
+
+OP12 = """
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(x) AS text_sha256
+FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents) WINDOW g AS (PARTITION BY x)
+"""
+
+
+@query("op12_exact_dedup", OP12)
+def op12(spark, sf):
+    d = exact.index_traces(traces(spark, sf))
+    return d.select(F.col("series_id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def looped(d: DataFrame) -> DataFrame:
+    """Traces of which a tenth (crc32 of the id divisible by ten) go on from some word with a block of words again and again."""
+    h = F.crc32(F.col("series_id").cast("string"))
+    words = F.expr(r"regexp_extract_all(trace, '[^\\x20\\x09-\\x0D]+', 0)")
+    d = d.withColumns({"_g": F.floor(h / 10), "_w": F.when(h % 10 == 0, words)}).withColumn("_n", F.size("_w").cast("long"))
+    d = d.withColumn("_a", F.when(F.col("_n") > 0, F.col("_g") % F.col("_n")))
+    d = d.withColumn("_p", 1 + F.floor((F.col("_n") - F.col("_a")) / (3 + F.col("_g") % 8)))
+    again = F.transform("_w", lambda w, i: F.when(i < F.col("_a"), w).otherwise(F.get("_w", (F.col("_a") + (i - F.col("_a")) % F.col("_p")).cast("int"))))
+    return d.select("series_id", F.when(F.col("_n") > 0, F.array_join(again, " ")).otherwise(F.col("trace")).alias("trace"))
+
+
+@query("op13_periodic_runs")
+def op13(spark, sf):
+    d = periodic.periodic_runs(looped(traces(spark, sf)))
+    line = F.transform("runs", lambda r: F.concat_ws("", F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    milli = F.expr("1000 * top.length div top.period")
+    return d.select(
+        F.col("series_id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period", milli.alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
