@@ -75,16 +75,39 @@ def suffix_array(codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
     return sa, isa, lcp
 
 
-def _smaller(lcp: np.ndarray) -> np.ndarray:
-    """The nearest earlier place with a smaller value than each place's, -1 where there is none: pointers jump."""
-    near = np.arange(len(lcp)) - 1
-    todo = np.arange(len(lcp))
-    while len(todo):
-        p = near[todo]
-        jump = (p >= 0) & (lcp[p] >= lcp[todo])
-        todo = todo[jump]
-        near[todo] = near[near[todo]]
-    return near
+def lcp_intervals(inner: np.ndarray, depths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """LCP intervals from the places with a common prefix, ascending, and its length there: which interval each place
+    splits, and of each interval the depth, the first suffix and the place after the last one. One pass with a stack of
+    the open intervals; no tree is built."""
+    of = np.empty(len(inner), np.int64)
+    depth, low, high = [], [], []
+    open_ids: list[int] = []
+    before, top = -2, 0  # the place before, the depth of the innermost open interval
+    for at in range(0, len(inner), 65_536):
+        found = []
+        for k, d in zip(inner[at : at + 65_536].tolist(), depths[at : at + 65_536].tolist()):
+            first = k - 1
+            if k != before + 1:
+                for i in open_ids:
+                    high[i] = before + 1
+                open_ids.clear()
+                top = 0
+            while d < top:
+                i = open_ids.pop()
+                high[i], first = k, low[i]
+                top = depth[open_ids[-1]] if open_ids else 0
+            if d > top:
+                open_ids.append(len(depth))
+                depth.append(d)
+                low.append(first)
+                high.append(0)
+                top = d
+            found.append(open_ids[-1])
+            before = k
+        of[at : at + len(found)] = found
+    for i in open_ids:
+        high[i] = before + 1
+    return of, np.array(depth, np.int64), np.array(low, np.int64), np.array(high, np.int64)
 
 
 def branching_squares(codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,21 +122,14 @@ def branching_squares(codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray,
     inner = np.flatnonzero(lcp > 0)
     if not len(inner):
         return none, none
-    low = _smaller(lcp)[inner]
-    high = n - 1 - _smaller(lcp[::-1])[::-1][inner]  # the first place after the interval
-    order = np.lexsort((inner, lcp[inner], low))
-    inner, low, high = inner[order], low[order], high[order]
-    depth = lcp[inner]
-    new = np.append(True, (low[1:] != low[:-1]) | (depth[1:] != depth[:-1]))
-    interval = np.cumsum(new) - 1
-    head = np.flatnonzero(new)
+    interval, depth, low, high = lcp_intervals(inner, lcp[inner])
     # children of an interval: from its start and from each of its places to the next one
-    child_from = np.concatenate([low[head], inner])
-    of = np.concatenate([np.arange(len(head)), interval])
+    child_from = np.concatenate([low, inner])
+    of = np.concatenate([np.arange(len(low)), interval])
     order = np.lexsort((child_from, of))
     child_from, of = child_from[order], of[order]
     last = np.append(of[1:] != of[:-1], True)
-    child_to = np.where(last, high[head][of], np.append(child_from[1:], 0))
+    child_to = np.where(last, high[of], np.append(child_from[1:], 0))
     size = child_to - child_from
     most = np.lexsort((-size, of))
     largest = np.zeros(len(of), bool)
@@ -121,7 +137,7 @@ def branching_squares(codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray,
     small = np.flatnonzero(~largest)
     child = np.repeat(small, size[small])
     at = np.arange(len(child)) - np.repeat(np.cumsum(size[small]) - size[small], size[small]) + child_from[child]
-    d, lo, hi = depth[head][of[child]], low[head][of[child]], high[head][of[child]]
+    d, lo, hi = depth[of[child]], low[of[child]], high[of[child]]
     i = sa[at]
     starts, periods = [], []
     for shift in (d, -d):
