@@ -42,6 +42,7 @@ def test_ekf(data, piece, monkeypatch):
 def patch(monkeypatch, piece):
     real, real_s = scan.prefix_maps, scan.state_scan
     monkeypatch.setattr(folds, "prefix_maps", lambda *a, **k: real(*a[:7], **{**k, "piece": piece}))
+    monkeypatch.setattr(folds, "dense_rows", lambda df, keys, t, bound, _: scan.dense_rows(df, keys, t, bound, piece))
     monkeypatch.setattr(folds, "state_scan", lambda *a, **k: real_s(*a[:9], **{**k, "piece": piece}))
 
 

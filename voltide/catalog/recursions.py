@@ -243,3 +243,79 @@ def late_start_shocks(spark, sf):
     d = d.select("series_id", "t", (F.col("y") * F.col("y") * 40).alias("z_sq"))
     d = folds.shock_state(d, shock_ticks=5, recovery_ticks=8, bound=bound, piece=16)
     return d.select("series_id", "t", F.col("shock_state").cast("int").alias("shock_state"))
+
+
+LATE_CFG = FilterConfig("late", rho=0.95, sigma_z=0.3, mu=-9.0)
+
+
+@query("late_start_ekf", f"""
+WITH RECURSIVE {LATE},
+ob AS (SELECT series_id, t, k, ln(y * y + 1e-8) + {OFF5} AS z FROM late),
+rec AS (
+  SELECT series_id, t, k, -9.0 + g * (z + 9.0) AS m, (1 - g) * pp AS p FROM
+    (SELECT *, pp / (pp + 6.93 + 1e-8) AS g FROM (SELECT *, 0.95 * 0.95 * (0.09 / (1 - 0.95 * 0.95)) + 0.09 AS pp FROM ob WHERE k = 0))
+  UNION ALL
+  SELECT series_id, t, k, mp + g * (z - mp), (1 - g) * pp FROM
+    (SELECT *, pp / (pp + 6.93 + 1e-8) AS g FROM
+      (SELECT ob.series_id, ob.t, ob.k, ob.z, -9.0 + 0.95 * (rec.m + 9.0) AS mp, 0.95 * 0.95 * rec.p + 0.09 AS pp
+       FROM rec JOIN ob ON ob.series_id = rec.series_id AND ob.k = rec.k + 1)))
+SELECT series_id, t, {_r('m', 'guide_mean')}, {_r('p', 'guide_var')} FROM rec""")
+def late_start_ekf(spark, sf):
+    d, bound = late(spark, sf)
+    c = LATE_CFG
+    d = d.withColumns({"rho": F.lit(c.rho), "sigma_z": F.lit(c.sigma_z), "mu": F.lit(c.mu), "offset": F.lit(implied_offset(5.0))})
+    return rounded(folds.ekf_logvol(d, bound=bound).select("series_id", "t", "guide_mean", "guide_var"))
+
+
+@query("late_start_two_factor", f"""
+WITH RECURSIVE {LATE},
+ob AS (SELECT series_id, t, k, ln(y * y + 1e-8) + {OFF5} - 0.5 AS z FROM late),
+rec AS (
+  SELECT series_id, t, k, kf * z AS f, ks * z AS s, greatest((1 - kf) * pf, 1e-6) AS vf, greatest((1 - ks) * ps, 1e-6) AS vs FROM
+    (SELECT *, pf / (pf + ps + 6.93 + 1e-8) AS kf, ps / (pf + ps + 6.93 + 1e-8) AS ks FROM
+      (SELECT *, 0.81 * (0.0225 / 0.19) + 0.0225 AS pf, 0.9801 * (0.0025 / (1 - 0.9801)) + 0.0025 AS ps FROM ob WHERE k = 0))
+  UNION ALL
+  SELECT series_id, t, k, fp + kf * (z - fp - sp), sp + ks * (z - fp - sp), greatest((1 - kf) * pf, 1e-6), greatest((1 - ks) * ps, 1e-6) FROM
+    (SELECT *, pf / (pf + ps + 6.93 + 1e-8) AS kf, ps / (pf + ps + 6.93 + 1e-8) AS ks FROM
+      (SELECT ob.series_id, ob.t, ob.k, ob.z, 0.9 * rec.f AS fp, 0.99 * rec.s AS sp, 0.81 * rec.vf + 0.0225 AS pf, 0.9801 * rec.vs + 0.0025 AS ps
+       FROM rec JOIN ob ON ob.series_id = rec.series_id AND ob.k = rec.k + 1)))
+SELECT series_id, t, {_r('f', 'guide_fast')}, {_r('s', 'guide_slow')}, {_r('vf', 'var_fast')}, {_r('vs', 'var_slow')} FROM rec""")
+def late_start_two_factor(spark, sf):
+    d, bound = late(spark, sf)
+    return rounded(folds.ekf_two_factor(d, TWO, bound).select("series_id", "t", "guide_fast", "guide_slow", "var_fast", "var_slow"))
+
+
+@query("late_start_bandwidth", f"""
+WITH RECURSIVE {LATE},
+o AS (SELECT series_id, t, k, abs(y) AS x, 0.02 + y * y / 50 AS v, 0.3 + abs(y) AS sp FROM late),
+rec AS (
+  SELECT series_id, t, k, x AS e, b * greatest(0.5, least(1.0, 1 - 0.25 * least(greatest(x / greatest(x, 1e-8), least(sp * 0.5, 2.0)) - 1, 2.0))) AS q FROM
+    (SELECT *, greatest(2 * v / ln(65), 1e-6) AS b FROM o WHERE k = 0)
+  UNION ALL
+  SELECT series_id, t, k, e, (0.3 * b + 0.7 * pq) * greatest(0.5, least(1.0, 1 - 0.25 * least(greatest(x / greatest(e, 1e-8), least(sp * 0.5, 2.0)) - 1, 2.0))) FROM
+    (SELECT o.series_id, o.t, o.k, o.x, o.sp, greatest(2 * o.v / ln(65), 1e-6) AS b, rec.q AS pq, CASE WHEN rec.e > 0 THEN 0.05 * o.x + 0.95 * rec.e ELSE o.x END AS e
+     FROM rec JOIN o ON o.series_id = rec.series_id AND o.k = rec.k + 1))
+SELECT series_id, t, {_r('q', 'bandwidth_sq')}, {_r('greatest(0.01, least(2.0, sqrt(q)))', 'bandwidth')} FROM rec""")
+def late_start_bandwidth(spark, sf):
+    d, bound = late(spark, sf)
+    d = d.select("series_id", "t", "y", (0.02 + F.col("y") * F.col("y") / 50).alias("var"), (0.3 + F.abs("y")).alias("spread"))
+    return rounded(folds.bandwidth_fold(d, 64, bound=bound, piece=16).select("series_id", "t", "bandwidth_sq", "bandwidth"))
+
+
+@query("sparse_ticks", f"""
+WITH RECURSIVE {DAILY},
+s AS (SELECT series_id, CAST(date_diff('minute', DATE '1970-01-01', day) AS BIGINT) AS t, y, row_number() OVER (PARTITION BY series_id ORDER BY day) - 1 AS k FROM daily),
+rec AS (SELECT series_id, t, k, abs(y) AS e, CASE WHEN y * y * 40 > 9 THEN 1 ELSE 0 END AS s, CASE WHEN y * y * 40 > 9 THEN 0 ELSE 1 END AS n FROM s WHERE k = 0 UNION ALL
+  SELECT series_id, t, k, e, s2, CASE WHEN s2 <> s OR (s = 2 AND s2 = 1) THEN 0 ELSE n + 1 END FROM
+   (SELECT o.series_id, o.t, o.k, rec.s, rec.n, CASE WHEN rec.e > 0 THEN 0.05 * abs(o.y) + 0.95 * rec.e ELSE abs(o.y) END AS e,
+           CASE rec.s WHEN 0 THEN (CASE WHEN o.y * o.y * 40 > 9 THEN 1 ELSE 0 END) WHEN 1 THEN (CASE WHEN rec.n + 1 >= 5 THEN 2 ELSE 1 END)
+             ELSE (CASE WHEN o.y * o.y * 40 > 9 THEN 1 WHEN rec.n + 1 >= 8 AND o.y * o.y * 40 < 4 THEN 0 ELSE 2 END) END AS s2
+    FROM rec JOIN s o ON o.series_id = rec.series_id AND o.k = rec.k + 1))
+SELECT series_id, t, {_r('e', 'ret_ema')}, CAST(s AS INT) AS shock_state FROM rec""")
+def sparse_ticks(spark, sf):
+    """Averages and shock states where the tick is the minute of a daily row: 1,440 apart, in pieces of 16 rows."""
+    d, bound = daily(spark, sf)
+    d = d.select("series_id", (F.datediff("day", F.lit("1970-01-01")).cast("long") * 1440).alias("t"), "y")
+    d = folds.ema(d, F.abs("y"), 0.05, "ret_ema", bound=bound, piece=16).withColumn("z_sq", F.col("y") * F.col("y") * 40)
+    d = folds.shock_state(d, shock_ticks=5, recovery_ticks=8, bound=bound, piece=16)
+    return rounded(d.select("series_id", "t", "ret_ema", F.col("shock_state").cast("int").alias("shock_state")))

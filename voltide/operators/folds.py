@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from voltide.functions import columns as fn
 from voltide.functions.config import OBS_VAR, FilterConfig, implied_offset
-from voltide.operators.layout import over_time
-from voltide.operators.scan import AFFINE, AFFINE2, CLAMPED, FAR, MOBIUS, PIECE, SEEDED, prefix_maps, state_scan
+from voltide.operators.layout import over_time, rank_rows
+from voltide.operators.scan import AFFINE, AFFINE2, CLAMPED, FAR, MOBIUS, PIECE, SEEDED, dense_rows, prefix_maps, state_scan
+from voltide.session import group_bound
 
 KEY = ["series_id"]
 
@@ -37,22 +38,24 @@ def kalman_variance(n: Column, p0: Column, rho: Column, q: Column, r: Column) ->
 
 def ekf_logvol(df: DataFrame, keys: list[str] = KEY, rho="rho", sigma="sigma_z", mu="mu", offset="offset",
                bound: int | None = None) -> DataFrame:
-    """Kalman guide of log-vol on ln(y^2 + 1e-8). Model parameters are columns, constant per key."""
+    """Kalman guide of log-vol on ln(y^2 + 1e-8). Model parameters are columns, constant per key. A row is one update,
+    whatever its ``t``: a series may start late and have gaps, as after a repair that skips rows."""
+    bound = group_bound(df, keys) if bound is None else bound
     rho_c, s_c, mu_c, off = F.col(rho), F.col(sigma), F.col(mu), F.col(offset)
     q, r = s_c * s_c, F.lit(OBS_VAR + 1e-8)
     p0 = q / (1 - rho_c * rho_c)
-    var = kalman_variance((F.col("t") + 1).cast("double"), p0, rho_c, q, r)
-    d = df.withColumn("guide_var", var).withColumn("guide_gain", F.col("guide_var") / r)
+    var = kalman_variance((F.col("_n") + 1).cast("double"), p0, rho_c, q, r)
+    d = rank_rows(df, keys, ["t"], "_n", bound).withColumn("guide_var", var).withColumn("guide_gain", F.col("guide_var") / r)
     k = F.col("guide_gain")
     maps = [(1 - k) * rho_c, (1 - k) * mu_c * (1 - rho_c) + k * (fn.log_y2("y") + off)]
-    d = prefix_maps(d, keys, AFFINE, maps, "t", "_m", bound)
-    return d.withColumn("guide_mean", _apply("_m", F.col(mu))).drop("_m")
+    d = prefix_maps(d, keys, AFFINE, maps, "_n", "_m", bound, dense=True)
+    return d.withColumn("guide_mean", _apply("_m", F.col(mu))).drop("_m", "_n")
 
 
 def two_factor_gains(cfg: FilterConfig, tol: float = 1e-12) -> list[tuple[int, float, float, float, float]]:
-    """(t, gain_fast, gain_slow, var_fast, var_slow) until the variances move by less than tol of themselves; they do
+    """(update, gain_fast, gain_slow, var_fast, var_slow) until the variances move by less than tol of themselves; they do
     not depend on data. The variances contract by a factor that the slower factor's rho bounds, so the list is as long
-    as ln(tol) / ln(rho^2) at most and a bit, and later ticks keep the last row."""
+    as ln(tol) / ln(rho^2) at most and a bit, and later updates keep the last row."""
     qf, qs = cfg.sigma_fast**2, cfg.sigma_slow**2
     pf, ps = qf / (1 - cfg.rho_fast**2), qs / (1 - cfg.rho_slow**2)
     out: list[tuple[int, float, float, float, float]] = []
@@ -68,34 +71,39 @@ def two_factor_gains(cfg: FilterConfig, tol: float = 1e-12) -> list[tuple[int, f
 
 
 def ekf_two_factor(df: DataFrame, cfg: FilterConfig, bound: int | None = None) -> DataFrame:
-    """Two-component Kalman guide with innovation split. The gain schedule is one short table per configuration."""
+    """Two-component Kalman guide with innovation split. The gain schedule is one short table per configuration; a row is
+    one update, whatever its ``t``."""
+    bound = group_bound(df, KEY) if bound is None else bound
     sched = two_factor_gains(cfg)
     gains = df.sparkSession.createDataFrame(sched, "_g long, k_fast double, k_slow double, var_fast double, var_slow double")
-    d = df.withColumn("_g", F.least(F.col("t"), F.lit(len(sched) - 1))).join(gains, "_g").drop("_g")
+    d = rank_rows(df, KEY, ["t"], "_n", bound)
+    d = d.withColumn("_g", F.least(F.col("_n"), F.lit(len(sched) - 1))).join(F.broadcast(gains), "_g").drop("_g")
     rf, rs, kf, ks = F.lit(cfg.rho_fast), F.lit(cfg.rho_slow), F.col("k_fast"), F.col("k_slow")
     z = fn.log_y2("y") + implied_offset(cfg.nu) - cfg.mu
     maps = [rf * (1 - kf), -kf * rs, -ks * rf, rs * (1 - ks), kf * z, ks * z]
-    d = prefix_maps(d, KEY, AFFINE2, maps, "t", "_m", bound)
-    return d.withColumn("guide_fast", F.col("_m.b1")).withColumn("guide_slow", F.col("_m.b2")).drop("_m")
+    d = prefix_maps(d, KEY, AFFINE2, maps, "_n", "_m", bound, dense=True)
+    return d.withColumn("guide_fast", F.col("_m.b1")).withColumn("guide_slow", F.col("_m.b2")).drop("_m", "_n")
 
 
 def adaptive_mu(est: DataFrame, mu0: float, process_var: float, obs_scale: float, lo: float, hi: float,
                 h: str = "h_mean", bw: str = "bandwidth", keys: list[str] = KEY, bound: int | None = None,
                 piece: int = PIECE) -> DataFrame:
     """Slow level tracked by a scalar Kalman filter with noise scale*bw^2, clamped, active after t = 10."""
+    bound = group_bound(est, keys) if bound is None else bound
+    est, at = dense_rows(est, keys, "t", bound, piece)
     on = F.col("t") > 10
     r = obs_scale * F.col(bw) * F.col(bw) + 1e-8
     q = F.lit(process_var)
     maps = [F.when(on, r).otherwise(1.0), F.when(on, r * q).otherwise(0.0),
             F.when(on, 1.0).otherwise(0.0), F.when(on, q + r).otherwise(1.0)]
-    d = prefix_maps(est, keys, MOBIUS, maps, "t", "_v", bound, piece)
+    d = prefix_maps(est, keys, MOBIUS, maps, at, "_v", bound, piece, dense=True)
     v = (F.col("_v.p") * 1.0 + F.col("_v.q")) / (F.col("_v.r") * 1.0 + F.col("_v.s"))
     d = d.withColumn("mu_var", v).drop("_v").withColumn("_k", F.when(on, F.col("mu_var") / r).otherwise(0.0))
     k = F.col("_k")
     maps = [1 - k, k * F.col(h), F.when(on, lo).otherwise(-FAR), F.when(on, hi).otherwise(FAR)]
-    d = prefix_maps(d, keys, CLAMPED, maps, "t", "_m", bound, piece)
+    d = prefix_maps(d, keys, CLAMPED, maps, at, "_m", bound, piece, dense=True)
     x = F.least(F.col("_m.hi"), F.greatest(F.col("_m.lo"), _apply("_m", mu0)))
-    return d.withColumn("mu_state", x).drop("_m", "_k")
+    return d.withColumn("mu_state", x).drop("_m", "_k", "_row")
 
 
 def smooth_fixed_lag(est: DataFrame, rho: float, sigma: float, mu: float, lag: int = 3, out_lag: int = 1,
@@ -175,19 +183,22 @@ def learn_gate(df: DataFrame, boost: float, state: str = "shock_state") -> DataF
 
 
 def bandwidth_fold(stats: DataFrame, n: int, alpha: float = 0.3, alpha_ret: float = 0.05, keys: list[str] = KEY,
-                   bound: int | None = None) -> DataFrame:
+                   bound: int | None = None, piece: int = PIECE) -> DataFrame:
     """Kernel bandwidth over time from per-tick (var, spread, y): smoothed 2var/ln(n+1), shrunk on large moves.
 
-    The shrunk value is the carried state; only the output is limited to [0.01, 2].
+    The shrunk value is the carried state; only the output is limited to [0.01, 2]. The first row of a series, at
+    whatever ``t``, takes its raw value.
     """
-    d = ema(stats, F.abs("y"), alpha_ret, "ret_ema", "first", keys, bound)
+    bound = group_bound(stats, keys) if bound is None else bound
+    d, at = dense_rows(stats, keys, "t", bound, piece)
+    ay = F.abs("y")
+    d = prefix_maps(d, keys, SEEDED, [ay, F.lit(1 - alpha_ret), alpha_ret * ay], at, "_e", bound, piece, dense=True)
+    d = d.withColumn("ret_ema", F.col("_e.z")).drop("_e")
     raw = F.greatest(2 * F.col("var") / math.log(n + 1), F.lit(1e-6))
-    big = F.greatest(F.abs("y") / F.greatest(F.col("ret_ema"), F.lit(1e-8)), F.least(F.col("spread") * 0.5, F.lit(2.0)))
+    big = F.greatest(ay / F.greatest(F.col("ret_ema"), F.lit(1e-8)), F.least(F.col("spread") * 0.5, F.lit(2.0)))
     scale = F.greatest(F.lit(0.5), F.least(F.lit(1.0), 1 - 0.25 * F.least(big - 1, F.lit(2.0))))
     d = d.withColumn("_raw", raw).withColumn("bw_scale", scale)
-    first = F.col("t") == 0
-    maps = [F.when(first, 0.0).otherwise((1 - alpha) * F.col("bw_scale")),
-            F.col("bw_scale") * F.col("_raw") * F.when(first, 1.0).otherwise(alpha)]
-    d = prefix_maps(d, keys, AFFINE, maps, "t", "_m", bound)
-    return (d.withColumn("bandwidth_sq", _apply("_m", 0.0))
-            .withColumn("bandwidth", F.greatest(F.lit(0.01), F.least(F.lit(2.0), F.sqrt("bandwidth_sq")))).drop("_m", "_raw"))
+    shrunk = F.col("bw_scale") * F.col("_raw")
+    d = prefix_maps(d, keys, SEEDED, [shrunk, (1 - alpha) * F.col("bw_scale"), alpha * shrunk], at, "_m", bound, piece, dense=True)
+    return (d.withColumn("bandwidth_sq", F.col("_m.z"))
+            .withColumn("bandwidth", F.greatest(F.lit(0.01), F.least(F.lit(2.0), F.sqrt("bandwidth_sq")))).drop("_m", "_raw", "_row"))

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voltide.operators.layout import rank_rows
 from voltide.session import group_bound
 
 PIECE = 512
@@ -86,8 +87,14 @@ def _affine2(f: Column, g: Column) -> list[Column]:
 AFFINE2 = Family(("a11", "a12", "a21", "a22", "b1", "b2"), (1.0, 0.0, 0.0, 1.0, 0.0, 0.0), _affine2)
 
 
+def dense_rows(df: DataFrame, keys: list[str], t: str, bound: int, piece: int) -> tuple[DataFrame, str]:
+    """The rows, and the column by which they are cut into pieces: the position by ``t`` where a series is longer than a
+    piece, so that every piece but a series' last one is full however far the ticks are apart."""
+    return (df, t) if bound <= piece else (rank_rows(df, keys, [t], "_row", bound), "_row")
+
+
 def _pieces(df: DataFrame, keys: list[str], t: str, piece: int | None, item: Column, extra: str = "_p") -> DataFrame:
-    """One sorted array per key, or per key and piece of ``t``."""
+    """One sorted array per key, or per key and piece of the positions in ``t``."""
     cut = [] if piece is None else [F.floor(F.col(t) / piece).cast("long").alias(extra)]
     by = [*keys, *([] if piece is None else [extra])]
     return df.select(*keys, *cut, item.alias("_x")).groupBy(*by).agg(F.sort_array(F.collect_list("_x")).alias("_xs"))
@@ -103,12 +110,12 @@ def prefix_maps(
     bound: int | None = None,
     piece: int = PIECE,
     before: bool = False,
+    dense: bool = False,
 ) -> DataFrame:
     """Add struct column ``out`` = map_0 then ... then map_t for every row, or with ``before`` of the rows before it.
 
-    ``bound`` is the most rows that a key has. Up to ``piece`` of them are one array, whatever their ``t``; otherwise
-    the rows are cut by ``t``, and each piece takes over from the one that exists before it, so that a series may start
-    at any ``t`` and have gaps.
+    ``bound`` is the most rows that a key has. Up to ``piece`` of them are one array, otherwise the rows are cut by their
+    position, so that a series may start at any ``t`` and have gaps. ``dense``: ``t`` is that position, from 0.
     """
     if piece < 3:
         raise ValueError("pieces need three rows at least, or their totals don't become fewer")
@@ -116,7 +123,8 @@ def prefix_maps(
     payload = [c for c in df.columns if c not in keys]
     item = F.struct(F.col(t).alias("_tick"), family.pack(maps).alias("_map"), *payload)
     split = bound > piece
-    arrays = _pieces(df, keys, t, piece if split else None, item)
+    df, at = (df, t) if dense else dense_rows(df, keys, t, bound, piece)
+    arrays = _pieces(df, keys, at, piece if split else None, item)
 
     def push(acc: Column, x: Column) -> Column:
         return F.array_append(acc, family.pack(family.then(F.element_at(acc, -1), x["_map"])))
@@ -124,7 +132,7 @@ def prefix_maps(
     arrays = arrays.withColumn("_fs", F.aggregate("_xs", F.array(family.unit()), push))
     if split:
         totals = arrays.select(*keys, "_p", F.element_at("_fs", -1).alias("_total"))
-        carried = prefix_maps(totals, keys, family, [F.col(f"_total.{n}") for n in family.fields], "_p", "_c", bound // piece + 2, piece, True)
+        carried = prefix_maps(totals, keys, family, [F.col(f"_total.{n}") for n in family.fields], "_p", "_c", bound // piece + 2, piece, True, True)
         arrays = arrays.join(carried.select(*keys, "_p", "_c"), [*keys, "_p"])
     rows = _zip_rows(arrays, keys, "_xs", "_fs", ["_c"] if split else [], 1 if before else 2)
     full = family.pack(family.then(F.col("_c"), F.col("_y"))) if split else F.col("_y")
@@ -152,7 +160,8 @@ def state_scan(
     bound = group_bound(df, keys) if bound is None else bound
     payload = [c for c in df.columns if c not in keys]
     split = bound > piece
-    arrays = _pieces(df, keys, t, piece if split else None, F.struct(F.col(t).alias("_tick"), *payload))
+    df, at = dense_rows(df, keys, t, bound, piece)
+    arrays = _pieces(df, keys, at, piece if split else None, F.struct(F.col(t).alias("_tick"), *payload))
     begin: Column = F.lit(start)
     if split:
         ends = arrays.select(

@@ -13,20 +13,20 @@ from voltide.operators import particles as pt
 from voltide.session import cut_lineage
 
 KEY = ["series_id"]
-Draw = Callable[[str, int, int, bool], Column]  # (role, stage, iteration, uniform?) -> column
+Draw = Callable[..., Column]  # (role, stage, iteration, uniform?, particle = column i) -> column
 
 
 def hash_draws(seed: int) -> Draw:
     """Draws keyed by series, tick and particle."""
-    def draw(role: str, stage: int = 0, it: int = 0, uniform: bool = False) -> Column:
-        parts = (F.col("series_id"), F.col("t"), F.col("i"), F.lit(f"{role}:{stage}:{it}"))
+    def draw(role: str, stage: int = 0, it: int = 0, uniform: bool = False, i: Column | None = None) -> Column:
+        parts = (F.col("series_id"), F.col("t"), F.col("i") if i is None else i, F.lit(f"{role}:{stage}:{it}"))
         return fn.uniform_noise(seed, *parts) if uniform else fn.normal_noise(seed, *parts)
 
     return draw
 
 
 def zero_draws() -> Draw:
-    return lambda role, stage=0, it=0, uniform=False: F.lit(0.5 if uniform else 0.0)
+    return lambda role, stage=0, it=0, uniform=False, i=None: F.lit(0.5 if uniform else 0.0)
 
 
 def start_state(series: DataFrame, cfg: FilterConfig, draw: Draw) -> tuple[DataFrame, DataFrame]:
@@ -41,16 +41,24 @@ def start_state(series: DataFrame, cfg: FilterConfig, draw: Draw) -> tuple[DataF
     return p, s
 
 
-def _scalars(s: DataFrame, cfg: FilterConfig) -> DataFrame:
-    """Guide update, effective noise, step budget: everything known before the particles move."""
+def with_all(d: DataFrame, steps: list[dict[str, Column]]) -> DataFrame:
+    for cols in steps:
+        d = d.withColumns(cols)
+    return d
+
+
+def tick_scalars(cfg: FilterConfig, rho: str | float | None = None, sigma_z: str | float | None = None, mu: str | float | None = None) -> list[dict[str, Column]]:
+    """Guide update, effective noise, step budget: everything known before the particles move. Parameters are those of
+    ``cfg``, or columns. The guide before the update stays as _g_mean and _g_var."""
+    rho, sigma_z, mu = (fn._c(getattr(cfg, n) if x is None else x) for n, x in (("rho", rho), ("sigma_z", sigma_z), ("mu", mu)))
     off = implied_offset(cfg.nu)
     rz = F.abs("y") / F.greatest(F.col("vol_prev"), F.lit(1e-4))
     sev = lambda thr: F.when(rz > thr, F.least((rz - thr) / 3, F.lit(1.0))).otherwise(0.0)
-    sigma = F.lit(cfg.sigma_z)
+    sigma = sigma_z
     if cfg.adaptive_sigma:
-        sigma = F.when(F.col("t") > 0, cfg.sigma_z * (1 + (cfg.sigma_boost_max - 1) * sev(cfg.sigma_threshold))).otherwise(cfg.sigma_z)
-    pp = cfg.rho**2 * F.col("g_var") + cfg.sigma_z**2
-    mp = cfg.mu + cfg.rho * (F.col("g_mean") - cfg.mu)
+        sigma = F.when(F.col("t") > 0, sigma_z * (1 + (cfg.sigma_boost_max - 1) * sev(cfg.sigma_threshold))).otherwise(sigma_z)
+    pp = rho * rho * F.col("g_var") + sigma_z * sigma_z
+    mp = mu + rho * (F.col("g_mean") - mu)
     gain = pp / (pp + OBS_VAR + 1e-8)
     strength = F.lit(cfg.guide_strength)
     if cfg.adaptive_guide:
@@ -59,9 +67,26 @@ def _scalars(s: DataFrame, cfg: FilterConfig) -> DataFrame:
         strength = cfg.guide_strength + (cfg.guide_strength_max - cfg.guide_strength) * F.when(rise, sev(cfg.guide_threshold)).otherwise(0.0)
     x = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("ksd_prev") - 0.05) / 0.45))
     budget = F.when(F.col("t") < 10, cfg.max_steps).otherwise(cfg.min_steps + F.floor(x * (cfg.max_steps - cfg.min_steps)))
-    return (s.withColumn("_gm", mp + gain * (fn.log_y2("y") + off - mp)).withColumn("g_var", (1 - gain) * pp)
-            .withColumn("g_mean", F.col("_gm")).drop("_gm").withColumn("sigma", sigma).withColumn("strength", strength)
-            .withColumn("budget", budget.cast("int")))
+    return [{"_g_mean": F.col("g_mean"), "_g_var": F.col("g_var")},
+            {"g_mean": mp + gain * (fn.log_y2("y") + off - mp), "g_var": (1 - gain) * pp, "sigma": sigma, "strength": strength, "budget": budget.cast("int")}]
+
+
+def new_bandwidth(raw: Column, spread: Column) -> list[dict[str, Column]]:
+    """One step of the bandwidth's recursion: ema_new, bw_sq_new and bandwidth from ema, bw_sq, y, the raw square and the
+    spread of the set."""
+    ay, raw = F.abs("y"), F.greatest(raw, F.lit(1e-6))
+    sq = F.when(F.col("bw_sq") > 0, 0.3 * raw + 0.7 * F.col("bw_sq")).otherwise(raw)
+    big = F.greatest(ay / F.greatest(F.col("ema_new"), F.lit(1e-8)), F.least(spread * 0.5, F.lit(2.0)))
+    return [{"ema_new": F.when(F.col("ema") > 0, 0.05 * ay + 0.95 * F.col("ema")).otherwise(ay)},
+            {"bw_sq_new": sq * F.greatest(F.lit(0.5), F.least(F.lit(1.0), 1 - 0.25 * F.least(big - 1, F.lit(2.0))))},
+            {"bandwidth": F.greatest(F.lit(0.01), F.least(F.lit(2.0), F.sqrt("bw_sq_new")))}]
+
+
+def stage_plan(cfg: FilterConfig) -> list[int]:
+    """The most iterations that each annealing stage can have: a smaller budget can leave a longer last stage."""
+    stages = cfg.n_anneal if cfg.annealing else 1
+    per = cfg.max_steps // stages
+    return [per] * (stages - 1) + [cfg.max_steps - per * (stages - 1) + stages - 1]
 
 
 def filter_tick(p: DataFrame, s: DataFrame, obs_t: DataFrame, cfg: FilterConfig, draw: Draw, bound: int | None = None
@@ -71,7 +96,7 @@ def filter_tick(p: DataFrame, s: DataFrame, obs_t: DataFrame, cfg: FilterConfig,
     Covers the one-factor model without smoothing, adaptive level and Heun moves.
     """
     bound = cfg.n_particles if bound is None else bound
-    s = _scalars(s.join(obs_t, KEY), cfg)
+    s = with_all(s.join(obs_t, KEY), tick_scalars(cfg))
     cols = ["series_id", "t", "y", "y_prev", "h_bar", "g_mean", "g_var", "sigma", "strength", "budget", "ksd_prev"]
     d = p.join(s.select(*cols), KEY)
     z = draw("state", 0, 0, False)
@@ -94,17 +119,8 @@ def filter_tick(p: DataFrame, s: DataFrame, obs_t: DataFrame, cfg: FilterConfig,
         g = F.col("h_pred")
     d = cut_lineage(d.withColumn("h", g).withColumn("m", pt.prior_mean("h_prev", "y_prev", cfg.rho, cfg.mu, cfg.gamma)))
 
-    # bandwidth, one step of its recursion
-    raw = F.greatest(F.col("bw_sq2"), F.lit(1e-6))
     b = pt.bandwidth_stats(d, KEY).withColumnRenamed("bw_sq", "bw_sq2").join(s.select("series_id", "y", "ema", "bw_sq"), KEY)
-    ay = F.abs("y")
-    ema = F.when(F.col("ema") > 0, 0.05 * ay + 0.95 * F.col("ema")).otherwise(ay)
-    sq = F.when(F.col("bw_sq") > 0, 0.3 * raw + 0.7 * F.col("bw_sq")).otherwise(raw)
-    b = b.withColumn("ema2", ema)
-    big = F.greatest(ay / F.greatest(F.col("ema2"), F.lit(1e-8)), F.least(F.col("spread") * 0.5, F.lit(2.0)))
-    b = b.withColumn("bw_sq_new", sq * F.greatest(F.lit(0.5), F.least(F.lit(1.0), 1 - 0.25 * F.least(big - 1, F.lit(2.0)))))
-    b = b.select("series_id", F.col("ema2").alias("ema_new"), "bw_sq_new",
-                 F.greatest(F.lit(0.01), F.least(F.lit(2.0), F.sqrt("bw_sq_new"))).alias("bandwidth"))
+    b = with_all(b, new_bandwidth(F.col("bw_sq2"), F.col("spread"))).select("series_id", "ema_new", "bw_sq_new", "bandwidth")
     d = d.join(b.select("series_id", "bandwidth"), KEY)
 
     stages = cfg.n_anneal if cfg.annealing else 1
@@ -123,9 +139,7 @@ def filter_tick(p: DataFrame, s: DataFrame, obs_t: DataFrame, cfg: FilterConfig,
             beta = F.lit((0.3, 0.65, 1.0)[stage % 3])
         per = F.floor(F.col("budget") / stages)
         todo = F.col("budget") - per * (stages - 1) if last else per
-        top = cfg.max_steps - (cfg.max_steps // stages) * (stages - 1) if last else cfg.max_steps // stages
-        if last:
-            top += stages - 1  # smaller budgets can leave a longer last stage
+        top = stage_plan(cfg)[stage]
         d = d.withColumn("beta", beta).withColumn("_todo", todo)
         for it in range(top):
             live = F.col("_todo") > it
