@@ -14,6 +14,7 @@ from voltide.functions.config import FilterConfig, log_norm, presets, stationary
 from voltide.operators import stats
 from voltide.plans import calibrate, cross_section, evaluate, multiscale
 from voltide.session import scratch_table
+from voltide.streaming.filter_stream import run_arrivals
 
 SMALL = FilterConfig("one", mu=-0.5, sigma_z=0.3, rho=0.95, n_particles=64, newton=True, full_newton=True, exact_gradient=True,
                      lik_offset=0.35, min_steps=4, max_steps=8)
@@ -236,12 +237,22 @@ def stream_sliding_vol(spark, sf):
 
 # --- control rows and late rows: files that arrive one after another --------------------------------------------------------
 
-def arrivals(spark, parts):
-    """A stream of the given tables, one file and one trigger each, in order."""
-    path = scratch_table(spark, "arrivals")
-    for p in parts:
-        p.coalesce(1).write.mode("append").parquet(path)  # a file per table is the feature: it arrives as one batch
-    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+def drain_arrivals(spark, parts, transform, label: str):
+    """Run an append stream over tables that arrive one after another and read its output."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before, out, schema = spark.conf.get(name), scratch_table(spark, label), []
+
+    def start(stream, log):
+        df = transform(stream)
+        schema[:] = [df.schema]
+        return df.writeStream.format("parquet").option("path", out).option("checkpointLocation", log).outputMode("append").trigger(availableNow=True).start()
+
+    try:
+        spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        run_arrivals(spark, parts, start, label)
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(schema[0]).parquet(out)
 
 
 CONTROL = ["series_id", "ts", "tie", "y", "kind", "signal", "rho"]
@@ -289,8 +300,8 @@ def stream_controls(spark, sf):
     d, at = controlled(spark, sf)
     some = lambda k: at.filter(F.col(f"at{k}").isNotNull())
     ctl = _control(some(3), "signal", "at3", signal=F.col("series_id")).union(_control(some(5), "params", "at5", rho=0.5)).union(_control(some(10), "reset", "at10"))
-    s = arrivals(spark, [d.filter("tie % 2 = 0").select(*CONTROL), ctl.select(*CONTROL), d.filter("tie % 2 = 1").select(*CONTROL), _far(spark, "2100-01-01"), _far(spark, "2100-01-02")])
-    out = drain(run_stream(s, SignalProcessor(SIGNALS), "4000 days"), "controls").filter("series_id >= 0")
+    parts = [d.filter("tie % 2 = 0").select(*CONTROL), ctl.select(*CONTROL), d.filter("tie % 2 = 1").select(*CONTROL), _far(spark, "2100-01-01"), _far(spark, "2100-01-02")]
+    out = drain_arrivals(spark, parts, lambda s: run_stream(s, SignalProcessor(SIGNALS), "40 days"), "controls").filter("series_id >= 0")
     out = out.join(at.select("series_id", "at10"), "series_id").withColumn("later", F.coalesce(F.col("ts") >= F.col("at10"), F.lit(False)))
     return rounded(out.select("series_id", "t", "later", "guide_mean", "guide_var", "signal"))
 
@@ -306,6 +317,6 @@ def stream_late_rows(spark, sf):
     d, _ = controlled(spark, sf)
     d = d.select(*CONTROL, F.col("tie").alias("_tie"))
     on_time, late = (d.filter(c).select(*CONTROL) for c in ("_tie % 10 <> 0", "_tie % 10 = 0"))
-    s = arrivals(spark, [on_time, _far(spark, "2100-01-01"), _far(spark, "2100-01-02"), late])
-    out = drain(run_stream(s, SignalProcessor(SIGNALS), "4000 days"), "late").filter("series_id >= 0")
+    parts = [on_time, _far(spark, "2100-01-01"), _far(spark, "2100-01-02"), late]
+    out = drain_arrivals(spark, parts, lambda s: run_stream(s, SignalProcessor(SIGNALS), "40 days"), "late").filter("series_id >= 0")
     return out.select("series_id", "tie", F.col("status").cast("int").alias("status"), "t")
