@@ -8,6 +8,7 @@ from dataclasses import asdict, dataclass, fields, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Limits of log-vol, digamma of a half, variance of ln(y^2) around its level.
 H_MIN, H_MAX = -15.0, 5.0
 PSI_HALF = -1.9635100260214235
 OBS_VAR = 4.93 + 2.0
@@ -15,7 +16,9 @@ OBS_VAR = 4.93 + 2.0
 
 @dataclass(frozen=True)
 class FilterConfig:
-    """One model configuration. Field defaults are the library defaults of the one-factor model."""
+    """One model configuration. Field defaults are the library defaults of the one-factor model.
+
+    The defaults and those in ``presets`` are fixed values."""
 
     config_id: str = "default"
     model: str = "one_factor"
@@ -130,7 +133,7 @@ def stationary_var(cfg: FilterConfig) -> float:
 
 
 def presets() -> list[FilterConfig]:
-    """Named configurations: library default, wrapper default, two scales, joint, two-factor, documented best."""
+    """Named configurations (fixed values): library default, wrapper default, two scales, joint, two-factor, documented best."""
     wrapper = FilterConfig(
         "wrapper", nu=30.0, lik_offset=0.345, temperature=0.45, n_anneal=5, jump_prob=0.25, jump_scale=9.0,
         rejuv_ksd=0.05, newton=True, full_newton=True, exact_gradient=True, min_steps=8, max_steps=16, guided=True,

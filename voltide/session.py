@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 # A group with at most this many rows may be handled by one window task.
 MAX_GROUP_ROWS = 1 << 20
-# A table with at most this many rows may be broadcast.
+# A table with at most this many rows and bytes may be broadcast.
 MAX_BROADCAST_ROWS = 100_000
+MAX_BROADCAST_BYTES = 64 << 20
 
 
 def get_session(app: str = "voltide", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -63,7 +64,8 @@ def group_bound(df: DataFrame, keys: list[str]) -> int:
     return int(row["m"] or 0)
 
 
-def fits_broadcast(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> bool:
-    """True when the table has at most ``limit`` rows; reads no more than limit+1 of them."""
-    return df.limit(limit + 1).count() <= limit
-
+def fits_broadcast(df: DataFrame, limit: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    """True when the table has at most ``limit`` rows and ``max_bytes`` (as JSON); reads no more than limit+1 of them."""
+    size = F.octet_length(F.to_json(F.struct(*df.columns)))
+    rows, total = df.limit(limit + 1).agg(F.count(F.lit(1)), F.sum(size.cast("long"))).first()
+    return rows <= limit and (total or 0) <= max_bytes

@@ -85,12 +85,11 @@ class OrderedProcessor(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        due = []
-        for k in sorted(x[0] for x in self.buffer.keys()):
-            if k * SLICE_MS > now:
-                break
-            due += pickle.loads(self.buffer.getValue((k,))[0])
-            self.buffer.removeKey((k,))
+        k = (expiredTimerInfo.getExpiryTimeInMs() - 1) // SLICE_MS  # timers expire in order, each one for its slice
+        if not self.buffer.containsKey((k,)):
+            return
+        due = pickle.loads(self.buffer.getValue((k,))[0])
+        self.buffer.removeKey((k,))
         rest = [r for r in due if r["ms"] > now]
         due = sorted((r for r in due if r["ms"] <= now), key=lambda r: (r["ts"], r["tie"]))
         if rest:
