@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voltide.llm import catalog, chat, fingerprints, hmm, html, langid, lines, neardup, packing, quality, wordbpe
+from voltide.llm import catalog, chat, fingerprints, hmm, html, langid, lines, neardup, packing, quality, traces, wordbpe
 from voltide.operators import prep
 
 
@@ -37,10 +37,7 @@ def hard(spark):
 def traces_of_series(spark, sf):
     """The project's own records as traces: a line per tick of a series, its number, return and input status."""
     e = spark.read.parquet(f"{sf}/events.parquet")
-    o = prep.validate_input(prep.observations(e, "user_id", ["ts", "event_id"], "value"))
-    line = F.struct("t", F.concat_ws(",", "t", F.format_number("y", 4), "status_name").alias("line"))
-    d = o.groupBy("series_id").agg(F.array_sort(F.collect_list(line)).alias("l"))
-    return d.select("series_id", F.array_join(F.col("l.line"), "\n").alias("trace"))
+    return traces.traces_of_series(prep.observations(e, "user_id", ["ts", "event_id"], "value"))
 
 
 def empty(spark, schema="series_id long, trace string"):
@@ -189,6 +186,25 @@ def test_pairs_far_from_the_centre_of_a_large_bucket(spark):
     assert [r.series_id for r in got if r.class_id != r.series_id // 2 * 2] == []
 
 
+def test_recall_at_the_declared_similarity(spark):
+    """More than a hundred pairs of similarity 0.80 to 0.82, of several lengths, against brute force: none apart."""
+    rng = random.Random(11)
+    rows, pairs = [], []
+    while len(pairs) < 140:
+        n = rng.randint(120, 700)
+        w = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        edited = list(w)
+        for at in rng.sample(range(2, n - 3), max(1, round(n * 0.0222))):
+            edited[at] = f"v{rng.randrange(10**6)}"
+        a, b = shingle_set(" ".join(w)), shingle_set(" ".join(edited))
+        if 0.80 <= len(a & b) / len(a | b) < 0.82:
+            pairs.append((len(rows), len(rows) + 1))
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(edited))]
+    got = {r.series_id: r.class_id for r in neardup.near_classes(spark.createDataFrame(rows, "series_id long, trace string")).collect()}
+    assert [p for p in pairs if got[p[0]] != got[p[1]]] == []
+    assert len(set(got.values())) == len(pairs)
+
+
 def test_pairs_by_rare_shingles_are_all_pairs(spark):
     rng = random.Random(5)
     base = [f"w{k}" for k in range(60)]
@@ -202,8 +218,8 @@ def test_pairs_by_rare_shingles_are_all_pairs(spark):
     texts = sorted(set(texts)) + ["one two", "one two three four five six"]
     sk = neardup.cut_lineage(neardup.sketches(spark.createDataFrame(list(enumerate(texts)), "series_id long, trace string")))
     of = {bytes(r.name): r.series_id for r in sk.collect()}
-    classes = sk.select("name", F.when(F.col("series_id") < 20, F.lit(b"a")).otherwise(F.col("name")).alias("class"))
-    got = {tuple(sorted((of[bytes(r.a)], of[bytes(r.b)]))) for r in neardup._all_pairs(sk, classes, 0.8).collect()}
+    classed = sk.withColumn("class", F.when(F.col("series_id") < 20, F.lit(b"a")).otherwise(F.col("name")))
+    got = {tuple(sorted((of[bytes(r.a)], of[bytes(r.b)]))) for r in neardup._all_pairs(classed, 0.8).collect()}
     sets = [shingle_set(t) for t in texts]
     want = {(i, j) for j in range(len(texts)) for i in range(j) if j >= 20 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
     assert want and want <= got and all(j >= 20 for _, j in got)
@@ -435,6 +451,54 @@ def test_wrappers_of_articles_stay(page, want):
     assert html.main_text(page) == want
 
 
+CHINESE = "这是一篇关于海风的文章。我们在山上看见了大海，也听见了风的声音。城里的人们都说，今年的冬天比往年更冷，但是海边的村子里还很暖和。" * 3
+RUSSIAN = "Ветер дул с моря весь день. Люди в городе говорили, что зима будет долгой и холодной. Но у берега ещё было тепло, и лодки выходили на рассвете. " * 2
+
+
+@pytest.mark.parametrize("page, want", [
+    # links say nothing inside an article, nor of a heading
+    (f"<article><h1><a href=/x>Title of it</a></h1><p>{ARTICLE}</p></article>", f"Title of it\n\n{ARTICLE}"),
+    (f"<div><h1><a href=/x>Title of it</a></h1><p>{ARTICLE}</p></div>", f"Title of it\n\n{ARTICLE}"),
+    (f"<article><p><a href=/x>{ARTICLE}</a></p><ul><li><a href=1>first point</a></li><li><a href=2>second point</a></li></ul><p>{ARTICLE}</p></article>",
+     f"{ARTICLE}\n\nfirst point\n\nsecond point\n\n{ARTICLE}"),
+    # outside it they do
+    (f"<p>{ARTICLE}</p><ul><li><a href=1>{ARTICLE}</a></li></ul>", ARTICLE),
+    # names written together
+    (f"<article><p>{ARTICLE}</p><ol class=commentlist><li>{ARTICLE}</li></ol><div class=rightbar>{ARTICLE}</div><div class=adbox>{ARTICLE}</div></article>", ARTICLE),
+    (f"<article class=address><p class=blockquote>{ARTICLE}</p><p id=textlist>short one</p></article>", f"{ARTICLE}\n\nshort one"),
+    # other languages
+    (f"<ul><li><a href=1>首页</a></li></ul><div><h1>海风</h1><p>{CHINESE}</p><p>短句。</p></div>", f"海风\n\n{CHINESE}\n\n短句。"),
+    (f"<div><a href=1>О сайте</a></div><div><p>{RUSSIAN}</p></div><div>© 2020</div><nav>{RUSSIAN}</nav>", RUSSIAN.strip() + "\n\n© 2020"),
+    # a quote that never ends
+    (f"<article class=\"a><p>{ARTICLE}</p></article>", ARTICLE),
+])
+def test_links_names_and_languages(page, want):
+    assert html.main_text(page) == want
+
+
+def test_density_decides_on_pages_without_article():
+    """Prose between link lists, notices and short lines, with no element that marks an article."""
+    rng = random.Random(7)
+    for _ in range(50):
+        prose = [f"{ARTICLE} Part {k}." for k in range(rng.randint(1, 4))]
+        links = "".join(f"<td><a href=/{k}>{rng.choice(['news', 'the sports of the day', 'weather'])}</a></td>" for k in range(rng.randint(3, 9)))
+        table = f"<table><tr>{links}</tr></table>"
+        body = "".join(f"<div>{p}</div>" for p in prose)
+        assert html.main_text(f"{table}<table><tr><td>{body}</td></tr></table>{table}") == "\n\n".join(prose)
+
+
+@pytest.mark.parametrize("unit", ["<span class=ad>word ", "<head>word ", "<x1 class='ad'><x2 class=ad>", "<svg>", "<div>word</p>", "<a \"", "</b", "<i class=ad>w</i>", "<p class='x\" "])
+def test_pages_of_two_megabytes_in_linear_time(unit):
+    import time
+
+    def seconds(size):
+        t = time.process_time()
+        html.main_text(unit * (size // len(unit)))
+        return time.process_time() - t
+
+    assert seconds(2_000_000) < 20 * seconds(250_000) + 2
+
+
 def test_page_hard_rows(spark):
     s = "page_id long, url string, html string, text string"
     rows = [(1, None, None, "x"), (None, "u", "", "x"), (2, "u", f"<p>{ARTICLE}</p>" * 2000, "x"), (2, "u", f"<p>{ARTICLE}</p>" * 2000, "x"), (3, "u", "<" * 5000 + "a" * 5000, "x"),

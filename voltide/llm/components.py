@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voltide.llm.hot import join_hot
 from voltide.session import cut_lineage
 
 
@@ -13,21 +14,21 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates the large and the small star: every node sends its larger neighbours, then its smaller ones, to the least
     of its neighbourhood, until nothing moves (about log of the diameter rounds). A round is two joins of the links
-    with an aggregate of them; nothing is collected but a count and a checksum."""
+    with an aggregate of them, in which the links of a hub stay where they are; nothing is collected but a count and a
+    checksum."""
     e = cut_lineage(links.select("a", "b").where(F.col("a") != F.col("b")).distinct())
-    state = None
-    while True:
+    state, total = None, e.count()
+    while total:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where(F.col("a") != F.col("b")).distinct()  # a > b in every row
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
+        least = cut_lineage(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n")))
+        large = join_hot(both.where(F.col("b") > F.col("a")), least, "a", 2 * total, "n").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = cut_lineage(large.where(F.col("a") != F.col("b")).distinct())  # a > b in every row
+        small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
         e = cut_lineage(small.where(F.col("a") != F.col("b")).distinct())
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
+        total, *now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if [total, *now] == state:
             break
-        state = now
+        state = [total, *now]
     found = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = e.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
     return found.union(roots)

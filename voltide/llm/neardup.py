@@ -12,11 +12,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltide.llm.blocks import named_chunks, text_blocks
 from voltide.llm.components import components
+from voltide.llm.hot import join_hot
 from voltide.session import cut_lineage
 
 WORDS = 5  # words in a shingle
@@ -24,9 +25,10 @@ SIMILARITY = 0.8
 SKETCHES = 14  # tuples of a sketch; at similarity 0.8 a pair shares one with probability 0.9999
 MINIMA = 3  # least shingles in a tuple, in text order
 SMALL = 16  # buckets of so many texts are compared pair by pair
-DEALT = ((1, 2, 3), (4, 5), (6, 7), (8,))  # which further tuples deal large buckets anew, level by level
+STEPS = ((0,), (1, 2, 3, 4), (5, 6, 7, 8, 9, 10, 11, 12, 13))  # tuples by which texts meet the centre of a bucket, step by step
 SLOTS = 1 << 20  # counts by which shingles are called rare; shared slots cost speed only
-SALTED = 256  # texts of a shingle that meet others in one task
+BITS = 512  # of the map that bounds how far two texts differ
+SALTED = 256  # texts of a shingle, or of a centre, that meet others in one task
 EDGES = string.punctuation + "«»„“”‚‘’…–—¿¡"
 
 
@@ -61,15 +63,24 @@ def shingles(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, np.cumsum(count)
 
 
-def labelled(names: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """Names that also tell the how-manieth occurrence in the text it is."""
+def occurrences(names: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """The how-manieth occurrence in its text each name is, from 0."""
     own = _mix(names ^ _mix(text.astype(np.uint64) + np.uint64(1)))
     order = np.argsort(own, kind="stable")
     new = np.append(True, own[order[1:]] != own[order[:-1]])[: len(order)]
     start = np.flatnonzero(new)
     nth = np.empty(len(order), np.uint64)
     nth[order] = np.arange(len(order)) - np.repeat(start, np.diff(start, append=len(order)))
-    return _mix(names + nth)
+    return nth
+
+
+def labelled(names: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Names that also tell the how-manieth occurrence in the text it is."""
+    return _mix(names + occurrences(names, text))
+
+
+def first_occurrences(names: np.ndarray, text: np.ndarray) -> np.ndarray:
+    return occurrences(names, text) == 0
 
 
 def order_sketches(names: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -102,36 +113,40 @@ def order_sketches(names: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def sketches(traces: DataFrame) -> DataFrame:
-    """series_id, name (128 bits of the words), keys (order MinHash tuples, empty without words), words (32-bit names)."""
+    """series_id, name (128 bits of the words), keys (order MinHash tuples, empty without words), shingles (32-bit names of
+    the different shingles, by first occurrence)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in text_blocks(batches, "trace", 1_500_000):
             words, ends = word_names(texts)
             found, found_ends = shingles(words, ends)
             keys = order_sketches(found, found_ends)
-            spans = list(zip([0, *ends[:-1].tolist()], ends.tolist()))
-            short = pa.array(words.astype(np.uint32).view(np.int32))
-            has = np.diff(found_ends, prepend=0) > 0
+            spans = zip([0, *ends[:-1].tolist()], ends.tolist())
+            n = np.diff(found_ends, prepend=0)
+            first = first_occurrences(found, np.repeat(np.arange(len(n)), n))
+            kept_ends = np.append(0, np.cumsum(first))[found_ends]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([hashlib.md5(words[a:z]).digest() for a, z in spans], pa.binary()),
-                 pa.ListArray.from_arrays(np.append(0, np.cumsum(has * SKETCHES)).astype(np.int32), pa.array(keys[has].reshape(-1).view(np.int64))),
-                 pa.ListArray.from_arrays(np.append(0, ends).astype(np.int32), short)], ["series_id", "name", "keys", "words"])
+                 pa.ListArray.from_arrays(np.append(0, np.cumsum((n > 0) * SKETCHES)).astype(np.int32), pa.array(keys[n > 0].reshape(-1).view(np.int64))),
+                 pa.ListArray.from_arrays(np.append(0, kept_ends).astype(np.int32), pa.array(found[first].astype(np.uint32).view(np.int32)))],
+                ["series_id", "name", "keys", "shingles"])
 
     d = traces.select("series_id", "trace")
-    return d.mapInArrow(run, f"series_id {dict(d.dtypes)['series_id']}, name binary, keys array<long>, words array<int>")
+    return d.mapInArrow(run, f"series_id {dict(d.dtypes)['series_id']}, name binary, keys array<long>, shingles array<int>")
 
 
-def _first_occurrences(names: np.ndarray) -> np.ndarray:
-    return names[np.sort(np.unique(names, return_index=True)[1])]
+def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
+    """Shared shingles of an alignment over all shingles of two word sequences (at least `least`, else 0)."""
+    la, lb = (x[first_occurrences(x, np.zeros(len(x), np.int64))] for x in (shingles(w.astype(np.uint64), np.array([len(w)]))[0] for w in (a, b)))
+    return aligned(la, lb, least)
 
 
-def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """Shared shingles of an alignment over all shingles of two word sequences (at least `least`, else 0).
+def aligned(la: np.ndarray, lb: np.ndarray, least: float = SIMILARITY) -> float:
+    """The same of two texts' different shingles by first occurrence.
 
-    First occurrences of equal shingles may pair up, within the band that `least` leaves: a similarity s needs
-    n + m - 2 L <= (1 - s) / (1 + s) (n + m) insertions and deletions. L is the longest increasing chain of such pairs,
-    n and m count different shingles, so that it is their Jaccard similarity where both texts have them in one order."""
-    la, lb = (_first_occurrences(shingles(x.astype(np.uint64), np.array([len(x)]))[0]) for x in (a, b))
+    Equal shingles may pair up within the band that `least` leaves: a similarity s needs n + m - 2 L <= (1 - s) / (1 + s)
+    (n + m) insertions and deletions. L is the longest increasing chain of such pairs, n and m count different shingles,
+    so that it is their Jaccard similarity where both texts have them in one order."""
     n, m = len(la), len(lb)
     if not n or not m:
         return float(n == m)
@@ -139,11 +154,11 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY)
     if abs(n - m) > band:
         return 0.0
     order = np.argsort(lb)
-    at = np.minimum(np.searchsorted(lb[order], la), m - 1)
-    i = np.flatnonzero(lb[order][at] == la)
-    j = order[at[i]]
-    near = np.abs(i - j) <= band
-    j = j[near]
+    at = np.minimum(np.searchsorted(lb, la, sorter=order), m - 1)
+    j = order[at]
+    i = np.flatnonzero(lb[j] == la)
+    j = j[i]
+    j = j[np.abs(i - j) <= band]
     if 2 * len(j) < n + m - band:
         return 0.0
     if (np.diff(j) > 0).all():
@@ -159,7 +174,8 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of names whose words align."""
+    """The pairs (a, b) of names whose shingles align. A text with many partners, as the centre of a bucket, is copied once
+    for each SALTED of them, so that they don't meet in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -171,47 +187,48 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                 ends = [np.append(0, np.cumsum(pc.list_value_length(c).to_numpy(zero_copy_only=False))) for c in cols]
                 for k in range(b.num_rows):
                     x, y = (f[e[k] : e[k + 1]] for f, e in zip(flat, ends))
-                    keep.append(aligned_similarity(x, y, least) >= least)
+                    keep.append(aligned(x, y, least) >= least)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    d = pairs.join(texts.select(F.col("name").alias("a"), F.col("words").alias("x")), "a")
-    d = d.join(texts.select(F.col("name").alias("b"), F.col("words").alias("y")), "b")
-    return d.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    partners = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    d = pairs.join(partners, "b").withColumn("salt", F.pmod(F.hash("a"), F.ceil(F.col("n") / SALTED).cast("int")))
+    d = d.join(texts.select(F.col("name").alias("a"), F.col("shingles").alias("x")), "a")
+    centres = texts.select(F.col("name").alias("b"), F.col("shingles").alias("y")).join(partners, "b")
+    centres = centres.select("b", "y", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / SALTED).cast("int") - 1)).alias("salt"))
+    return d.join(centres, ["b", "salt"]).select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
 def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _buckets(members: DataFrame, keys: list[str]) -> DataFrame:
-    """Members (key, name, class, ...) of buckets that hold texts of more than one class, with the bucket's size."""
-    sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("_low"), F.max("class").alias("_high"))
-    return cut_lineage(members.join(sizes.where(F.col("_low") < F.col("_high")).drop("_low", "_high"), keys))
+def _members(live: DataFrame, tuples: tuple[int, ...]) -> DataFrame:
+    """name, class, key: the texts in the buckets of some tuples."""
+    return live.select("name", "class", F.explode(F.array(*[F.get("keys", F.lit(j)) for j in tuples])).alias("key"))
 
 
-def _pairs(buckets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of texts of different classes: all of a small bucket's, and in a larger one each text with the text
-    that shares most with others, as the origin of a group of edited copies does, and with one that a hash picks."""
-    each = buckets.where(F.col("n") <= SMALL).select("key", "name", "class")
-    other = each.select("key", F.col("name").alias("other"), F.col("class").alias("other_class"))
-    near = each.join(other, "key").where((F.col("name") < F.col("other")) & (F.col("class") != F.col("other_class")))
-    large = buckets.where(F.col("n") > SMALL).select("key", "name", "class", "n")
-    met = large.groupBy("name").agg(F.sum("n").alias("met"))
-    text = F.struct("name", "class")
-    centres = large.join(met, "name").groupBy("key").agg(
-        F.array(F.max(F.struct("met", text.alias("text")))["text"], F.min(F.struct(F.xxhash64("key", "name").alias("h"), text.alias("text")))["text"]).alias("centres"))
-    stars = large.join(centres, "key").select("name", "class", F.explode(F.array_distinct("centres")).alias("centre"))
-    stars = stars.where(F.col("class") != F.col("centre.class")).select("name", F.col("centre.name").alias("other"))
-    return near.select(*_ordered("name", "other")).union(stars.select(*_ordered("name", "other"))).distinct()
+def _stars(live: DataFrame, tuples: tuple[int, ...], total: int) -> DataFrame:
+    """Pairs (a, b): every text with the centre of its bucket, where that is of another class. The centre is a text that a
+    hash picks from the class with most texts in the bucket, so that a class which has grown sends no rows."""
+    d = _members(live, tuples)
+    classes = d.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("key", "name").alias("h"), "name")).alias("text"))
+    top = classes.groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "text.h", "class", "text.name")).alias("top"))
+    top = cut_lineage(top.where(F.col("n") > 1).select("key", "n", "classes", F.col("top.class").alias("other_class"), F.col("top.name").alias("other")))
+    met = join_hot(d, top, "key", len(tuples) * total, "n", (F.col("classes") > 1) & (F.col("class") != F.col("other_class")))
+    return met.select(F.col("name").alias("a"), F.col("other").alias("b")).distinct()
 
 
-def _sets(b: pa.RecordBatch, column: int) -> Iterator[np.ndarray]:
-    """Different shingles of each text, as the alignment names them."""
-    flat = b.column(column).flatten().to_numpy(zero_copy_only=False).view(np.uint32)
-    ends = np.append(0, np.cumsum(pc.list_value_length(b.column(column)).to_numpy(zero_copy_only=False)))
-    for k in range(b.num_rows):
-        x = flat[ends[k] : ends[k + 1]].astype(np.uint64)
-        yield np.unique(shingles(x, np.array([len(x)]))[0])
+def _left_apart(live: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """Of the buckets that still hold several classes: the pairs (a, b) of different classes in the small ones, and the
+    names of the texts in the larger ones."""
+    d = _members(live, tuple(range(SKETCHES)))
+    sizes = d.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("low"), F.max("class").alias("high"))
+    sizes = cut_lineage(sizes.where(F.col("low") < F.col("high")).select("key", "n"))
+    each = cut_lineage(d.join(sizes.where(F.col("n") <= SMALL).select("key"), "key"))
+    other = each.select("key", F.col("name").alias("other"), F.col("class").alias("other_class"))
+    near = each.join(other, "key").where((F.col("name") < F.col("other")) & (F.col("class") != F.col("other_class")))
+    large = join_hot(d, sizes.where(F.col("n") > SMALL), "key", SKETCHES * total, "n")
+    return near.select(*_ordered("name", "other")).distinct(), large.select("name").distinct()
 
 
 def _shingle_counts(texts: DataFrame) -> np.ndarray:
@@ -220,19 +237,19 @@ def _shingle_counts(texts: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
         for b in batches:
-            for x in _sets(b, 0):
-                np.add.at(total, x % np.uint64(SLOTS), 1)
+            total += np.bincount(b.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint32) % SLOTS, minlength=SLOTS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["slot", "n"])
 
-    rows = texts.select("words").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    rows = texts.select("shingles").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(SLOTS, np.uint32)
     out[rows["slot"].to_numpy()] = np.minimum(rows["n"].to_numpy(), 2**32 - 1)
     return out
 
 
-def _all_pairs(texts: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Every pair (a, b) of texts of different classes whose sets of shingles can have similarity `least`, and few others.
+def _all_pairs(texts: DataFrame, least: float) -> DataFrame:
+    """Every pair (a, b) of texts (name, class, shingles) of different classes whose sets of shingles can have similarity
+    `least`, and few others.
 
     Shingles stand in one order for all texts, rare ones first. Of n shingles a similar text shares ceil(least n) or
     more, so that two similar texts share one of the n - ceil(least n) + 1 first of each. A pair whose first common
@@ -244,36 +261,50 @@ def _all_pairs(texts: DataFrame, classes: DataFrame, least: float) -> DataFrame:
         for big in batches:
             for start in range(0, big.num_rows, 500):
                 b = big.slice(start, 500)
-                first, sizes = [], []
-                for x in _sets(b, 1):
+                first, sizes, maps = [], [], []
+                flat = b.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint32)
+                ends = np.append(0, np.cumsum(pc.list_value_length(b.column(2)).to_numpy(zero_copy_only=False)))
+                for k in range(b.num_rows):
+                    x = flat[ends[k] : ends[k + 1]]
                     n = len(x)
-                    first.append(x[np.lexsort((x, counts[x % np.uint64(SLOTS)]))[: n - int(np.ceil(least * n - 1e-9)) + 1]])
+                    first.append(x[np.lexsort((x, counts[x % SLOTS]))[: n - int(np.ceil(least * n - 1e-9)) + 1]].astype(np.int64))
                     sizes.append(n)
+                    maps.append(np.packbits(np.bincount(x % BITS, minlength=BITS) & 1).view(np.int64))
                 rows = np.array([len(x) for x in first])
+                of = pa.array(np.repeat(np.arange(b.num_rows), rows))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), rows))), pa.array(np.concatenate(first).view(np.int64)),
-                     pa.array(np.concatenate([np.arange(k) for k in rows]).astype(np.int32)), pa.array(np.repeat(sizes, rows).astype(np.int32))],
-                    ["name", "key", "at", "size"])
-
-    rows = texts.select("name", "words").mapInArrow(run, "name binary, key long, at int, size int")
-    b = _buckets(cut_lineage(rows.join(classes, "name")), ["key"])
+                    [b.column(0).take(of), b.column(1).take(of), pa.array(np.concatenate(first)),
+                     pa.array(np.concatenate([np.arange(k) for k in rows]).astype(np.int32)), pa.array(np.repeat(sizes, rows).astype(np.int32)),
+                     *[pa.array(m).take(of) for m in np.stack(maps, axis=1)]], ["name", "class", "key", "at", "size", *bits])
+
+    bits = [f"bits{k}" for k in range(BITS // 64)]
+    schema = "name binary, class binary, key long, at int, size int, " + ", ".join(f"{c} long" for c in bits)
+    rows = cut_lineage(texts.select("name", "class", "shingles").mapInArrow(run, schema))
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("low"), F.max("class").alias("high"))
+    sizes = cut_lineage(sizes.where(F.col("low") < F.col("high")).select("key", "n"))
+    b = cut_lineage(join_hot(rows, sizes, "key", rows.count(), "n"))
     salts = F.ceil(F.col("n") / SALTED).cast("int")
     x = b.withColumn("salt", F.pmod(F.hash("name"), salts))
     y = b.select("key", F.col("name").alias("other"), F.col("class").alias("other_class"), F.col("at").alias("other_at"), F.col("size").alias("other_size"),
-                 F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+                 *[F.col(c).alias(f"other_{c}") for c in bits], F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     shared = F.least(F.col("size") - F.col("at"), F.col("other_size") - F.col("other_at"))
+    both = F.col("size") + F.col("other_size")
+    differ = reduce(Column.__add__, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"other_{c}"))) for c in bits])
     met = x.join(y, ["key", "salt"]).where(
         (F.col("name") < F.col("other")) & (F.col("class") != F.col("other_class"))
-        & (shared >= least / (1 + least) * (F.col("size") + F.col("other_size")) - 1e-6))
-    return met.select(*_ordered("name", "other")).distinct()
+        & (shared >= least / (1 + least) * both - 1e-6) & (differ <= (1 - least) / (1 + least) * both + 1e-6))
+    return met.select(*_ordered("name", "other"))
 
 
-def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """classes (name, class) after joining the classes that links connect."""
-    of = lambda side: classes.select(F.col("name").alias(side), F.col("class").alias(f"class_{side}"))
+def _merged(live: DataFrame, links: DataFrame, total: int) -> DataFrame:
+    """live (name, class, ...) after joining the classes that links connect."""
+    sizes = cut_lineage(live.groupBy("class").agg(F.count(F.lit(1)).alias("n")))
+    of = lambda side: live.select(F.col("name").alias(side), F.col("class").alias(f"class_{side}"))
     joined = links.join(of("a"), "a").join(of("b"), "b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
     found = components(joined)
-    return cut_lineage(classes.join(found, F.col("class") == F.col("node"), "left").select("name", F.coalesce("component", "class").alias("class")))
+    new = cut_lineage(sizes.join(found, F.col("class") == F.col("node"), "left").select("class", "n", F.coalesce("component", "class").alias("new")))
+    d = join_hot(live, new, "class", total, "n")
+    return cut_lineage(d.select(*[F.col("new").alias("class") if c == "class" else c for c in live.columns]))
 
 
 def near_classes(traces: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -285,44 +316,48 @@ def near_classes(traces: DataFrame, least: float = SIMILARITY) -> DataFrame:
     more, and classes are the connected components.
 
     Copies are folded into one text before anything else, so that a group of copies costs one row. Order MinHash tuples
-    deal texts into buckets. Small buckets are compared pair by pair, a larger bucket's texts with two of them, and what
-    is alike becomes one class. Large buckets that still hold several classes are dealt anew by one more tuple of the
-    sketch, level by level, and texts of different classes are compared in the same way: work goes on only where
-    classes meet. Where the texts of a large bucket are of several classes even then, all pairs of different classes
-    that can be similar are found by their rarest shingles and verified, so that no pair of a large bucket is left to
-    chance. No text is dropped, no pair of one class is verified again, and classes never reach the driver.
+    deal texts into buckets. Step by step, by a few tuples each, a text meets one centre of its bucket, unless it is of
+    the centre's class already; what aligns becomes one class before the next step. So a step makes one row per tuple of
+    the texts still apart, however large their bucket. Where classes still meet after all tuples, a small bucket's texts
+    are compared pair by pair, and for the texts of larger buckets all pairs of different classes that can be similar are
+    found by their rarest shingles: every pair of one bucket is linked, or not similar. No text is dropped, no pair of
+    one class is verified, and classes never reach the driver.
 
     A NULL or empty trace has no words; all such are copies of each other. Rows with NULL ids get their class like
     others; its class_id is NULL only if no row of the class has an id. Repeated rows are copies. Empty in, empty out."""
     sk = cut_lineage(sketches(traces))
-    nodes = cut_lineage(sk.groupBy("name").agg(F.min("series_id").alias("least"), F.first("keys").alias("keys")))
-    members = nodes.select("name", F.col("name").alias("class"), F.posexplode("keys").alias("j", "key"))
-    buckets = _buckets(members, ["key"])
-    texts = sk.groupBy("name").agg(F.first("words").alias("words"))
-    texts = cut_lineage(texts.join(buckets.select("name").distinct().hint("merge"), "name", "left_semi"))
-    classes = cut_lineage(texts.select("name", F.col("name").alias("class")))
-    first = buckets.where(F.col("n") > SMALL).select("key", "name")
-    links = []
-    for level in range(len(DEALT) + 1):
-        if level:
-            large = buckets.where(F.col("n") > SMALL).select("key", "name", "j")
-            large = large.join(classes, "name").join(nodes.select("name", "keys"), "name")
-            more = F.array(*[F.xxhash64("key", F.get("keys", (F.col("j") + d) % SKETCHES)) for d in DEALT[level - 1]])
-            buckets = _buckets(large.select("name", "class", "j", F.explode(more).alias("key")), ["key"])
-        pairs = _pairs(buckets)
-        for known in links:
-            pairs = pairs.join(known, ["a", "b"], "left_anti")
-        links.append(cut_lineage(_verified(cut_lineage(pairs), texts, least)))
-        classes = _merged(classes, links[-1])
-    left = _buckets(first.join(classes, "name"), ["key"]).select("name").distinct()
-    rest = cut_lineage(texts.join(left.hint("merge"), "name", "left_semi"))
-    links.append(cut_lineage(_verified(cut_lineage(_all_pairs(rest, classes, least)), rest, least)))
-    classes = _merged(classes, links[-1])
-
-    links = reduce(DataFrame.union, links)
+    nodes = cut_lineage(sk.groupBy("name").agg(F.min("series_id").alias("least"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("copies")))
+    members = nodes.select("name", F.explode("keys").alias("key"))
+    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    total = nodes.count()
+    live = join_hot(members, cut_lineage(shared), "key", SKETCHES * total, "n").select("name").distinct()
+    live = cut_lineage(nodes.join(live, "name", "left_semi").select("name", F.col("name").alias("class"), "keys"))
+    texts = cut_lineage(sk.groupBy("name").agg(F.first("shingles").alias("shingles")).join(live.select("name").hint("merge"), "name", "left_semi"))
+    total, links = live.count(), []
+
+    def compare(pairs: DataFrame, live: DataFrame) -> DataFrame:
+        pairs = cut_lineage(pairs.distinct())
+        if pairs.isEmpty():
+            return live
+        links.append(cut_lineage(_verified(pairs, texts, least)))
+        return live if links[-1].isEmpty() else _merged(live, links[-1], total)
+
+    for tuples in STEPS:
+        live = compare(_stars(live, tuples, total), live)
+    near, large = _left_apart(live, total)
+    large = cut_lineage(large)
+    live = compare(near, live)
+    if not large.isEmpty():
+        rest = texts.join(live.select("name", "class").join(large, "name").hint("merge"), "name")
+        live = compare(_all_pairs(cut_lineage(rest.select("name", "class", "shingles")), least), live)
+
+    none = live.select(F.col("name").alias("a"), F.col("name").alias("b")).limit(0)
+    links = reduce(DataFrame.union, links, none)
     degree = links.select(F.explode(F.array("a", "b")).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n_links"))
-    ids = cut_lineage(nodes.select("name", "least").join(classes, "name", "left"))
-    of_class = ids.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("least").alias("class_id"))
-    ids = ids.join(of_class, "class", "left").join(degree, "name", "left").select(
-        "name", F.coalesce("class_id", "least").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return sk.select("series_id", "name").join(ids, "name").select("series_id", "class_id", "n_links")
+    ids = nodes.select("name", "least", "copies").join(live.select("name", "class"), "name", "left")
+    ids = cut_lineage(ids.select("name", "least", "copies", F.coalesce("class", "name").alias("class")))
+    of_class = cut_lineage(ids.groupBy("class").agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("n")))
+    ids = join_hot(ids, of_class, "class", nodes.count(), "n").join(degree, "name", "left")
+    ids = cut_lineage(ids.select("name", "class_id", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    rows = join_hot(sk.select("series_id", "name"), ids, "name", sk.count(), "copies")
+    return rows.select("series_id", "class_id", "n_links")
