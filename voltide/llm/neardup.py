@@ -25,7 +25,7 @@ SIMILARITY = 0.8
 SKETCHES = 14  # tuples of a sketch; at similarity 0.8 a pair shares one with probability 0.9999
 MINIMA = 3  # least shingles in a tuple, in text order
 SMALL = 16  # buckets of so many texts are compared pair by pair
-STEPS = ((0,), (1, 2, 3, 4), (5, 6, 7, 8, 9, 10, 11, 12, 13))  # tuples by which texts meet the centre of a bucket, step by step
+STEPS = ((0,), tuple(range(1, SKETCHES)))  # tuples by which texts meet the centre of a bucket, step by step
 SLOTS = 1 << 20  # counts by which shingles are called rare; shared slots cost speed only
 BITS = 512  # of the map that bounds how far two texts differ
 SALTED = 256  # texts of a shingle, or of a centre, that meet others in one task
